@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterable, Sequence
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 from functools import reduce
 
@@ -19,7 +20,7 @@ from pyspark.sql import functions as F
 from credence.functions.text import blank_null, label_name, prepare, route_for
 from credence.operators.features import as_ml_vector, ml_schema, weighted_terms
 from credence.operators.normalize import with_defaults
-from credence.schema import EXPLAIN_K, LR_C, LR_MAX_ITER, NB_ALPHA, PREDICTION, THRESHOLD, VOCABULARY_K
+from credence.schema import EXPLAIN_K, LR_C, LR_MAX_ITER, LR_TOL, NB_ALPHA, PREDICTION, THRESHOLD, VOCABULARY_K
 from credence.session import stage
 
 
@@ -97,7 +98,7 @@ def nb_bias(counts: Iterable) -> dict[str, float]:
 
 
 def lr_fit(vectors: DataFrame, route: str, n_features: int, n: int, n0: int, n1: int, c: float,
-           max_iter: int = LR_MAX_ITER, tol: float = 1e-9, key: str = "id") -> tuple[list[float], float]:
+           max_iter: int = LR_MAX_ITER, tol: float = LR_TOL, key: str = "id") -> tuple[list[float], float]:
     """L2 logistic regression with balanced classes and a penalised intercept: (weights, intercept).
 
     The intercept is the weight of a constant feature. ML drops a constant column, so features and
@@ -139,18 +140,19 @@ def _flip(rows: DataFrame, key: str, tries: int = 32) -> Column:
 
 
 def lr_weights(vectors: DataFrame, vocabulary: DataFrame, counts: Sequence, c: dict[str, float] | None = None,
-               max_iter: int = LR_MAX_ITER, key: str = "id") -> tuple[DataFrame, dict[str, float]]:
+               max_iter: int = LR_MAX_ITER, tol: float = LR_TOL, key: str = "id") -> tuple[DataFrame, dict[str, float]]:
     """((route, idx, weight), route -> intercept) of one logistic regression per route."""
     spark = vectors.sparkSession
     sizes = {r["route"]: r["v"] for r in vocabulary.groupBy("route").agg(F.count("*").alias("v")).collect()}
-    frames, bias = [], {}
-    for r in counts:
-        route = r["route"]
-        weights, bias[route] = lr_fit(vectors, route, sizes[route], r["n"], r["n0"], r["n1"],
-                                      (LR_C if c is None else c).get(route, 1.0), max_iter, key=key)
-        frames.append(pd.DataFrame({"route": route, "idx": range(len(weights)), "weight": weights}))
-    table = spark.createDataFrame(pd.concat(frames), "route string, idx int, weight double")
-    return table, bias
+    strength = LR_C if c is None else c
+    def fit(r):
+        return lr_fit(vectors, r["route"], sizes[r["route"]], r["n"], r["n0"], r["n1"],
+                      strength.get(r["route"], 1.0), max_iter, tol, key)
+    with ThreadPoolExecutor(len(counts)) as pool:      # the routes' iterations share the cluster
+        fits = dict(zip((r["route"] for r in counts), pool.map(fit, counts)))
+    bias = {route: intercept for route, (_, intercept) in fits.items()}
+    frames = [pd.DataFrame({"route": route, "idx": range(len(w)), "weight": w}) for route, (w, _) in fits.items()]
+    return spark.createDataFrame(pd.concat(frames), "route string, idx int, weight double"), bias
 
 
 # ----------------------------------------------------------------------------- scoring
@@ -176,6 +178,12 @@ def probabilities(docs: DataFrame, table: DataFrame, bias: dict[str, dict[str, f
     return sums.select(key, *keep, "route", F.explode(F.array(*p)).alias("s")).select(key, *keep, "route", "s.*")
 
 
+def tie_safe(weight: Column | str) -> Column:
+    """Sort key of a weight: equal to nine places is a tie, so that the order in which a shuffle
+    happened to add up the numbers does not decide a ranking."""
+    return F.round(weight, 9)
+
+
 def ranked_terms(entries: Column, k: int) -> Column:
     """Top ``k`` unreliable then top ``k`` reliable contributions; ties by term; empty when none.
 
@@ -184,7 +192,7 @@ def ranked_terms(entries: Column, k: int) -> Column:
     def top(sign: int, direction: str) -> Column:
         side = F.filter(entries, lambda e: e["weight"] * sign > 0)
         ordered = F.sort_array(F.transform(
-            side, lambda e: F.struct((e["weight"] * -sign).alias("o"), e["term"].alias("term"))))
+            side, lambda e: F.struct(tie_safe(e["weight"] * -sign).alias("o"), e["term"].alias("term"))))
         return F.transform(F.slice(ordered, 1, k), lambda e: F.struct(
             e["term"].alias("term"), F.round(e["o"] * -sign, 4).alias("weight"), F.lit(direction).alias("direction")))
     return F.concat(top(1, "unreliable"), top(-1, "reliable"))
@@ -270,7 +278,7 @@ def global_top_terms(terms: DataFrame, routes: Sequence[str], k: int = VOCABULAR
     """(route, direction, rank, term, weight): the k largest and k smallest weights of every route."""
     parts = []
     for route in routes:
-        for direction, order in (("unreliable", F.desc("weight")), ("reliable", F.asc("weight"))):
+        for direction, order in (("unreliable", tie_safe("weight").desc()), ("reliable", tie_safe("weight").asc())):
             best = terms.where(F.col("route") == route).orderBy(order, "term").limit(k)   # k rows
             rank = F.row_number().over(Window.partitionBy("route").orderBy(order, "term"))
             parts.append(best.select("route", F.lit(direction).alias("direction"), rank.alias("rank"), "term",
