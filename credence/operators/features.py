@@ -3,29 +3,23 @@
 from __future__ import annotations
 
 from collections.abc import Iterable, Sequence
-from functools import lru_cache, reduce
+from functools import reduce
 
-from pyspark.ml.feature import StopWordsRemover
 from pyspark.ml.linalg import VectorUDT
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from credence.functions.stopwords import ENGLISH
 from credence.functions.text import term_counts
 from credence.schema import MAX_DF, MAX_FEATURES, MIN_DF
 from credence.session import stage
 
 
-@lru_cache
-def default_stop_words() -> tuple[str, ...]:
-    """Spark's English list; every operator takes another list as ``stop_words``."""
-    return tuple(StopWordsRemover.loadDefaultStopWords("english"))
-
-
 def explode_terms(docs: DataFrame, keep: Sequence[str], input_col: str = "input",
                   stop_words: Iterable[str] | None = None) -> DataFrame:
     """One row per document and distinct term: ``keep`` + term, tf (both null for an empty text)."""
-    stop = default_stop_words() if stop_words is None else stop_words
+    stop = ENGLISH if stop_words is None else stop_words
     counted = docs.select(*keep, F.explode_outer(term_counts(input_col, stop)).alias("_t"))
     return counted.select(*keep, F.col("_t.term").alias("term"), F.col("_t.tf").alias("tf"))
 
