@@ -286,7 +286,7 @@ def build() -> dict[str, str]:
       round(1 - p, 4) AS p_reliable, round(p, 4) AS p_unreliable FROM verdicts"""
     explain = "WITH " + EXPLAIN
     q["nb_explain_topk"] = explain + "\nSELECT id, route, rank, term, weight, direction FROM listed"
-    q["term_strength"] = explain + "\nSELECT id, term, round(abs(weight) / greatest(max(abs(weight)) OVER (PARTITION BY id), 1e-9::DOUBLE), 2) AS strength FROM listed"
+    q["term_strength"] = explain + "\nSELECT id, term, round(abs(weight) / greatest(max(abs(weight)) OVER (PARTITION BY id), 1e-9::DOUBLE), 9) AS strength FROM listed"
     q["feed_terms"] = explain + f"""\nSELECT id, {LABEL} AS label, k - 1 AS rank, {pretty('term')} AS term FROM listed JOIN verdicts USING (id)
       WHERE k <= 4 AND direction = {LABEL}"""
     q["pretty_terms"] = fit + f"SELECT term, {pretty('term')} AS shown FROM nb WHERE regexp_matches(term, '(^| )(spk|subj)_')"

@@ -352,7 +352,7 @@ def nb_explain_topk(spark, sf_dir):
 
 @query
 def term_strength(spark, sf_dir):
-    return _explained(spark, sf_dir).select("id", "term", F.round("strength", 2).alias("strength"))
+    return _explained(spark, sf_dir).select("id", "term", F.round("strength", 9).alias("strength"))
 
 
 @query

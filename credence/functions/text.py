@@ -13,6 +13,10 @@ from credence.schema import CLAIM_MAX_WORDS, LABELS, MAX_CHARS, META_FIELDS, MET
 # Unicode whitespace as a regex class body; Java's own \s is ASCII only.
 WS = r"\s\x1c-\x1f\x85\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 
+# The same characters as a plain string.
+WS_CHARS = "".join(map(chr, [*range(0x09, 0x0e), *range(0x1c, 0x21), 0x85, 0xa0, 0x1680, *range(0x2000, 0x200b),
+                             0x2028, 0x2029, 0x202f, 0x205f, 0x3000]))
+
 
 def _col(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
@@ -24,17 +28,31 @@ def blank_null(c: Column | str) -> Column:
 
 def strip(c: Column | str) -> Column:
     """Null to '', otherwise without leading and trailing Unicode whitespace."""
-    return F.regexp_replace(blank_null(c), f"^[{WS}]+|[{WS}]+$", "")
+    return F.btrim(blank_null(c), F.lit(WS_CHARS))
+
+
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body(value)`` with ``value`` computed once per row.
+
+    An expression that is named several times may be computed several times, per element if a lambda
+    names it; a lambda variable is bound to its value.
+    """
+    return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
 def clean_text(c: Column | str) -> Column:
-    """Lower case, no URLs, no tags, only ``[a-z0-9]`` words with inner apostrophes, single spaces."""
-    t = F.lower(blank_null(c))
-    t = F.regexp_replace(t, rf"https?://[^{WS}]+|www\.[^{WS}]+", " ")
-    t = F.regexp_replace(t, "<[^>]+>", " ")
-    t = F.regexp_replace(t, "[^a-z0-9']+", " ")
-    t = F.regexp_replace(t, r"(?<!\w)'|'(?!\w)", " ")
-    return F.trim(F.regexp_replace(t, " +", " "))
+    """Lower case, no URLs, no tags, only ``[a-z0-9]`` words with inner apostrophes, single spaces.
+
+    URLs and tags are looked for by regex only in texts that hold their first characters. The words
+    are then extracted and joined: one pass, several times faster than replacing all that is between.
+    """
+    def when_it_has(marks: list[str], step: Callable[[Column], Column]) -> Callable[[Column], Column]:
+        return lambda t: F.when(reduce(lambda a, b: a | b, [F.contains(t, F.lit(m)) for m in marks]), step(t)).otherwise(t)
+
+    no_urls = when_it_has(["http", "www."], lambda t: F.regexp_replace(t, rf"(?:https?://|www\.)[^{WS}]+", " "))
+    no_tags = when_it_has(["<"], lambda t: F.regexp_replace(t, "<[^>]+>", " "))
+    t = let(let(F.lower(blank_null(c)), no_urls), no_tags)
+    return F.array_join(F.regexp_extract_all(t, F.lit("[a-z0-9]+(?:'[a-z0-9]+)*"), F.lit(0)), " ")
 
 
 def model_input(title: Column | str, text: Column | str) -> Column:
@@ -89,15 +107,6 @@ def tokens(c: Column | str, stop_words: Iterable[str]) -> Column:
     return F.filter(words, lambda w: ~w.isin(stop)) if stop else words
 
 
-def let(value: Column, body: Callable[[Column], Column]) -> Column:
-    """``body(value)`` with ``value`` computed once per row.
-
-    A lambda that names an outer column computes it again per element once the optimizer has
-    inlined that column; a lambda variable is bound to its value.
-    """
-    return F.get(F.transform(F.array(value), body), F.lit(0))
-
-
 def _tail(a: Column) -> Column:
     return F.slice(a, 2, F.greatest(F.size(a) - 1, F.lit(0)))
 

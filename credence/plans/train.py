@@ -34,17 +34,18 @@ def input_for(route: Column) -> Column:
 
 
 def prepare_training(articles: DataFrame, route_of_source: dict[str, str] | None = None) -> DataFrame:
-    """(id, source, label, route by rule, fit_route by source, base, meta); rows with an empty text drop out.
+    """Staged (id, source, label, route by rule, fit_route by source, base, meta) without empty texts.
 
-    ``base`` is the article input; the claim input adds ``meta``.
+    ``base`` is the article input; the claim input adds ``meta``. The filter on the cleaned text
+    follows the staging: before it, the optimizer would clean each text twice.
     """
-    return (
+    rows = (
         with_defaults(articles).where("label IS NOT NULL")
         .select("id", "source", F.col("label").cast("int").alias("label"), route_for().alias("route"),
                 source_route(route_of_source or ROUTE_OF_SOURCE).alias("fit_route"),
                 F.substring(model_input("title", "text"), 1, MAX_CHARS).alias("base"),
-                meta_tokens().alias("meta"))
-        .where(F.length("base") > 0))
+                meta_tokens().alias("meta")))
+    return stage(rows, "prepared").where("base <> ''")
 
 
 @dataclass
@@ -77,7 +78,7 @@ def fit_features(articles: DataFrame, route_of_source: dict[str, str] | None = N
     """Split, vocabulary and training vectors; ``articles`` have unique ids (see ``keep_last``)."""
     routes = route_of_source or ROUTE_OF_SOURCE
     stop = None if stop_words is None else tuple(stop_words)
-    prepared = stage(prepare_training(articles, routes), "prepared")
+    prepared = prepare_training(articles, routes)
     rows = stratified_split(prepared, test_size=test_size, seed=seed)
     train = rows.where(~F.col("is_test") & F.col("fit_route").isNotNull()).select(
         "id", "label", F.col("fit_route").alias("route"), input_for(F.col("fit_route")).alias("input"))

@@ -13,7 +13,17 @@ SOURCES = ["article", "claim", "page", "conversation", "benchmark"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
+
+
+def spread(scan: DataFrame) -> DataFrame:
+    """Give every core a share of a table whose files make fewer splits than there are cores.
+
+    Text work costs far more than moving a small table once. A table with enough splits, that is any
+    large one, is left alone.
+    """
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    return scan if scan.rdd.getNumPartitions() >= cores else scan.repartition(cores, scan.columns[0])
 
 
 def labelled_articles(spark: SparkSession, sf_dir: str, labelled_only: bool = True) -> DataFrame:
