@@ -17,10 +17,17 @@ from credence.session import stage
 
 
 def explode_terms(docs: DataFrame, keep: Sequence[str], input_col: str = "input",
-                  stop_words: Iterable[str] | None = None) -> DataFrame:
-    """One row per document and distinct term: ``keep`` + term, tf (both null for an empty text)."""
+                  stop_words: Iterable[str] | None = None, mark: bool = False) -> DataFrame:
+    """One row per document and distinct term: ``keep`` + term, tf.
+
+    With ``mark`` each document gets one more row, with a null term, that no filter on terms removes.
+    """
     stop = ENGLISH if stop_words is None else stop_words
-    counted = docs.select(*keep, F.explode_outer(term_counts(input_col, stop)).alias("_t"))
+    terms = term_counts(input_col, stop)
+    if mark:
+        terms = F.concat(F.array(F.lit(None).cast("struct<term:string,tf:int>")), terms)
+    # The outer form on purpose: for the inner one the optimizer adds a filter that counts the terms again.
+    counted = docs.select(*keep, F.explode_outer(terms).alias("_t"))
     return counted.select(*keep, F.col("_t.term").alias("term"), F.col("_t.tf").alias("tf"))
 
 
@@ -79,15 +86,29 @@ def fit_vocabulary(docs: DataFrame, max_features: int = MAX_FEATURES, min_df: di
         "vocabulary")
 
 
+BROADCAST_BYTES = 256 * 1024 * 1024
+
+
+def sized(table: DataFrame, limit: int = BROADCAST_BYTES) -> DataFrame:
+    """The term table, marked for broadcast if its measured size allows.
+
+    It has at most ``max_features`` rows per route, but terms may be long, so their bytes are added up
+    (with 100 for the numbers and the overhead of a row). Beyond the limit the planner chooses the join.
+    """
+    size = table.agg(F.sum(F.octet_length("term") + 100).alias("b")).first()["b"] or 0
+    return F.broadcast(table) if size <= limit else table
+
+
 def weighted_terms(docs: DataFrame, keep: Sequence[str], table: DataFrame,
                    stop_words: Iterable[str] | None = None) -> DataFrame:
-    """Exploded terms joined with a term table on (route, term), plus ``x`` = tf-idf before the norm.
+    """The known terms of each document, from a term table on (route, term), with ``x`` = tf-idf before
+    the norm; and one row with a null ``x`` per document, so that those without a known term survive.
 
-    A left join: documents without a known term keep one row with a null ``x``. The term table holds
-    at most ``max_features`` terms per route; the planner broadcasts it when its size allows.
+    With a broadcast term table unknown terms, the majority, are gone before anything is regrouped.
     """
-    return (explode_terms(docs, [*keep, "route"], stop_words=stop_words)
-            .join(table, ["route", "term"], "left")
+    return (explode_terms(docs, [*keep, "route"], stop_words=stop_words, mark=True)
+            .join(sized(table), ["route", "term"], "left")
+            .where("idf IS NOT NULL OR term IS NULL")
             .withColumn("x", sublinear_tf("tf") * F.col("idf")))
 
 

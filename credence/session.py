@@ -4,6 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.types import StructType
@@ -39,8 +42,30 @@ def staging_root(spark: SparkSession) -> str:
     return root
 
 
+_open: ContextVar[list[str] | None] = ContextVar("staged", default=None)
+
+
 def stage_path(spark: SparkSession, name: str) -> str:
-    return f"{staging_root(spark)}/{name}-{uuid.uuid4().hex}"
+    path = f"{staging_root(spark)}/{name}-{uuid.uuid4().hex}"
+    if _open.get() is not None:
+        _open.get().append(path)
+    return path
+
+
+@contextmanager
+def short_lived(spark: SparkSession) -> Iterator[None]:
+    """Staged tables made inside the block are removed at its end: for work that repeats, such as
+    micro-batches. Results must be written elsewhere before that."""
+    paths: list[str] = []
+    token = _open.set(paths)
+    try:
+        yield
+    finally:
+        _open.reset(token)
+        conf = spark.sparkContext._jsc.hadoopConfiguration()
+        for p in paths:
+            path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(p)
+            path.getFileSystem(conf).delete(path, True)
 
 
 def stage(df: DataFrame, name: str, read_as: StructType | None = None) -> DataFrame:

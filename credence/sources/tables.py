@@ -20,10 +20,10 @@ def spread(scan: DataFrame) -> DataFrame:
     """Give every core a share of a table whose files make fewer splits than there are cores.
 
     Text work costs far more than moving a small table once. A table with enough splits, that is any
-    large one, is left alone.
+    large one, is left alone. Rows are dealt out evenly, not by a key that might be skewed.
     """
     cores = scan.sparkSession.sparkContext.defaultParallelism
-    return scan if scan.rdd.getNumPartitions() >= cores else scan.repartition(cores, scan.columns[0])
+    return scan if scan.rdd.getNumPartitions() >= cores else scan.repartition(cores)
 
 
 def labelled_articles(spark: SparkSession, sf_dir: str, labelled_only: bool = True) -> DataFrame:

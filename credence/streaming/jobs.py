@@ -11,7 +11,7 @@ from pyspark.sql.streaming import StreamingQuery
 from credence.operators.models import CredibilityModel, require_model, score
 from credence.plans.registry import reload_if_changed
 from credence.plans.report import window_rates
-from credence.session import stage
+from credence.session import short_lived, stage
 
 FLUSH = "15 seconds"
 ARCHIVE = "10 seconds"
@@ -47,11 +47,12 @@ def score_stream(stream: DataFrame, registry: list[str], archive: str, checkpoin
     def handle(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
         current[0] = require_model(reload_if_changed(current[0], spark, *registry))
-        predictions = stage(score(batch, current[0]), "predictions")     # two sinks, scored once
-        if publish:
-            publish(predictions)
-        (predictions.withColumn("dt", F.to_date("scored_at"))
-         .write.mode("overwrite").partitionBy("dt").json(f"{archive}/batch={number}"))
+        with short_lived(spark):
+            predictions = stage(score(batch, current[0]), "predictions")     # two sinks, scored once
+            if publish:
+                publish(predictions)
+            (predictions.withColumn("dt", F.to_date("scored_at"))
+             .write.mode("overwrite").partitionBy("dt").json(f"{archive}/batch={number}"))
 
     return (stream.writeStream.foreachBatch(handle).option("checkpointLocation", checkpoint)
             .trigger(**_trigger(until_idle, interval)).queryName("score-incoming").start())
