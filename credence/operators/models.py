@@ -104,10 +104,11 @@ def lr_fit(vectors: DataFrame, route: str, n_features: int, n: int, n0: int, n1:
     The intercept is the weight of a constant feature. ML drops a constant column, so features and
     label are negated on about half of the rows (by a hash of the key): the loss is the same, the
     column becomes +1/-1 and the optimum is the penalised-intercept one. Balanced weights add up to
-    n, hence regParam = 1 / (C * n).
+    n, hence regParam = 1 / (C * n). Every task returns a dense gradient, so a small training set is
+    read by few tasks: each should have several times more entries than there are features.
     """
     mine = vectors.where(F.col("route") == route)
-    flip = _flip(mine, key)
+    flip, entries = _flip(mine, key)
     sign = F.when(flip, -1.0).otherwise(1.0)
     rows = mine.select(
         F.when(F.col("label") == 1, n / (2 * n1)).otherwise(n / (2 * n0)).alias("w"),
@@ -119,23 +120,27 @@ def lr_fit(vectors: DataFrame, route: str, n_features: int, n: int, n0: int, n1:
     data = stage(rows, f"lr-{route}", read_as=ml_schema(rows.schema, "features"))
     fitted = LogisticRegression(
         featuresCol="features", labelCol="y", weightCol="w", regParam=1.0 / (c * n), elasticNetParam=0.0,
-        standardization=False, fitIntercept=False, maxIter=max_iter, tol=tol, family="binomial").fit(data)
+        standardization=False, fitIntercept=False, maxIter=max_iter, tol=tol, family="binomial",
+    ).fit(data.coalesce(max(1, entries // (8 * n_features))))
     weights = fitted.coefficients.toArray().tolist()      # at most max_features + 1 numbers
     return weights[:-1], weights[-1]
 
 
-def _flip(rows: DataFrame, key: str, tries: int = 32) -> Column:
-    """The first hash seed whose flips give both signs and both labels (matters on tiny inputs only)."""
+def _flip(rows: DataFrame, key: str, tries: int = 32) -> tuple[Column, int]:
+    """(whether a row is negated, number of vector entries).
+
+    Uses the first hash seed whose flips give both signs and both labels; matters on tiny inputs only.
+    """
     def parity(seed: int) -> Column:
         return F.pmod(F.xxhash64(F.col(key), F.lit(seed)), F.lit(2)) == 1
     checks = []
     for s in range(tries):
         y = F.when(parity(s), 1 - F.col("label")).otherwise(F.col("label"))
         checks += [F.count_if(parity(s)).alias(f"f{s}"), F.sum(y).alias(f"y{s}")]
-    found = rows.agg(F.count("*").alias("n"), *checks).first()
+    found = rows.agg(F.count("*").alias("n"), F.sum(F.size("indices")).alias("entries"), *checks).first()
     for s in range(tries):
         if 0 < found[f"f{s}"] < found["n"] and 0 < found[f"y{s}"] < found["n"]:
-            return parity(s)
+            return parity(s), found["entries"]
     raise ValueError("too few rows to fit logistic regression")
 
 
