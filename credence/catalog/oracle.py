@@ -90,7 +90,7 @@ prep AS (SELECT * FROM prep0 WHERE length(base) > 0)"""
 
 
 def input_for(route: str) -> str:
-    return f"trim(concat_ws(' ', base, CASE WHEN {route} = 'claim' THEN meta END))"
+    return f"CASE WHEN {route} = 'claim' AND meta <> '' THEN trim(base || ' ' || meta) ELSE base END"
 
 
 def quotas(rows: str) -> str:

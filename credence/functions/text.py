@@ -96,8 +96,12 @@ def prepare(route: Column | str, title: Column | str = "title", text: Column | s
             max_chars: int = MAX_CHARS) -> Column:
     """Model input of a row under ``route``; claims get their metadata tokens after the cut."""
     base = F.substring(model_input(title, text), 1, max_chars)
-    tokens = F.when(_col(route) == "claim", meta_tokens()).otherwise("")
-    return F.trim(F.concat_ws(" ", base, tokens))
+    return with_meta(base, meta_tokens(), _col(route))
+
+
+def with_meta(base: Column, meta: Column, route: Column) -> Column:
+    """The prepared text of a claim with its metadata tokens; any other text as it is."""
+    return let(base, lambda t: F.when((route == "claim") & (meta != ""), F.trim(F.concat(t, F.lit(" "), meta))).otherwise(t))
 
 
 def tokens(c: Column | str, stop_words: Iterable[str]) -> Column:

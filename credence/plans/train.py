@@ -11,7 +11,7 @@ from time import monotonic
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from credence.functions.text import meta_tokens, model_input, route_for
+from credence.functions.text import meta_tokens, model_input, route_for, with_meta
 from credence.operators.evaluate import best_model, evaluate, routing_accuracy
 from credence.operators.features import document_vectors, fit_vocabulary
 from credence.operators.models import (CredibilityModel, class_counts, known_route, lr_weights, nb_bias, nb_weights,
@@ -30,7 +30,7 @@ def source_route(route_of_source: dict[str, str]) -> Column:
 
 
 def input_for(route: Column) -> Column:
-    return F.trim(F.concat_ws(" ", F.col("base"), F.when(route == "claim", F.col("meta"))))
+    return with_meta(F.col("base"), F.col("meta"), route)
 
 
 def prepare_training(articles: DataFrame, route_of_source: dict[str, str] | None = None) -> DataFrame:
