@@ -2,7 +2,61 @@
 
 from __future__ import annotations
 
-SQL: dict[str, str] = {}
+LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+DECONTAMINATION = rf"""
+WITH item AS (
+  SELECT CAST(item_id AS VARCHAR) AS item_id, regexp_extract_all({LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
+sized AS (SELECT item_id, w, least(len(w), 10) AS m FROM item WHERE len(w) > 0),
+windows AS (
+  SELECT DISTINCT item_id, m, array_to_string(w[i:i + m - 1], ' ') AS s
+  FROM (SELECT item_id, w, m, unnest(range(1, len(w) - m + 2)) AS i FROM sized)),
+doc AS (SELECT doc_id, regexp_extract_all({LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+places AS (
+  SELECT doc_id, m, i, array_to_string(w[i:i + m - 1], ' ') AS s
+  FROM (SELECT doc_id, w, m, unnest(range(1, len(w) - m + 2)) AS i FROM doc, (SELECT DISTINCT m FROM windows) WHERE len(w) >= m)),
+found AS (SELECT doc_id, i, m, item_id FROM places JOIN windows USING (m, s)),
+hit AS (SELECT doc_id, count(DISTINCT place) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + m)) AS place FROM (SELECT DISTINCT doc_id, i, m FROM found)) GROUP BY 1),
+items AS (
+  SELECT doc_id, count(*) AS n_items, sha256(string_agg(item_id, ',' ORDER BY item_id)) AS h
+  FROM (SELECT DISTINCT doc_id, item_id FROM found) GROUP BY 1)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit, CAST(coalesce(n_items, 0) AS BIGINT) AS n_items,
+       coalesce(h, sha256('')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM doc LEFT JOIN hit USING (doc_id) LEFT JOIN items USING (doc_id)
+"""
+
+TOP_K = """
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: floor(64 * CAST(x AS DOUBLE))) AS q FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+scored AS (
+  SELECT a.vec_id AS query_id, b.vec_id, CAST(list_sum(list_transform(list_zip(a.q, b.q), lambda p: p[1] * p[2])) AS BIGINT) AS score
+  FROM v a JOIN v b ON a.vec_id <> b.vec_id WHERE a.vec_id % 20 = 0),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS n FROM scored)
+SELECT query_id, CAST(n AS INTEGER) AS rank, vec_id, score FROM ranked WHERE n <= 20
+"""
+
+JACCARD = rf"""
+WITH RECURSIVE doc AS (SELECT doc_id, regexp_extract_all({LOWER}, '[^\x20\x09-\x0D]+') AS w FROM documents),
+sets AS (
+  SELECT doc_id, list_distinct(list_transform(range(1, len(w) - least(len(w), 4) + 2), lambda i: array_to_string(w[i:i + least(len(w), 4) - 1], ' '))) AS s
+  FROM doc WHERE len(w) > 0),
+classes AS (SELECT min(doc_id) AS rep, list_sort(s) AS s, len(s) AS n FROM sets GROUP BY list_sort(s), len(s)),
+shingle AS (SELECT rep, n, unnest(s) AS g FROM classes),
+shared AS (SELECT * FROM shingle WHERE g IN (SELECT g FROM shingle GROUP BY g HAVING count(*) > 1)),
+overlap AS (
+  SELECT a.rep AS a, b.rep AS b, a.n AS na, b.n AS nb, count(*) AS i
+  FROM shared a JOIN shared b ON a.g = b.g AND a.rep < b.rep AND 100 * least(a.n, b.n) >= 85 * greatest(a.n, b.n) GROUP BY ALL),
+link AS (SELECT a, b FROM overlap WHERE 100 * i >= 85 * (na + nb - i)),
+edge AS (SELECT a, b FROM link UNION SELECT b, a FROM link),
+reach AS (SELECT rep AS a, rep AS b FROM classes UNION SELECT r.a, e.b FROM reach r JOIN edge e ON r.b = e.a),
+head AS (SELECT a AS rep, min(b) AS component_id FROM reach GROUP BY 1),
+member AS (SELECT sets.doc_id, c.rep, c.n FROM sets JOIN classes c ON list_sort(sets.s) = c.s)
+SELECT d.doc_id, CAST(coalesce(m.n, 0) AS BIGINT) AS n_shingles, coalesce(h.component_id, d.doc_id) AS component_id
+FROM doc d LEFT JOIN member m USING (doc_id) LEFT JOIN head h ON h.rep = m.rep
+"""
+
+SQL = {"op3_decontamination": DECONTAMINATION, "op9_exact_topk": TOP_K, "op10_ngram_jaccard": JACCARD}
 
 
 def build() -> dict[str, str]:

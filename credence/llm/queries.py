@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from credence.llm import binary_output, packing, token_counts
+from credence.llm import binary_output, decontaminate, html_extract, jaccard, lang_id, packing, token_counts, topk, toxicity, url_filter
 from credence.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -17,11 +17,36 @@ def query(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession
     return f
 
 
+@query
+def op1_language_id(spark, sf_dir):
+    return lang_id.identify(table(spark, sf_dir, "documents"))
+
+
 @query
 def op2_token_counts(spark, sf_dir):
     return token_counts.token_counts(table(spark, sf_dir, "documents"))
 
 
+@query
+def op3_decontamination(spark, sf_dir):
+    return decontaminate.digest(decontaminate.find(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")))
+
+
+@query
+def op4_html_extraction(spark, sf_dir):
+    return html_extract.extract(table(spark, sf_dir, "pages"))
+
+
+@query
+def op5_url_filter(spark, sf_dir):
+    return url_filter.judge(table(spark, sf_dir, "pages"))
+
+
+@query
+def op6_toxicity(spark, sf_dir):
+    return toxicity.rate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 @query
 def op7_token_id_output(spark, sf_dir):
     return binary_output.digests(table(spark, sf_dir, "documents").select("doc_id", "text"))
@@ -30,3 +55,13 @@ def op7_token_id_output(spark, sf_dir):
 @query
 def op8_packing(spark, sf_dir):
     return packing.pack(table(spark, sf_dir, "documents"))
+
+
+@query
+def op9_exact_topk(spark, sf_dir):
+    return topk.top_k(table(spark, sf_dir, "embeddings"))
+
+
+@query
+def op10_ngram_jaccard(spark, sf_dir):
+    return jaccard.join(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
