@@ -68,6 +68,17 @@ def map_texts(df: DataFrame, key: Column, text: Column, work: Callable[[Iterator
     return map_rows(df.select(key.alias("k"), text.alias("t")), rows, out, batch)
 
 
+def filter_rows(df: DataFrame, text: str, prepare: Callable[[], Callable[[list[str | None]], list[bool]]]) -> DataFrame:
+    """Rows, with all their columns as they are, whose text is accepted by what ``prepare`` returns in each task."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keep = prepare()
+        for b in batches:
+            yield b.filter(pa.array(keep(b.column(place).to_pylist()), pa.bool_()))
+
+    place = df.columns.index(text)
+    return df.mapInArrow(run, df.schema)
+
+
 def batches_by_bytes(pairs: Iterable[tuple[Any, str | None]], limit: int) -> Iterator[list[tuple[Any, str]]]:
     """Runs of pairs whose texts (null: empty) have about ``limit`` characters together; a longer text is a run alone."""
     run: list[tuple[Any, str]] = []

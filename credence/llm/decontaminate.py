@@ -9,13 +9,13 @@ comparing them word by word confirms an occurrence.
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from credence.llm.common import map_rows
+from credence.llm.common import filter_rows, map_rows
 
 WINDOW = 10
 BLOCK = 2
@@ -131,6 +131,20 @@ def find(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str =
     return found.select(F.col("k").alias(key), F.col("n").alias("n_words"), "hits", "items")
 
 
+def clean(docs: DataFrame, benchmark: DataFrame, text: str = "text", item: str = "item_id", item_text: str = "text",
+          window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """The rows in which no window of the benchmark occurs, as they are."""
+    for run in blocks(benchmark, item, item_text, block_bytes):
+        shared = docs.sparkSession.sparkContext.broadcast(run)
+
+        def prepare(shared=shared) -> Callable[[list[str | None]], list[bool]]:
+            tables = build(shared.value, window)
+            return lambda texts: [not any(next(p.search(w), None) for p in tables) for w in map(words, texts)]
+
+        docs = filter_rows(docs, text, prepare)
+    return docs
+
+
 def merged(ranges: list[tuple[int, int]]) -> list[list[int]]:
     out: list[list[int]] = []
     for a, b in sorted(ranges):

@@ -15,7 +15,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from credence.llm.common import crc32_mod, map_rows, map_texts
+from credence.llm.common import crc32_mod, filter_rows, map_rows, map_texts
 
 DIMENSIONS = 512
 SYMBOLS = 64            # 0 is whatever is no letter, 1 to 26 are a to z, the rest share the other letters
@@ -150,6 +150,20 @@ def learn(docs: DataFrame, lang: str = "lang", text: str = "text", dimensions: i
     return Profiles([n for n, _ in found], (vectors / np.where(norms > 0, norms, 1)).astype(np.float32), dimensions, seed)
 
 
+def judge(text: str | None, profiles: Profiles) -> tuple[str, float]:
+    """(language, score) of one text."""
+    s = space(profiles.dimensions, profiles.seed)
+    codes, n = s.counts(text or "")
+    if not len(codes) or not profiles.languages:
+        return UNKNOWN, 0.0
+    v = np.zeros(profiles.dimensions, dtype=np.float32)
+    for i in range(0, len(codes), 8192):
+        v += n[i:i + 8192].astype(np.float32) @ s.vectors(codes[i:i + 8192])
+    cosines = profiles.prototypes @ (v / max(float(np.linalg.norm(v)), 1e-9))
+    best = int(cosines.argmax())
+    return profiles.languages[best], float(min(max(cosines[best], 0.0), 1.0))
+
+
 def predict(docs: DataFrame, profiles: Profiles, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Per row: key, lang_pred, score (the cosine, 0 at least). Only the text decides.
 
@@ -157,23 +171,18 @@ def predict(docs: DataFrame, profiles: Profiles, key: str = "doc_id", text: str
     alphabetically first language. Null and repeated keys are rows of their own; other columns are not read.
     """
     def work(pairs: Iterator[tuple[Any, str | None]]) -> Iterable[tuple]:
-        s = space(profiles.dimensions, profiles.seed)
         for k, t in pairs:
-            codes, n = s.counts(t or "")
-            if not len(codes) or not profiles.languages:
-                yield k, UNKNOWN, 0.0
-                continue
-            v = np.zeros(profiles.dimensions, dtype=np.float32)
-            for i in range(0, len(codes), 8192):
-                v += n[i:i + 8192].astype(np.float32) @ s.vectors(codes[i:i + 8192])
-            cosines = profiles.prototypes @ (v / max(float(np.linalg.norm(v)), 1e-9))
-            best = int(cosines.argmax())
-            yield k, profiles.languages[best], float(min(max(cosines[best], 0.0), 1.0))
+            yield k, *judge(t, profiles)
 
     kind = docs.schema[key].dataType.simpleString()
     return map_texts(docs, F.col(key), F.col(text), work, f"k {kind}, lang_pred string, score double").withColumnRenamed("k", key)
 
 
+def identified(docs: DataFrame, profiles: Profiles, text: str = "text") -> DataFrame:
+    """The rows that get a language, as they are; null texts and those without letters go."""
+    return filter_rows(docs, text, lambda: lambda texts: [judge(t, profiles)[0] != UNKNOWN for t in texts])
+
+
 def held_out(key: Column | str) -> Column:
     """Rows that are never learned from; a null key is not held out."""
     return F.coalesce(crc32_mod(key, FOLDS) == HELD_OUT, F.lit(False))

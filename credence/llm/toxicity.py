@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from credence.llm.common import crc32_mod, map_texts, schema
+from credence.llm.common import batches_by_bytes, crc32_mod, filter_rows, map_texts, schema
 from credence.session import stage
 
 BITS = 20
@@ -32,6 +32,7 @@ FOLDS, HELD_OUT = 5, 0
 THRESHOLD = 0.5
 SLICE = 1 << 20
 MEMO = 400_000
+BATCH_CHARS = 2_000_000
 
 _separators = bytes(c if chr(c).isalnum() and c < 128 or c >= 128 else 32 for c in range(256))
 _memo: dict[str, int] = {}
@@ -145,42 +146,51 @@ def learn(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
     return stage(rows.repartition(1).mapInArrow(fit, schema("hash int, weights array<float>")), "toxicity-model")
 
 
+def table_of(model: DataFrame, factors: int) -> np.ndarray:
+    """Weights by hash, zeros for what was not learned: 2^20 rows."""
+    found = model.toPandas()
+    dense = np.zeros((1 << BITS, 1 + factors), dtype=np.float32)
+    if len(found):
+        dense[found["hash"].to_numpy()] = np.stack(found["weights"].to_numpy())
+    return dense
+
+
+def probabilities(weights: np.ndarray, texts: list[str]) -> np.ndarray:
+    ids = [term_ids(t) for t in texts]
+    sizes = np.array([len(x) for x in ids])
+    z, _ = machine(weights, np.concatenate(ids), np.cumsum(sizes) - sizes)
+    return 1 / (1 + np.exp(-np.clip(z.astype(np.float64), -30, 30)))
+
+
 def score(docs: DataFrame, model: DataFrame, key: str = "doc_id", text: str = "text", factors: int = FACTORS) -> DataFrame:
     """Per row: key, score, predicted. The model, 2^20 hashes at most, goes to the tasks as one broadcast.
 
     A null text is an empty one, which scores the bias. Null and repeated keys are rows of their own; other
     columns are not read.
     """
-    found = model.toPandas()
-    dense = np.zeros((1 << BITS, 1 + factors), dtype=np.float32)
-    if len(found):
-        dense[found["hash"].to_numpy()] = np.stack(found["weights"].to_numpy())
-    shared = docs.sparkSession.sparkContext.broadcast(dense)
+    shared = docs.sparkSession.sparkContext.broadcast(table_of(model, factors))
 
     def work(pairs: Iterator[tuple[Any, str | None]]) -> Iterable[tuple]:
-        run: list[Any] = []
-        ids: list[np.ndarray] = []
-
-        def flush() -> Iterator[tuple]:
-            sizes = np.array([len(x) for x in ids])
-            z, _ = machine(shared.value, np.concatenate(ids), np.cumsum(sizes) - sizes)
-            p = 1 / (1 + np.exp(-np.clip(z.astype(np.float64), -30, 30)))
-            for k, x in zip(run, p.tolist()):
+        for run in batches_by_bytes(pairs, BATCH_CHARS):
+            p = probabilities(shared.value, [t for _, t in run])
+            for (k, _), x in zip(run, p.tolist()):
                 yield k, x, int(x >= THRESHOLD)
 
-        for k, t in pairs:
-            run.append(k)
-            ids.append(term_ids(t or ""))
-            if len(run) == 512:
-                yield from flush()
-                run, ids = [], []
-        if run:
-            yield from flush()
-
     kind = docs.schema[key].dataType.simpleString()
     return map_texts(docs, F.col(key), F.col(text), work, f"k {kind}, score double, predicted int").withColumnRenamed("k", key)
 
 
+def harmless(docs: DataFrame, model: DataFrame, text: str = "text", factors: int = FACTORS) -> DataFrame:
+    """The rows that score below ``THRESHOLD``, as they are."""
+    shared = docs.sparkSession.sparkContext.broadcast(table_of(model, factors))
+
+    def keep(texts: list[str | None]) -> list[bool]:
+        return [bool(p < THRESHOLD) for run in batches_by_bytes(((None, t) for t in texts), BATCH_CHARS)
+                for p in probabilities(shared.value, [t for _, t in run])]
+
+    return filter_rows(docs, text, lambda: keep)
+
+
 def held_out(key: Column | str) -> Column:
     """Rows that are never learned from; a null key is not held out."""
     return F.coalesce(crc32_mod(key, FOLDS) == HELD_OUT, F.lit(False))
