@@ -37,7 +37,7 @@ def pieces(text: str) -> list[str]:
     return text.replace(" ", "\0 ").replace("\n", "\0\n").split("\0")
 
 
-def segments(text: str, limit: int = SEGMENT) -> list[str]:
+def segments(text: str, limit: int) -> list[str]:
     """The text in order, cut at the first safe boundary after each ``limit`` characters; whole where there is none."""
     out, start = [], 0
     while len(text) - start > limit and (m := _boundary.search(text, start + limit)):
@@ -95,7 +95,7 @@ class PieceEncoder:
 
     def encode(self, texts: list[str]) -> list[bytes]:
         if any(len(t) > SEGMENT for t in texts):
-            return [b"".join(self._encode([part])[0] for part in segments(t)) for t in texts]
+            return [b"".join(self._encode([part])[0] for part in segments(t, SEGMENT)) for t in texts]
         return self._encode(texts)
 
     def _encode(self, texts: list[str]) -> list[bytes]:

@@ -17,10 +17,10 @@ from pyspark.sql import functions as F
 
 from credence.llm.common import crc32_mod, filter_rows, map_rows, map_texts
 
-DIMENSIONS = 512
+DIMENSIONS = 1024
 SYMBOLS = 64            # 0 is whatever is no letter, 1 to 26 are a to z, the rest share the other letters
 SLICE = 1 << 20         # characters of a text in memory as symbols at a time
-MEMORY_ROWS = 1 << 16   # n-gram vectors that a worker keeps
+MEMORY_ROWS = 1 << 15   # n-gram vectors that a worker keeps
 MAX_LANGUAGES = 10_000
 UNKNOWN = "und"
 FOLDS, HELD_OUT = 4, 2

@@ -29,7 +29,6 @@ SEEDS = 4096             # candidates that give every query a first lower bound
 QUERY_BLOCK = 4096       # queries that are searched for in one pass
 PARTITION_ROWS = 1 << 16
 ANNULUS = 512            # candidates
-KEEP = 4096              # scores that a query gathers before they are cut to k
 
 
 def vectors_of(values: pa.Array, dims: int) -> np.ndarray:
@@ -80,7 +79,7 @@ class Gathered:
     def add(self, scores: np.ndarray, ids: np.ndarray, rows: np.ndarray) -> None:
         self.parts.append((scores, ids, rows))
         self.n += len(scores)
-        if self.n > KEEP:
+        if self.n >= 2 * self.k or self.n >= self.k and self.least == -np.inf:
             self.cut()
 
     def cut(self) -> tuple[np.ndarray, np.ndarray, np.ndarray] | None:
@@ -136,7 +135,11 @@ def quantized(embeddings: DataFrame, key: str = "vec_id", vector: str = "embeddi
     """Staged (row, id, v): floor(scale * x) of every component, for rows that take part."""
     bad = F.exists(vector, lambda x: x.isNull() | F.isnan(x.cast("double")) | (F.abs(x.cast("double")) == float("inf")))
     rows = embeddings.where(F.col(key).isNotNull() & F.col(vector).isNotNull() & ~bad)
-    v = F.transform(vector, lambda x: F.floor(x.cast("double") * scale).cast("double"))
+
+    def floor(y: Column) -> Column:      # beyond 2^53 every number is whole
+        return F.when(F.abs(y) < 2.0 ** 53, F.floor(F.when(F.abs(y) < 2.0 ** 53, y)).cast("double")).otherwise(y)
+
+    v = F.transform(vector, lambda x: floor(x.cast("double") * scale))
     return stage(rows.select(F.monotonically_increasing_id().alias("row"), F.col(key).cast("bigint").alias("id"), v.alias("v")), "quantized")
 
 

@@ -7,6 +7,7 @@ together, and one term change what another says. Terms are the words and their f
 
 from __future__ import annotations
 
+import re
 import zlib
 from collections.abc import Iterable, Iterator
 from typing import Any
@@ -35,15 +36,20 @@ MEMO = 400_000
 BATCH_CHARS = 2_000_000
 
 _separators = bytes(c if chr(c).isalnum() and c < 128 or c >= 128 else 32 for c in range(256))
+_gap = re.compile(r"\s")
 _memo: dict[str, int] = {}
 
 
 def term_ids(text: str) -> np.ndarray:
     """Sorted distinct hashes of the text's words and word beginnings; 0 is in every text, for the bias."""
     words: set[str] = set()
-    for start in range(0, len(text), SLICE):
-        part = text[start:start + SLICE].lower().encode("utf-8", "replace").translate(_separators)
+    start = 0
+    while start < len(text):
+        gap = _gap.search(text, start + SLICE)      # a slice ends between words
+        end = gap.start() if gap else len(text)
+        part = text[start:end].lower().encode("utf-8", "replace").translate(_separators)
         words.update(part.decode("utf-8").split())
+        start = end
     if len(_memo) > MEMO:
         _memo.clear()
     out = {0}
@@ -134,10 +140,10 @@ def learn(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
     rows = rows.groupBy("k").agg(F.max("y").alias("y"), F.max("ids").alias("ids"))
 
     def fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sample = pa.Table.from_batches(list(batches))
-        if not sample.num_rows:
+        found = [b for b in batches if b.num_rows]
+        if not found:
             return
-        sample = sample.combine_chunks().sort_by("k")
+        sample = pa.Table.from_batches(found).combine_chunks().sort_by("k")
         ids = sample["ids"].combine_chunks()
         flat, ends = ids.flatten().to_numpy(), ids.offsets.to_numpy() - ids.offsets[0].as_py()
         hashes, weights = fit_machine([flat[a:b] for a, b in zip(ends, ends[1:])], sample["y"].to_numpy().astype(float))
