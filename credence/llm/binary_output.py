@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterable, Iterator, Sequence
+from itertools import accumulate
 from typing import Any
 
 import numpy as np
@@ -78,32 +79,31 @@ OUT = ("sequence_id bigint, ids binary, cu_seqlens array<int>, position_ids bina
 def pack_rows(docs: DataFrame, key: str, text: str, sequence: int, end_id: int, pad_id: int, tokenizer: str | None,
               run_tokens: int) -> DataFrame:
     path = tokenizer or tokenizer_path()
+    end, pad = (int(i).to_bytes(4, "little") for i in (end_id, pad_id))
+    ramp, zero, width = position_ramp(sequence)
 
-    def packed(run: list[tuple[Any, int, np.ndarray]], first: int) -> Iterator[tuple]:
-        bins = best_fit_decreasing([len(p) for _, _, p in run], sequence)
+    def packed(run: list[tuple[Any, int, bytes]], first: int) -> Iterator[tuple]:
+        bins = best_fit_decreasing([len(p) // 4 for _, _, p in run], sequence)
         members: dict[int, list[int]] = {}
         for i, b in enumerate(bins):
             members.setdefault(b, []).append(i)
         for b in sorted(members):
-            ids = np.full(sequence, pad_id, dtype="<u4")
-            positions = np.zeros(sequence, dtype="<u2" if sequence <= 65_536 else "<u4")
-            ends = [0]
-            for i in members[b]:
-                a, piece = ends[-1], run[i][2]
-                ids[a:a + len(piece)] = piece
-                positions[a:a + len(piece)] = np.arange(len(piece))
-                ends.append(a + len(piece))
-            yield (first + b, ids.tobytes(), ends, positions.tobytes(),
-                   [{key: run[i][0], "start": run[i][1], "length": len(run[i][2])} for i in members[b]])
+            pieces = [run[i] for i in members[b]]
+            lengths = [len(p) // 4 for _, _, p in pieces]
+            ends = [0, *accumulate(lengths)]
+            left = sequence - ends[-1]
+            yield (first + b, b"".join([p for _, _, p in pieces]) + pad * left, ends,
+                   b"".join([ramp[:width * n] for n in lengths]) + zero * left,
+                   [{key: k, "start": start, "length": n} for (k, start, _), n in zip(pieces, lengths)])
 
     def work(pairs: Iterator[tuple[Any, str | None]]) -> Iterable[tuple]:
         first, run, size = TaskContext.get().partitionId() << 33, [], 0
         for texts in batches_by_bytes(pairs, BATCH_CHARS):
-            for (k, _), raw in zip(texts, encoder(path).encode([t for _, t in texts])):
-                ids = np.append(np.frombuffer(raw, dtype="<u4"), np.uint32(end_id))
-                for start in range(0, len(ids), sequence):
-                    run.append((k, start, ids[start:start + sequence]))
-                    size += len(run[-1][2])
+            for (k, _), ids in zip(texts, encoder(path).encode([t for _, t in texts])):
+                ids += end
+                for start in range(0, len(ids), 4 * sequence):
+                    run.append((k, start // 4, ids[start:start + 4 * sequence]))
+                    size += len(run[-1][2]) // 4
                     if size >= run_tokens:
                         yield from packed(run, first)
                         first, run, size = first + len(run), [], 0
@@ -114,6 +114,14 @@ def pack_rows(docs: DataFrame, key: str, text: str, sequence: int, end_id: int,
     return map_texts(docs, F.col(key), F.col(text), work, OUT.format(key=key, kind=kind), batch=256)
 
 
+def position_ramp(sequence: int) -> tuple[bytes, bytes, int]:
+    """(positions 0, 1, 2 ... of a whole sequence, one zero, bytes of a number)."""
+    kind = "<u2" if sequence <= 65_536 else "<u4"
+    ramp = np.arange(sequence, dtype=kind).tobytes()
+    width = len(ramp) // sequence
+    return ramp, bytes(width), width
+
+
 def write_packed(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text", sequence: int = SEQUENCE, end_id: int = END_ID,
                  pad_id: int = PAD_ID, tokenizer: str | None = None, run_tokens: int = RUN_TOKENS) -> None:
     """Writes one row per sequence of ``sequence`` ids as Parquet under ``path`` (a folder all executors reach).
@@ -138,17 +146,17 @@ def digests(docs: DataFrame, sequence: int = SEQUENCE, **options) -> DataFrame:
     path = stage_path(spark, "packed-ids")
     write_packed(docs, path, sequence=sequence, **options)
 
+    ramp, zero, width = position_ramp(sequence)
+
     def rows(source: Iterator[dict]) -> Iterable[tuple]:
         for r in source:
             ends = r["cu_seqlens"]
-            expected = np.concatenate([np.arange(b - a) for a, b in zip(ends, ends[1:])])
-            positions = np.frombuffer(r["position_ids"], dtype="<u2" if sequence <= 65_536 else "<u4")
-            ok = bool((positions[:ends[-1]] == expected).all() and not positions[ends[-1]:].any())
-            yield (r["sequence_id"], ends[-1], len(ends) - 1, ends, zlib.crc32(r["ids"][:4 * ends[-1]]), ok,
-                   [s[0] for s in r["segments"]], [s[1] for s in r["segments"]])
+            expected = b"".join([ramp[:width * (b - a)] for a, b in zip(ends, ends[1:])]) + zero * (sequence - ends[-1])
+            yield (r["sequence_id"], ends[-1], len(ends) - 1, ends, zlib.crc32(memoryview(r["ids"])[:4 * ends[-1]]),
+                   r["position_ids"] == expected, r["doc_ids"], r["starts"])
 
     written = spark.read.schema(schema(OUT.format(key="doc_id", kind="bigint"))).parquet(path)
     plain = written.select("sequence_id", "ids", "cu_seqlens", "position_ids",
-                           F.transform("segments", lambda s: F.array(s["doc_id"], s["start"])).alias("segments"))
+                           F.col("segments.doc_id").alias("doc_ids"), F.col("segments.start").alias("starts"))
     return map_rows(plain, rows, "sequence_id bigint, n_tokens bigint, n_segments bigint, cu_seqlens array<int>, ids_crc32 bigint, "
                                  "positions_ok boolean, doc_ids array<bigint>, starts array<bigint>")
