@@ -29,7 +29,8 @@ def main() -> None:
     names = os.environ.get("BENCH_QUERIES", "").split() or HEADLINE
     spark = get_spark("bench", f"local[{cpus}]", **{
         "spark.sql.shuffle.partitions": cpus, "spark.driver.memory": os.environ.get("BENCH_MEMORY", "12g"),
-        "spark.ui.enabled": "false", "spark.ui.showConsoleProgress": "false"})
+        "spark.ui.enabled": "false", "spark.ui.showConsoleProgress": "false",
+        "credence.scan.partitions": cpus})       # one row group per table here
     spark.sparkContext.setLogLevel("OFF")
     spark.read.parquet(f"{sf_dir}/labels.parquet").count()     # start the JVM's readers outside the timings
     seconds = {}

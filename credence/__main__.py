@@ -38,6 +38,7 @@ def parser() -> argparse.ArgumentParser:
     a.add_argument("--archive", required=True)
     a.add_argument("--checkpoint", required=True)
     a.add_argument("--exit-when-idle", action="store_true")
+    a.add_argument("--wait-seconds", type=float, default=0, help="how long to wait for a first model")
     return p
 
 
@@ -48,7 +49,7 @@ def main(argv: list[str] | None = None) -> None:
     if args.topics:
         where["path"] = args.topics
     if args.job == "produce":
-        run.produce(spark, args.raw, args.sources.split(","), args.limit, args.topic, **where).show()
+        run.produce(spark, args.raw, [s.strip() for s in args.sources.split(",")], args.limit, args.topic, **where).show()
     elif args.job == "sink":
         run.sink(spark, args.root, args.checkpoint, args.exit_when_idle, args.rate, args.topic, **where).awaitTermination()
     elif args.job == "train":
@@ -60,7 +61,8 @@ def main(argv: list[str] | None = None) -> None:
             raise SystemExit("train needs --root or --from-local")
         print(json.dumps(document, indent=2, ensure_ascii=False))
     else:
-        run.score_incoming(spark, args.registry, args.archive, args.checkpoint, args.exit_when_idle, **where).awaitTermination()
+        run.score_incoming(spark, args.registry, args.archive, args.checkpoint, args.exit_when_idle,
+                           wait_seconds=args.wait_seconds, **where).awaitTermination()
 
 
 if __name__ == "__main__":

@@ -51,7 +51,7 @@ def has_meta(fields=tuple(META_PREFIX)) -> str:
 
 
 ROUTE = f"CASE WHEN {has_meta()} OR ({strip('title')} = '' AND {words('text')} < 60) THEN 'claim' ELSE 'article' END"
-BASE = f"substr({clean('title || chr(32) || text')}, 1, 10000)"
+BASE = clean("title || chr(32) || text")
 
 
 def select_articles(join: str) -> str:
@@ -115,13 +115,13 @@ def tf(name: str, docs: str) -> str:
   unnest(list_concat(w, list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]))) AS term FROM {name}_tok) GROUP BY ALL)"""
 
 
-def vocab(terms: str, docs: str, size: int = 100_000) -> str:
+def vocab(terms: str, docs: str, size: int | None = None) -> str:
     return f"""sizes AS (SELECT route, count(*) AS n_docs FROM {docs} GROUP BY route),
 dfs AS (SELECT route, term, count(*) AS df, sum(tf)::BIGINT AS cf FROM {terms} GROUP BY ALL),
 kept AS (SELECT *, row_number() OVER (PARTITION BY route ORDER BY cf DESC, term) AS place FROM dfs JOIN sizes USING (route)
   WHERE df >= CASE route WHEN 'article' THEN 2 ELSE 1 END AND df <= 0.9::DOUBLE * n_docs),
 vocab AS (SELECT *, row_number() OVER (PARTITION BY route ORDER BY term) - 1 AS idx, ln((1 + n_docs) / (1 + df)) + 1 AS idf
-  FROM kept WHERE place <= {size})"""
+  FROM kept{f" WHERE place <= {size}" if size else ""})"""
 
 
 def weighted(name: str, terms: str) -> str:
@@ -195,7 +195,6 @@ listed AS (SELECT id, route, row_number() OVER (PARTITION BY id ORDER BY directi
   FROM ranked WHERE k <= 8)"""
 LABEL = "CASE WHEN p >= 0.5 THEN 'unreliable' ELSE 'reliable' END"
 FEED = "feed AS (SELECT event_id::VARCHAR AS id, ts AS scored_at, CASE WHEN event_type = 'error' THEN 'unreliable' ELSE 'reliable' END AS label, value AS confidence FROM events)"
-LATEST = "latest AS (SELECT * FROM feed ORDER BY scored_at DESC, id LIMIT 60)"
 RATES = f"""SELECT strftime(w, {TIME}) AS window_start, count(*) AS n, count(*) FILTER (label = 'unreliable') AS flagged,
   round(count(*) FILTER (label = 'unreliable') / count(*)::DOUBLE, 6) AS flag_rate"""
 
@@ -228,14 +227,14 @@ def build() -> dict[str, str]:
       SELECT id, source, row_number() OVER (PARTITION BY source ORDER BY seq) AS turn, source_rank FROM r"""
     q["interleave_sources"] = turns
     q["interleave_limit"] = turns + " ORDER BY turn, source_rank LIMIT 150"
-    q["source_selection"] = with_(ALL) + "SELECT source, count(*) AS sent FROM docs WHERE source IN ('page', 'conversation') GROUP BY source"
 
     q["clean_documents"] = f"SELECT doc_id, {clean('text')} AS cleaned FROM documents"
     q["clean_pages"] = f"SELECT id, title, {clean('title || chr(32) || text')} AS input FROM ({PAGES}) WHERE text <> ''"
     q["meta_tokens_conversations"] = f"""SELECT id, {meta()} AS tokens, {has_meta()} AS has_meta
       FROM (SELECT * REPLACE ('Turn, ' || id AS context) FROM ({CONVERSATIONS}) WHERE text <> '')"""
     q["word_counts"] = f"SELECT doc_id, {words('text')} AS words FROM documents"
-    q["prepared_inputs"] = with_(ALL) + f"SELECT id, route, {input_for('route')} AS input FROM (SELECT id, {ROUTE} AS route, {BASE} AS base, {meta()} AS meta FROM docs)"
+    for name, base in (("prepared_inputs", BASE), ("prepared_inputs_capped", f"substr({BASE}, 1, 10000)")):
+        q[name] = with_(ALL) + f"SELECT id, route, {input_for('route')} AS input FROM (SELECT id, {ROUTE} AS route, {base} AS base, {meta()} AS meta FROM docs)"
     q["route_counts"] = with_(ALL) + f"SELECT source, {ROUTE} AS route, count(*) AS n FROM docs GROUP BY ALL"
     q["routing_accuracy"] = with_(ALL) + f"""SELECT 'rule' AS model, round(avg(CASE WHEN {ROUTE} = CASE WHEN source IN ('article', 'page') THEN 'article' ELSE 'claim' END
       THEN 1 ELSE 0 END), 4) AS routing_accuracy FROM docs"""
@@ -307,12 +306,15 @@ mk AS (SELECT id, e - n AS s, CASE WHEN takes THEN e2 ELSE e END AS e, CASE WHEN
 SELECT id, row_number() OVER (PARTITION BY id ORDER BY s) - 1 AS n, s AS "start", e AS "end", term, direction FROM mk"""
 
     q["recent_feed"] = with_(FEED) + f"SELECT id, strftime(scored_at, {TIME}) AS scored_at, label, confidence FROM feed ORDER BY feed.scored_at DESC, id LIMIT 50"
-    q["feed_stats"] = with_(FEED, LATEST) + """SELECT count(*) AS n, round(avg(CASE WHEN label = 'unreliable' THEN 1 ELSE 0 END), 6) AS unreliable_share,
-      round(avg(confidence), 6) AS mean_confidence FROM latest"""
-    for name, rows, seconds in (("throughput_buckets", "feed", 3600), ("feed_throughput", "latest", 60)):
-        q[name] = with_(FEED, LATEST) + f"""SELECT b AS bucket, count(age) AS n FROM range(15) t(b) LEFT JOIN (SELECT floor((epoch_us((SELECT max(ts) FROM events))
+    q["feed_stats"] = with_(FEED) + """SELECT count(*) AS n, round(avg(CASE WHEN label = 'unreliable' THEN 1 ELSE 0 END), 6) AS unreliable_share,
+      round(avg(confidence), 6) AS mean_confidence FROM feed"""
+    for name, rows, seconds in (("throughput_buckets", "feed", 3600), ("feed_throughput", "feed", 60)):
+        q[name] = with_(FEED) + f"""SELECT b AS bucket, count(age) AS n FROM range(15) t(b) LEFT JOIN (SELECT floor((epoch_us((SELECT max(ts) FROM events))
           - epoch_us(scored_at)) / 1e6 / {seconds})::BIGINT AS age FROM {rows}) ON age = 14 - b GROUP BY b"""
-    q["feed_freshness"] = with_(FEED, LATEST) + f"SELECT strftime(max(scored_at), {TIME}) AS newest, true AS is_live FROM latest"
+    q["feed_freshness"] = with_(FEED) + f"""SELECT "rows", seconds::INTEGER AS seconds, strftime(newest, {TIME}) AS newest,
+      coalesce(newest > last + to_seconds(seconds) - INTERVAL 60 SECONDS, false) AS is_live FROM (SELECT max(scored_at) AS last FROM feed),
+      (SELECT 'all' AS "rows", max(scored_at) AS newest FROM feed UNION ALL SELECT 'unreliable', max(scored_at) FROM feed WHERE label = 'unreliable'),
+      (SELECT unnest([30, 60, 3600]) AS seconds)"""
     q["windowed_flag_rate"] = with_(FEED) + RATES + ", round(avg(confidence), 6) AS mean_confidence FROM (SELECT *, date_trunc('minute', scored_at) AS w FROM feed) GROUP BY w"
     # The stream closes a window when the newest time less one minute has passed its end.
     q["stream_flag_rate"] = with_(FEED) + RATES + """ FROM (SELECT *, date_trunc('hour', scored_at) AS w FROM feed)
@@ -326,11 +328,15 @@ SELECT id, row_number() OVER (PARTITION BY id ORDER BY s) - 1 AS n, s AS "start"
     q["claim_tsv_scan"] = f"""SELECT 'liar-train-' || conv_id || '-' || turn AS id, 'liar' AS source, {statement} AS text, role AS speaker, '' AS party,
       CASE role WHEN 'user' THEN 0 ELSE 1 END AS label, CASE role WHEN 'user' THEN 'half-true' ELSE 'false' END AS label_raw
       FROM conversations WHERE role IN ('user', 'assistant') AND turn % 5 <> 4 AND {statement} <> ''"""
-    q["json_lines_scan"] = with_(ALL) + "SELECT id, source, title, text, speaker, label FROM docs"
+    q["source_selection"] = f"""WITH c AS ({q['claim_tsv_scan']}), a AS ({q['article_csv_scan']})
+      SELECT 'liar' AS source, count(*) AS sent FROM c UNION ALL SELECT 'liar alone', count(*) FROM c UNION ALL SELECT 'kaggle', count(*) FROM a"""
+    q["json_lines_scan"] = with_(ALL) + "SELECT id, source, title, text, speaker, label, true AS dated FROM docs"
     q["json_records"] = f"SELECT id AS key, source, text, speaker FROM ({CONVERSATIONS}) WHERE text <> ''"
     q["live_ingest"] = f"""SELECT true AS id_ok, 'live' AS source, title, text, speaker, NULL::VARCHAR AS party, NULL::VARCHAR AS subject,
       NULL::VARCHAR AS context, NULL::VARCHAR AS state FROM ({CONVERSATIONS}) WHERE text <> ''"""
-    q["stream_land"] = with_(ALL) + "SELECT id, source, title, text, speaker FROM docs"
-    q["stream_score"] = "WITH " + SCORE_ALL + f"""\nSELECT id, source, {LABEL} AS label, route, round(CASE WHEN p >= 0.5 THEN p ELSE 1 - p END, 4) AS confidence
-      FROM verdicts WHERE source IN ('conversation', 'benchmark')"""
+    q["stream_land"] = with_(ALL) + "SELECT id, source, title, text, CASE WHEN source = 'conversation' THEN 'corrected' ELSE speaker END AS speaker FROM docs"
+    q["raw_last_record"] = """SELECT 'kaggle-' || conv_id AS id, 'kaggle' AS source, 'turn ' || turn AS title, role AS author, 'zzz, the same text' AS text, 1::INTEGER AS label
+      FROM conversations QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) = 1"""
+    q["stream_score"] = "WITH " + SCORE_ALL + f"""\nSELECT id, source, {LABEL} AS label, route, round(CASE WHEN p >= 0.5 THEN p ELSE 1 - p END, 4) AS confidence,
+      true AS dated, 0::BIGINT AS batch FROM verdicts WHERE source IN ('conversation', 'benchmark')"""
     return q

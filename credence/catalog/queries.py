@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import DateType, LongType, StructField, StructType
 
 from credence.functions import text as X
 from credence.functions.stopwords import ENGLISH
@@ -14,13 +15,14 @@ from credence.operators import features, models
 from credence.operators import normalize as N
 from credence.operators.annotate import spans
 from credence.operators.split import stratified_split, stratum_quotas
-from credence.plans import registry, report
+from credence.plans import registry, report, run
 from credence.plans import train as T
-from credence.schema import ARTICLE, ARTICLE_CSV_COLUMNS, CLAIM_TSV_COLUMNS, META_FIELDS
+from credence.schema import ARTICLE, ARTICLE_CSV_COLUMNS, CLAIM_TSV_COLUMNS, META_FIELDS, PREDICTION, RECORD
 from credence.session import SETTINGS, stage_path
 from credence.sources import files, tables, topic
 from credence.streaming import jobs
 
+T_ARCHIVE = StructType([*PREDICTION.fields, StructField("dt", DateType()), StructField("batch", LongType())])
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 
@@ -29,11 +31,12 @@ BOTH_ALPHAS = {NB: T.fit_naive_bayes, SMOOTH: lambda f: T.fit_naive_bayes(f, alp
 
 
 def query(f: Query) -> Query:
-    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    def with_settings(spark: SparkSession, sf_dir: str) -> DataFrame:
         for key, value in SETTINGS.items():
-            spark.conf.set(key, value)
+            if spark.conf.get(key, None) != value:
+                spark.conf.set(key, value)
         return f(spark, sf_dir)
-    QUERIES[f.__name__] = run
+    QUERIES[f.__name__] = with_settings
     return f
 
 
@@ -136,8 +139,13 @@ def interleave_limit(spark, sf_dir):
 
 @query
 def source_selection(spark, sf_dir):
-    chosen = ["page", "conversation"]
-    return topic.sent_counts(tables.all_sources(spark, sf_dir).where(F.col("source").isin(chosen)))
+    """Articles and claims written as raw data sets, loaded by names with blanks, and counted as sent."""
+    root = stage_path(spark, "raw-sets")
+    _write_articles(spark, sf_dir, f"{root}/kaggle/train.csv")
+    _write_claims(spark, sf_dir, f"{root}/liar/valid.tsv")
+    names = files.source_names(["liar ", " kaggle"])
+    return topic.sent_counts(files.load_raw(spark, root, names)).unionByName(
+        topic.sent_counts(files.load_raw(spark, root, [" liar"])).withColumn("source", F.lit("liar alone")))
 
 
 # ----------------------------------------------------------------------------- text
@@ -170,6 +178,13 @@ def prepared_inputs(spark, sf_dir):
     return rows.select("id", "route", X.prepare("route").alias("input"))
 
 
+@query
+def prepared_inputs_capped(spark, sf_dir):
+    """The option that cuts cleaned texts, here after 10,000 characters."""
+    rows = N.with_defaults(tables.all_sources(spark, sf_dir)).withColumn("route", X.route_for())
+    return rows.select("id", "route", X.prepare("route", max_chars=10_000).alias("input"))
+
+
 @query
 def route_counts(spark, sf_dir):
     rows = N.with_defaults(tables.all_sources(spark, sf_dir))
@@ -403,10 +418,6 @@ def metrics_document(spark, sf_dir):
 
 # ----------------------------------------------------------------------------- live feed
 
-def _latest(spark, sf_dir):
-    return report.recent(tables.feed(spark, sf_dir), report.FEED_SIZE)
-
-
 def _now(spark, sf_dir):
     return tables.feed(spark, sf_dir).agg(F.max("scored_at")).scalar().cast("timestamp")
 
@@ -419,7 +430,7 @@ def recent_feed(spark, sf_dir):
 
 @query
 def feed_stats(spark, sf_dir):
-    return report.feed_stats(_latest(spark, sf_dir)).select(
+    return report.feed_stats(tables.feed(spark, sf_dir)).select(
         "n", F.round("unreliable_share", 6).alias("unreliable_share"), F.round("mean_confidence", 6).alias("mean_confidence"))
 
 
@@ -430,13 +441,18 @@ def throughput_buckets(spark, sf_dir):
 
 @query
 def feed_throughput(spark, sf_dir):
-    return report.throughput(_latest(spark, sf_dir), _now(spark, sf_dir))
+    return report.throughput(tables.feed(spark, sf_dir), _now(spark, sf_dir))
 
 
 @query
 def feed_freshness(spark, sf_dir):
-    now = _now(spark, sf_dir) + F.expr("INTERVAL 30 SECONDS")
-    return report.freshness(_latest(spark, sf_dir), now).select(timestamp_text("newest").alias("newest"), "is_live")
+    """The feed half a minute, a minute and an hour after its newest verdict, and without its live events."""
+    feed, parts = tables.feed(spark, sf_dir), []
+    for seconds in (30, 60, 3600):
+        now = _now(spark, sf_dir) + F.expr(f"INTERVAL {seconds} SECONDS")
+        for name, rows in (("all", feed), ("unreliable", feed.where("label = 'unreliable'"))):
+            parts.append(report.freshness(rows, now).select(F.lit(name).alias("rows"), F.lit(seconds).alias("seconds"), timestamp_text("newest").alias("newest"), "is_live"))
+    return N.union_all(*parts)
 
 
 @query
@@ -457,27 +473,35 @@ def lineage(spark, sf_dir):
 def article_csv_scan(spark, sf_dir):
     """Labelled documents written as the article CSV (texts hold newlines), scanned and normalised."""
     root = stage_path(spark, "csv")
+    _write_articles(spark, sf_dir, root)
+    return N.normalize_articles(files.read_article_csv(spark, root)).select(
+        "id", "source", "title", "author", "text", "label", "label_raw")
+
+
+def _write_articles(spark, sf_dir, root):
     docs = tables.table(spark, sf_dir, "documents").join(tables.table(spark, sf_dir, "labels"), "doc_id").select(
         F.col("doc_id").cast("string").alias("id"), F.concat(F.lit('The "'), "source", F.lit('", daily')).alias("title"),
         F.when(F.col("lang") == "en", "None").otherwise(F.col("lang")).alias("author"), "text",
         F.concat((1 - F.col("quality")).cast("string"), F.lit(".0")).alias("label"))
     docs.select(ARTICLE_CSV_COLUMNS).write.csv(root, header=True, quote='"', escape='"', quoteAll=True)
-    return N.normalize_articles(files.read_article_csv(spark, root)).select(
-        "id", "source", "title", "author", "text", "label", "label_raw")
 
 
 @query
 def claim_tsv_scan(spark, sf_dir):
     """Conversations written as the 14-column TSV (tabs and newlines blanked), scanned and normalised."""
     root = stage_path(spark, "tsv")
+    _write_claims(spark, sf_dir, root)
+    return N.normalize_claims(files.read_claim_tsv(spark, root, "train")).select(
+        "id", "source", "text", "speaker", "party", "label", "label_raw")
+
+
+def _write_claims(spark, sf_dir, root):
     cells = {"json_id": F.concat_ws("-", "conv_id", "turn"),
              "label": F.when(F.col("role") == "user", "half-true").when(F.col("role") == "assistant", " False"),
              "statement": F.regexp_replace("text", "[\\t\\r\\n]+", " "), "speaker": F.col("role"), "party": F.lit("None")}
     line = [F.coalesce(cells.get(c, F.lit("")), F.lit("")) for c in CLAIM_TSV_COLUMNS]
     extra = F.when(F.pmod("turn", F.lit(5)) == 4, F.lit("\ttoo\tlong")).otherwise("")
     tables.table(spark, sf_dir, "conversations").select(F.concat(F.concat_ws("\t", *line), extra).alias("value")).write.text(root)
-    return N.normalize_claims(files.read_claim_tsv(spark, root, "train")).select(
-        "id", "source", "text", "speaker", "party", "label", "label_raw")
 
 
 @query
@@ -485,7 +509,8 @@ def json_lines_scan(spark, sf_dir):
     """All sources landed as date-partitioned JSON lines and scanned back."""
     root = stage_path(spark, "landed")
     files.write_landed(tables.all_sources(spark, sf_dir), root)
-    return files.read_landed(spark, root).where(F.col("dt").isNotNull()).select("id", "source", "title", "text", "speaker", "label")
+    return files.read_landed(spark, root).select(
+        "id", "source", "title", "text", "speaker", "label", F.datediff(F.current_date(), "dt").between(0, 1).alias("dated"))
 
 
 @query
@@ -509,10 +534,23 @@ def live_ingest(spark, sf_dir):
 def stream_land(spark, sf_dir):
     """Topic of all sources -> landing stream until idle -> scan of the landed files, last record per id."""
     root = stage_path(spark, "stream")
-    topic.write_records(tables.all_sources(spark, sf_dir), topic.TOPIC_ARTICLES, "parquet", root)
-    stream = topic.read_topic(spark, topic.TOPIC_ARTICLES, format="parquet", path=root)
+    first = tables.all_sources(spark, sf_dir).withColumn("seq", F.lit(1))
+    again = tables.conversations(spark, sf_dir).withColumn("speaker", F.lit("corrected")).withColumn("seq", F.lit(2))
+    topic.write_records(N.union_all(again, first), topic.TOPIC_ARTICLES, "parquet", root)
+    stream = topic.read_topic(spark, topic.TOPIC_ARTICLES, RECORD, format="parquet", path=root)
     jobs.land(stream, f"{root}/raw", f"{root}/checkpoint", until_idle=True).awaitTermination()
-    return N.keep_last(files.read_landed(spark, f"{root}/raw"), ["dt"]).select("id", "source", "title", "text", "speaker")
+    return run.latest_articles(files.read_landed(spark, f"{root}/raw")).select("id", "source", "title", "text", "speaker")
+
+
+@query
+def raw_last_record(spark, sf_dir):
+    """An article CSV that repeats ids, loaded for training: the last record of an id by its position in the file."""
+    root = stage_path(spark, "repeats")
+    rows = tables.table(spark, sf_dir, "conversations").orderBy("conv_id", "turn").coalesce(1).select(
+        F.col("conv_id").cast("string").alias("id"), F.concat(F.lit("turn "), "turn").alias("title"), F.col("role").alias("author"),
+        F.lit("zzz, the same text").alias("text"), F.lit("1").alias("label"))
+    rows.write.csv(f"{root}/kaggle/train.csv", header=True, quote='"', escape='"', quoteAll=True)
+    return run.latest_raw(spark, root).select("id", "source", "title", "author", "text", "label")
 
 
 @query
@@ -527,8 +565,9 @@ def stream_score(spark, sf_dir):
         stream, [f"{root}/models"], f"{root}/archive", f"{root}/checkpoint",
         publish=lambda p: topic.write_records(p, topic.TOPIC_PREDICTIONS, "parquet", root), until_idle=True,
     ).awaitTermination()
-    archived = spark.read.json(f"{root}/archive")
-    return archived.select("id", "source", "label", "route", "confidence")
+    archived = spark.read.schema(T_ARCHIVE).json(f"{root}/archive")
+    return archived.select("id", "source", "label", "route", "confidence", (F.col("dt") == F.to_date("scored_at")).alias("dated"),
+                           bigint(F.col("batch")).alias("batch"))
 
 
 @query

@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from credence.schema import CLAIM_MAX_WORDS, LABELS, MAX_CHARS, META_FIELDS, META_PREFIX
+from credence.schema import CLAIM_MAX_WORDS, LABELS, META_FIELDS, META_PREFIX
 
 # Unicode whitespace as a regex class body; Java's own \s is ASCII only.
 WS = r"\s\x1c-\x1f\x85\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
@@ -93,10 +93,16 @@ def route_for(title: Column | str = "title", text: Column | str = "text") -> Col
 
 
 def prepare(route: Column | str, title: Column | str = "title", text: Column | str = "text",
-            max_chars: int = MAX_CHARS) -> Column:
-    """Model input of a row under ``route``; claims get their metadata tokens after the cut."""
-    base = F.substring(model_input(title, text), 1, max_chars)
-    return with_meta(base, meta_tokens(), _col(route))
+            max_chars: int | None = None) -> Column:
+    """Model input of a row under ``route``: whole texts, or their first ``max_chars`` cleaned characters.
+
+    Claims get their metadata tokens, after the cut if there is one.
+    """
+    return with_meta(cut(model_input(title, text), max_chars), meta_tokens(), _col(route))
+
+
+def cut(text: Column, max_chars: int | None) -> Column:
+    return text if max_chars is None else F.substring(text, 1, max_chars)
 
 
 def with_meta(base: Column, meta: Column, route: Column) -> Column:
@@ -148,7 +154,7 @@ def label_name(label: Column | str) -> Column:
     return F.when(c == 1, LABELS[1]).when(c == 0, LABELS[0])
 
 
-# Display names of the metadata prefixes.
+# Display names of the metadata prefixes.
 PREFIX_LABEL = {"spk": "speaker", "party": "party", "subj": "topic", "ctx": "venue", "st": "state"}
 
 

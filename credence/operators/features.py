@@ -12,20 +12,16 @@ from pyspark.sql import types as T
 
 from credence.functions.stopwords import ENGLISH
 from credence.functions.text import term_counts
-from credence.schema import MAX_DF, MAX_FEATURES, MIN_DF
+from credence.operators.ranking import sorted_numbers
+from credence.schema import MAX_DF, MIN_DF
 from credence.session import stage
 
 
 def explode_terms(docs: DataFrame, keep: Sequence[str], input_col: str = "input",
-                  stop_words: Iterable[str] | None = None, mark: bool = False) -> DataFrame:
-    """One row per document and distinct term: ``keep`` + term, tf.
-
-    With ``mark`` each document gets one more row, with a null term, that no filter on terms removes.
-    """
+                  stop_words: Iterable[str] | None = None) -> DataFrame:
+    """One row per document and distinct term: ``keep`` + term, tf; null ones for a document without terms."""
     stop = ENGLISH if stop_words is None else stop_words
     terms = term_counts(input_col, stop)
-    if mark:
-        terms = F.concat(F.array(F.lit(None).cast("struct<term:string,tf:int>")), terms)
     # The outer form on purpose: for the inner one the optimizer adds a filter that counts the terms again.
     counted = docs.select(*keep, F.explode_outer(terms).alias("_t"))
     return counted.select(*keep, F.col("_t.term").alias("term"), F.col("_t.tf").alias("tf"))
@@ -45,80 +41,86 @@ def smooth_idf(df: Column, n: Column) -> Column:
     return F.log((1 + n) / (1 + df)) + 1
 
 
-def fit_vocabulary(docs: DataFrame, max_features: int = MAX_FEATURES, min_df: dict[str, int] | None = None,
+def fit_vocabulary(docs: DataFrame, max_features: int | None = None, min_df: dict[str, int] | None = None,
                    max_df: float = MAX_DF, stop_words: Iterable[str] | None = None) -> DataFrame:
     """Staged table (route, term, idx, df, cf, n_docs, idf) from ``docs`` (route, input).
 
-    Keeps terms with min_df <= df <= max_df * N, then the ``max_features`` most frequent of each
-    route, ties by term. Before that top-k, a histogram of cf in eighths of a power of two (a few
-    hundred rows) tells which terms can still make it, so that the sort sees about ``max_features``
-    rows rather than all distinct terms.
+    Keeps all terms with min_df <= df <= max_df * N: ``min_df`` is the way to keep a vocabulary small. With
+    ``max_features`` only the most frequent so many of each route, ties by term. ``idx`` numbers a route's
+    terms in their order.
     """
     n_docs = stage(docs.groupBy("route").agg(F.count("*").alias("n_docs")), "route-sizes")
     routes = [r["route"] for r in n_docs.collect()]
+    if not routes:
+        raise ValueError("no training rows")
     least = {r: (MIN_DF if min_df is None else min_df).get(r, 1) for r in routes}
     floor = reduce(lambda c, r: F.when(F.col("route") == r, least[r]).otherwise(c), routes, F.lit(1))
     kept = stage(
         document_frequency(docs, stop_words).join(n_docs, "route")
-        .where((F.col("df") >= floor) & (F.col("df") <= F.lit(max_df) * F.col("n_docs")))
-        .withColumn("band", F.floor(F.log2("cf") * 8).cast("int")),
+        .where((F.col("df") >= floor) & (F.col("df") <= F.lit(max_df) * F.col("n_docs"))),
         "terms")
+    found = {r["route"] for r in kept.select("route").distinct().collect()}
+    for route in routes:
+        if route not in found:
+            raise ValueError(f"no terms remain for route {route!r}: lower min_df or raise max_df")
+    chosen = kept if max_features is None else most_frequent(kept, routes, max_features)
+    return stage(
+        sorted_numbers(chosen, ["route"], ["term"], "idx")
+        .select("route", "term", "idx", "df", "cf", "n_docs", smooth_idf(F.col("df"), F.col("n_docs")).alias("idf")),
+        "vocabulary")
+
+
+def most_frequent(kept: DataFrame, routes: Sequence[str], max_features: int) -> DataFrame:
+    """The ``max_features`` terms of each route with the greatest cf, ties by term.
+
+    A histogram of cf in eighths of a power of two (a few hundred rows) tells which terms can still make
+    it, so that the top-k sees about ``max_features`` rows rather than all distinct terms.
+    """
+    banded = kept.withColumn("band", F.floor(F.log2("cf") * 8).cast("int"))
     higher = Window.partitionBy("route").orderBy(F.desc("band")).rowsBetween(Window.unboundedPreceding, -1)
-    bands = (kept.groupBy("route", "band").agg(F.count("*").alias("c"))
+    bands = (banded.groupBy("route", "band").agg(F.count("*").alias("c"))
              .withColumn("above", F.coalesce(F.sum("c").over(higher), F.lit(0)))
              .where(F.col("above") < max_features)
              .groupBy("route").agg(F.min("band").alias("lowest")).collect())
     lowest = {r["route"]: r["lowest"] for r in bands}
-    for route in routes:
-        if route not in lowest:
-            raise ValueError(f"no terms remain for route {route!r}: lower min_df or raise max_df")
-    tops = [
-        kept.where((F.col("route") == r) & (F.col("band") >= lowest[r])).orderBy(F.desc("cf"), "term").limit(max_features)
-        for r in routes
-    ]
-    if not tops:
-        raise ValueError("no training rows")
-    idx = F.row_number().over(Window.partitionBy("route").orderBy("term")) - 1   # at most max_features rows
-    return stage(
-        reduce(DataFrame.unionByName, tops)
-        .select("route", "term", idx.alias("idx"), "df", "cf", "n_docs",
-                smooth_idf(F.col("df"), F.col("n_docs")).alias("idf")),
-        "vocabulary")
+    return reduce(DataFrame.unionByName, [
+        banded.where((F.col("route") == r) & (F.col("band") >= lowest[r])).orderBy(F.desc("cf"), "term").limit(max_features)
+        for r in routes]).drop("band")
 
 
 BROADCAST_BYTES = 256 * 1024 * 1024
 
 
 def sized(table: DataFrame, limit: int = BROADCAST_BYTES) -> DataFrame:
-    """The term table, marked for broadcast if its measured size allows.
+    """A term table, marked for broadcast if its measured size allows; call it once, when the table is made or loaded.
 
-    It has at most ``max_features`` rows per route, but terms may be long, so their bytes are added up
-    (with 100 for the numbers and the overhead of a row). Beyond the limit the planner chooses the join.
+    The bytes of the terms are added up, with 100 for the numbers and the overhead of a row. Beyond the limit
+    the planner chooses the join, which it may split where a term is frequent.
     """
     size = table.agg(F.sum(F.octet_length("term") + 100).alias("b")).first()["b"] or 0
     return F.broadcast(table) if size <= limit else table
 
 
 def weighted_terms(docs: DataFrame, keep: Sequence[str], table: DataFrame,
-                   stop_words: Iterable[str] | None = None) -> DataFrame:
+                   stop_words: Iterable[str] | None = None, marks: DataFrame | None = None) -> DataFrame:
     """The known terms of each document, from a term table on (route, term), with ``x`` = tf-idf before
-    the norm; and one row with a null ``x`` per document, so that those without a known term survive.
+    the norm; and one row per document without term and ``x``, so that those without a known term survive.
 
-    With a broadcast term table unknown terms, the majority, are gone before anything is regrouped.
+    Those rows (``marks``, by default ``keep`` and route of ``docs``) join nothing, so they are no key of their
+    own in the join. With a broadcast table unknown terms are gone before anything is regrouped.
     """
-    return (explode_terms(docs, [*keep, "route"], stop_words=stop_words, mark=True)
-            .join(sized(table), ["route", "term"], "left")
-            .where("idf IS NOT NULL OR term IS NULL")
-            .withColumn("x", sublinear_tf("tf") * F.col("idf")))
+    known = (explode_terms(docs, [*keep, "route"], stop_words=stop_words).where("term IS NOT NULL")
+             .join(table, ["route", "term"])
+             .withColumn("x", sublinear_tf("tf") * F.col("idf")))
+    return known.unionByName(docs.select(*keep, "route") if marks is None else marks, allowMissingColumns=True)
 
 
 def tfidf(docs: DataFrame, vocabulary: DataFrame, key: str = "id",
           stop_words: Iterable[str] | None = None) -> DataFrame:
     """Long form (id, route, term, tf, tfidf), L2-normalised per document."""
-    spread = docs.select(key, "route", "input").repartition(key)
-    terms = weighted_terms(spread, [key], vocabulary.select("route", "term", "idf"), stop_words)
+    terms = weighted_terms(docs.select(key, "route", "input"), [key], sized(vocabulary.select("route", "term", "idf")), stop_words)
     norm = F.sqrt(F.sum(F.col("x") * F.col("x")).over(Window.partitionBy(key)))   # one document's terms
-    return (terms.withColumn("tfidf", F.col("x") / norm).where("x IS NOT NULL")
+    return (terms.where("x IS NOT NULL").withColumn("tfidf", F.col("x") / norm)
             .select(key, "route", "term", "tf", "tfidf"))
 
 
@@ -126,11 +128,10 @@ def document_vectors(docs: DataFrame, vocabulary: DataFrame, keep: Sequence[str]
                      stop_words: Iterable[str] | None = None) -> DataFrame:
     """Staged (key, keep, route, indices, values): one L2-normalised sparse row per document.
 
-    The documents, capped texts, are hash-partitioned by key before they are exploded; with a
-    broadcast vocabulary the regrouping by key then needs no second, far larger shuffle.
+    A document's terms are collected where it is read; what is shuffled is its vector, not its text.
     """
-    spread = docs.select(key, *keep, "route", "input").repartition(key)
-    terms = weighted_terms(spread, [key, *keep], vocabulary.select("route", "term", "idx", "idf"), stop_words)
+    terms = weighted_terms(docs.select(key, *keep, "route", "input"), [key, *keep],
+                           sized(vocabulary.select("route", "term", "idx", "idf")), stop_words)
     entries = F.sort_array(F.collect_list(F.when(F.col("x").isNotNull(), F.struct("idx", "x"))))
     rows = terms.groupBy(key, *keep, "route").agg(entries.alias("e"), F.sqrt(F.sum(F.col("x") * F.col("x"))).alias("l2"))
     return stage(

@@ -9,6 +9,7 @@ from __future__ import annotations
 import math
 from collections.abc import Iterable, Sequence
 from concurrent.futures import ThreadPoolExecutor
+from contextvars import copy_context
 from dataclasses import dataclass, field
 from functools import reduce
 
@@ -26,7 +27,8 @@ from credence.session import stage
 
 @dataclass
 class CredibilityModel:
-    """``terms``: (route, term, idf, weight); ``bias``: route -> bias, first route is the fallback."""
+    """``terms``: (route, term, idf, weight); ``bias``: route -> bias, first route is the fallback;
+    ``max_chars``: cleaned characters of a text that were used, None for all."""
 
     name: str
     version: str
@@ -35,6 +37,7 @@ class CredibilityModel:
     stop_words: tuple[str, ...] | None = None
     origin: str | None = None
     metrics: dict = field(default_factory=dict)
+    max_chars: int | None = None
 
     @property
     def routes(self) -> list[str]:
@@ -104,11 +107,11 @@ def lr_fit(vectors: DataFrame, route: str, n_features: int, n: int, n0: int, n1:
     The intercept is the weight of a constant feature. ML drops a constant column, so features and
     label are negated on about half of the rows (by a hash of the key): the loss is the same, the
     column becomes +1/-1 and the optimum is the penalised-intercept one. Balanced weights add up to
-    n, hence regParam = 1 / (C * n). Every task returns a dense gradient, so a small training set is
-    read by few tasks: each should have several times more entries than there are features.
+    n, hence regParam = 1 / (C * n). Every task returns a dense gradient, so the training set is
+    read by as many tasks as there are cores: fewer leave cores idle, more only add gradients.
     """
     mine = vectors.where(F.col("route") == route)
-    flip, entries = _flip(mine, key)
+    flip = _flip(mine, key)
     sign = F.when(flip, -1.0).otherwise(1.0)
     rows = mine.select(
         F.when(F.col("label") == 1, n / (2 * n1)).otherwise(n / (2 * n0)).alias("w"),
@@ -121,13 +124,13 @@ def lr_fit(vectors: DataFrame, route: str, n_features: int, n: int, n0: int, n1:
     fitted = LogisticRegression(
         featuresCol="features", labelCol="y", weightCol="w", regParam=1.0 / (c * n), elasticNetParam=0.0,
         standardization=False, fitIntercept=False, maxIter=max_iter, tol=tol, family="binomial",
-    ).fit(data.coalesce(max(1, entries // (8 * n_features))))
-    weights = fitted.coefficients.toArray().tolist()      # at most max_features + 1 numbers
+    ).fit(data.coalesce(max(1, vectors.sparkSession.sparkContext.defaultParallelism)))
+    weights = fitted.coefficients.toArray().tolist()      # one number per term of the route and one more
     return weights[:-1], weights[-1]
 
 
-def _flip(rows: DataFrame, key: str, tries: int = 32) -> tuple[Column, int]:
-    """(whether a row is negated, number of vector entries).
+def _flip(rows: DataFrame, key: str, tries: int = 32) -> Column:
+    """Whether a row is negated.
 
     Uses the first hash seed whose flips give both signs and both labels; matters on tiny inputs only.
     """
@@ -137,10 +140,10 @@ def _flip(rows: DataFrame, key: str, tries: int = 32) -> tuple[Column, int]:
     for s in range(tries):
         y = F.when(parity(s), 1 - F.col("label")).otherwise(F.col("label"))
         checks += [F.count_if(parity(s)).alias(f"f{s}"), F.sum(y).alias(f"y{s}")]
-    found = rows.agg(F.count("*").alias("n"), F.sum(F.size("indices")).alias("entries"), *checks).first()
+    found = rows.agg(F.count("*").alias("n"), *checks).first()
     for s in range(tries):
         if 0 < found[f"f{s}"] < found["n"] and 0 < found[f"y{s}"] < found["n"]:
-            return parity(s), found["entries"]
+            return parity(s)
     raise ValueError("too few rows to fit logistic regression")
 
 
@@ -154,7 +157,8 @@ def lr_weights(vectors: DataFrame, vocabulary: DataFrame, counts: Sequence, c: d
         return lr_fit(vectors, r["route"], sizes[r["route"]], r["n"], r["n0"], r["n1"],
                       strength.get(r["route"], 1.0), max_iter, tol, key)
     with ThreadPoolExecutor(len(counts)) as pool:      # the routes' iterations share the cluster
-        fits = dict(zip((r["route"] for r in counts), pool.map(fit, counts)))
+        jobs = {r["route"]: pool.submit(copy_context().run, fit, r) for r in counts}      # what they stage is the caller's
+        fits = {route: job.result() for route, job in jobs.items()}
     bias = {route: intercept for route, (_, intercept) in fits.items()}
     frames = [pd.DataFrame({"route": route, "idx": range(len(w)), "weight": w}) for route, (w, _) in fits.items()]
     return spark.createDataFrame(pd.concat(frames), "route string, idx int, weight double"), bias
@@ -203,18 +207,23 @@ def ranked_terms(entries: Column, k: int) -> Column:
     return F.concat(top(1, "unreliable"), top(-1, "reliable"))
 
 
-def score_inputs(docs: DataFrame, model: CredibilityModel, key: str, k: int = EXPLAIN_K) -> DataFrame:
-    """(key, p, top_terms) of documents (unique key, route, input): probability and explanation together."""
-    spread = docs.select(key, "route", "input").repartition(key)
-    terms = weighted_terms(spread, [key], model.terms, model.stop_words)
+def score_inputs(docs: DataFrame, model: CredibilityModel, key: str, k: int = EXPLAIN_K, keep: Sequence[str] = ()) -> DataFrame:
+    """(key, route, keep, p, top_terms) of documents (unique key, route, input): probability and explanation together.
+
+    The kept columns travel in the one row per document that has no term, and come back from the same
+    aggregation: one shuffle, of short rows, and no join.
+    """
+    kept = docs.select(key, "route", F.struct(F.lit(True).alias("_marked"), *keep).alias("_kept"))
+    terms = weighted_terms(docs.select(key, "route", "input"), [key], model.terms, model.stop_words, marks=kept)
     x, part = F.col("x"), F.col("x") * F.col("weight")
     rows = terms.groupBy(key, "route").agg(
-        F.sum(x * x).alias("ss"), F.sum(part).alias("dot"),
+        F.sum(x * x).alias("ss"), F.sum(part).alias("dot"), F.first("_kept", ignorenulls=True).alias("_kept"),
         F.collect_list(F.when(part != 0, F.struct(part.alias("weight"), F.col("term")))).alias("e"))
     l2 = F.sqrt("ss")
     scaled = F.transform("e", lambda t: F.struct((t["weight"] / l2).alias("weight"), t["term"].alias("term")))
     z = by_route(model.bias) + F.coalesce(F.col("dot") / l2, F.lit(0.0))
-    return rows.select(key, logistic(z).alias("p"), ranked_terms(scaled, k).alias("top_terms"))
+    return rows.select(key, "route", *[F.col(f"_kept.{c}").alias(c) for c in keep], logistic(z).alias("p"),
+                       ranked_terms(scaled, k).alias("top_terms"))
 
 
 def verdict(p: Column | str, threshold: float = THRESHOLD) -> dict[str, Column]:
@@ -235,11 +244,13 @@ def snippet(text: Column | str = "text", n: int = 280) -> Column:
     return F.substring(blank_null(text), 1, n)
 
 
-def score(df: DataFrame, model: CredibilityModel, k: int = EXPLAIN_K, passthrough: Sequence[str] = ()) -> DataFrame:
+def score(df: DataFrame, model: CredibilityModel, k: int = EXPLAIN_K, passthrough: Sequence[str] = (),
+          position: str | None = None) -> DataFrame:
     """Prediction records for rows with any of id, title, text, metadata, source, ingested_at.
 
     Ids may repeat, so rows first get a number of their own, fixed by writing the prepared rows to
-    the staging folder: cleaning then runs once, and terms and result meet again on a unique key.
+    the staging folder: cleaning then runs once, and a document's terms meet on a unique key. With
+    ``position`` that number is returned under this name; sorted by it the results are in input order.
     """
     routes = model.routes
     have = with_defaults(df)
@@ -253,22 +264,22 @@ def score(df: DataFrame, model: CredibilityModel, k: int = EXPLAIN_K, passthroug
             "title", snippet().alias("snippet"),
             F.coalesce(maybe("source", F.lit(None)).cast("string"), F.lit("live")).alias("source"),
             maybe("ingested_at", F.lit(None)).cast("timestamp").alias("submitted_at"),
-            "route", prepare("route").alias("input"), *[F.col(c).alias(f"_p_{c}") for c in passthrough]),
+            "route", prepare("route", max_chars=model.max_chars).alias("input"), *[F.col(c).alias(f"_p_{c}") for c in passthrough]),
         "rows")
-    scored = score_inputs(rows, model, "_row", k)
+    kept = [c for c in rows.columns if c not in ("_row", "route", "input")]
+    scored = score_inputs(rows, model, "_row", k, kept)
     fields = {
         **verdict("p"), "scored_at": F.current_timestamp(), "model": F.lit(model.name),
         "model_version": F.lit(model.version),
     }
-    joined = rows.drop("input").join(scored, "_row")
-    return joined.select(
+    return scored.select(
         *[fields.get(f.name, F.col(f.name)).cast(f.dataType).alias(f.name) for f in PREDICTION.fields],
-        *[F.col(f"_p_{c}").alias(c) for c in passthrough])
+        *[F.col(f"_p_{c}").alias(c) for c in passthrough], *([F.col("_row").alias(position)] if position else []))
 
 
 def require_model(model: CredibilityModel | None) -> CredibilityModel:
     if model is None:
-        raise LookupError("no trained model available yet: run the trainer first")
+        raise LookupError("the registry holds no published model; publish one before scoring")
     return model
 
 

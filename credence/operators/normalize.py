@@ -93,22 +93,36 @@ def split_valid(df: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def keep_last(df: DataFrame, order: Sequence[str], key: str = "id") -> DataFrame:
-    """One row per key: the greatest by ``order``.
+    """One row per key: the greatest by ``order``; of rows equal in it the greatest by a hash of the row. Null keys are one key.
 
-    An aggregation rather than a window: each task sends at most one row per key to the shuffle,
-    so a key that holds a large share of all rows stays cheap.
+    Only the keys, the order and the hash are aggregated, map-side first, so that a key with a large share
+    of all rows stays cheap; whole rows are looked up by them afterwards and never sorted by an aggregation.
+    ``df`` is read twice and must give the same rows both times: pass a scan or a staged table.
     """
-    rest = [c for c in df.columns if c != key]
-    last = F.max_by(F.struct(*rest), F.struct(*order)).alias("_last")
-    return df.groupBy(key).agg(last).select(*[c if c == key else F.col(f"_last.{c}").alias(c) for c in df.columns])
+    whole = F.xxhash64(*df.columns)
+    # The hash is named twice, so that the optimizer computes it below the aggregation, which then sorts no texts.
+    narrow = df.select(key, *[c for c in order if c != key], whole.alias("_hash"))
+    last = narrow.groupBy(key).agg(F.max(F.struct(*order, "_hash")).alias("_last"), F.count("_hash").alias("_rows")).where("_rows > 0").select(
+        F.col(key).alias("_key"), "_last")
+    found = df.withColumn("_mine", F.struct(*order, whole.alias("_hash"))).join(
+        last, F.col(key).eqNullSafe(F.col("_key")) & F.col("_mine").eqNullSafe(F.col("_last")), "left_semi")
+    return found.drop("_mine").distinct()       # rows equal in everything
 
 
-def interleave(df: DataFrame, seq: str, sources: Sequence[str], limit: int = 0, key: str = "id") -> DataFrame:
+def interleave(df: DataFrame, seq: str, sources: Sequence[str], limit: int = 0, key: str = "id", sort: bool = True) -> DataFrame:
     """Round robin over the sources in the given order, each in ``seq`` order; exhausted ones drop out.
 
-    Adds ``turn`` (position within the source) and ``source_rank``. ``limit`` = 0 keeps all rows.
+    Adds ``turn`` (position within the source), ``source_rank`` and ``place`` (from 1, in the round robin). The
+    place follows from turn, rank and the rows per source, so ``limit`` (0: all rows) is a filter, not a
+    sort of whole rows in one task. The result is sorted unless ``sort`` is false.
     """
-    rank = F.array_position(F.lit(list(sources)), F.col("source"))
-    chosen = df.where(F.col("source").isin(list(sources))).withColumn("source_rank", rank.cast("int"))
-    out = row_numbers(chosen, ["source"], seq, "turn", ties=[key]).orderBy("turn", "source_rank")
-    return out.limit(limit) if limit else out
+    names = list(dict.fromkeys(sources))
+    chosen = df.where(F.col("source").isin(names))
+    counts = {r["source"]: r["n"] for r in chosen.groupBy("source").agg(F.count("*").alias("n")).collect()}    # one row per name at most
+    rank = F.array_position(F.lit(names), F.col("source"))
+    numbered = row_numbers(chosen.withColumn("source_rank", rank.cast("int")), ["source"], seq, "turn", ties=[key])
+    turn, mine = F.col("turn"), F.col("source_rank")
+    before = [F.least(F.lit(counts.get(s, 0)), turn - 1) + ((mine > i + 1) & (turn <= counts.get(s, 0))).cast("bigint") for i, s in enumerate(names)]
+    out = numbered.withColumn("place", (reduce(lambda a, b: a + b, before) + 1).cast("bigint"))
+    out = out.where(F.col("place") <= limit) if limit else out
+    return out.orderBy("place") if sort else out

@@ -3,15 +3,19 @@
 from __future__ import annotations
 
 import json
+import time
+import warnings
 from datetime import datetime, timezone
 
-from pyspark.errors import AnalysisException
+from py4j.protocol import Py4JError
+from pyspark.errors import AnalysisException, PySparkException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from credence.operators.evaluate import OVERALL
-from credence.operators.models import CredibilityModel, global_top_terms
+from credence.operators.features import sized
+from credence.operators.models import CredibilityModel, global_top_terms, require_model
 from credence.plans.report import metrics_documents
 from credence.plans.train import Trained, routing, select_best
 from credence.schema import CLAIM_MAX_WORDS, LABELS, RELIABLE_GRADES, UNRELIABLE_GRADES
@@ -21,11 +25,14 @@ TERMS = T.StructType([
     T.StructField("route", T.StringType()), T.StructField("term", T.StringType()),
     T.StructField("idf", T.DoubleType()), T.StructField("weight", T.DoubleType())])
 POINTER = "version string, published_at timestamp, model string, bias map<string,double>, routes array<string>, " \
-          "stop_words array<string>, metrics string"
+          "stop_words array<string>, metrics string, max_chars int"
 
 
 def metrics_document(trained: Trained, data_source: str, route_of_source: dict[str, str] | None = None) -> dict:
-    """Everything reported about a training run, as one nested record (bounded by models, sources, k terms)."""
+    """Everything reported about a training run, as one nested record (bounded by models, sources, k terms).
+
+    Its keys are fixed values of the data model.
+    """
     metrics = stage(trained.metrics(), "metrics")
     best = select_best(trained, metrics)
     rows = trained.fitted.rows
@@ -76,7 +83,7 @@ def publish(model: CredibilityModel, base: str, metrics: dict | None = None) ->
     spark.createDataFrame([(json.dumps(document, indent=2, ensure_ascii=False),)], "value string").coalesce(1) \
         .write.mode("overwrite").text(f"{path}/metrics", lineSep="\n")
     row = (model.version, datetime.now(timezone.utc), model.name, model.bias, model.routes,
-           None if model.stop_words is None else list(model.stop_words), json.dumps(document, ensure_ascii=False))
+           None if model.stop_words is None else list(model.stop_words), json.dumps(document, ensure_ascii=False), model.max_chars)
     spark.createDataFrame([row], POINTER).coalesce(1).write.mode("append").parquet(f"{base}/latest")
     return path
 
@@ -92,27 +99,51 @@ def pointer(spark: SparkSession, base: str) -> T.Row | None:
         raise
 
 
-def load_latest(spark: SparkSession, *bases: str) -> CredibilityModel | None:
-    """The current model of the first base that has one; None if no base has."""
+def load(spark: SparkSession, base: str, row: T.Row) -> CredibilityModel:
+    """The model of a pointer row; its term table is read and measured once, here."""
+    path = f"{base}/v{row['version']}"
+    return CredibilityModel(
+        row["model"], row["version"], sized(spark.read.schema(TERMS).parquet(f"{path}/terms")), {r: row["bias"][r] for r in row["routes"]},
+        None if row["stop_words"] is None else tuple(row["stop_words"]), path, json.loads(row["metrics"]), row["max_chars"])
+
+
+UNREADABLE = (PySparkException, Py4JError, ValueError, OSError)
+
+
+def newest(spark: SparkSession, current: CredibilityModel | None, bases: tuple[str, ...]) -> CredibilityModel | None:
+    """The model of the first base that can be read: ``current`` where that is the one, None if there is none.
+
+    A base that fails to read, be it the pointer or the tables it points to, is passed over with a warning.
+    """
     for base in bases:
-        row = pointer(spark, base)
-        if row is not None:
-            terms = spark.read.schema(TERMS).parquet(f"{base}/v{row['version']}/terms")
-            return CredibilityModel(
-                row["model"], row["version"], terms, {r: row["bias"][r] for r in row["routes"]},
-                None if row["stop_words"] is None else tuple(row["stop_words"]), f"{base}/v{row['version']}",
-                json.loads(row["metrics"]))
+        try:
+            row = pointer(spark, base)
+            if row is None:
+                continue
+            path = f"{base}/v{row['version']}"
+            same = current is not None and (current.version, current.name) == (row["version"], row["model"]) and current.origin in (None, path)
+            return current if same else load(spark, base, row)
+        except UNREADABLE as e:
+            warnings.warn(f"{base} cannot be read, trying the next: {e}", stacklevel=3)
     return None
 
 
+def load_latest(spark: SparkSession, *bases: str) -> CredibilityModel | None:
+    """The current model of the first base that has a readable one; None if no base has."""
+    return newest(spark, None, bases)
+
+
 def reload_if_changed(current: CredibilityModel | None, spark: SparkSession, *bases: str) -> CredibilityModel | None:
-    """``current`` while its version is still the published one, else the newly published model."""
-    for base in bases:
-        row = pointer(spark, base)
-        if row is not None:
-            same = current is not None and current.version == row["version"] and current.name == row["model"]
-            return current if same else load_latest(spark, base)
-    return current
+    """``current`` while its version is still the published one, or nothing can be read; else the newly published model."""
+    return newest(spark, current, bases) or current
+
+
+def wait_for_model(spark: SparkSession, *bases: str, seconds: float = 0, every: float = 5) -> CredibilityModel:
+    """The current model, waiting up to ``seconds`` for one to be published; an error if none is."""
+    end = time.monotonic() + seconds
+    while (found := load_latest(spark, *bases)) is None and time.monotonic() < end:
+        time.sleep(min(every, max(0.0, end - time.monotonic())))
+    return require_model(found)
 
 
 def model_info(model: CredibilityModel) -> dict:

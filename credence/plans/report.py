@@ -9,18 +9,18 @@ from pyspark.sql import functions as F
 
 from credence.functions.text import pretty_term
 from credence.operators.evaluate import OVERALL, SCORES, confusion_matrix
-from credence.schema import LABELS, RECENT_MAX
+from credence.schema import LABELS
 
-FEED_SIZE = 60
+# The key figures of a comparison.
 KPIS = ["accuracy", "macro_f1", "roc_auc", "recall"]
 
 
 # ----------------------------------------------------------------------------- live feed
 
 def recent(predictions: DataFrame, limit: int = 50, ties: Sequence[str] = ("id",)) -> DataFrame:
-    """The newest verdicts, newest first; rows without a time come last."""
-    if not 1 <= limit <= RECENT_MAX:
-        raise ValueError(f"limit must be between 1 and {RECENT_MAX}")
+    """The newest ``limit`` verdicts, newest first; rows without a time come last."""
+    if limit < 1:
+        raise ValueError("limit must be at least 1")
     return predictions.orderBy(F.desc_nulls_last("scored_at"), *ties).limit(limit)
 
 

@@ -8,12 +8,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from credence.operators.models import CredibilityModel
+from credence.operators.models import CredibilityModel, require_model
 from credence.operators.normalize import interleave, keep_last
-from credence.plans.registry import metrics_document, publish
+from credence.plans.registry import load_latest, metrics_document, publish
 from credence.plans.train import train
-from credence.session import stage
-from credence.sources.files import load_raw, read_landed
+from credence.session import short_lived, stage
+from credence.schema import RECORD
+from credence.sources.files import load_raw, read_landed, source_names
 from credence.sources.topic import (TOPIC_ARTICLES, TOPIC_INCOMING, TOPIC_PREDICTIONS, read_topic, sent_counts,
                                     write_records)
 from credence.streaming.jobs import land, score_stream
@@ -25,32 +26,39 @@ def produce(spark: SparkSession, raw: str, sources: Sequence[str] = ("kaggle", "
 
     ``where``: ``format`` and its options, as for ``write_records``.
     """
-    rows = stage(load_raw(spark, raw, sources).withColumn("seq", F.monotonically_increasing_id()), "raw")
-    sent = stage(interleave(rows, "seq", list(sources), limit).drop("seq", "turn", "source_rank"), "sent")
+    names = source_names(sources)
+    rows = stage(load_raw(spark, raw, names).withColumn("row", F.monotonically_increasing_id()), "raw")
+    # A topic keeps no order between keys: each record carries its place instead, and nothing is sorted.
+    sent = stage(interleave(rows, "row", names, limit, sort=False).withColumnRenamed("place", "seq").drop("row", "turn", "source_rank"), "sent")
     write_records(sent, topic, **where)
     return sent_counts(sent)
 
 
 def sink(spark: SparkSession, root: str, checkpoint: str, until_idle: bool = False, rate: int | None = None,
          topic: str = TOPIC_ARTICLES, **where) -> StreamingQuery:
-    """Land the article topic; ``rate`` limits what one micro-batch takes."""
-    return land(read_topic(spark, topic, limit=rate, **where), root, checkpoint, until_idle)
+    """Land the article topic, each record with its place in what was sent; ``rate`` limits what one micro-batch takes."""
+    return land(read_topic(spark, topic, RECORD, limit=rate, **where), root, checkpoint, until_idle)
 
 
 def latest_articles(landed: DataFrame) -> DataFrame:
-    """One record per id: the one landed last (date, then ingestion time; the text decides between equals)."""
-    return keep_last(landed, ["dt", "ingested_at", "text"]).drop("dt")
+    """One record per id: the one landed last, by date, ingestion time and place (``seq``) in what was sent."""
+    return keep_last(landed, ["dt", "ingested_at", "seq"]).drop("dt", "seq")
 
 
 def train_and_publish(articles: DataFrame, base: str | None, data_source: str, **options) -> tuple[CredibilityModel, dict]:
     """Train both classifiers and publish the better one below ``base`` (None: do not publish)."""
-    trained = train(articles, **options)
-    document = metrics_document(trained, data_source, options.get("route_of_source"))
-    best = trained.models[document["best_model"]]
-    best.metrics = document
-    if base:
-        best.origin = publish(best, base, document)
-    return best, document
+    if not base:
+        trained = train(articles, **options)
+        document = metrics_document(trained, data_source, options.get("route_of_source"))
+        best = trained.models[document["best_model"]]
+        best.metrics = document
+        return best, document
+    spark = articles.sparkSession
+    with short_lived(spark):        # what the training staged goes once the model is published
+        trained = train(articles, **options)
+        document = metrics_document(trained, data_source, options.get("route_of_source"))
+        publish(trained.models[document["best_model"]], base, document)
+    return require_model(load_latest(spark, base)), document
 
 
 def train_from_landed(spark: SparkSession, root: str, base: str | None, **options) -> tuple[CredibilityModel, dict]:
@@ -58,13 +66,18 @@ def train_from_landed(spark: SparkSession, root: str, base: str | None, **option
 
 
 def train_from_raw(spark: SparkSession, raw: str, base: str | None, **options) -> tuple[CredibilityModel, dict]:
-    rows = load_raw(spark, raw).withColumn("dt", F.current_date())
-    return train_and_publish(latest_articles(rows), base, raw, **options)
+    return train_and_publish(latest_raw(spark, raw), base, raw, **options)
+
+
+def latest_raw(spark: SparkSession, raw: str) -> DataFrame:
+    """The raw data sets with one record per id, the last by file and position."""
+    rows = stage(load_raw(spark, raw).withColumn("row", F.monotonically_increasing_id()), "raw")
+    return keep_last(rows, ["row"]).drop("row")
 
 
 def score_incoming(spark: SparkSession, registry: Sequence[str], archive: str, checkpoint: str, until_idle: bool = False,
-                   starting: str = "latest", **where) -> StreamingQuery:
-    """Score the incoming topic; predictions go to their topic and to the archive."""
+                   starting: str = "latest", wait_seconds: float = 0, **where) -> StreamingQuery:
+    """Score the incoming topic; predictions go to their topic and to the archive. Waits for a model first."""
     stream = read_topic(spark, TOPIC_INCOMING, starting=starting, **where)
     return score_stream(stream, list(registry), archive, checkpoint,
-                        lambda p: write_records(p, TOPIC_PREDICTIONS, **where), until_idle)
+                        lambda p: write_records(p, TOPIC_PREDICTIONS, **where), until_idle, wait_seconds=wait_seconds)

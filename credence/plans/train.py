@@ -11,14 +11,14 @@ from time import monotonic
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from credence.functions.text import meta_tokens, model_input, route_for, with_meta
+from credence.functions.text import cut, meta_tokens, model_input, route_for, with_meta
 from credence.operators.evaluate import best_model, evaluate, routing_accuracy
-from credence.operators.features import document_vectors, fit_vocabulary
+from credence.operators.features import document_vectors, fit_vocabulary, sized
 from credence.operators.models import (CredibilityModel, class_counts, known_route, lr_weights, nb_bias, nb_weights,
                                        probabilities)
 from credence.operators.normalize import with_defaults
 from credence.operators.split import stratified_split
-from credence.schema import MAX_CHARS, MAX_DF, MAX_FEATURES, NB_ALPHA, ROUTE_OF_SOURCE, SEED, TEST_SIZE
+from credence.schema import MAX_DF, NB_ALPHA, ROUTE_OF_SOURCE, SEED, TEST_SIZE
 from credence.session import stage
 
 LR, NB = "logistic_regression", "naive_bayes"
@@ -33,7 +33,7 @@ def input_for(route: Column) -> Column:
     return with_meta(F.col("base"), F.col("meta"), route)
 
 
-def prepare_training(articles: DataFrame, route_of_source: dict[str, str] | None = None) -> DataFrame:
+def prepare_training(articles: DataFrame, route_of_source: dict[str, str] | None = None, max_chars: int | None = None) -> DataFrame:
     """Staged (id, source, label, route by rule, fit_route by source, base, meta) without empty texts.
 
     ``base`` is the article input; the claim input adds ``meta``. The filter on the cleaned text
@@ -43,7 +43,7 @@ def prepare_training(articles: DataFrame, route_of_source: dict[str, str] | None
         with_defaults(articles).where("label IS NOT NULL")
         .select("id", "source", F.col("label").cast("int").alias("label"), route_for().alias("route"),
                 source_route(route_of_source or ROUTE_OF_SOURCE).alias("fit_route"),
-                F.substring(model_input("title", "text"), 1, MAX_CHARS).alias("base"),
+                cut(model_input("title", "text"), max_chars).alias("base"),
                 meta_tokens().alias("meta")))
     return stage(rows, "prepared").where("base <> ''")
 
@@ -57,6 +57,7 @@ class Fitted:
     vectors: DataFrame         # training rows
     counts: list               # class counts per route, fallback route first
     stop_words: tuple[str, ...] | None
+    max_chars: int | None = None
 
 
 @dataclass
@@ -73,12 +74,15 @@ class Trained:
 
 
 def fit_features(articles: DataFrame, route_of_source: dict[str, str] | None = None, test_size: float = TEST_SIZE,
-                 seed: int = SEED, max_features: int = MAX_FEATURES, min_df: dict[str, int] | None = None,
-                 max_df: float = MAX_DF, stop_words: Iterable[str] | None = None) -> Fitted:
-    """Split, vocabulary and training vectors; ``articles`` have unique ids (see ``keep_last``)."""
+                 seed: int = SEED, max_features: int | None = None, min_df: dict[str, int] | None = None,
+                 max_df: float = MAX_DF, stop_words: Iterable[str] | None = None, max_chars: int | None = None) -> Fitted:
+    """Split, vocabulary and training vectors; ``articles`` have unique ids (see ``keep_last``).
+
+    ``max_chars`` and ``max_features`` are off by default: whole texts, and all terms that ``min_df`` and ``max_df`` leave.
+    """
     routes = route_of_source or ROUTE_OF_SOURCE
     stop = None if stop_words is None else tuple(stop_words)
-    prepared = prepare_training(articles, routes)
+    prepared = prepare_training(articles, routes, max_chars)
     rows = stratified_split(prepared, test_size=test_size, seed=seed)
     train = rows.where(~F.col("is_test") & F.col("fit_route").isNotNull()).select(
         "id", "label", F.col("fit_route").alias("route"), input_for(F.col("fit_route")).alias("input"))
@@ -89,7 +93,7 @@ def fit_features(articles: DataFrame, route_of_source: dict[str, str] | None = N
     for r in counts:
         if not (r["n0"] and r["n1"]):
             raise ValueError(f"route {r['route']!r} has training rows of one class only")
-    return Fitted(rows, vocabulary, vectors, counts, stop)
+    return Fitted(rows, vocabulary, vectors, counts, stop, max_chars)
 
 
 def fit_naive_bayes(fitted: Fitted, alpha: float = NB_ALPHA) -> tuple[DataFrame, dict[str, float]]:
@@ -108,10 +112,10 @@ def fit_models(fitted: Fitted, fits: dict, version: str) -> tuple[DataFrame, dic
         weights, bias[name] = fit(fitted)
         table = table.join(stage(weights.withColumnRenamed("weight", f"w_{name}"), name), ["route", "idx"])
         seconds[name] = round(monotonic() - start, 2)
-    table = stage(table, "term-table")
+    table = sized(stage(table, "term-table"))
     models = {
         name: CredibilityModel(name, version, table.select("route", "term", "idf", F.col(f"w_{name}").alias("weight")),
-                               bias[name], fitted.stop_words)
+                               bias[name], fitted.stop_words, max_chars=fitted.max_chars)
         for name in fits
     }
     return table.drop("idx"), models, seconds

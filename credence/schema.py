@@ -21,9 +21,7 @@ CLAIM_SPLITS = ["train", "valid", "test"]
 ROUTE_OF_SOURCE = {"kaggle": "article", "liar": "claim"}
 MAX_LENGTH = {"title": 1_000, "text": 200_000, "speaker": 200, "party": 100, "subject": 300,
               "context": 300, "state": 100}
-MAX_CHARS = 10_000
 CLAIM_MAX_WORDS = 60
-MAX_FEATURES = 100_000
 MIN_DF = {"article": 2, "claim": 1}
 MAX_DF = 0.9
 LR_C = {"article": 10.0, "claim": 1.0}
@@ -35,7 +33,6 @@ SEED = 42
 THRESHOLD = 0.5
 EXPLAIN_K = 8
 VOCABULARY_K = 20
-RECENT_MAX = 300
 
 # Words a CSV/TSV reader treats as missing (the documented pandas defaults).
 NA_WORDS = ["", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan", "1.#IND", "1.#QNAN",
@@ -57,6 +54,9 @@ ARTICLE = T.StructType([
     T.StructField("ingested_at", T.TimestampType()),
 ])
 
+# An article on its way through a topic and a landing folder: with its place in what was sent.
+RECORD = T.StructType([*ARTICLE.fields, T.StructField("seq", T.LongType())])
+
 TERM = T.StructType([
     T.StructField("term", T.StringType()),
     T.StructField("weight", T.DoubleType()),

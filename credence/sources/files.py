@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Sequence
 
 from pyspark.errors import AnalysisException
@@ -11,9 +12,9 @@ from pyspark.sql import types as T
 
 from credence.functions.text import WS
 from credence.operators.normalize import normalize_articles, normalize_claims, null_na_words, union_all
-from credence.schema import ARTICLE, ARTICLE_CSV_COLUMNS, CLAIM_SPLITS, CLAIM_TSV_COLUMNS
+from credence.schema import ARTICLE, ARTICLE_CSV_COLUMNS, CLAIM_SPLITS, CLAIM_TSV_COLUMNS, RECORD, ROUTE_OF_SOURCE
 
-LANDED = T.StructType([*ARTICLE.fields, T.StructField("dt", T.DateType())])
+LANDED = T.StructType([*RECORD.fields, T.StructField("dt", T.DateType())])
 
 
 def strings(names: Sequence[str]) -> T.StructType:
@@ -21,30 +22,26 @@ def strings(names: Sequence[str]) -> T.StructType:
 
 
 def or_empty(spark: SparkSession, read, schema: T.StructType) -> DataFrame:
-    """The result of ``read()``, or no rows when its path does not exist."""
+    """The result of ``read()``, or no rows and a warning when its path does not exist."""
     try:
         return read()
     except AnalysisException as e:
         if e.getCondition() == "PATH_NOT_FOUND":
+            warnings.warn(f"no rows were read: {e.getMessage()}", stacklevel=3)
             return spark.createDataFrame([], schema)
         raise
 
 
-def check_columns(df: DataFrame, expected: Sequence[str]) -> DataFrame:
-    if df.columns != list(expected):
-        raise ValueError(f"unexpected columns {df.columns}")
-    return df
-
-
 def read_article_csv(spark: SparkSession, path: str) -> DataFrame:
-    """All-string rows of the article CSV: quoted newlines, doubled quotes, missing-value words as null."""
-    options = dict(header=True, multiLine=True, quote='"', escape='"', nullValue="", encoding="UTF-8")
+    """All-string rows of the article CSV: quoted newlines, doubled quotes, missing-value words as null.
+
+    The header of every file is compared with the expected columns when the file is read; another one is an
+    error. Quoted newlines cannot be found from the middle of a file, so one task reads a whole file: large
+    data sets should come as many files.
+    """
+    options = dict(header=True, multiLine=True, quote='"', escape='"', nullValue="", encoding="UTF-8",
+                   enforceSchema=False, columnPruning=False)
     def read() -> DataFrame:
-        # The header is read as data once, to reject a file with other columns.
-        names = spark.read.options(**{**options, "header": False}).csv(path).limit(1)
-        head = names.first()
-        if head is not None and list(head) != ARTICLE_CSV_COLUMNS:
-            raise ValueError(f"unexpected columns {list(head)}")
         return spark.read.schema(strings(ARTICLE_CSV_COLUMNS)).options(**options).csv(path)
     return null_na_words(or_empty(spark, read, strings(ARTICLE_CSV_COLUMNS)))
 
@@ -60,8 +57,17 @@ def read_claim_tsv(spark: SparkSession, path: str, split: str) -> DataFrame:
     return null_na_words(or_empty(spark, read, schema)).withColumn("split", F.lit(split))
 
 
+def source_names(names: Sequence[str]) -> list[str]:
+    """Names without blanks around them; one that is no raw data set is an error."""
+    found = [n.strip() for n in names]
+    if unknown := [n for n in found if n not in ROUTE_OF_SOURCE]:
+        raise ValueError(f"unknown sources {unknown}, expected {list(ROUTE_OF_SOURCE)}")
+    return found
+
+
 def load_raw(spark: SparkSession, root: str, sources: Sequence[str] = ("kaggle", "liar")) -> DataFrame:
-    """Both raw data sets below ``root`` as article records; missing files contribute nothing."""
+    """The named raw data sets below ``root`` as article records; missing files contribute nothing but a warning."""
+    sources = source_names(sources)
     parts = [spark.createDataFrame([], ARTICLE)]
     if "kaggle" in sources:
         parts.append(normalize_articles(read_article_csv(spark, f"{root}/kaggle/train.csv")))

@@ -13,17 +13,11 @@ SOURCES = ["article", "claim", "page", "conversation", "benchmark"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spread(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
-
-
-def spread(scan: DataFrame) -> DataFrame:
-    """Give every core a share of a table whose files make fewer splits than there are cores.
-
-    Text work costs far more than moving a small table once. A table with enough splits, that is any
-    large one, is left alone. Rows are dealt out evenly, not by a key that might be skewed.
-    """
-    cores = scan.sparkSession.sparkContext.defaultParallelism
-    return scan if scan.rdd.getNumPartitions() >= cores else scan.repartition(cores)
+    """A scan of the table. ``credence.scan.partitions`` in the session deals its rows out evenly, for small
+    tables of a single row group; by default the splits are those of the files."""
+    scan = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    parts = spark.conf.get("credence.scan.partitions", None)
+    return scan.repartition(int(parts)) if parts else scan
 
 
 def labelled_articles(spark: SparkSession, sf_dir: str, labelled_only: bool = True) -> DataFrame:

@@ -9,13 +9,13 @@ from pyspark.sql import types as T
 from credence.operators.normalize import with_defaults
 from credence.schema import ARTICLE, META_FIELDS
 
-# Default topic names.
+# Default topic names.
 TOPIC_ARTICLES = "news-articles"
 TOPIC_INCOMING = "news-incoming"
 TOPIC_PREDICTIONS = "news-predictions"
 
 RECORD = "key string, value string"
-# Producer settings: wait for all replicas, compress, allow records of up to 5 MiB.
+# Fixed values, producer settings: wait for all replicas, compress, allow records of up to 5 MiB.
 PRODUCER = {"kafka.acks": "all", "kafka.compression.type": "gzip", "kafka.linger.ms": "20",
             "kafka.max.request.size": str(5 * 1024 * 1024)}
 

@@ -8,8 +8,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from credence.operators.models import CredibilityModel, require_model, score
-from credence.plans.registry import reload_if_changed
+from credence.operators.models import CredibilityModel, score
+from credence.plans.registry import reload_if_changed, wait_for_model
 from credence.plans.report import window_rates
 from credence.session import short_lived, stage
 
@@ -35,24 +35,25 @@ def land(stream: DataFrame, root: str, checkpoint: str, until_idle: bool = False
 
 def score_stream(stream: DataFrame, registry: list[str], archive: str, checkpoint: str,
                  publish: Callable[[DataFrame], None] | None = None, until_idle: bool = False,
-                 interval: str = ARCHIVE) -> StreamingQuery:
+                 interval: str = ARCHIVE, wait_seconds: float = 0) -> StreamingQuery:
     """Score every micro-batch with the current model, archive the predictions, and publish them.
 
-    Each micro-batch checks the registry's pointer, so a newly published model is used from the next
-    one on. A batch is archived below its own number with overwrite, so that a repeated batch replaces
-    itself; ``publish`` (for example a topic writer) is at-least-once.
+    Before it starts, the job waits up to ``wait_seconds`` for a model. Each micro-batch checks the registry's
+    pointer, so a newly published model is used from the next one on. A batch is archived below its date
+    and number, ``dt=.../batch=N``, and replaces that folder when it is repeated on that date; ``publish``
+    (for example a topic writer) is at-least-once.
     """
-    current: list[CredibilityModel | None] = [None]
+    current: list[CredibilityModel] = [wait_for_model(stream.sparkSession, *registry, seconds=wait_seconds)]
 
     def handle(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
-        current[0] = require_model(reload_if_changed(current[0], spark, *registry))
+        current[0] = reload_if_changed(current[0], spark, *registry)
         with short_lived(spark):
             predictions = stage(score(batch, current[0]), "predictions")     # two sinks, scored once
             if publish:
                 publish(predictions)
-            (predictions.withColumn("dt", F.to_date("scored_at"))
-             .write.mode("overwrite").partitionBy("dt").json(f"{archive}/batch={number}"))
+            (predictions.withColumn("dt", F.to_date("scored_at")).withColumn("batch", F.lit(number))
+             .write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("dt", "batch").json(archive))
 
     return (stream.writeStream.foreachBatch(handle).option("checkpointLocation", checkpoint)
             .trigger(**_trigger(until_idle, interval)).queryName("score-incoming").start())

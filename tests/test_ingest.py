@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from credence.operators import normalize as N
+from credence.plans import run
 from credence.schema import ARTICLE
 from credence.sources import files, topic
 
@@ -37,8 +38,31 @@ def test_article_csv(spark, tmp_path):
 
 
 def test_article_csv_checks_its_header(spark, tmp_path):
-    with pytest.raises(ValueError, match="unexpected columns"):
-        files.read_article_csv(spark, write(tmp_path / "bad.csv", "id,text\n1,x\n"))
+    good, other = "id,title,author,text,label\n1,t,a,\"x\ny\",0\n", "id,author,title,label,text\n2,au,ti,1,body\n"
+    write(tmp_path / "set" / "1.csv", good)
+    assert files.read_article_csv(spark, str(tmp_path / "set")).count() == 1
+    write(tmp_path / "set" / "2.csv", other)                     # any file of a folder is checked
+    for bad in (str(tmp_path / "set"), write(tmp_path / "bad.csv", "id,text\n1,x\n"), write(tmp_path / "order.csv", other)):
+        with pytest.raises(Exception, match="(?i)header"):
+            files.read_article_csv(spark, bad).select("id").collect()
+
+
+def test_sources_are_named_exactly(spark, tmp_path):
+    write(tmp_path / "kaggle" / "train.csv", "id,title,author,text,label\n1,t,a,x,0\n")
+    write(tmp_path / "liar" / "train.tsv", "1.json\ttrue\tsaid so\n")
+    with pytest.warns(UserWarning, match="no rows were read"):
+        rows = files.load_raw(spark, str(tmp_path), ["kaggle", " liar "])
+    assert {r["source"] for r in rows.collect()} == {"kaggle", "liar"}
+    with pytest.raises(ValueError, match="unknown sources"):
+        files.load_raw(spark, str(tmp_path), ["kaggle", "lair"])
+
+
+def test_last_of_equal_ids_wins_by_position(spark, tmp_path):
+    """Equal texts with other metadata, and a text that sorts before its predecessor's."""
+    write(tmp_path / "kaggle" / "train.csv", "id,title,author,text,label\n1,a,x,zz,0\n1,b,y,zz,1\n2,c,x,zz,0\n2,d,x,aa,1\n3,e,x,q,0\n")
+    with pytest.warns(UserWarning):
+        rows = {r["id"]: (r["title"], r["author"], r["label"]) for r in run.latest_raw(spark, str(tmp_path)).collect()}
+    assert rows == {"kaggle-1": ("b", "y", 1), "kaggle-2": ("d", "x", 1), "kaggle-3": ("e", "x", 0)}
 
 
 def test_non_numeric_label_is_an_error(spark):
@@ -94,6 +118,15 @@ def test_keep_last_under_a_hot_key(spark):
     assert out.where("id = 'hot'").first()["seq"] == 19_998
 
 
+def test_keep_last_of_equal_rows(spark):
+    rows = [("a", 1, "x"), ("a", 1, "x"), ("b", None, "y"), (None, 2, "z"), (None, 1, "z"), ("c", 1, "p"), ("c", 1, "q")]
+    df = spark.createDataFrame(rows, "id string, seq int, text string")
+    got = N.keep_last(df, ["seq"])
+    assert sorted(str(r["id"]) for r in got.collect()) == ["None", "a", "b", "c"] and got.where("id IS NULL").first()["seq"] == 2
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert not [line for line in plan.splitlines() if "SortAggregate" in line and "text" in line]
+
+
 @pytest.mark.parametrize("limit", [0, 7, 1000])
 def test_interleave_equals_round_robin(spark, limit):
     queues = {"a": list(range(500)), "b": list(range(1000, 1003)), "c": []}

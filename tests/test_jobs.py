@@ -1,5 +1,6 @@
+from credence import session
 from credence.plans import registry, run
-from credence.sources import topic
+from credence.sources import files, topic
 from test_models import RELIABLE, UNRELIABLE
 
 
@@ -33,3 +34,11 @@ def test_raw_files_to_verdicts(spark, tmp_path):
     out = spark.read.json(str(tmp_path / "archive")).collect()
     assert sorted((r["label"], r["route"]) for r in out) == [("reliable", "claim"), ("unreliable", "claim")]
     assert all(r["id"].startswith("live-") and r["submitted_at"] for r in out)
+
+
+def test_nothing_staged_is_left_after_publishing(spark, tmp_path, monkeypatch):
+    raw_files(tmp_path / "raw")
+    monkeypatch.setattr(session, "staging_root", lambda spark: str(tmp_path / "staging"))
+    rows = files.load_raw(spark, str(tmp_path / "raw"))
+    best, _ = run.train_and_publish(rows, str(tmp_path / "models"), "raw", min_df={"article": 1, "claim": 1})
+    assert list((tmp_path / "staging").iterdir()) == [] and best.terms.count() > 0

@@ -1,4 +1,6 @@
 import json
+import shutil
+import threading
 import random
 import re
 from datetime import datetime, timedelta
@@ -73,10 +75,31 @@ def test_land_and_score_streams(spark, trained, tmp_path):
 
 def test_scoring_stream_needs_a_model(spark, tmp_path):
     topic.write_records(spark.createDataFrame([("a", "x")], "id string, text string"), "in", "parquet", str(tmp_path))
-    query = jobs.score_stream(topic.read_topic(spark, "in", format="parquet", path=str(tmp_path)), [str(tmp_path / "none")],
-                              str(tmp_path / "out"), str(tmp_path / "c"), until_idle=True)
-    with pytest.raises(Exception, match="no trained model"):
-        query.awaitTermination()
+    with pytest.raises(LookupError, match="no published model"):
+        jobs.score_stream(topic.read_topic(spark, "in", format="parquet", path=str(tmp_path)), [str(tmp_path / "none")],
+                          str(tmp_path / "out"), str(tmp_path / "c"), until_idle=True)
+
+
+def test_scoring_stream_waits_for_a_model(spark, trained, tmp_path):
+    base = str(tmp_path / "models")
+    publisher = threading.Timer(2, lambda: registry.publish(trained.models[T.NB], base, {}))
+    publisher.start()
+    assert registry.wait_for_model(spark, base, seconds=60, every=0.5).name == T.NB
+    publisher.join()
+
+
+def test_unreadable_registries_are_passed_over(spark, trained, tmp_path):
+    good, torn, broken = (str(tmp_path / n) for n in ("good", "torn", "broken"))
+    registry.publish(trained.models[T.NB], good, {})
+    registry.publish(trained.models[T.NB], torn, {})
+    shutil.rmtree(f"{torn}/v{trained.models[T.NB].version}/terms")            # the pointer's tables are gone
+    (tmp_path / "broken" / "latest").mkdir(parents=True)
+    (tmp_path / "broken" / "latest" / "part-0.parquet").write_bytes(b"not a table")
+    with pytest.warns(UserWarning, match="cannot be read"):
+        loaded = registry.load_latest(spark, torn, broken, good)
+    assert loaded.name == T.NB and loaded.origin.startswith(good)
+    with pytest.warns(UserWarning):
+        assert registry.reload_if_changed(loaded, spark, broken) is loaded
 
 
 def test_repeats_are_dropped(spark, tmp_path):
@@ -105,8 +128,9 @@ def test_feed_reports(spark, feed):
     assert buckets == {**{i: 0 for i in range(15)}, 14: 2, 13: 3, 0: 1}
     assert [r["id"] for r in report.recent(feed, 3).collect()] == ["7", "0", "1"]
     assert report.recent(feed, 300).collect()[-1]["id"] == "none"
+    assert report.recent(feed, 10_000).count() == 9
     with pytest.raises(ValueError):
-        report.recent(feed, 301)
+        report.recent(feed, 0)
     assert tuple(report.feed_stats(feed.where("id < '4'")).first()) == (4, 0.5, pytest.approx(0.575))
     assert tuple(report.feed_stats(feed.where("false")).first()) == (0, 0.0, 0.0)
     assert report.freshness(feed, now).first()["is_live"]
