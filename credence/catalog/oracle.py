@@ -208,6 +208,24 @@ def pretty(c: str) -> str:
     return f"CASE WHEN array_to_string({shown}, ' ') <> {c} THEN array_to_string({shown}, ' · ') ELSE {c} END"
 
 
+def newton(c: float = 0.5, steps: int = 12) -> str:
+    """CTEs of Newton steps for logistic regression on two features and a penalised intercept, balanced classes."""
+    out = ["ev AS (SELECT event_id::VARCHAR AS id, CASE WHEN event_type = 'error' THEN 1 ELSE 0 END AS label, value / 100 AS x, (user_id % 7) / 7.0::DOUBLE AS y FROM events)",
+           "size AS (SELECT count(*) AS n, count(*) FILTER (label = 1) AS n1 FROM ev)",
+           "row_ AS (SELECT label, x, y, CASE WHEN label = 1 THEN n / (2.0::DOUBLE * n1) ELSE n / (2.0::DOUBLE * (n - n1)) END AS w FROM ev, size)",
+           "s0 AS (SELECT 0.0::DOUBLE AS a, 0.0::DOUBLE AS b, 0.0::DOUBLE AS d)"]
+    for i in range(steps):
+        out.append(f"""g{i} AS (SELECT a, b, d, a / {c} + sum(w * (p - label) * x) AS g1, b / {c} + sum(w * (p - label) * y) AS g2, d / {c} + sum(w * (p - label)) AS g3,
+  1 / {c} + sum(h * x * x) AS h11, sum(h * x * y) AS h12, sum(h * x) AS h13, 1 / {c} + sum(h * y * y) AS h22, sum(h * y) AS h23, 1 / {c} + sum(h) AS h33
+  FROM (SELECT *, w * p * (1 - p) AS h FROM (SELECT *, 1 / (1 + exp(-(a * x + b * y + d))) AS p FROM row_, s{i})) GROUP BY a, b, d)""")
+        out.append(f"""s{i + 1} AS (SELECT
+  a - (g1 * (h22 * h33 - h23 * h23) - h12 * (g2 * h33 - h23 * g3) + h13 * (g2 * h23 - h22 * g3)) / det AS a,
+  b - (h11 * (g2 * h33 - g3 * h23) - g1 * (h12 * h33 - h23 * h13) + h13 * (h12 * g3 - g2 * h13)) / det AS b,
+  d - (h11 * (h22 * g3 - h23 * g2) - h12 * (h12 * g3 - g2 * h13) + g1 * (h12 * h23 - h22 * h13)) / det AS d
+  FROM (SELECT *, h11 * (h22 * h33 - h23 * h23) - h12 * (h12 * h33 - h23 * h13) + h13 * (h12 * h23 - h22 * h13) AS det FROM g{i}))""")
+    return "WITH " + ",\n".join(out) + "\n"
+
+
 def build() -> dict[str, str]:
     q: dict[str, str] = {}
     q["normalize_documents"] = f"SELECT id, source, title, text, speaker, subject, label, label_raw FROM ({select_articles('LEFT JOIN')})"
@@ -303,7 +321,30 @@ par AS (SELECT *, two IS NOT NULL AND (c - first_c) % 2 = 0 AS takes FROM grp),
 free AS (SELECT *, coalesce(lag(takes) OVER (PARTITION BY id ORDER BY c), false) AS used FROM par),
 mk AS (SELECT id, e - n AS s, CASE WHEN takes THEN e2 ELSE e END AS e, CASE WHEN takes THEN two ELSE one END AS term,
   CASE WHEN takes THEN two_d ELSE one_d END AS direction FROM free WHERE takes OR (NOT used AND one IS NOT NULL))
-SELECT id, row_number() OVER (PARTITION BY id ORDER BY s) - 1 AS n, s AS "start", e AS "end", term, direction FROM mk"""
+SELECT id, row_number() OVER (PARTITION BY id ORDER BY s) - 1 AS n, s AS "start", e AS "end", term, direction, weight,
+  round(0.35::DOUBLE + 0.65::DOUBLE * abs(weight) / top, 2) AS alpha
+FROM mk JOIN (SELECT id, term, weight, greatest(max(abs(weight)) OVER (PARTITION BY id), 1e-9::DOUBLE) AS top FROM listed) USING (id, term)"""
+    q["verdict_terms"] = explain + f"""\nSELECT id, direction AS side, k - 1 AS rank, {pretty('term')} AS term, weight, round(abs(weight) / top, 9) AS strength
+      FROM (SELECT *, greatest(max(abs(weight)) OVER (PARTITION BY id), 1e-9::DOUBLE) AS top FROM listed) WHERE k <= 6"""
+    q["score_position"] = "WITH " + SCORE_ALL + f"\nSELECT id, {LABEL} AS label, row_number() OVER (ORDER BY id) AS place FROM verdicts WHERE source = 'benchmark'"
+    only = ",\n".join([TRAIN.replace("JOIN labels l USING (doc_id) WHERE", "JOIN labels l USING (doc_id) WHERE d.lang <> 'en' AND"), nb(), ALL,
+                       f"inp AS (SELECT id, 'claim' AS route, {input_for("'claim'")} AS input FROM (SELECT *, {BASE} AS base, {meta()} AS meta FROM docs))",
+                       tf("in_terms", "inp"), scored("verdicts", "inp", "in_terms")])
+    q["fallback_route"] = "WITH " + only + f"\nSELECT id, route, round(CASE WHEN p >= 0.5 THEN p ELSE 1 - p END, 4) AS confidence, {LABEL} AS label FROM verdicts"
+    q["lr_dense_weights"] = newton() + "SELECT n, round(a, 4) AS w0, round(b, 4) AS w1, round(d, 4) AS intercept FROM s12, size"
+    q["lr_dense_predict"] = newton() + "SELECT id, label, round(1 / (1 + exp(-(a * x + b * y + d))), 3) AS p FROM ev, s12"
+    q["metrics_document_scores"] = met + """, flat AS (UNPIVOT (SELECT scope, n::DOUBLE AS n, accuracy, "precision", recall, f1, macro_f1, roc_auc FROM met)
+      ON n, accuracy, "precision", recall, f1, macro_f1, roc_auc INTO NAME metric VALUE "value")
+      SELECT '20240506T070809Z' AS version, 'naive_bayes' AS model, scope, metric, "value" FROM flat
+      UNION ALL SELECT '20240506T070809Z', 'naive_bayes', 'run', u.metric, u.v::DOUBLE FROM (SELECT unnest([
+        {'metric': 'n_train', 'v': (SELECT count(*) FROM split WHERE NOT is_test)}, {'metric': 'n_test', 'v': (SELECT count(*) FROM split WHERE is_test)},
+        {'metric': 'n_features', 'v': (SELECT count(*) FROM vocab)}]) AS u)"""
+    reload_ = ",\n".join([SCORE_ALL, nb(1.0, "smooth"), scored("verdicts2", "inp", "in_terms", "smooth")])
+    shown = f"round(CASE WHEN p >= 0.5 THEN p ELSE 1 - p END, 4) AS confidence"
+    q["stream_reload"] = "WITH " + reload_ + "\n" + " UNION ALL ".join(
+        f"SELECT id, {LABEL} AS label, {shown}, '{m}' AS model, 'v{i}' AS model_version, {i}::BIGINT AS batch FROM {v} WHERE source = '{s}'"
+        for i, (m, v, s) in enumerate([("naive_bayes", "verdicts", "benchmark"), ("naive_bayes_smooth", "verdicts2", "conversation"), ("naive_bayes", "verdicts", "benchmark")]))
+    q["stream_repeats"] = with_(FEED) + "SELECT id, label, confidence FROM feed"
 
     q["recent_feed"] = with_(FEED) + f"SELECT id, strftime(scored_at, {TIME}) AS scored_at, label, confidence FROM feed ORDER BY feed.scored_at DESC, id LIMIT 50"
     q["feed_stats"] = with_(FEED) + """SELECT count(*) AS n, round(avg(CASE WHEN label = 'unreliable' THEN 1 ELSE 0 END), 6) AS unreliable_share,

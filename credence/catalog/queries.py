@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable
+from datetime import datetime
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DateType, LongType, StructField, StructType
 
@@ -376,6 +378,32 @@ def feed_terms(spark, sf_dir):
     return shown.select("id", "label", F.posexplode("feed_terms").alias("rank", "term")).withColumn("rank", bigint(F.col("rank")))
 
 
+@query
+def verdict_terms(spark, sf_dir):
+    """Both sides of a verdict as shown to a reader: six terms each, with strengths."""
+    shown = report.verdict_terms(_scored(spark, sf_dir))
+    sides = [shown.select("id", F.lit(side).alias("side"), F.posexplode(f"terms_{side}").alias("rank", "t")) for side in ("unreliable", "reliable")]
+    return N.union_all(*sides).select("id", "side", bigint(F.col("rank")).alias("rank"), "t.term", "t.weight", F.round("t.strength", 9).alias("strength"))
+
+
+@query
+def score_position(spark, sf_dir):
+    """Scored rows put back in input order by their position."""
+    rows = tables.benchmark(spark, sf_dir).orderBy("id")
+    scored = models.score(rows, fit_nb(spark, sf_dir), position="at")
+    place = F.row_number().over(Window.partitionBy("source").orderBy("at"))      # the benchmark table is the one source
+    return scored.select("id", "label", bigint(place).alias("place"))
+
+
+@query
+def fallback_route(spark, sf_dir):
+    """A model without a sub-model for articles: every row goes to the one that there is."""
+    claims = tables.labelled_articles(spark, sf_dir).where(F.col("source") == "claim")
+    fitted = T.fit_features(claims, tables.TABLE_ROUTES)
+    model = T.fit_models(fitted, {NB: T.fit_naive_bayes}, "claims-only")[1][NB]
+    return models.score(tables.all_sources(spark, sf_dir), model).select("id", "route", F.round("confidence", 4).alias("confidence"), "label")
+
+
 @query
 def pretty_terms(spark, sf_dir):
     return fit_nb(spark, sf_dir).terms.where("term RLIKE '(^| )(spk|subj)_'").select("term", X.pretty_term("term").alias("shown"))
@@ -386,11 +414,41 @@ def annotate_spans(spark, sf_dir):
     scored = models.score(tables.labelled_articles(spark, sf_dir), fit_nb(spark, sf_dir), passthrough=["text"])
     marked = scored.select("id", F.posexplode(spans("text", "top_terms")).alias("n", "s"))
     return marked.select("id", bigint(F.col("n")).alias("n"), bigint(F.col("s.start")).alias("start"), bigint(F.col("s.end")).alias("end"),
-                         "s.term", "s.direction")
+                         "s.term", "s.direction", "s.weight", "s.alpha")
 
 
 # ----------------------------------------------------------------------------- logistic regression
 
+def _dense_events(spark, sf_dir):
+    """Events as dense vectors of two features, and whether they are errors."""
+    values = F.array(F.col("value") / 100, F.pmod("user_id", F.lit(7)) / 7)
+    return tables.table(spark, sf_dir, "events").select(
+        F.col("event_id").cast("string").alias("id"), (F.col("event_type") == "error").cast("int").alias("label"), F.lit("article").alias("route"),
+        F.array(F.lit(0), F.lit(1)).alias("indices"), values.alias("values"))
+
+
+def _dense_fit(spark, sf_dir):
+    vectors = _dense_events(spark, sf_dir)
+    counts = models.class_counts(vectors).first()
+    weights, intercept = models.lr_fit(vectors, "article", 2, counts["n"], counts["n0"], counts["n1"], c=0.5, tol=1e-12)
+    return vectors, [*weights, intercept]
+
+
+@query
+def lr_dense_weights(spark, sf_dir):
+    """Logistic regression at its optimum: balanced classes, penalised weights and intercept."""
+    _, fitted = _dense_fit(spark, sf_dir)
+    events = tables.table(spark, sf_dir, "events").agg(F.count("*").alias("n"))
+    return events.select("n", *[F.round(F.lit(w), 4).alias(name) for name, w in zip(("w0", "w1", "intercept"), fitted)])
+
+
+@query
+def lr_dense_predict(spark, sf_dir):
+    vectors, (w0, w1, b) = _dense_fit(spark, sf_dir)
+    z = F.lit(b) + F.lit(w0) * F.get("values", F.lit(0)) + F.lit(w1) * F.get("values", F.lit(1))
+    return vectors.select("id", "label", F.round(models.logistic(z), 3).alias("p"))
+
+
 def _logistic(spark, sf_dir):
     return T.train(tables.labelled_articles(spark, sf_dir), route_of_source=tables.TABLE_ROUTES)
 
@@ -416,6 +474,20 @@ def metrics_document(spark, sf_dir):
     return spark.read.text(f"{base}/v{t.version}/metrics", wholetext=True)
 
 
+@query
+def metrics_document_scores(spark, sf_dir):
+    """The published metrics document of a naive Bayes run, read back, as flat scores; with the version of its time."""
+    t = T.train(tables.labelled_articles(spark, sf_dir), {NB: T.fit_naive_bayes}, datetime(2024, 5, 6, 7, 8, 9), route_of_source=tables.TABLE_ROUTES)
+    base = stage_path(spark, "models")
+    registry.publish(t.models[NB], base, registry.metrics_document(t, f"tables:{sf_dir}", tables.TABLE_ROUTES))
+    document = registry.load_latest(spark, base).metrics
+    rows = registry.metrics_table(spark, document).select("version", "model", "scope", "metric", "value")
+    counts = [(k, float(document[k])) for k in ("n_train", "n_test", "n_features")]
+    top = spark.createDataFrame(counts, "metric string, value double").select(
+        F.lit(document["version"]).alias("version"), F.lit(document["best_model"]).alias("model"), F.lit("run").alias("scope"), "metric", "value")
+    return rows.unionByName(top)
+
+
 # ----------------------------------------------------------------------------- live feed
 
 def _now(spark, sf_dir):
@@ -570,6 +642,43 @@ def stream_score(spark, sf_dir):
                            bigint(F.col("batch")).alias("batch"))
 
 
+@query
+def stream_reload(spark, sf_dir):
+    """Three throttled micro-batches; after each one another version is published, which the next one uses."""
+    root = stage_path(spark, "reload")
+    models_ = T.fit_models(T.fit_features(tables.labelled_articles(spark, sf_dir), tables.TABLE_ROUTES), BOTH_ALPHAS, "v0")[1]
+    turns = [models_[NB], models_[SMOOTH]]
+
+    def publish(number: int) -> None:
+        model = turns[number % 2]
+        model.version = f"v{number}"
+        registry.publish(model, f"{root}/models", {})
+
+    publish(0)
+    for rows in (tables.benchmark(spark, sf_dir), tables.conversations(spark, sf_dir), tables.benchmark(spark, sf_dir)):
+        topic.write_records(rows.coalesce(1), topic.TOPIC_INCOMING, "parquet", root)
+        time.sleep(1.1)             # files are taken by age
+    stream = topic.read_topic(spark, topic.TOPIC_INCOMING, format="parquet", path=root, limit=1)
+    done = []
+    jobs.score_stream(stream, [f"{root}/models"], f"{root}/archive", f"{root}/checkpoint", until_idle=True,
+                      publish=lambda p: (done.append(1), publish(len(done)))).awaitTermination()
+    return spark.read.schema(T_ARCHIVE).json(f"{root}/archive").select(
+        "id", "label", "confidence", "model", "model_version", bigint(F.col("batch")).alias("batch"))
+
+
+@query
+def stream_repeats(spark, sf_dir):
+    """The feed delivered twice, the second time within the watermark's delay: every verdict once."""
+    root = stage_path(spark, "repeats")
+    feed = tables.feed(spark, sf_dir).withColumn("scored_at", F.col("scored_at").cast("timestamp"))
+    late = feed.withColumn("scored_at", F.col("scored_at") + F.expr("INTERVAL 10 MINUTES"))
+    feed.union(late).write.parquet(f"{root}/feed")
+    stream = spark.readStream.schema("id string, scored_at timestamp, label string, confidence double").parquet(f"{root}/feed")
+    (jobs.drop_repeats(stream, "scored_at").writeStream.format("parquet").option("path", f"{root}/out")
+     .option("checkpointLocation", f"{root}/checkpoint").outputMode("append").trigger(availableNow=True).start().awaitTermination())
+    return spark.read.schema(feed.schema).parquet(f"{root}/out").select("id", "label", "confidence")
+
+
 @query
 def stream_flag_rate(spark, sf_dir):
     """The feed as a stream with a watermark: verdicts and flag rate of the closed windows."""
