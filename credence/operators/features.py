@@ -19,9 +19,12 @@ from credence.session import stage
 
 def explode_terms(docs: DataFrame, keep: Sequence[str], input_col: str = "input",
                   stop_words: Iterable[str] | None = None) -> DataFrame:
-    """One row per document and distinct term: ``keep`` + term, tf; null ones for a document without terms."""
+    """One row per document and distinct term: ``keep`` + term, tf; null ones for a document without terms.
+
+    Documents that bring their counted terms, in a column ``terms``, are not counted again.
+    """
     stop = ENGLISH if stop_words is None else stop_words
-    terms = term_counts(input_col, stop)
+    terms = F.col("terms") if "terms" in docs.columns else term_counts(input_col, stop)
     # The outer form on purpose: for the inner one the optimizer adds a filter that counts the terms again.
     counted = docs.select(*keep, F.explode_outer(terms).alias("_t"))
     return counted.select(*keep, F.col("_t.term").alias("term"), F.col("_t.tf").alias("tf"))
@@ -49,28 +52,27 @@ def fit_vocabulary(docs: DataFrame, max_features: int | None = None, min_df: dic
     ``max_features`` only the most frequent so many of each route, ties by term. ``idx`` numbers a route's
     terms in their order.
     """
-    n_docs = stage(docs.groupBy("route").agg(F.count("*").alias("n_docs")), "route-sizes")
-    routes = [r["route"] for r in n_docs.collect()]
-    if not routes:
+    sizes = {r["route"]: r["n"] for r in docs.groupBy("route").agg(F.count("*").alias("n")).collect()}
+    if not sizes:
         raise ValueError("no training rows")
-    least = {r: (MIN_DF if min_df is None else min_df).get(r, 1) for r in routes}
-    floor = reduce(lambda c, r: F.when(F.col("route") == r, least[r]).otherwise(c), routes, F.lit(1))
-    kept = stage(
-        document_frequency(docs, stop_words).join(n_docs, "route")
-        .where((F.col("df") >= floor) & (F.col("df") <= F.lit(max_df) * F.col("n_docs"))),
-        "terms")
-    found = {r["route"] for r in kept.select("route").distinct().collect()}
-    for route in routes:
-        if route not in found:
-            raise ValueError(f"no terms remain for route {route!r}: lower min_df or raise max_df")
-    chosen = kept if max_features is None else most_frequent(kept, routes, max_features)
-    return stage(
+    least = {r: (MIN_DF if min_df is None else min_df).get(r, 1) for r in sizes}
+    floor = reduce(lambda c, r: F.when(F.col("route") == r, least[r]).otherwise(c), sizes, F.lit(1))
+    n_docs = reduce(lambda c, r: F.when(F.col("route") == r, F.lit(sizes[r]).cast("bigint")).otherwise(c), sizes, F.lit(None).cast("bigint"))
+    kept = document_frequency(docs, stop_words).withColumn("n_docs", n_docs).where(
+        (F.col("df") >= floor) & (F.col("df") <= F.lit(max_df) * F.col("n_docs")))
+    chosen = kept if max_features is None else most_frequent(stage(kept, "terms"), max_features)
+    table = stage(
         sorted_numbers(chosen, ["route"], ["term"], "idx")
         .select("route", "term", "idx", "df", "cf", "n_docs", smooth_idf(F.col("df"), F.col("n_docs")).alias("idf")),
         "vocabulary")
+    found = {r["route"] for r in table.select("route").distinct().collect()}
+    for route in sizes:
+        if route not in found:
+            raise ValueError(f"no terms remain for route {route!r}: lower min_df or raise max_df")
+    return table
 
 
-def most_frequent(kept: DataFrame, routes: Sequence[str], max_features: int) -> DataFrame:
+def most_frequent(kept: DataFrame, max_features: int) -> DataFrame:
     """The ``max_features`` terms of each route with the greatest cf, ties by term.
 
     A histogram of cf in eighths of a power of two (a few hundred rows) tells which terms can still make
@@ -82,10 +84,9 @@ def most_frequent(kept: DataFrame, routes: Sequence[str], max_features: int) ->
              .withColumn("above", F.coalesce(F.sum("c").over(higher), F.lit(0)))
              .where(F.col("above") < max_features)
              .groupBy("route").agg(F.min("band").alias("lowest")).collect())
-    lowest = {r["route"]: r["lowest"] for r in bands}
-    return reduce(DataFrame.unionByName, [
-        banded.where((F.col("route") == r) & (F.col("band") >= lowest[r])).orderBy(F.desc("cf"), "term").limit(max_features)
-        for r in routes]).drop("band")
+    tops = [banded.where((F.col("route") == r["route"]) & (F.col("band") >= r["lowest"])).orderBy(F.desc("cf"), "term").limit(max_features)
+            for r in bands]
+    return reduce(DataFrame.unionByName, tops).drop("band") if tops else kept
 
 
 BROADCAST_BYTES = 256 * 1024 * 1024
@@ -115,10 +116,14 @@ def weighted_terms(docs: DataFrame, keep: Sequence[str], table: DataFrame,
     return known.unionByName(docs.select(*keep, "route") if marks is None else marks, allowMissingColumns=True)
 
 
+def content(docs: DataFrame) -> str:
+    return "terms" if "terms" in docs.columns else "input"
+
+
 def tfidf(docs: DataFrame, vocabulary: DataFrame, key: str = "id",
           stop_words: Iterable[str] | None = None) -> DataFrame:
     """Long form (id, route, term, tf, tfidf), L2-normalised per document."""
-    terms = weighted_terms(docs.select(key, "route", "input"), [key], sized(vocabulary.select("route", "term", "idf")), stop_words)
+    terms = weighted_terms(docs.select(key, "route", content(docs)), [key], sized(vocabulary.select("route", "term", "idf")), stop_words)
     norm = F.sqrt(F.sum(F.col("x") * F.col("x")).over(Window.partitionBy(key)))   # one document's terms
     return (terms.where("x IS NOT NULL").withColumn("tfidf", F.col("x") / norm)
             .select(key, "route", "term", "tf", "tfidf"))
@@ -130,7 +135,7 @@ def document_vectors(docs: DataFrame, vocabulary: DataFrame, keep: Sequence[str]
 
     A document's terms are collected where it is read; what is shuffled is its vector, not its text.
     """
-    terms = weighted_terms(docs.select(key, *keep, "route", "input"), [key, *keep],
+    terms = weighted_terms(docs.select(key, *keep, "route", content(docs)), [key, *keep],
                            sized(vocabulary.select("route", "term", "idx", "idf")), stop_words)
     entries = F.sort_array(F.collect_list(F.when(F.col("x").isNotNull(), F.struct("idx", "x"))))
     rows = terms.groupBy(key, *keep, "route").agg(entries.alias("e"), F.sqrt(F.sum(F.col("x") * F.col("x"))).alias("l2"))

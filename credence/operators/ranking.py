@@ -60,9 +60,8 @@ def sorted_numbers(df: DataFrame, group: Sequence[str], order: Sequence[str], na
     """
     parts = stage(df.repartitionByRange(*group, *order).withColumn("_part", F.spark_partition_id()), "sorted")
     before = Window.partitionBy(*group).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = stage(
-        parts.groupBy(*group, "_part").agg(F.count("*").alias("_n"))
-        .select(*group, "_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off")), "part-offsets")
+    offsets = (parts.groupBy(*group, "_part").agg(F.count("*").alias("_n"))
+               .select(*group, "_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off")))
     inside = Window.partitionBy(*group, "_part").orderBy(*order)
     number = (F.col("_off") + F.row_number().over(inside) - 1).cast("int")
     return parts.join(offsets, [*group, "_part"]).withColumn(name, number).drop("_part", "_off")

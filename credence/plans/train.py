@@ -11,7 +11,8 @@ from time import monotonic
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from credence.functions.text import cut, meta_tokens, model_input, route_for, with_meta
+from credence.functions.stopwords import ENGLISH
+from credence.functions.text import cut, meta_tokens, model_input, route_for, term_counts, with_meta
 from credence.operators.evaluate import best_model, evaluate, routing_accuracy
 from credence.operators.features import document_vectors, fit_vocabulary, sized
 from credence.operators.models import (CredibilityModel, class_counts, known_route, lr_weights, nb_bias, nb_weights,
@@ -52,7 +53,7 @@ def prepare_training(articles: DataFrame, route_of_source: dict[str, str] | None
 class Fitted:
     """Everything the later steps share, computed once."""
 
-    rows: DataFrame            # prepared rows with is_test
+    rows: DataFrame            # all rows with is_test, the route they are used under, and their counted terms
     vocabulary: DataFrame
     vectors: DataFrame         # training rows
     counts: list               # class counts per route, fallback route first
@@ -83,16 +84,25 @@ def fit_features(articles: DataFrame, route_of_source: dict[str, str] | None = N
     routes = route_of_source or ROUTE_OF_SOURCE
     stop = None if stop_words is None else tuple(stop_words)
     prepared = prepare_training(articles, routes, max_chars)
-    rows = stratified_split(prepared, test_size=test_size, seed=seed)
-    train = rows.where(~F.col("is_test") & F.col("fit_route").isNotNull()).select(
-        "id", "label", F.col("fit_route").alias("route"), input_for(F.col("fit_route")).alias("input"))
-    vocabulary = fit_vocabulary(train, max_features, min_df, max_df, stop)
-    vectors = document_vectors(train, vocabulary, ["label"], stop_words=stop)
+    split = stratified_split(prepared, test_size=test_size, seed=seed)
+    of_source = split.where(~F.col("is_test") & F.col("fit_route").isNotNull()).select(F.col("fit_route").alias("route"), "label")
     order = list(dict.fromkeys(routes.values()))
-    counts = sorted(class_counts(vectors).collect(), key=lambda r: order.index(r["route"]))
+    counts = sorted(class_counts(of_source).collect(), key=lambda r: order.index(r["route"]))
+    if not counts:
+        raise ValueError("no training rows")
     for r in counts:
         if not (r["n0"] and r["n1"]):
             raise ValueError(f"route {r['route']!r} has training rows of one class only")
+    # Terms are counted once per row: under the source's route to learn from, under the rule's to be tested.
+    used = F.when(F.col("is_test"), known_route(F.col("route"), [r["route"] for r in counts])).otherwise(F.col("fit_route"))
+    rows = stage(
+        split.withColumn("used", used).select(
+            "id", "source", "label", "is_test", F.col("route").alias("rule_route"), F.col("used").alias("route"),
+            term_counts(input_for(F.col("used")), ENGLISH if stop is None else stop).alias("terms")),
+        "counted")
+    train = rows.where(~F.col("is_test") & F.col("route").isNotNull()).select("id", "label", "route", "terms")
+    vocabulary = fit_vocabulary(train, max_features, min_df, max_df, stop)
+    vectors = document_vectors(train, vocabulary, ["label"], stop_words=stop)
     return Fitted(rows, vocabulary, vectors, counts, stop, max_chars)
 
 
@@ -110,7 +120,7 @@ def fit_models(fitted: Fitted, fits: dict, version: str) -> tuple[DataFrame, dic
     for name, fit in fits.items():
         start = monotonic()
         weights, bias[name] = fit(fitted)
-        table = table.join(stage(weights.withColumnRenamed("weight", f"w_{name}"), name), ["route", "idx"])
+        table = table.join(weights.withColumnRenamed("weight", f"w_{name}"), ["route", "idx"])
         seconds[name] = round(monotonic() - start, 2)
     table = sized(stage(table, "term-table"))
     models = {
@@ -123,11 +133,7 @@ def fit_models(fitted: Fitted, fits: dict, version: str) -> tuple[DataFrame, dic
 
 def predict_test(fitted: Fitted, table: DataFrame, models: dict[str, CredibilityModel]) -> DataFrame:
     """Test rows scored as production would: routed by the rule, not by their source."""
-    routes = next(iter(models.values())).routes
-    route = known_route(F.col("route"), routes)
-    docs = fitted.rows.where("is_test").select(
-        "id", "source", "label", F.col("route").alias("rule_route"), route.alias("route"),
-        input_for(route).alias("input"))
+    docs = fitted.rows.where("is_test").select("id", "source", "label", "rule_route", "route", "terms")
     return stage(
         probabilities(docs, table, {n: m.bias for n, m in models.items()}, ["source", "label", "rule_route"],
                       stop_words=fitted.stop_words),

@@ -85,9 +85,11 @@ def test_prepare(spark):
     df = record(spark, None, "Taxes went up!", party="republican")
     assert df.select(X.prepare(F.lit("claim"))).first()[0] == "taxes went up party_republican"
     assert df.select(X.prepare(F.lit("article"))).first()[0] == "taxes went up"
-    long = record(spark, None, "abc " * 9000, party="p")           # the cut falls behind a space
-    assert long.select(X.prepare(F.lit("article"))).first()[0] == ("abc " * 9000)[:10000]
-    assert long.select(X.prepare(F.lit("claim"))).first()[0] == ("abc " * 9000)[:10000] + " party_p"
+    long, capped = record(spark, None, "abc " * 9000, party="p"), ("abc " * 9000)[:10000]           # the cut falls behind a space
+    assert long.select(X.prepare(F.lit("article"))).first()[0] == ("abc " * 9000).strip()
+    assert long.select(X.prepare(F.lit("claim"))).first()[0] == "abc " * 9000 + "party_p"
+    assert long.select(X.prepare(F.lit("article"), max_chars=10_000)).first()[0] == capped
+    assert long.select(X.prepare(F.lit("claim"), max_chars=10_000)).first()[0] == capped + " party_p"
     assert record(spark, None, "?", party="p").select(X.prepare(F.lit("claim"))).first()[0] == "party_p"
 
 
