@@ -12,6 +12,25 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 
+SLICE_ROWS = 256        # of an Arrow batch that are Python objects at a time
+_kept: dict[Any, Any] = {}
+
+
+def kept(key: Any, make: Callable[[], Any]) -> Any:
+    """What a Python worker keeps between tasks: one object. A task that asks for another one drops it."""
+    if key not in _kept:
+        _kept.clear()
+        _kept[key] = make()
+    return _kept[key]
+
+
+def rows_of(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple]:
+    """Rows as tuples of Python objects, made slice by slice."""
+    for b in batches:
+        for start in range(0, b.num_rows, SLICE_ROWS):
+            yield from zip(*[c.to_pylist() for c in b.slice(start, SLICE_ROWS).columns])
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -26,6 +45,18 @@ def crc32_mod(key: Column | str, n: int) -> Column:
     return F.pmod(F.crc32(c.cast("string").cast("binary")), F.lit(n))
 
 
+BATCH_ROWS = 1_000
+BATCH_CONF = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+def small_batches(df: DataFrame) -> None:
+    """Lowers the session's Arrow batch to ``BATCH_ROWS`` rows: 10,000 whole documents, the default, are held
+    several times over in the JVM and in the Python worker of every task."""
+    conf = df.sparkSession.conf
+    if not 0 < int(conf.get(BATCH_CONF)) <= BATCH_ROWS:
+        conf.set(BATCH_CONF, str(BATCH_ROWS))
+
+
 def map_rows(df: DataFrame, rows: Callable[[Iterator[dict]], Iterable[tuple]], out: str | T.StructType,
              batch: int = 2048) -> DataFrame:
     """``rows`` turns the partition's rows, as dicts in their order, into tuples of ``out``.
@@ -33,29 +64,29 @@ def map_rows(df: DataFrame, rows: Callable[[Iterator[dict]], Iterable[tuple]], o
     Rows come one Arrow batch at a time and leave in batches of ``batch``, so that a task holds
     neither its whole input nor its whole output.
     """
+    small_batches(df)
     to = schema(out) if isinstance(out, str) else out
+    names = df.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         arrow = to_arrow_schema(to)
 
         def source() -> Iterator[dict]:
-            for b in batches:
-                columns = [c.to_pylist() for c in b.columns]
-                for values in zip(*columns):
-                    yield dict(zip(b.schema.names, values))
+            for values in rows_of(batches):
+                yield dict(zip(names, values))
 
-        def pack(kept: list[tuple]) -> pa.RecordBatch:
+        def pack(done: list[tuple]) -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays(
-                [pa.array(c, type=f.type) for c, f in zip(zip(*kept), arrow)], schema=arrow)
+                [pa.array(c, type=f.type) for c, f in zip(zip(*done), arrow)], schema=arrow)
 
-        kept: list[Any] = []
+        done: list[tuple] = []
         for row in rows(source()):
-            kept.append(row)
-            if len(kept) >= batch:
-                yield pack(kept)
-                kept = []
-        if kept:
-            yield pack(kept)
+            done.append(row)
+            if len(done) >= batch:
+                yield pack(done)
+                done = []
+        if done:
+            yield pack(done)
 
     return df.mapInArrow(run, to)
 
@@ -73,8 +104,11 @@ def filter_rows(df: DataFrame, text: str, prepare: Callable[[], Callable[[list[s
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keep = prepare()
         for b in batches:
-            yield b.filter(pa.array(keep(b.column(place).to_pylist()), pa.bool_()))
+            texts = b.column(place)
+            mask = [x for start in range(0, len(texts), SLICE_ROWS) for x in keep(texts.slice(start, SLICE_ROWS).to_pylist())]
+            yield b.filter(pa.array(mask, pa.bool_()))
 
+    small_batches(df)
     place = df.columns.index(text)
     return df.mapInArrow(run, df.schema)
 

@@ -79,18 +79,18 @@ def build(items: Iterable[tuple[Any, str | None]], window: int = WINDOW) -> list
     return list(by_length.values())
 
 
-def blocks(benchmark: DataFrame, item: str = "item_id", text: str = "text", block_bytes: int = BLOCK_BYTES) -> list[list[tuple[Any, str | None]]]:
-    """The benchmark in runs of about ``block_bytes``: the query set of one pass each."""
-    out: list[list[tuple[Any, str | None]]] = [[]]
+def blocks(benchmark: DataFrame, item: str = "item_id", text: str = "text", block_bytes: int = BLOCK_BYTES) -> Iterator[list[tuple[Any, str | None]]]:
+    """The benchmark in runs of about ``block_bytes``, one at a time: the query set of one pass each. An empty one is one run."""
+    run: list[tuple[Any, str | None]] = []
     size = 0
     for r in benchmark.select(F.col(item).alias("i"), F.col(text).alias("t")).toLocalIterator():
         n = len(r["t"] or "") + 64
-        if out[-1] and size + n > block_bytes:
-            out.append([])
-            size = 0
-        out[-1].append((r["i"], r["t"]))
+        if run and size + n > block_bytes:
+            yield run
+            run, size = [], 0
+        run.append((r["i"], r["t"]))
         size += n
-    return out
+    yield run
 
 
 def find(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text",
@@ -108,9 +108,11 @@ def find(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str =
     out = f"k {kind}, t string, n bigint, hits array<array<bigint>>, items array<string>"
     found = docs.select(F.col(key).alias("k"), F.col(text).alias("t"))
     runs = blocks(benchmark, item, item_text, block_bytes)
-    for number, run in enumerate(runs):
+    run = next(runs, None)
+    while run is not None:
         shared = spark.sparkContext.broadcast(run)      # at most block_bytes and one text
-        last = number == len(runs) - 1
+        run = next(runs, None)
+        last = run is None
 
         def search(source: Iterator[dict], shared=shared, last=last) -> Iterable[tuple]:
             tables = build(((str(i) if i is not None else "null", t) for i, t in shared.value), window)

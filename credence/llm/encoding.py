@@ -13,8 +13,10 @@ import re
 
 import numpy as np
 
+from credence.llm.common import kept
+
 TOKENIZER = "byte_bpe_50k.json"
-MEMO_PIECES = 300_000       # a generation; two are kept
+MEMO_PIECES = 200_000       # a generation; two are kept
 JOIN_CHARS = 200_000        # unknown pieces are encoded in texts of about so many characters
 LONG_PIECE = 256            # longer pieces are not remembered
 SEGMENT = 1_000_000         # longer texts are encoded in segments of about so many characters
@@ -22,7 +24,6 @@ SEGMENT = 1_000_000         # longer texts are encoded in segments of about so m
 _BESIDE = ("  ", " \n", "\n ", "\n\n", "\0")
 _other_space = re.compile("[\t\x0b\x0c\r\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
 _boundary = re.compile(r"(?<=\S)(?=[ \n]\S)")
-_encoders: dict[str, PieceEncoder] = {}
 
 
 def tokenizer_path(name: str = TOKENIZER) -> str:
@@ -132,7 +133,5 @@ class PieceEncoder:
 
 
 def encoder(path: str) -> PieceEncoder:
-    """One per Python worker and path."""
-    if path not in _encoders:
-        _encoders[path] = PieceEncoder(path)
-    return _encoders[path]
+    """One per Python worker."""
+    return kept(("encoder", path), lambda: PieceEncoder(path))

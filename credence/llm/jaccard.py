@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from credence.llm.common import schema
+from credence.llm.common import rows_of, schema, small_batches
 from credence.llm.components import components
 from credence.session import stage
 
@@ -33,11 +33,11 @@ THRESHOLD = (85, 100)
 COMMON = 40                  # classes; n-grams in more are common
 MAX_COMMON = 500_000         # common n-grams that go to the tasks; the most frequent ones if there are more
 LONG_LIST = 256              # a longer list of an n-gram's classes makes it common in another round
-WINDOW = 4_000_000           # n-grams that a task counts at a time
+WINDOW = 2_000_000           # n-grams that a task counts at a time
 PART_CLASSES = 1_500         # of a block in one task, about
 PART_ENTRIES = 4_000_000
 BROADCAST_ROWS = 200_000     # classes (of six numbers) up to which their texts are picked by a broadcast
-SLICE = 1 << 22              # bytes of a text hashed at a time
+SLICE = 1 << 20              # bytes of a text hashed at a time
 
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 _MIX = np.uint64(0xBF58476D1CE4E5B9)
@@ -173,18 +173,18 @@ def _typed(ddl: str):
 
 def _batches(df: DataFrame, rows, ddl: str, size: int = 1024) -> DataFrame:
     """``mapInArrow`` over (k, th, t) rows whose texts arrive as bytes."""
+    small_batches(df)
     to = _typed(ddl)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kept: list[tuple] = []
-        source = (r for b in batches for r in zip(*[c.to_pylist() for c in b.columns]))
-        for row in rows(source):
-            kept.append(row)
-            if len(kept) == size:
-                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*kept), to)], schema=to)
-                kept = []
-        if kept:
-            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*kept), to)], schema=to)
+        done: list[tuple] = []
+        for row in rows(rows_of(batches)):
+            done.append(row)
+            if len(done) == size:
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*done), to)], schema=to)
+                done = []
+        if done:
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*done), to)], schema=to)
     return df.mapInArrow(run, schema(ddl))
 
 
@@ -289,6 +289,7 @@ def candidate_edges(postings: DataFrame, threshold: tuple[int, int]) -> DataFram
 
 def block_edges(members: DataFrame, threshold: tuple[int, int], ask_only: bool) -> DataFrame:
     """(a, b) links between the classes of each (block, part, other); one task may have many, one after another."""
+    small_batches(members)
     to = _typed("a bigint, b bigint")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -300,19 +301,18 @@ def block_edges(members: DataFrame, threshold: tuple[int, int], ask_only: bool)
                 yield pa.RecordBatch.from_arrays([pa.array([ids[i] for i, _ in found], pa.int64()), pa.array([ids[j] for _, j in found], pa.int64())], schema=to)
 
         seen: dict[tuple[int, int], int] = {}
-        for b in batches:
-            for block, part, other, s1, s2, raw, asked in zip(*[c.to_pylist() for c in b.columns]):
-                if (block, part, other) != now:
-                    yield from close()
-                    now, ids, sets, ask = (block, part, other), [], [], []
-                    seen.clear()
-                if (s1, s2) in seen:
-                    ask[seen[s1, s2]] |= asked
-                    continue
-                seen[s1, s2] = len(ids)
-                ids.append(s1)
-                sets.append(np.frombuffer(raw, dtype=np.uint64))
-                ask.append(asked)
+        for block, part, other, s1, s2, raw, asked in rows_of(batches):
+            if (block, part, other) != now:
+                yield from close()
+                now, ids, sets, ask = (block, part, other), [], [], []
+                seen.clear()
+            if (s1, s2) in seen:
+                ask[seen[s1, s2]] |= asked
+                continue
+            seen[s1, s2] = len(ids)
+            ids.append(s1)
+            sets.append(np.frombuffer(raw, dtype=np.uint64))
+            ask.append(asked)
         yield from close()
 
     keys = ["block", "part", "other"]

@@ -15,7 +15,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from credence.llm.common import crc32_mod, filter_rows, map_rows, map_texts
+from credence.llm.common import crc32_mod, filter_rows, kept, map_rows, map_texts
 
 DIMENSIONS = 1024
 SYMBOLS = 64            # 0 is whatever is no letter, 1 to 26 are a to z, the rest share the other letters
@@ -86,14 +86,9 @@ class Space:
         return codes, np.bincount(inverse, weights=np.concatenate([n for _, n in parts])).astype(np.int64)
 
 
-_spaces: dict[tuple[int, int], Space] = {}
-
-
 def space(dimensions: int, seed: int) -> Space:
     """One per Python worker."""
-    if (dimensions, seed) not in _spaces:
-        _spaces[dimensions, seed] = Space(dimensions, seed)
-    return _spaces[dimensions, seed]
+    return kept(("space", dimensions, seed), lambda: Space(dimensions, seed))
 
 
 @dataclass

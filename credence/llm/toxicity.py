@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from credence.llm.common import batches_by_bytes, crc32_mod, filter_rows, map_texts, schema
+from credence.llm.common import batches_by_bytes, crc32_mod, filter_rows, kept, map_texts, schema
 from credence.session import stage
 
 BITS = 20
@@ -32,12 +32,12 @@ DECAY, FACTOR_DECAY = 1e-4, 1e-2
 FOLDS, HELD_OUT = 5, 0
 THRESHOLD = 0.5
 SLICE = 1 << 20
-MEMO = 400_000
-BATCH_CHARS = 2_000_000
+MEMO = 150_000          # words whose hashes a worker keeps
+PARTS = 10 ** 12        # steps of the share of labelled rows that is kept
+BATCH_CHARS = 1_000_000
 
 _separators = bytes(c if chr(c).isalnum() and c < 128 or c >= 128 else 32 for c in range(256))
 _gap = re.compile(r"\s")
-_memo: dict[str, int] = {}
 
 
 def term_ids(text: str) -> np.ndarray:
@@ -50,14 +50,15 @@ def term_ids(text: str) -> np.ndarray:
         part = text[start:end].lower().encode("utf-8", "replace").translate(_separators)
         words.update(part.decode("utf-8").split())
         start = end
-    if len(_memo) > MEMO:
-        _memo.clear()
+    memo = kept("term hashes", dict)
+    if len(memo) > MEMO:
+        memo.clear()
     out = {0}
     for w in words:
-        h = _memo.get(w)
+        h = memo.get(w)
         if h is None:
             mask = (1 << BITS) - 1
-            _memo[w] = h = (zlib.crc32(w.encode()) & mask) << 32 | zlib.crc32(b"^" + w[:STEM].encode()) & mask
+            memo[w] = h = (zlib.crc32(w.encode()) & mask) << 32 | zlib.crc32(b"^" + w[:STEM].encode()) & mask
         out.add(h >> 32)
         out.add(h & 0xFFFFFFFF)
     return np.array(sorted(out), dtype=np.int32)
@@ -73,9 +74,12 @@ def machine(weights: np.ndarray, ids: np.ndarray, starts: np.ndarray) -> tuple[n
 
 def telling_terms(rows: list[np.ndarray], labels: np.ndarray) -> np.ndarray:
     """Hashes of the bias and of the terms whose presence tells the classes apart, by chi-square."""
-    owner = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
-    hashes, at, seen = np.unique(np.concatenate(rows), return_inverse=True, return_counts=True)
-    positive = np.bincount(at, weights=labels[owner], minlength=len(hashes))
+    counts = np.zeros((2, 1 << BITS), dtype=np.int64)      # texts with a term, per class
+    for row, label in zip(rows, labels):
+        counts[int(label), row] += 1
+    seen = counts.sum(axis=0)
+    hashes = np.flatnonzero(seen)
+    seen, positive = seen[hashes], counts[1, hashes]
     expected = seen * labels.mean()
     off = (positive - expected) ** 2
     chi = off / np.maximum(expected, 1e-9) + off / np.maximum(seen - expected, 1e-9)
@@ -122,12 +126,12 @@ def learn(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
     """
     known = (labels.select(F.col(key).alias("k"), F.col(label).alias("y")).where("k IS NOT NULL AND y IN (0, 1)")
              .groupBy("k").agg(F.max("y").alias("y")).where(~held_out("k")))
-    known = stage(known.withColumn("h", F.pmod(F.xxhash64("k"), F.lit(1_000_000))), "labels")
+    known = stage(known.withColumn("h", F.pmod(F.xxhash64("k"), F.lit(PARTS))), "labels")
     sizes = {r["y"]: r["n"] for r in known.groupBy("y").agg(F.count("*").alias("n")).collect()}
     share = {y: min(1.0, train_rows / 2 / n) for y, n in sizes.items()}
     keep = F.lit(False)
     for y, part in share.items():
-        keep = keep | ((F.col("y") == y) & (F.col("h") < int(part * 1_000_000)))
+        keep = keep | ((F.col("y") == y) & (F.col("h") < int(part * PARTS)))
     chosen = known.where(keep).select("k", "y")       # its size is known and bounded by train_rows
     texts = docs.select(F.col(key).alias("k"), F.col(text).alias("t")).join(F.broadcast(chosen), "k")
 

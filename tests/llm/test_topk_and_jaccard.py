@@ -173,8 +173,7 @@ def test_awkward_documents(spark):
     assert joined(empty(spark)) == []
 
 
-@pytest.mark.parametrize("seed", [1, 2])
-@pytest.mark.parametrize("options", [{}, {"common": 3, "part_classes": 4}, {"common": 1, "part_classes": 3}])
+@pytest.mark.parametrize("seed,options", [(1, {}), (2, {"common": 3, "part_classes": 4}), (3, {"common": 1, "part_classes": 3})])
 def test_join_equals_brute_force(spark, seed, options):
     rows = corpus(seed, 25, 8, 80, 5, passage=0.3) + [(10_000 + i, f"a b c d e f g h {i % 3}") for i in range(12)] + [(20_000, "a b c d e f g h 0")] * 2
     compare(spark, rows, **options)
