@@ -189,7 +189,7 @@ SCORE_ALL = ",\n".join([
     f"(SELECT *, {ROUTE} AS route, {BASE} AS base, {meta()} AS meta FROM docs))",
     tf("in_terms", "inp"), scored("verdicts", "inp", "in_terms")])
 EXPLAIN = SCORE_ALL + """,
-ranked AS (SELECT id, route, term, round(c, 4) AS weight, CASE WHEN c > 0 THEN 'unreliable' ELSE 'reliable' END AS direction,
+ranked AS (SELECT id, route, term, round(round(c, 9)::DECIMAL(20, 9), 4)::DOUBLE AS weight, CASE WHEN c > 0 THEN 'unreliable' ELSE 'reliable' END AS direction,
   row_number() OVER (PARTITION BY id, c > 0 ORDER BY round(abs(c), 9) DESC, term) AS k FROM verdicts_c WHERE c <> 0),
 listed AS (SELECT id, route, row_number() OVER (PARTITION BY id ORDER BY direction DESC, k) - 1 AS rank, term, weight, direction, k
   FROM ranked WHERE k <= 8)"""
@@ -322,7 +322,7 @@ free AS (SELECT *, coalesce(lag(takes) OVER (PARTITION BY id ORDER BY c), false)
 mk AS (SELECT id, e - n AS s, CASE WHEN takes THEN e2 ELSE e END AS e, CASE WHEN takes THEN two ELSE one END AS term,
   CASE WHEN takes THEN two_d ELSE one_d END AS direction FROM free WHERE takes OR (NOT used AND one IS NOT NULL))
 SELECT id, row_number() OVER (PARTITION BY id ORDER BY s) - 1 AS n, s AS "start", e AS "end", term, direction, weight,
-  round(0.35::DOUBLE + 0.65::DOUBLE * abs(weight) / top, 2) AS alpha
+  round(round(0.35::DOUBLE + 0.65::DOUBLE * abs(weight) / top, 9)::DECIMAL(20, 9), 2)::DOUBLE AS alpha
 FROM mk JOIN (SELECT id, term, weight, greatest(max(abs(weight)) OVER (PARTITION BY id), 1e-9::DOUBLE) AS top FROM listed) USING (id, term)"""
     q["verdict_terms"] = explain + f"""\nSELECT id, direction AS side, k - 1 AS rank, {pretty('term')} AS term, weight, round(abs(weight) / top, 9) AS strength
       FROM (SELECT *, greatest(max(abs(weight)) OVER (PARTITION BY id), 1e-9::DOUBLE) AS top FROM listed) WHERE k <= 6"""
