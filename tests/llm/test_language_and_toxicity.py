@@ -95,6 +95,22 @@ def test_pairs_of_harmless_terms_are_learned():
     assert z(1, 2) > 0 > max(z(1), z(2), z())
 
 
+def test_pairs_survive_the_decay():
+    """Toxic where exactly one of two terms stands, with the settings that ``learn`` uses: no sum of weights does that."""
+    rng = random.Random(5)
+    rows, labels = [], []
+    for _ in range(6000):
+        u = rng.random()
+        a, b = u < 0.03 or 0.06 <= u < 0.07, 0.03 <= u < 0.07       # 3 % each alone, 1 % both
+        rows.append(np.array(sorted({0, *rng.sample(range(10, 60), 6)} | ({1} if a else set()) | ({2} if b else set())), dtype=np.int32))
+        labels.append(float(a != b))
+    hashes, weights = toxicity.fit_machine(rows, np.array(labels))
+    dense = np.zeros((60, weights.shape[1]))
+    dense[hashes] = weights
+    z = lambda *t: float(toxicity.machine(dense, np.array([0, *t]), np.array([0]))[0][0])
+    assert min(z(1), z(2)) > 0 > max(z(), z(1, 2))
+
+
 def test_term_ids():
     assert toxicity.term_ids("").tolist() == [0]
     assert toxicity.term_ids("Bad, BAD bad!").tolist() == toxicity.term_ids("bad").tolist()
