@@ -88,10 +88,13 @@ def telling_terms(rows: list[np.ndarray], labels: np.ndarray) -> np.ndarray:
     return np.unique(np.append(hashes[order[usable[order]][:TERMS]], 0))
 
 
-def fit_machine(rows: list[np.ndarray], labels: np.ndarray, factors: int = FACTORS, epochs: int = EPOCHS, seed: int = 3) -> tuple[np.ndarray, np.ndarray]:
-    """(hashes, weights) by AdaGrad on the log loss with weight decay; accumulators start at 1, so rare terms move little."""
+def fit_machine(rows: list[np.ndarray], labels: np.ndarray, factors: int = FACTORS, epochs: int = EPOCHS, seed: int = 3,
+                counts_for: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """(hashes, weights) by AdaGrad on the log loss with weight decay; accumulators start at 1, so rare terms move little.
+    ``counts_for`` says how many rows each row stands for, where they were not sampled at one rate."""
     hashes = telling_terms(rows, labels)
     rows = [np.searchsorted(hashes, np.intersect1d(r, hashes, assume_unique=True)) for r in rows]
+    worth = np.ones(len(rows)) if counts_for is None else counts_for / counts_for.mean()
     rng = np.random.default_rng(seed)
     weights = rng.normal(0, 0.01, (len(hashes), 1 + factors))
     weights[:, 0] = 0
@@ -104,7 +107,7 @@ def fit_machine(rows: list[np.ndarray], labels: np.ndarray, factors: int = FACTO
             sizes = np.array([len(rows[i]) for i in batch])
             ids = np.concatenate([rows[i] for i in batch])
             z, sums = machine(weights, ids, np.cumsum(sizes) - sizes)
-            g = np.repeat(1 / (1 + np.exp(-np.clip(z, -30, 30))) - labels[batch], sizes)
+            g = np.repeat(worth[batch] * (1 / (1 + np.exp(-np.clip(z, -30, 30))) - labels[batch]), sizes)
             others = np.repeat(sums, sizes, axis=0) - weights[ids][:, 1:]
             step = decay * len(batch) * weights
             step[:, 0] += np.bincount(ids, weights=g, minlength=len(hashes))
@@ -121,8 +124,9 @@ def learn(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
 
     A key with several labels has the greatest. Of each class the rows with the smallest hash of the key are
     kept so that about ``train_rows`` / 2 remain at most: a sample whose bound is this argument, fitted in
-    one task. A key that several documents share counts once. Without rows of both classes the model has
-    no terms, or only a bias, and says so in its scores.
+    one task. Each row weighs as many rows as it was drawn from, so that scores follow the labels' own balance
+    of classes whatever the table's size. A key that several documents share counts once. Without rows of both
+    classes the model has no terms, or only a bias, and says so in its scores.
     """
     known = (labels.select(F.col(key).alias("k"), F.col(label).alias("y")).where("k IS NOT NULL AND y IN (0, 1)")
              .groupBy("k").agg(F.max("y").alias("y")).where(~held_out("k")))
@@ -150,7 +154,9 @@ def learn(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
         sample = pa.Table.from_batches(found).combine_chunks().sort_by("k")
         ids = sample["ids"].combine_chunks()
         flat, ends = ids.flatten().to_numpy(), ids.offsets.to_numpy() - ids.offsets[0].as_py()
-        hashes, weights = fit_machine([flat[a:b] for a, b in zip(ends, ends[1:])], sample["y"].to_numpy().astype(float))
+        y = sample["y"].to_numpy()
+        drawn_from = np.array([1 / share[int(v)] for v in y])
+        hashes, weights = fit_machine([flat[a:b] for a, b in zip(ends, ends[1:])], y.astype(float), counts_for=drawn_from)
         yield pa.RecordBatch.from_arrays([pa.array(hashes, pa.int32()), pa.array(list(weights), pa.list_(pa.float32()))], ["hash", "weights"])
 
     return stage(rows.repartition(1).mapInArrow(fit, schema("hash int, weights array<float>")), "toxicity-model")

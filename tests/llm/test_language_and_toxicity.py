@@ -165,6 +165,22 @@ def test_sample_is_bounded(spark, monkeypatch):
     assert model.columns == ["hash", "weights"] and sizes == ["labels", "toxicity-model"]
 
 
+def test_balance_does_not_follow_the_size(spark):
+    """A word in half of the toxic and a quarter of the clean rows, at 10 % toxic: mostly clean, also where the sample is half toxic."""
+    rng = random.Random(6)
+    docs, labels = [], []
+    for i in range(4000):
+        toxic = i % 10 == 0
+        words = [f"w{rng.randint(0, 200)}" for _ in range(10)] + ["maybexx"] * (rng.random() < (0.5 if toxic else 0.25))
+        docs.append((i, " ".join(words), None, None, None))
+        labels.append((i, 0, int(toxic)))
+    probe, found = documents(spark, [(1, "maybexx", None, None, None)]), []
+    for train_rows in (700, 20_000):
+        model = toxicity.learn(documents(spark, docs), spark.createDataFrame(labels, LABELS), train_rows=train_rows)
+        found.append(toxicity.score(probe, model).first()["score"])
+    assert max(found) < 0.4 and abs(found[0] - found[1]) < 0.15
+
+
 def test_toxicity_of_rows_not_learned_from(spark):
     out = toxicity.rate(table(spark, SF, "documents"), table(spark, SF, "labels")).join(table(spark, SF, "labels"), "doc_id")
     got = out.where("held_out").collect()
