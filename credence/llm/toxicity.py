@@ -25,8 +25,7 @@ FACTORS = 4
 STEM = 4                # letters of the second kind of term
 TRAIN_ROWS = 20_000     # labelled rows to fit on, half of them of each class at most
 MIN_DOCS = 3            # terms in fewer training rows are left out
-TERMS = 2_048           # terms that the machine learns: those that tell the classes apart best, by chi-square
-MIN_CHI = 10.8          # the 0.1 % point of one degree of freedom
+MIN_CHI = 10.8          # the 0.1 % point of one degree of freedom; the machine learns all terms that tell the classes apart so far
 EPOCHS, BATCH, RATE = 10, 256, 0.2
 DECAY, FACTOR_DECAY = 1e-4, 1e-4      # a row and step; at 1e-2 the factors shrink to zero and only w is left
 FOLDS, HELD_OUT = 5, 0
@@ -84,8 +83,7 @@ def telling_terms(rows: list[np.ndarray], labels: np.ndarray) -> np.ndarray:
     off = (positive - expected) ** 2
     chi = off / np.maximum(expected, 1e-9) + off / np.maximum(seen - expected, 1e-9)
     usable = (seen >= MIN_DOCS) & (chi >= MIN_CHI)
-    order = np.lexsort((hashes, -chi))
-    return np.unique(np.append(hashes[order[usable[order]][:TERMS]], 0))
+    return np.unique(np.append(hashes[usable], 0))
 
 
 def fit_machine(rows: list[np.ndarray], labels: np.ndarray, factors: int = FACTORS, epochs: int = EPOCHS, seed: int = 3,

@@ -111,6 +111,13 @@ def test_pairs_survive_the_decay():
     assert min(z(1), z(2)) > 0 > max(z(), z(1, 2))
 
 
+def test_no_telling_term_is_left_out():
+    """3,000 terms that are in toxic rows only."""
+    rows = [np.array([0, *range(10 + i // 2 % 4, 3010, 4)] if i % 2 else [0, 5], dtype=np.int32) for i in range(200)]
+    found = toxicity.telling_terms(rows, np.array([float(i % 2) for i in range(200)]))
+    assert len(set(found.tolist()) - {0, 5}) > 2_048
+
+
 def test_term_ids():
     assert toxicity.term_ids("").tolist() == [0]
     assert toxicity.term_ids("Bad, BAD bad!").tolist() == toxicity.term_ids("bad").tolist()
