@@ -44,7 +44,8 @@ HEADERS = frozenset("header headers topbar siteheader".split())
 CONTENT = frozenset("article content main post entry story body text".split())
 
 _token = re.compile(
-    rf"<!--.*?(?:-->|\Z)|<(?P<raw>{RAW})\b(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+>.*?(?:</(?P=raw)\s*+>|\Z)|<[!?][^>]*+(?:>|\Z)"
+    r"<!--.*?(?:-->|\Z)|(?P<empty><(?:svg|math)(?=[\s/>])(?:[^>\"'/]++|/(?!>)|\"[^\"]*+\"|'[^']*+')*+/>)"
+    rf"|<(?P<raw>{RAW})(?=[\s/>])(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+>.*?(?:</(?P=raw)\s*+>|\Z)|<[!?][^>]*+(?:>|\Z)"
     r"|<(?P<close>/)?(?P<tag>[a-zA-Z][^\s/>]*+)(?P<attrs>(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+|[^>]*+)>",
     re.S | re.I)
 _attribute = re.compile(r"""(class|id|role|hidden|style|aria-hidden)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I)
@@ -114,7 +115,7 @@ def parse(html: str) -> tuple[list[Node], list[Block]]:
         if m.start() > position:
             text(html[position:m.start()])
         position = m.end()
-        if m["raw"] or not m["tag"]:
+        if m["raw"] or m["empty"] or not m["tag"]:
             continue
         tag = m["tag"].lower()
         if tag in INLINE:

@@ -101,6 +101,12 @@ def test_page(html, want):
     assert html_extract.extract_page(html, []) == want
 
 
+@pytest.mark.parametrize("piece", ["<svg-icon name='x'></svg-icon>", "<title-bar></title-bar>", "<style-guide></style-guide>", "<svg class=i viewBox='0 0 1 1'/>",
+                                   "<svg href='/a>b/>' />", "<math/>", "<SVG\n/>", "<svg><path d='M0'/><title>no</title></svg>", "<style type='x'>no</style>", "<svg a=/b>no</svg>"])
+def test_raw_elements_end_where_they_end(piece):
+    assert html_extract.extract_page(page(f"<article><p>{LONG}</p>{piece}<p>Second. {LONG}</p></article>"), []) == f"{LONG}\nSecond. {LONG}"
+
+
 def test_unclosed_quotes_and_tags_take_linear_time():
     for text in ("<a href=\"" * 20_000, "<" * 200_000, "<!--" * 50_000, "<p " * 50_000, "<script>" * 20_000, "&" * 100_000):
         html_extract.extract_page(text, [])
