@@ -41,6 +41,7 @@ BOILERPLATE = frozenset(
     "related recommended recommendations sidebar sidebars widget widgets menu menus nav navbar navigation breadcrumb breadcrumbs pagination "
     "pager comment comments commentlist disqus replies respond footer masthead toolbar skiplink hidden contentinfo complementary search dialog".split())
 HEADERS = frozenset("header headers topbar siteheader".split())
+MOST = 0.8                   # of a page's running text; what holds as much is no boilerplate, whatever its class
 CONTENT = frozenset("article content main post entry story body text".split())
 
 _token = re.compile(
@@ -60,6 +61,7 @@ class Node:
     path: str
     dropped: bool
     bonus: float = 1.0
+    marked: bool = False     # by words of class, id or role
     score: float = 0.0
 
 
@@ -73,11 +75,43 @@ class Block:
 def boilerplate(tag: str, names: frozenset[str] | set[str], in_article: bool) -> bool:
     if tag in ("html", "body", "main", "#"):
         return False
-    if tag == "header" or names & HEADERS:
+    if names & HEADERS:
         return not in_article
     return bool(names & BOILERPLATE)
 
 
+def running(block: Block) -> float:
+    """Characters, less three for each that is linked."""
+    return max(0.0, sum(map(len, block.parts)) - 3.0 * block.linked)
+
+
+def drop_marked(nodes: list[Node], blocks: list[Block]) -> list[Block]:
+    """Drops marked elements with all they hold, and returns the blocks that stay.
+
+    An element stays that is or holds an article element with half of the page's running text, holds a main element,
+    or holds ``MOST`` of that text; cards and comments are article elements too. Where no text would be left, none is dropped.
+    """
+    if not any(x.marked for x in nodes):
+        return blocks
+    held, whole = [0.0] * len(nodes), [x.tag == "main" and not x.dropped for x in nodes]
+    for b in blocks:
+        held[b.owner] += running(b) if flat(b) else 0.0
+    for i in range(len(nodes) - 1, 0, -1):       # children come after their parents
+        held[nodes[i].parent] += held[i]
+    for i in range(len(nodes) - 1, 0, -1):
+        whole[i] |= nodes[i].tag == "article" and held[i] >= max(1.0, held[0] / 2)
+        whole[nodes[i].parent] |= whole[i]
+    gone = [False] * len(nodes)
+    for i, x in enumerate(nodes[1:], 1):
+        gone[i] = gone[x.parent] or x.marked and not whole[i] and held[i] < max(1.0, MOST * held[0])
+    stay = [b for b in blocks if not gone[b.owner]]
+    if any(map(flat, stay)) or not any(map(flat, blocks)):
+        for x, out in zip(nodes, gone):
+            x.dropped |= out
+        return stay
+    return blocks
+
+
 def parse(html: str) -> tuple[list[Node], list[Block]]:
     """Elements and text blocks in page order. Text in elements that are not the article belongs to no block."""
     nodes, blocks = [Node("#", -1, "", False)], [Block(0)]
@@ -154,9 +188,9 @@ def parse(html: str) -> tuple[list[Node], list[Block]]:
                     hidden |= name == "hidden" and a.start() > 0 and attrs[a.start() - 1].isspace() or value.lower() == "true"
         parent = nodes[stack[-1]]
         in_article = "article" in parent.path or "main" in parent.path
-        dropped = parent.dropped or hidden or tag in DROPPED or boilerplate(tag, names, in_article)
+        dropped = parent.dropped or hidden or tag in DROPPED or tag == "header" and not in_article
         bonus = 1.25 if tag in ("article", "main") or names & CONTENT and tag != "body" else 1.0
-        nodes.append(Node(tag, stack[-1], f"{parent.path}>{tag}{'.' + classes if classes else ''}", dropped, bonus))
+        nodes.append(Node(tag, stack[-1], f"{parent.path}>{tag}{'.' + classes if classes else ''}", dropped, bonus, boilerplate(tag, names, in_article)))
         stack.append(len(nodes) - 1)
         inline.clear()
         new_block()
@@ -164,7 +198,7 @@ def parse(html: str) -> tuple[list[Node], list[Block]]:
         rest = html[position:]
         cut = rest.rfind("<")
         text(rest if cut < 0 or not re.match(r"</?[a-zA-Z!]", rest[cut:]) else rest[:cut])
-    return nodes, [b for b in blocks if b.parts]
+    return nodes, drop_marked(nodes, [b for b in blocks if b.parts])
 
 
 def flat(block: Block) -> str:
@@ -174,7 +208,7 @@ def flat(block: Block) -> str:
 def score(nodes: list[Node], blocks: list[Block]) -> None:
     """Running text counts for the container of its paragraph, half for the next one out, and so on."""
     for b in blocks:
-        worth = max(0.0, sum(map(len, b.parts)) - 3.0 * b.linked)
+        worth = running(b)
         at = b.owner
         if nodes[at].tag in PARAGRAPHS:
             at = nodes[at].parent

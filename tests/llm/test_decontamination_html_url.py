@@ -107,6 +107,17 @@ def test_raw_elements_end_where_they_end(piece):
     assert html_extract.extract_page(page(f"<article><p>{LONG}</p>{piece}<p>Second. {LONG}</p></article>"), []) == f"{LONG}\nSecond. {LONG}"
 
 
+@pytest.mark.parametrize("body,want", [
+    (f"<div class='layout with-sidebar'><p>{LONG} {LONG}</p><p>{LONG}</p><div class='sidebar'><p>Side.</p></div></div><p>Small.</p>", f"{LONG} {LONG}\n{LONG}"),
+    (f"<article class='post comments-open'><p>{LONG}</p><div class='comments'><p>Nice.</p></div></article><p>Copyright.</p>", LONG),
+    (f"<div class='has-menu'><article><p>{LONG} {LONG}</p></article></div><div class='promo'><p>{LONG}</p></div><p>Small.</p>", f"{LONG} {LONG}"),
+    (f"<div class='post'><p>{LONG} {LONG}</p><div class='related'><article><p>{LONG}</p></article></div></div>", f"{LONG} {LONG}"),
+    ("<div class='widget'><p>One.</p></div><div class='social'><p>Other text.</p></div>", "Other text."),
+])
+def test_class_words_do_not_take_the_article(body, want):
+    assert html_extract.extract_page(page(body), []) == want
+
+
 def test_unclosed_quotes_and_tags_take_linear_time():
     for text in ("<a href=\"" * 20_000, "<" * 200_000, "<!--" * 50_000, "<p " * 50_000, "<script>" * 20_000, "&" * 100_000):
         html_extract.extract_page(text, [])
