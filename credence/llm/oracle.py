@@ -56,7 +56,37 @@ SELECT d.doc_id, CAST(coalesce(m.n, 0) AS BIGINT) AS n_shingles, coalesce(h.comp
 FROM doc d LEFT JOIN member m USING (doc_id) LEFT JOIN head h ON h.rep = m.rep
 """
 
-SQL = {"op3_decontamination": DECONTAMINATION, "op9_exact_topk": TOP_K, "op10_ngram_jaccard": JACCARD}
+
+COLLOCATIONS = rf"""
+WITH piece AS (
+  SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex({LOWER}, '[.,;:!?\x0A-\x0D]')) AS p FROM documents),
+worded AS (SELECT lang, regexp_extract_all(p, '[^\x20\x09]+') AS w FROM piece),
+gram AS (
+  SELECT lang, m, array_to_string(w[i:i + m - 1], ' ') AS phrase
+  FROM (SELECT lang, w, m, unnest(range(1, len(w) - m + 2)) AS i FROM worded, (SELECT unnest(range(1, 5)) AS m) WHERE len(w) >= m)),
+f AS (SELECT lang, m, phrase, count(*) AS a FROM gram GROUP BY ALL),
+total AS (SELECT lang, sum(a) AS n FROM f WHERE m = 1 GROUP BY 1),
+cand AS (SELECT lang, m, phrase, a, string_split(phrase, ' ') AS w FROM f WHERE m > 1 AND a >= 30),
+cut AS (
+  SELECT lang, m, phrase, a, k, array_to_string(w[1:k], ' ') AS head, array_to_string(w[k + 1:], ' ') AS tail
+  FROM (SELECT *, unnest(range(1, m)) AS k FROM cand)),
+scored AS (
+  SELECT c.lang, c.m, c.phrase, c.a, c.k, h.a AS l, t.a AS r, (2000000::HUGEINT * c.a) // (h.a::HUGEINT + t.a) AS score
+  FROM cut c JOIN f h ON h.lang = c.lang AND h.phrase = c.head JOIN f t ON t.lang = c.lang AND t.phrase = c.tail),
+least AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
+inside AS (
+  SELECT DISTINCT lang, array_to_string(w[i:i + s - 1], ' ') AS phrase, a
+  FROM (SELECT *, unnest(range(1, m - s + 2)) AS i FROM (SELECT *, unnest(range(2, m)) AS s FROM cand))),
+most AS (SELECT lang, phrase, max(a) AS most FROM inside GROUP BY 1, 2),
+kept AS (SELECT x.* FROM least x LEFT JOIN most USING (lang, phrase) WHERE most IS NULL OR 100::HUGEINT * most < 80::HUGEINT * a),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS place FROM kept)
+SELECT lang, CAST(place AS BIGINT) AS rank, phrase, CAST(a AS BIGINT) AS a, CAST(l AS BIGINT) AS l, CAST(r AS BIGINT) AS r,
+       CAST(n AS BIGINT) AS n, CAST(score AS BIGINT) AS score
+FROM ranked JOIN total USING (lang) WHERE place <= 2000
+"""
+
+SQL = {"op3_decontamination": DECONTAMINATION, "op9_exact_topk": TOP_K, "op10_ngram_jaccard": JACCARD,
+       "op11_phrase_collocations": COLLOCATIONS}
 
 
 def build() -> dict[str, str]:

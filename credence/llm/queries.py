@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from credence.llm import binary_output, decontaminate, html_extract, jaccard, lang_id, packing, token_counts, topk, toxicity, url_filter
+from credence.llm import binary_output, collocations, decontaminate, html_extract, jaccard, lang_id, packing, token_counts, topk, toxicity, url_filter
 from credence.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -65,3 +65,8 @@ def op9_exact_topk(spark, sf_dir):
 @query
 def op10_ngram_jaccard(spark, sf_dir):
     return jaccard.join(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
+
+
+@query
+def op11_phrase_collocations(spark, sf_dir):
+    return collocations.mine(table(spark, sf_dir, "documents"))
