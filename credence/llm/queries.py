@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from credence.llm import binary_output, collocations, decontaminate, html_extract, jaccard, lang_id, merkle, packing, token_counts, topk, toxicity, url_filter
+from credence.llm import binary_output, collocations, decontaminate, html_extract, jaccard, lang_id, merkle, packing, simhash, token_counts, topk, toxicity, url_filter
 from credence.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -72,6 +72,12 @@ def op11_phrase_collocations(spark, sf_dir):
     return collocations.mine(table(spark, sf_dir, "documents"))
 
 
+@query
+def op12_simhash_near_copies(spark, sf_dir):
+    return simhash.near_copies(table(spark, sf_dir, "documents")).select(
+        "doc_id", simhash.hexadecimal("fp").alias("fingerprint"), "component_id")
+
+
 @query
 def op13_merkle_manifest(spark, sf_dir):
     return merkle.manifest(table(spark, sf_dir, "documents"))
