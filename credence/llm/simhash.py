@@ -125,8 +125,8 @@ def _syndrome(value: Column) -> Column:
 
 def visits(reps: DataFrame, bits: int = BITS, widths: tuple[int, ...] = PARTS) -> DataFrame:
     """(cell, fp, home): every anchor that a fingerprint is sent to; one of each part is its home."""
-    if sum(widths) != 64 or min(widths) < HAMMING:
-        raise ValueError(f"{widths} are no widths of parts of 64 bits, {HAMMING} at least each")
+    if sum(widths) != 64 or min(widths) < HAMMING or max(widths) > 32:
+        raise ValueError(f"{widths} are no widths of parts of 64 bits, {HAMMING} to 32 each")
     out, at = [], 0
     for k, (width, limit) in enumerate(zip(widths, thresholds(bits, len(widths)))):
         value = F.shiftrightunsigned("fp", at).bitwiseAND(F.lit((1 << width) - 1))
