@@ -4,7 +4,8 @@ A phrase of two to four words that occurs ``a >= 30`` times is cut after its fir
 l and r times; its score is the least floor(2000000 a / (l + r)) over its cuts. A phrase is dropped if some
 longer candidate that holds it occurs at least 0.8 times as often.
 
-1. Words are counted, then pairs of frequent words: two passes over the corpus.
+1. Texts are cut into words once and written as blocks: the distinct words and the numbers of all tokens. Words
+   are counted, then pairs of frequent words.
 2. A pair (x, y) is a prefix that may be grown. Whatever starts with it occurs c = f(x y) times at most and is cut
    after x with a rest that occurs no less often than the whole, so 2000000 c / (f(x) + c) bounds the scores of
    everything below it. By the same reasoning 2000000 c / (f(y) + c) bounds all phrases that end in it.
@@ -15,9 +16,11 @@ longer candidate that holds it occurs at least 0.8 times as often.
 4. A language is settled when 2000 phrases that survive reach its trial score: the 2000th score and its ties are
    then known. Other languages go on with a lower trial score, in the end zero, where nothing is left to grow.
 
-What tasks know of frequent words and grown prefixes are bitmaps of a fixed size over their hashes. A false hit
-only counts more phrases than needed: which occurrences are counted depends on the phrase alone, so every count
-that exists is exact. Tasks add up a block of tokens before they emit it.
+What tasks know of frequent words, frequent pairs and grown prefixes are bitmaps of a fixed size over their hashes. A
+false hit only counts more phrases than needed: which occurrences are counted depends on the phrase alone, so
+every count of a phrase that has all its occurrences counted is exact. Words and pairs are first added up by hash, as
+packed arrays; equal hashes can only make a sum too great, so whatever occurs often enough passes, and is
+then counted by its words. Tasks add up some blocks before they emit anything.
 
 Null languages are ``und``. Null and empty texts have no words. Rows, also repeated ones and those with null
 ids, count as they stand; an empty table gives no rows. Texts are read whole.
@@ -26,7 +29,6 @@ ids, count as they stand; an empty table gives no rows. Texts are read whole.
 from __future__ import annotations
 
 import re
-from collections import Counter
 from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
@@ -44,16 +46,18 @@ LONGEST = 4
 DROP = (80, 100)             # share of its occurrences inside a longer one that drops a phrase
 SCALE = 2_000_000
 FILTER_BITS = 26             # of the hashes that a bitmap tells apart: 8 MB
+CHUNK = 1 << 20              # bytes of one language that become a block; of all languages that wait, 8 times as many
 BLOCK_TOKENS = 2_000_000     # tokens whose phrases a task adds up before it emits them
-BLOCK_WORDS = 300_000        # distinct words of a block
-CHUNK = 1 << 20              # bytes that are cut into words at a time
+BLOCK_WORDS = 500_000        # distinct words among them
+GROUP_TOKENS = 4_000_000     # tokens of the corpus per group of hashes that is added up at once
 GROWTH = 4                   # a further trial looks at so many times more pairs
 SALTS = 32
 
 _TOKEN = re.compile(rb"[.,;:!?\n-\r]|[^ \t.,;:!?\n-\r]+")
-_SEPARATORS = frozenset(b".,;:!?\n\x0b\x0c\r"[i:i + 1] for i in range(10))
+_SEPARATORS = [b".", b",", b";", b":", b"!", b"?", b"\n", b"\x0b", b"\x0c", b"\r"]
 _COUNTS = pa.schema([("lang", pa.string()), ("phrase", pa.string()), ("words", pa.int32()), ("c", pa.int64())])
 COUNTS = "lang string, phrase string, words int, c long"
+BLOCK = "lang string, n long, words binary, ids binary, wide boolean"
 
 
 # ----------------------------------------------------------------------------- hashes, the same in tasks and in columns
@@ -66,12 +70,17 @@ def _turned(h: Column, bits: int) -> Column:
     return F.shiftleft(h, bits).bitwiseOR(F.shiftrightunsigned(h, 64 - bits))
 
 
-def slots(lang: str, *hashes: np.ndarray, bits: int) -> np.ndarray:
-    """Bit of the phrase with these word hashes."""
+def mixed(lang: str, *hashes: np.ndarray) -> np.ndarray:
+    """Hash of the phrase with these word hashes."""
     out = _turn(np.array([xxhash.xxh64_intdigest(lang.encode(), 42)], np.uint64), 42)
     for h in hashes:
         out = _turn(out, 21) ^ h
-    return out & np.uint64((1 << bits) - 1)
+    return out
+
+
+def slots(lang: str, *hashes: np.ndarray, bits: int) -> np.ndarray:
+    """Bit of the phrase with these word hashes."""
+    return mixed(lang, *hashes) & np.uint64((1 << bits) - 1)
 
 
 def slot(lang: Column | str, words: Iterable[Column], bits: int) -> Column:
@@ -97,33 +106,162 @@ def _has(bits: np.ndarray, at: np.ndarray) -> np.ndarray:
     return (bits[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8)) & 1 > 0
 
 
-# ----------------------------------------------------------------------------- counting in tasks
+# ----------------------------------------------------------------------------- blocks of tokens
 
-class _Words(dict):
-    """Number of a word in a block: from 1 for words whose bit is set, 0 for others and for separators."""
+class _Numbers(dict):
+    """Numbers of words from 1, in the order in which they are first asked for; separators are 0."""
 
-    def __init__(self, lang: str, frequent: np.ndarray, bits: int) -> None:
+    def __init__(self) -> None:
         super().__init__(dict.fromkeys(_SEPARATORS, 0))
-        self.lang, self.frequent, self.bits = lang, frequent, bits
         self.words: list[bytes] = [b""]
-        self.hashes: list[int] = [0]
-        self.runs: list[np.ndarray] = []
 
     def __missing__(self, word: bytes) -> int:
-        h = xxhash.xxh64_intdigest(word, 42)
-        number = 0
-        if _has(self.frequent, slots(self.lang, np.array([h], np.uint64), bits=self.bits))[0]:
-            number = len(self.words)
-            self.words.append(word)
-            self.hashes.append(h)
-        self[word] = number
+        self[word] = number = len(self.words)
+        self.words.append(word)
         return number
 
 
-def _tally(ids: np.ndarray, starts: np.ndarray, n: int, words: list[bytes]) -> Iterator[tuple[str, int]]:
+def _encoded(lang: str, texts: list[bytes]) -> pa.RecordBatch:
+    found, numbers = _TOKEN.findall(b"\n".join(texts)), _Numbers()
+    ids = np.fromiter(map(numbers.__getitem__, found), np.int32, len(found))
+    wide = len(numbers.words) > 1 << 16
+    return pa.RecordBatch.from_pydict({
+        "lang": [lang], "n": [int(np.count_nonzero(ids))], "words": [b"\n".join(numbers.words[1:])],
+        "ids": [ids.tobytes() if wide else ids.astype(np.uint16).tobytes()], "wide": [wide]})
+
+
+def blocks(docs: DataFrame) -> DataFrame:
+    """Staged (lang, n, words, ids, wide): about a megabyte of texts of one language, one text per line, lower-cased."""
+    chunk = CHUNK
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        waiting: dict[str, list[bytes]] = {}
+        sizes: dict[str, int] = {}
+        for lang, text in rows_of(batches):
+            if text:
+                waiting.setdefault(lang, []).append(text.lower())       # bytes: A-Z only
+                sizes[lang] = sizes.get(lang, 0) + len(text)
+                full = list(sizes) if sum(sizes.values()) > 8 * chunk else [lang] if sizes[lang] > chunk else []
+                for k in full:
+                    yield _encoded(k, waiting.pop(k))
+                    del sizes[k]
+        for k, texts in waiting.items():
+            yield _encoded(k, texts)
+    texts = docs.select(F.coalesce(F.col("lang").cast("string"), F.lit("und")).alias("lang"), F.col("text").cast("string").cast("binary").alias("text"))
+    small_batches(texts)
+    return stage(texts.mapInArrow(run, BLOCK), "token-blocks")
+
+
+class _Block:
+    """Some blocks of one language as one: distinct words with their hashes, and the numbers of all tokens."""
+
+    def __init__(self, lang: str) -> None:
+        self.lang, self.numbers, self.runs = lang, _Numbers(), []
+
+    def add(self, words: bytes, ids: bytes, wide: bool) -> int:
+        place = np.fromiter(map(self.numbers.__getitem__, words.split(b"\n") if words else []), np.int32)
+        run = np.frombuffer(ids, np.int32 if wide else np.uint16)
+        self.runs += [np.concatenate([np.zeros(1, np.int32), place])[run], np.zeros(1, np.int32)]
+        return len(run)
+
+    def finish(self, known: np.ndarray | None, bits: int) -> None:
+        """Words whose bit is not set become separators."""
+        self.words = self.numbers.words
+        self.hashes = np.fromiter((xxhash.xxh64_intdigest(w, 42) for w in self.words), np.uint64, len(self.words))
+        self.ids = np.concatenate(self.runs)
+        if known is not None:
+            keep = _has(known, slots(self.lang, self.hashes, bits=bits))
+            keep[0] = False
+            self.ids = np.where(keep[self.ids], self.ids, 0).astype(np.int32)
+
+    def pairs(self) -> np.ndarray:
+        return np.flatnonzero((self.ids[:-1] > 0) & (self.ids[1:] > 0))
+
+
+def _merged(batches: Iterable[pa.RecordBatch], known: np.ndarray | None, bits: int, tokens: int, distinct: int) -> Iterator[_Block]:
+    found: dict[str, _Block] = {}
+    size = 0
+
+    def out() -> Iterator[_Block]:
+        for k in list(found):
+            block = found.pop(k)
+            block.finish(known, bits)
+            yield block
+    for b in batches:
+        for i in range(b.num_rows):
+            lang, words, ids, wide = (b.column(c)[i].as_py() for c in ("lang", "words", "ids", "wide"))
+            block = found.setdefault(lang, _Block(lang))
+            size += block.add(words, ids, wide)
+            if size >= tokens or sum(len(x.numbers) for x in found.values()) > distinct:
+                yield from out()
+                size = 0
+    yield from out()
+
+
+def _over(work: Callable[[Iterable[_Block]], Iterable[pa.RecordBatch]], known: np.ndarray | None, bits: int) -> Callable:
+    tokens, distinct = BLOCK_TOKENS, BLOCK_WORDS
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from work(_merged(batches, known, bits, tokens, distinct))
+    return run
+
+
+# ----------------------------------------------------------------------------- sums by hash
+
+def _single(block: _Block) -> tuple[np.ndarray, np.ndarray]:
+    counts = np.bincount(block.ids, minlength=len(block.words))
+    counts[0] = 0
+    at = np.flatnonzero(counts)
+    return mixed(block.lang, block.hashes[at]), counts[at]
+
+
+def _double(block: _Block) -> tuple[np.ndarray, np.ndarray]:
+    at = block.pairs()
+    key, counts = np.unique(block.ids[at].astype(np.int64) << 32 | block.ids[at + 1], return_counts=True)
+    return mixed(block.lang, block.hashes[key >> 32], block.hashes[key & 0xFFFFFFFF]), counts
+
+
+def frequent_slots(tokens: DataFrame, hashed: Callable[[_Block], tuple[np.ndarray, np.ndarray]], known: np.ndarray | None, least: int,
+                   total: int, bits: int) -> np.ndarray:
+    """A bitmap that has the bits of all that occur ``least`` times or more, and few others.
+
+    Counts go as bytes, ``least`` at most, and hashes as 32 bits within groups; the groups grow in number with the corpus.
+    """
+    groups = max(1, -(-total // GROUP_TOKENS))
+    if not 0 < least < 256 or bits > 32:
+        raise ValueError("counts are kept in bytes and hashes in 32 bits")
+
+    def packed(found: Iterable[_Block]) -> Iterator[pa.RecordBatch]:
+        for block in found:
+            h, counts = hashed(block)
+            group = (h >> np.uint64(32)) % np.uint64(groups)
+            order = np.argsort(group, kind="stable")
+            h, counts, group = h[order].astype(np.uint32), np.minimum(counts[order], least).astype(np.uint8), group[order]
+            starts = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]])) if len(group) else []
+            ends = [*starts[1:], len(group)]
+            if len(group):
+                yield pa.RecordBatch.from_pydict({
+                    "g": group[starts].astype(np.int64), "h": pa.array([h[a:b].tobytes() for a, b in zip(starts, ends)], pa.binary()),
+                    "c": pa.array([counts[a:b].tobytes() for a, b in zip(starts, ends)], pa.binary())})
+
+    def add(rows: pa.Table) -> pa.Table:
+        h = np.concatenate([np.frombuffer(x.as_py(), np.uint32) for x in rows.column("h")])
+        c = np.concatenate([np.frombuffer(x.as_py(), np.uint8) for x in rows.column("c")])
+        key, place = np.unique(h, return_inverse=True)
+        sums = np.bincount(place, weights=c, minlength=len(key))
+        return pa.table({"slot": (key[sums >= least] & np.uint32((1 << bits) - 1)).astype(np.int64)})
+
+    sums = tokens.mapInArrow(_over(packed, known, bits), "g long, h binary, c binary").groupBy("g").applyInArrow(add, "slot long")
+    return bitmap(sums, F.col("slot"), bits)
+
+
+# ----------------------------------------------------------------------------- counts by words
+
+def _tally(block: _Block, starts: np.ndarray, n: int) -> Iterator[tuple[str, int]]:
     """(phrase, occurrences) of the phrases of ``n`` words at ``starts``."""
     if not len(starts):
         return
+    ids, words = block.ids, block.words
     key = ids[starts].astype(np.int64)
     for j in range(1, n):
         if j > 1:
@@ -135,106 +273,57 @@ def _tally(ids: np.ndarray, starts: np.ndarray, n: int, words: list[bytes]) -> I
         yield b" ".join([words[i] for i in row]).decode("utf-8", "replace"), c
 
 
-def _pairs(block: _Words, ids: np.ndarray) -> Iterator[tuple[str, int, int]]:
-    at = np.flatnonzero((ids[:-1] > 0) & (ids[1:] > 0))
-    for phrase, c in _tally(ids, at, 2, block.words):
-        yield phrase, 2, c
+def _words(block: _Block) -> Iterator[tuple[str, int, int]]:
+    for phrase, c in _tally(block, np.flatnonzero(block.ids), 1):
+        yield phrase, 1, c
+
 
+def _pairs(pairs: np.ndarray, bits: int) -> Callable[[_Block], Iterator[tuple[str, int, int]]]:
+    """Pairs whose bit is set in ``pairs``."""
+    def count(block: _Block) -> Iterator[tuple[str, int, int]]:
+        at = block.pairs()
+        h = block.hashes
+        at = at[_has(pairs, slots(block.lang, h[block.ids[at]], h[block.ids[at + 1]], bits=bits))]
+        for phrase, c in _tally(block, at, 2):
+            yield phrase, 2, c
+    return count
 
-def _grown(starts: np.ndarray, ends: np.ndarray) -> Callable[[_Words, np.ndarray], Iterator[tuple[str, int, int]]]:
-    """Phrases of three and four words. ``starts``, ``ends``: bits of the pairs that may start or end a phrase."""
-    def count(block: _Words, ids: np.ndarray) -> Iterator[tuple[str, int, int]]:
-        h = np.array(block.hashes, np.uint64)
-        pair = np.flatnonzero((ids[:-1] > 0) & (ids[1:] > 0))
-        at = slots(block.lang, h[ids[pair]], h[ids[pair + 1]], bits=block.bits)
+
+def _grown(pairs: np.ndarray, starts: np.ndarray, ends: np.ndarray, bits: int) -> Callable[[_Block], Iterator[tuple[str, int, int]]]:
+    """Phrases of three and four words of frequent ``pairs``. ``starts``, ``ends``: those that may start or end a phrase."""
+    def count(block: _Block) -> Iterator[tuple[str, int, int]]:
+        h, ids = block.hashes, block.ids
+        pair = block.pairs()
+        at = slots(block.lang, h[ids[pair]], h[ids[pair + 1]], bits=bits)
+        frequent = _has(pairs, at)
+        pair, at = pair[frequent], at[frequent]
         known, start, end = (np.zeros(len(ids) + 3, bool) for _ in range(3))
         known[pair], start[pair], end[pair] = True, _has(starts, at), _has(ends, at)
         three = known[:-1] & known[1:] & (start[:-1] | end[1:])
         four = known[:-2] & known[1:-1] & known[2:] & ((start[:-2] & (end[1:-1] | end[2:])) | (start[1:-1] & end[2:]))
         for n, mask in ((3, three), (4, four)):
-            for phrase, c in _tally(ids, np.flatnonzero(mask), n, block.words):
+            for phrase, c in _tally(block, np.flatnonzero(mask), n):
                 yield phrase, n, c
     return count
 
 
-def _texts_by_language(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple[str, bytes]]:
-    """(language, some of its texts, lower-cased, one per line)."""
-    waiting: dict[str, list[bytes]] = {}
-    size = 0
-    for lang, text in rows_of(batches):
-        if text:
-            waiting.setdefault(lang, []).append(text.lower())       # bytes: A-Z only
-            size += len(text)
-        if size >= CHUNK:
-            yield from ((k, b"\n".join(v)) for k, v in waiting.items())
-            waiting, size = {}, 0
-    yield from ((k, b"\n".join(v)) for k, v in waiting.items())
-
-
-def _pack(rows: Iterable[tuple[str, str, int, int]], size: int = 65_536) -> Iterator[pa.RecordBatch]:
-    done: list[tuple] = []
-    for row in rows:
-        done.append(row)
-        if len(done) >= size:
-            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*done), _COUNTS)], schema=_COUNTS)
-            done = []
-    if done:
-        yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*done), _COUNTS)], schema=_COUNTS)
-
-
-def _sum(texts: DataFrame, rows: Callable[[Iterator[pa.RecordBatch]], Iterable[tuple]]) -> DataFrame:
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        yield from _pack(rows(batches))
-    return texts.mapInArrow(run, COUNTS).groupBy("lang", "phrase", "words").agg(F.sum("c").alias("a"))
-
-
-def count_words(texts: DataFrame) -> DataFrame:
-    """(lang, phrase, words, a) of all words."""
-    limit = BLOCK_WORDS
-
-    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
-        counts: dict[str, Counter] = {}
-
-        def out() -> Iterator[tuple]:
-            for lang, c in counts.items():
-                for word, n in c.items():
-                    if word not in _SEPARATORS:
-                        yield lang, word.decode("utf-8", "replace"), 1, n
-            counts.clear()
-        for lang, text in _texts_by_language(batches):
-            counts.setdefault(lang, Counter()).update(_TOKEN.findall(text))
-            if sum(map(len, counts.values())) > limit:
-                yield from out()
-        yield from out()
-    return _sum(texts, rows)
+def count_phrases(tokens: DataFrame, count: Callable[[_Block], Iterable[tuple[str, int, int]]], known: np.ndarray, bits: int,
+                  size: int = 65_536) -> DataFrame:
+    """(lang, phrase, words, a) of what ``count`` finds in merged blocks."""
+    def work(found: Iterable[_Block]) -> Iterator[pa.RecordBatch]:
+        done: list[tuple] = []
 
-
-def count_phrases(texts: DataFrame, frequent: np.ndarray, count: Callable[[_Words, np.ndarray], Iterable[tuple[str, int, int]]],
-                  bits: int) -> DataFrame:
-    """(lang, phrase, words, a) of what ``count`` finds in blocks of tokens of one language."""
-    tokens, distinct = BLOCK_TOKENS, BLOCK_WORDS
-
-    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
-        blocks: dict[str, _Words] = {}
-        size = 0
-
-        def out() -> Iterator[tuple]:
-            for lang, block in blocks.items():
-                for phrase, n, c in count(block, np.concatenate(block.runs)):
-                    yield lang, phrase, n, c
-            blocks.clear()
-        for lang, text in _texts_by_language(batches):
-            if lang not in blocks:
-                blocks[lang] = _Words(lang, frequent, bits)
-            block = blocks[lang]
-            found = _TOKEN.findall(text)
-            block.runs += [np.fromiter(map(block.__getitem__, found), np.int32, len(found)), np.zeros(1, np.int32)]
-            size += len(found)
-            if size >= tokens or sum(map(len, blocks.values())) > distinct:
-                yield from out()
-                size = 0
-        yield from out()
-    return _sum(texts, rows)
+        def out() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*done), _COUNTS)], schema=_COUNTS)
+        for block in found:
+            for row in count(block):
+                done.append((block.lang, *row))
+                if len(done) >= size:
+                    yield out()
+                    done.clear()
+        if done:
+            yield out()
+    return tokens.mapInArrow(_over(work, known, bits), COUNTS).groupBy("lang", "phrase", "words").agg(F.sum("c").alias("a"))
 
 
 # ----------------------------------------------------------------------------- scores
@@ -289,22 +378,24 @@ def trial_scores(pairs: DataFrame, langs: DataFrame, wanted: int) -> DataFrame:
 def mine(docs: DataFrame, top: int = TOP, least: int = LEAST, bits: int = FILTER_BITS) -> DataFrame:
     """(lang, rank, phrase, a, l, r, n, score): the ``top`` phrases of every language.
 
-    By score, occurrences, and bytes of the phrase. ``docs`` has ``text`` and ``lang``; it is read once per pass.
+    By score, occurrences, and bytes of the phrase. ``docs`` has ``text`` and ``lang``.
     """
-    texts = docs.select(F.coalesce(F.col("lang").cast("string"), F.lit("und")).alias("lang"), F.col("text").cast("string").cast("binary").alias("text"))
-    small_batches(texts)
-    words = stage(count_words(texts), "words")
-    totals = words.groupBy("lang").agg(F.sum("a").alias("n"))
-    single = words.where(F.col("a") >= least)
-    frequent = bitmap(single, slot("lang", [F.col("phrase")], bits), bits)
-    double = stage(count_phrases(texts, frequent, _pairs, bits).where(F.col("a") >= least), "pairs")
+    tokens = blocks(docs)
+    totals = tokens.groupBy("lang").agg(F.sum("n").alias("n")).where("n > 0")
+    total = totals.agg(F.sum("n").alias("n")).first()["n"] or 0
+    usual = frequent_slots(tokens, _single, None, least, total, bits)
+    single = stage(count_phrases(tokens, _words, usual, bits).where(F.col("a") >= least), "words")
+    words = bitmap(single, slot("lang", [F.col("phrase")], bits), bits)
+    usual = frequent_slots(tokens, _double, words, least, total, bits)
+    double = stage(count_phrases(tokens, _pairs(usual, bits), words, bits).where(F.col("a") >= least), "pairs")
     shorter = single.unionByName(double)
     pairs = stage(scored(double, shorter), "scored-pairs")
+    frequent = (words, bitmap(double, slot("lang", _both(), bits), bits))
     results: list[DataFrame] = []
     open_langs, wanted = totals.select("lang"), 2 * top
     while True:
         trial = stage(trial_scores(pairs, open_langs, wanted), "trial")
-        candidates, longer = _grow(texts, pairs, shorter, trial, frequent, least, bits)
+        candidates, longer = _grow(tokens, pairs, shorter, trial, frequent, least, bits)
         found = stage(surviving(candidates, longer), "survivors")
         reached = found.groupBy("lang").agg(F.count("*").alias("reached"))
         state = stage(trial.join(reached, "lang", "left").withColumn("settled", (F.col("tau") == 0) | (F.coalesce("reached", F.lit(0)) >= top)), "state")
@@ -317,17 +408,20 @@ def mine(docs: DataFrame, top: int = TOP, least: int = LEAST, bits: int = FILTER
         "lang", "rank", "phrase", "a", "l", "r", "n", "score")
 
 
-def _grow(texts: DataFrame, pairs: DataFrame, shorter: DataFrame, trial: DataFrame, frequent: np.ndarray, least: int,
+def _both() -> list[Column]:
+    return [F.split("phrase", " ")[0], F.split("phrase", " ")[1]]
+
+
+def _grow(tokens: DataFrame, pairs: DataFrame, shorter: DataFrame, trial: DataFrame, frequent: tuple[np.ndarray, np.ndarray], least: int,
           bits: int) -> tuple[DataFrame, DataFrame]:
     """(candidates that reach their language's trial score, counted phrases of three and four words)."""
     judged = pairs.join(trial, "lang")
-    first, second = F.split("phrase", " ")[0], F.split("phrase", " ")[1]
-    at = slot("lang", [first, second], bits)
 
     def bound(part: str) -> Column:
         return _share("a", _exact(part) + _exact("a")) >= F.col("tau")
-    starts, ends = (bitmap(judged.where(bound(part)), at, bits) for part in "lr")
-    longer = stage(count_phrases(texts, frequent, _grown(starts, ends), bits).where(F.col("a") >= least), "longer")
+    starts, ends = (bitmap(judged.where(bound(part)), slot("lang", _both(), bits), bits) for part in "lr")
+    words, usual = frequent
+    longer = stage(count_phrases(tokens, _grown(usual, starts, ends, bits), words, bits).where(F.col("a") >= least), "longer")
     grown = scored(longer, shorter.unionByName(longer)).join(trial, "lang")
     reach = F.col("score") >= F.col("tau")
     return judged.where(reach).drop("tau").unionByName(grown.where(reach).drop("tau")), longer
