@@ -226,6 +226,24 @@ def newton(c: float = 0.5, steps: int = 12) -> str:
     return "WITH " + ",\n".join(out) + "\n"
 
 
+def descent(c: dict[str, float], steps: int = 45) -> str:
+    """CTEs of gradient steps for logistic regression on the text vectors: w (route, term, w), the intercept's term is ''.
+
+    Vectors have length 1 besides the constant, so the curvature is between 1 and 1 + c n / 2.
+    """
+    strength = f"CASE cls.route {' '.join(f'WHEN {k!r} THEN {v}::DOUBLE' for k, v in c.items())} END"
+    out = [f"""pace AS MATERIALIZED (SELECT route, n, n0, n1, {strength} AS c, 2 / (2 + {strength} * n / 2) AS eta FROM cls)""",
+           """one AS MATERIALIZED (SELECT id, route, CASE WHEN label = 1 THEN 1 ELSE -1 END AS y,
+  c * n / (2.0::DOUBLE * CASE WHEN label = 1 THEN n1 ELSE n0 END) AS s FROM train JOIN pace USING (route))""",
+           "vecs AS MATERIALIZED (SELECT id, route, term, v FROM vec UNION ALL SELECT id, route, '', 1.0::DOUBLE FROM one)",
+           "w0 AS MATERIALIZED (SELECT DISTINCT route, term, 0.0::DOUBLE AS w FROM vecs)"]
+    for i in range(steps):
+        out += [f"z{i} AS MATERIALIZED (SELECT id, sum(v * w) AS z FROM vecs JOIN w{i} USING (route, term) GROUP BY id)",
+                f"d{i} AS MATERIALIZED (SELECT route, term, sum(-s * y * v / (1 + exp(y * z))) AS g FROM vecs JOIN one USING (id, route) JOIN z{i} USING (id) GROUP BY route, term)",
+                f"w{i + 1} AS MATERIALIZED (SELECT route, term, w - eta * (w + g) AS w FROM w{i} JOIN d{i} USING (route, term) JOIN pace USING (route))"]
+    return ",\n".join(out)
+
+
 def build() -> dict[str, str]:
     q: dict[str, str] = {}
     q["normalize_documents"] = f"SELECT id, source, title, text, speaker, subject, label, label_raw FROM ({select_articles('LEFT JOIN')})"
@@ -333,6 +351,15 @@ FROM mk JOIN (SELECT id, term, weight, greatest(max(abs(weight)) OVER (PARTITION
     q["fallback_route"] = "WITH " + only + f"\nSELECT id, route, round(CASE WHEN p >= 0.5 THEN p ELSE 1 - p END, 4) AS confidence, {LABEL} AS label FROM verdicts"
     q["lr_dense_weights"] = newton() + "SELECT n, round(a, 4) AS w0, round(b, 4) AS w1, round(d, 4) AS intercept FROM s12, size"
     q["lr_dense_predict"] = newton() + "SELECT id, label, round(1 / (1 + exp(-(a * x + b * y + d))), 3) AS p FROM ev, s12"
+    gentle = "WITH " + ",\n".join([TRAIN, descent({"article": 0.002, "claim": 0.001})])
+    q["lr_text_predict"] = ",\n".join([gentle, TEST, """lx AS (SELECT id, route, (1 + ln(tf)) * idf AS x, w FROM test_terms JOIN vocab USING (route, term) JOIN w45 USING (route, term)),
+ld AS (SELECT id, sum(x * w) / sqrt(sum(x * x)) AS dot FROM lx GROUP BY id)"""]) + """
+SELECT t.id, source, label, t.route, round(1 / (1 + exp(-(b.w + coalesce(dot, 0)))), 4) AS p
+FROM test t JOIN w45 b ON b.route = t.route AND b.term = '' LEFT JOIN ld ON ld.id = t.id"""
+    q["lr_text_weights"] = gentle + """
+SELECT route, count(*) FILTER (term <> '') AS n, round(sum(w) FILTER (term <> ''), 4) AS total, round(sqrt(sum(w * w) FILTER (term <> '')), 4) AS length,
+  round(max(w) FILTER (term <> ''), 4) AS greatest, round(min(w) FILTER (term <> ''), 4) AS least, round(max(w) FILTER (term = ''), 4) AS intercept
+FROM w45 GROUP BY route"""
     q["metrics_document_scores"] = met + """, flat AS (UNPIVOT (SELECT scope, n::DOUBLE AS n, accuracy, "precision", recall, f1, macro_f1, roc_auc FROM met)
       ON n, accuracy, "precision", recall, f1, macro_f1, roc_auc INTO NAME metric VALUE "value")
       SELECT '20240506T070809Z' AS version, 'naive_bayes' AS model, scope, metric, "value" FROM flat

@@ -13,7 +13,7 @@ from pyspark.sql.types import DateType, LongType, StructField, StructType
 from credence.functions import text as X
 from credence.functions.stopwords import ENGLISH
 from credence.operators import evaluate as E
-from credence.operators import features, models
+from credence.operators import features, logistic, models
 from credence.operators import normalize as N
 from credence.operators.annotate import spans
 from credence.operators.split import stratified_split, stratum_quotas
@@ -430,8 +430,9 @@ def _dense_events(spark, sf_dir):
 def _dense_fit(spark, sf_dir):
     vectors = _dense_events(spark, sf_dir)
     counts = models.class_counts(vectors).first()
-    weights, intercept = models.lr_fit(vectors, "article", 2, counts["n"], counts["n0"], counts["n1"], c=0.5, tol=1e-12)
-    return vectors, [*weights, intercept]
+    weights, intercept, _ = logistic.fit(vectors, {"article": 2}, {"article": (counts["n0"], counts["n1"])}, {"article": 0.5}, 100, 1e-13)
+    two = {r["idx"]: r["weight"] for r in weights.collect()}
+    return vectors, [two[0], two[1], intercept["article"]]
 
 
 @query
@@ -459,6 +460,28 @@ def lr_predict(spark, sf_dir):
     return t.predictions.select("id", "source", "label", "route", F.round("p", 4).alias("p"))
 
 
+def _gentle(spark, sf_dir):
+    """Both routes on their whole vocabularies, so strongly regularised that SQL reaches the optimum by plain gradient steps."""
+    return T.train(tables.labelled_articles(spark, sf_dir), {T.LR: lambda f: T.fit_logistic(f, c={"article": 0.002, "claim": 0.001}, tol=0.0)},
+                   route_of_source=tables.TABLE_ROUTES)
+
+
+@query
+def lr_text_predict(spark, sf_dir):
+    return _gentle(spark, sf_dir).predictions.select("id", "source", "label", "route", F.round("p", 4).alias("p"))
+
+
+@query
+def lr_text_weights(spark, sf_dir):
+    """Intercept, number, sum, length and extremes of every route's coefficients."""
+    model = _gentle(spark, sf_dir).models[T.LR]
+    w = F.col("weight")
+    return model.terms.groupBy("route").agg(
+        F.count("*").alias("n"), F.round(F.sum(w), 4).alias("total"), F.round(F.sqrt(F.sum(w * w)), 4).alias("length"),
+        F.round(F.max(w), 4).alias("greatest"), F.round(F.min(w), 4).alias("least")).withColumn(
+        "intercept", F.round(models.by_route(model.bias), 4))
+
+
 @query
 def lr_metrics(spark, sf_dir):
     return _logistic(spark, sf_dir).metrics()

@@ -5,10 +5,8 @@ from __future__ import annotations
 from collections.abc import Iterable, Sequence
 from functools import reduce
 
-from pyspark.ml.linalg import VectorUDT
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from credence.functions.stopwords import ENGLISH
 from credence.functions.text import term_counts
@@ -144,14 +142,3 @@ def document_vectors(docs: DataFrame, vocabulary: DataFrame, keep: Sequence[str]
                     F.col("e.idx").alias("indices"),
                     F.transform("e.x", lambda v: v / F.col("l2")).alias("values")),
         "vectors")
-
-
-def as_ml_vector(indices: Column, values: Column, size: int) -> Column:
-    """The storage form of a sparse ML vector; a table staged with it can be read as ``VectorUDT``."""
-    return F.struct(F.lit(0).cast("byte").alias("type"), F.lit(size).alias("size"),
-                    indices.alias("indices"), values.alias("values"))
-
-
-def ml_schema(schema: T.StructType, field: str) -> T.StructType:
-    return T.StructType([
-        T.StructField(f.name, VectorUDT() if f.name == field else f.dataType) for f in schema.fields])

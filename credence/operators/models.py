@@ -8,18 +8,15 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterable, Sequence
-from concurrent.futures import ThreadPoolExecutor
-from contextvars import copy_context
 from dataclasses import dataclass, field
 from functools import reduce
 
-import pandas as pd
-from pyspark.ml.classification import LogisticRegression
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from credence.functions.text import blank_null, label_name, prepare, route_for
-from credence.operators.features import as_ml_vector, ml_schema, weighted_terms
+from credence.operators import logistic as logistic_regression
+from credence.operators.features import weighted_terms
 from credence.operators.normalize import with_defaults
 from credence.schema import EXPLAIN_K, LR_C, LR_MAX_ITER, LR_TOL, NB_ALPHA, PREDICTION, THRESHOLD, VOCABULARY_K
 from credence.session import stage
@@ -100,68 +97,13 @@ def nb_bias(counts: Iterable) -> dict[str, float]:
     return {r["route"]: math.log(r["n1"] / r["n0"]) for r in counts}
 
 
-def lr_fit(vectors: DataFrame, route: str, n_features: int, n: int, n0: int, n1: int, c: float,
-           max_iter: int = LR_MAX_ITER, tol: float = LR_TOL, key: str = "id") -> tuple[list[float], float]:
-    """L2 logistic regression with balanced classes and a penalised intercept: (weights, intercept).
-
-    The intercept is the weight of a constant feature. ML drops a constant column, so features and
-    label are negated on about half of the rows (by a hash of the key): the loss is the same, the
-    column becomes +1/-1 and the optimum is the penalised-intercept one. Balanced weights add up to
-    n, hence regParam = 1 / (C * n). Every task returns a dense gradient, so the training set is
-    read by as many tasks as there are cores: fewer leave cores idle, more only add gradients.
-    """
-    mine = vectors.where(F.col("route") == route)
-    flip = _flip(mine, key)
-    sign = F.when(flip, -1.0).otherwise(1.0)
-    rows = mine.select(
-        F.when(F.col("label") == 1, n / (2 * n1)).otherwise(n / (2 * n0)).alias("w"),
-        F.when(flip, 1 - F.col("label")).otherwise(F.col("label")).cast("double").alias("y"),
-        as_ml_vector(
-            F.concat("indices", F.array(F.lit(n_features))),
-            F.transform(F.concat("values", F.array(F.lit(1.0))), lambda v: v * sign),
-            n_features + 1).alias("features"))
-    data = stage(rows, f"lr-{route}", read_as=ml_schema(rows.schema, "features"))
-    fitted = LogisticRegression(
-        featuresCol="features", labelCol="y", weightCol="w", regParam=1.0 / (c * n), elasticNetParam=0.0,
-        standardization=False, fitIntercept=False, maxIter=max_iter, tol=tol, family="binomial",
-    ).fit(data.coalesce(max(1, vectors.sparkSession.sparkContext.defaultParallelism)))
-    weights = fitted.coefficients.toArray().tolist()      # one number per term of the route and one more
-    return weights[:-1], weights[-1]
-
-
-def _flip(rows: DataFrame, key: str, tries: int = 32) -> Column:
-    """Whether a row is negated.
-
-    Uses the first hash seed whose flips give both signs and both labels; matters on tiny inputs only.
-    """
-    def parity(seed: int) -> Column:
-        return F.pmod(F.xxhash64(F.col(key), F.lit(seed)), F.lit(2)) == 1
-    checks = []
-    for s in range(tries):
-        y = F.when(parity(s), 1 - F.col("label")).otherwise(F.col("label"))
-        checks += [F.count_if(parity(s)).alias(f"f{s}"), F.sum(y).alias(f"y{s}")]
-    found = rows.agg(F.count("*").alias("n"), *checks).first()
-    for s in range(tries):
-        if 0 < found[f"f{s}"] < found["n"] and 0 < found[f"y{s}"] < found["n"]:
-            return parity(s)
-    raise ValueError("too few rows to fit logistic regression")
-
-
 def lr_weights(vectors: DataFrame, vocabulary: DataFrame, counts: Sequence, c: dict[str, float] | None = None,
-               max_iter: int = LR_MAX_ITER, tol: float = LR_TOL, key: str = "id") -> tuple[DataFrame, dict[str, float]]:
-    """((route, idx, weight), route -> intercept) of one logistic regression per route."""
-    spark = vectors.sparkSession
+               max_iter: int = LR_MAX_ITER, tol: float = LR_TOL) -> tuple[DataFrame, dict[str, float]]:
+    """((route, idx, weight), route -> intercept) of one logistic regression per route, see ``logistic``."""
     sizes = {r["route"]: r["v"] for r in vocabulary.groupBy("route").agg(F.count("*").alias("v")).collect()}
-    strength = LR_C if c is None else c
-    def fit(r):
-        return lr_fit(vectors, r["route"], sizes[r["route"]], r["n"], r["n0"], r["n1"],
-                      strength.get(r["route"], 1.0), max_iter, tol, key)
-    with ThreadPoolExecutor(len(counts)) as pool:      # the routes' iterations share the cluster
-        jobs = {r["route"]: pool.submit(copy_context().run, fit, r) for r in counts}      # what they stage is the caller's
-        fits = {route: job.result() for route, job in jobs.items()}
-    bias = {route: intercept for route, (_, intercept) in fits.items()}
-    frames = [pd.DataFrame({"route": route, "idx": range(len(w)), "weight": w}) for route, (w, _) in fits.items()]
-    return spark.createDataFrame(pd.concat(frames), "route string, idx int, weight double"), bias
+    weights, bias, _ = logistic_regression.fit(
+        vectors, sizes, {r["route"]: (r["n0"], r["n1"]) for r in counts}, LR_C if c is None else c, max_iter, tol)
+    return weights, bias
 
 
 # ----------------------------------------------------------------------------- scoring

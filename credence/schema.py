@@ -26,7 +26,7 @@ MIN_DF = {"article": 2, "claim": 1}
 MAX_DF = 0.9
 LR_C = {"article": 10.0, "claim": 1.0}
 LR_MAX_ITER = 3_000
-LR_TOL = 1e-6
+LR_TOL = 1e-8
 NB_ALPHA = 0.1
 TEST_SIZE = 0.2
 SEED = 42
