@@ -284,6 +284,7 @@ def build() -> dict[str, str]:
     q["features_by_route"] = voc + "SELECT route, count(*) AS n_features FROM vocab GROUP BY route"
     q["tfidf_documents"] = voc.rstrip() + ",\n" + weighted("vec", "terms") + "\nSELECT id, route, term, tf, round(v, 6) AS tfidf FROM vec"
 
+    q["tfidf_head_tail"] = q["tfidf_documents"]
     q["split_quotas"] = with_(ART, quotas("art")) + "SELECT source, label, n, quota FROM quotas"
     q["stratified_split_rows"] = with_(ART, split("art")) + "SELECT id, source, label, is_test FROM split"
     q["split_counts"] = with_(ART, split("art")) + "SELECT source, label, is_test, count(*) AS n FROM split GROUP BY ALL"

@@ -16,6 +16,7 @@ from credence.operators import evaluate as E
 from credence.operators import features, logistic, models
 from credence.operators import normalize as N
 from credence.operators.annotate import spans
+from credence.operators.lookup import lookup
 from credence.operators.split import stratified_split, stratum_quotas
 from credence.plans import registry, report, run
 from credence.plans import train as T
@@ -240,6 +241,15 @@ def tfidf_documents(spark, sf_dir):
         "id", "route", "term", bigint(F.col("tf")).alias("tf"), F.round("tfidf", 6).alias("tfidf"))
 
 
+@query
+def tfidf_head_tail(spark, sf_dir):
+    """The same through a lookup that broadcasts frequent terms only: the rest passes the filter and is joined by id."""
+    docs = training_docs(spark, sf_dir)
+    table = features.fit_vocabulary(docs).select("route", "term", "idf")
+    return features.tfidf(docs, lookup(table, limit=0, head_bytes=200_000)).select(
+        "id", "route", "term", bigint(F.col("tf")).alias("tf"), F.round("tfidf", 6).alias("tfidf"))
+
+
 # ----------------------------------------------------------------------------- split and weights
 
 def _split(spark, sf_dir):

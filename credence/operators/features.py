@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from credence.functions.stopwords import ENGLISH
 from credence.functions.text import term_counts
+from credence.operators.lookup import TermLookup, lookup
 from credence.operators.ranking import sorted_numbers
 from credence.schema import MAX_DF, MIN_DF
 from credence.session import stage
@@ -87,41 +88,31 @@ def most_frequent(kept: DataFrame, max_features: int) -> DataFrame:
     return reduce(DataFrame.unionByName, tops).drop("band") if tops else kept
 
 
-BROADCAST_BYTES = 256 * 1024 * 1024
-
-
-def sized(table: DataFrame, limit: int = BROADCAST_BYTES) -> DataFrame:
-    """A term table, marked for broadcast if its measured size allows; call it once, when the table is made or loaded.
-
-    The bytes of the terms are added up, with 100 for the numbers and the overhead of a row. Beyond the limit
-    the planner chooses the join, which it may split where a term is frequent.
-    """
-    size = table.agg(F.sum(F.octet_length("term") + 100).alias("b")).first()["b"] or 0
-    return F.broadcast(table) if size <= limit else table
-
-
-def weighted_terms(docs: DataFrame, keep: Sequence[str], table: DataFrame,
+def weighted_terms(docs: DataFrame, keep: Sequence[str], table: TermLookup,
                    stop_words: Iterable[str] | None = None, marks: DataFrame | None = None) -> DataFrame:
     """The known terms of each document, from a term table on (route, term), with ``x`` = tf-idf before
     the norm; and one row per document without term and ``x``, so that those without a known term survive.
 
     Those rows (``marks``, by default ``keep`` and route of ``docs``) join nothing, so they are no key of their
-    own in the join. With a broadcast table unknown terms are gone before anything is regrouped.
+    own in the join. Where the table is too large to be broadcast whole, counted terms are staged: they are read twice.
     """
-    known = (explode_terms(docs, [*keep, "route"], stop_words=stop_words).where("term IS NOT NULL")
-             .join(table, ["route", "term"])
-             .withColumn("x", sublinear_tf("tf") * F.col("idf")))
-    return known.unionByName(docs.select(*keep, "route") if marks is None else marks, allowMissingColumns=True)
+    marks = docs.select(*keep, "route") if marks is None else marks
+    if not table.whole and "terms" not in docs.columns:
+        docs = stage(docs.select(*keep, "route", term_counts("input", ENGLISH if stop_words is None else stop_words).alias("terms")), "counted-terms")
+    terms = explode_terms(docs, [*keep, "route"], stop_words=stop_words).where("term IS NOT NULL")
+    known = table.match(terms).withColumn("x", sublinear_tf("tf") * F.col("idf"))
+    return known.unionByName(marks, allowMissingColumns=True)
 
 
 def content(docs: DataFrame) -> str:
     return "terms" if "terms" in docs.columns else "input"
 
 
-def tfidf(docs: DataFrame, vocabulary: DataFrame, key: str = "id",
+def tfidf(docs: DataFrame, vocabulary: DataFrame | TermLookup, key: str = "id",
           stop_words: Iterable[str] | None = None) -> DataFrame:
     """Long form (id, route, term, tf, tfidf), L2-normalised per document."""
-    terms = weighted_terms(docs.select(key, "route", content(docs)), [key], sized(vocabulary.select("route", "term", "idf")), stop_words)
+    table = vocabulary if isinstance(vocabulary, TermLookup) else lookup(vocabulary.select("route", "term", "idf"))
+    terms = weighted_terms(docs.select(key, "route", content(docs)), [key], table, stop_words)
     norm = F.sqrt(F.sum(F.col("x") * F.col("x")).over(Window.partitionBy(key)))   # one document's terms
     return (terms.where("x IS NOT NULL").withColumn("tfidf", F.col("x") / norm)
             .select(key, "route", "term", "tf", "tfidf"))
@@ -134,7 +125,7 @@ def document_vectors(docs: DataFrame, vocabulary: DataFrame, keep: Sequence[str]
     A document's terms are collected where it is read; what is shuffled is its vector, not its text.
     """
     terms = weighted_terms(docs.select(key, *keep, "route", content(docs)), [key, *keep],
-                           sized(vocabulary.select("route", "term", "idx", "idf")), stop_words)
+                           lookup(vocabulary.select("route", "term", "idx", "idf")), stop_words)
     entries = F.sort_array(F.collect_list(F.when(F.col("x").isNotNull(), F.struct("idx", "x"))))
     rows = terms.groupBy(key, *keep, "route").agg(entries.alias("e"), F.sqrt(F.sum(F.col("x") * F.col("x"))).alias("l2"))
     return stage(

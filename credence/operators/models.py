@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from credence.functions.text import blank_null, label_name, prepare, route_for
 from credence.operators import logistic as logistic_regression
 from credence.operators.features import weighted_terms
+from credence.operators.lookup import TermLookup, lookup
 from credence.operators.normalize import with_defaults
 from credence.schema import EXPLAIN_K, LR_C, LR_MAX_ITER, LR_TOL, NB_ALPHA, PREDICTION, THRESHOLD, VOCABULARY_K
 from credence.session import stage
@@ -25,7 +26,7 @@ from credence.session import stage
 @dataclass
 class CredibilityModel:
     """``terms``: (route, term, idf, weight); ``bias``: route -> bias, first route is the fallback;
-    ``max_chars``: cleaned characters of a text that were used, None for all."""
+    ``max_chars``: cleaned characters of a text that were used, None for all; ``lookup``: how ``terms`` are looked up."""
 
     name: str
     version: str
@@ -35,6 +36,11 @@ class CredibilityModel:
     origin: str | None = None
     metrics: dict = field(default_factory=dict)
     max_chars: int | None = None
+    lookup: TermLookup | None = None
+
+    def __post_init__(self) -> None:
+        if self.lookup is None:
+            self.lookup = lookup(self.terms)
 
     @property
     def routes(self) -> list[str]:
@@ -112,7 +118,7 @@ def logistic(z: Column) -> Column:
     return 1 / (1 + F.exp(-z))
 
 
-def probabilities(docs: DataFrame, table: DataFrame, bias: dict[str, dict[str, float]], keep: Sequence[str],
+def probabilities(docs: DataFrame, table: TermLookup, bias: dict[str, dict[str, float]], keep: Sequence[str],
                 key: str = "id", stop_words: Iterable[str] | None = None) -> DataFrame:
     """(key, keep, route, model, p) for every model with a ``w_<model>`` column in ``table``.
 
@@ -156,7 +162,7 @@ def score_inputs(docs: DataFrame, model: CredibilityModel, key: str, k: int = EX
     aggregation: one shuffle, of short rows, and no join.
     """
     kept = docs.select(key, "route", F.struct(F.lit(True).alias("_marked"), *keep).alias("_kept"))
-    terms = weighted_terms(docs.select(key, "route", "input"), [key], model.terms, model.stop_words, marks=kept)
+    terms = weighted_terms(docs.select(key, "route", "input"), [key], model.lookup, model.stop_words, marks=kept)
     x, part = F.col("x"), F.col("x") * F.col("weight")
     rows = terms.groupBy(key, "route").agg(
         F.sum(x * x).alias("ss"), F.sum(part).alias("dot"), F.first("_kept", ignorenulls=True).alias("_kept"),

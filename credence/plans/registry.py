@@ -14,7 +14,6 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from credence.operators.evaluate import OVERALL
-from credence.operators.features import sized
 from credence.operators.models import CredibilityModel, global_top_terms, require_model
 from credence.plans.report import metrics_documents
 from credence.plans.train import Trained, routing, select_best
@@ -103,7 +102,7 @@ def load(spark: SparkSession, base: str, row: T.Row) -> CredibilityModel:
     """The model of a pointer row; its term table is read and measured once, here."""
     path = f"{base}/v{row['version']}"
     return CredibilityModel(
-        row["model"], row["version"], sized(spark.read.schema(TERMS).parquet(f"{path}/terms")), {r: row["bias"][r] for r in row["routes"]},
+        row["model"], row["version"], spark.read.schema(TERMS).parquet(f"{path}/terms"), {r: row["bias"][r] for r in row["routes"]},
         None if row["stop_words"] is None else tuple(row["stop_words"]), path, json.loads(row["metrics"]), row["max_chars"])
 
 

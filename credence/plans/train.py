@@ -14,7 +14,8 @@ from pyspark.sql import functions as F
 from credence.functions.stopwords import ENGLISH
 from credence.functions.text import cut, meta_tokens, model_input, route_for, term_counts, with_meta
 from credence.operators.evaluate import best_model, evaluate, routing_accuracy
-from credence.operators.features import document_vectors, fit_vocabulary, sized
+from credence.operators.features import document_vectors, fit_vocabulary
+from credence.operators.lookup import TermLookup, lookup
 from credence.operators.models import (CredibilityModel, class_counts, known_route, lr_weights, nb_bias, nb_weights,
                                        probabilities)
 from credence.operators.normalize import with_defaults
@@ -114,7 +115,7 @@ def fit_logistic(fitted: Fitted, **options) -> tuple[DataFrame, dict[str, float]
     return lr_weights(fitted.vectors, fitted.vocabulary, fitted.counts, **options)
 
 
-def fit_models(fitted: Fitted, fits: dict, version: str) -> tuple[DataFrame, dict[str, CredibilityModel], dict[str, float]]:
+def fit_models(fitted: Fitted, fits: dict, version: str) -> tuple[TermLookup, dict[str, CredibilityModel], dict[str, float]]:
     """(one term table with a weight column per model, models, seconds to fit)."""
     table, bias, seconds = fitted.vocabulary.select("route", "idx", "term", "idf"), {}, {}
     for name, fit in fits.items():
@@ -122,16 +123,19 @@ def fit_models(fitted: Fitted, fits: dict, version: str) -> tuple[DataFrame, dic
         weights, bias[name] = fit(fitted)
         table = table.join(weights.withColumnRenamed("weight", f"w_{name}"), ["route", "idx"])
         seconds[name] = round(monotonic() - start, 2)
-    table = sized(stage(table, "term-table"))
+    table = stage(table, "term-table")
+    found = lookup(table)
+    def columns(name: str) -> list[Column | str]:
+        return ["route", "term", "idf", F.col(f"w_{name}").alias("weight")]
     models = {
-        name: CredibilityModel(name, version, table.select("route", "term", "idf", F.col(f"w_{name}").alias("weight")),
-                               bias[name], fitted.stop_words, max_chars=fitted.max_chars)
+        name: CredibilityModel(name, version, table.select(*columns(name)), bias[name], fitted.stop_words,
+                               max_chars=fitted.max_chars, lookup=found.select(*columns(name)))
         for name in fits
     }
-    return table.drop("idx"), models, seconds
+    return found.select("route", "term", "idf", *[f"w_{name}" for name in fits]), models, seconds
 
 
-def predict_test(fitted: Fitted, table: DataFrame, models: dict[str, CredibilityModel]) -> DataFrame:
+def predict_test(fitted: Fitted, table: TermLookup, models: dict[str, CredibilityModel]) -> DataFrame:
     """Test rows scored as production would: routed by the rule, not by their source."""
     docs = fitted.rows.where("is_test").select("id", "source", "label", "rule_route", "route", "terms")
     return stage(
