@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from credence.functions.stopwords import ENGLISH
 from credence.functions.text import term_counts
 from credence.operators.lookup import TermLookup, lookup
+from credence.operators.prune import frequent_words, only_frequent
 from credence.operators.ranking import sorted_numbers
 from credence.schema import MAX_DF, MIN_DF
 from credence.session import stage
@@ -29,9 +30,15 @@ def explode_terms(docs: DataFrame, keep: Sequence[str], input_col: str = "input"
     return counted.select(*keep, F.col("_t.term").alias("term"), F.col("_t.tf").alias("tf"))
 
 
-def document_frequency(docs: DataFrame, stop_words: Iterable[str] | None = None) -> DataFrame:
-    """(route, term, df, cf). Both sums combine map-side, so frequent terms do not skew."""
+def document_frequency(docs: DataFrame, stop_words: Iterable[str] | None = None, least: dict[str, int] | None = None) -> DataFrame:
+    """(route, term, df, cf). Both sums combine map-side, so frequent terms do not skew.
+
+    With ``least``, documents per route, terms that are surely in fewer are left out before anything is shuffled, but
+    some others that are in fewer may remain. ``docs`` then bring their counted terms and are read three times.
+    """
     terms = explode_terms(docs, ["route"], stop_words=stop_words).where("term IS NOT NULL")
+    if least:
+        terms = only_frequent(terms, frequent_words(docs, least), list(least))
     return terms.groupBy("route", "term").agg(F.count("*").alias("df"), F.sum("tf").alias("cf"))
 
 
@@ -57,7 +64,10 @@ def fit_vocabulary(docs: DataFrame, max_features: int | None = None, min_df: dic
     least = {r: (MIN_DF if min_df is None else min_df).get(r, 1) for r in sizes}
     floor = reduce(lambda c, r: F.when(F.col("route") == r, least[r]).otherwise(c), sizes, F.lit(1))
     n_docs = reduce(lambda c, r: F.when(F.col("route") == r, F.lit(sizes[r]).cast("bigint")).otherwise(c), sizes, F.lit(None).cast("bigint"))
-    kept = document_frequency(docs, stop_words).withColumn("n_docs", n_docs).where(
+    pruned = {r: n for r, n in least.items() if n > 1}
+    if pruned and "terms" not in docs.columns:
+        docs = stage(docs.select("route", term_counts("input", ENGLISH if stop_words is None else stop_words).alias("terms")), "counted-terms")
+    kept = document_frequency(docs, stop_words, pruned).withColumn("n_docs", n_docs).where(
         (F.col("df") >= floor) & (F.col("df") <= F.lit(max_df) * F.col("n_docs")))
     chosen = kept if max_features is None else most_frequent(stage(kept, "terms"), max_features)
     table = stage(

@@ -25,14 +25,25 @@ def term_id() -> Column:
     return F.xxhash64(*KEYS)
 
 
-def _word(bits: int) -> Column:
+def filter_word(bits: int) -> Column:
+    """Number of the word that holds the bit of ``_id``."""
     return F.shiftrightunsigned("_id", 6).bitwiseAND(F.lit((1 << (bits - 6)) - 1))
 
 
-def _bit() -> Column:
+def filter_bit() -> Column:
     return F.col("_id").bitwiseAND(F.lit(63)).cast("int")
 
 
+def filter_words(ids: DataFrame, bits: int, name: str) -> DataFrame:
+    """A filter over a column ``_id``: (_word, _bits), marked for broadcast. It has 2**(bits - 6) rows at most."""
+    one = F.call_function("shiftleft", F.lit(1).cast("long"), filter_bit())
+    return F.broadcast(stage(ids.select(filter_word(bits).alias("_word"), one.alias("b")).groupBy("_word").agg(F.bit_or("b").alias("_bits")), name))
+
+
+def passes() -> Column:
+    return F.call_function("bit_get", F.col("_bits"), filter_bit()) == 1
+
+
 @dataclass(frozen=True)
 class TermLookup:
     """``head``: marked for broadcast. ``tail``: the other terms with their ``_id``, ``words``: the filter over
@@ -63,9 +74,8 @@ class TermLookup:
 
     def candidates(self, terms: DataFrame) -> DataFrame:
         """Rows, with their ``_id``, that are shuffled: terms outside the head that the tail may know."""
-        far = terms.join(F.broadcast(self.head.select(*KEYS)), KEYS, "left_anti").withColumn("_id", term_id()).withColumn("_word", _word(self.bits))
-        passed = F.call_function("bit_get", F.col("_bits"), _bit()) == 1
-        return far.join(self.words, "_word").where(passed).drop("_word", "_bits")
+        far = terms.join(F.broadcast(self.head.select(*KEYS)), KEYS, "left_anti").withColumn("_id", term_id()).withColumn("_word", filter_word(self.bits))
+        return far.join(self.words, "_word").where(passes()).drop("_word", "_bits")
 
 
 def term_bytes() -> Column:
@@ -89,7 +99,5 @@ def lookup(table: DataFrame, limit: int | None = None, head_bytes: int | None =
             break
         taken, first = taken + size, at + 1
     tail = stage(table.where(band >= first).withColumn("_id", term_id()), "tail-terms")
-    words = stage(
-        tail.select(_word(bits).alias("_word"), F.call_function("shiftleft", F.lit(1).cast("long"), _bit()).alias("b"))
-        .groupBy("_word").agg(F.bit_or("b").alias("_bits")), "tail-filter")
-    return TermLookup(F.broadcast(table.where(band < first)), tail, F.broadcast(words), bits)
+    words = filter_words(tail, bits, "tail-filter")
+    return TermLookup(F.broadcast(table.where(band < first)), tail, words, bits)
