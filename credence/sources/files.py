@@ -13,6 +13,7 @@ from pyspark.sql import types as T
 from credence.functions.text import WS
 from credence.operators.normalize import normalize_articles, normalize_claims, null_na_words, union_all
 from credence.schema import ARTICLE, ARTICLE_CSV_COLUMNS, CLAIM_SPLITS, CLAIM_TSV_COLUMNS, RECORD, ROUTE_OF_SOURCE
+from credence.sources.quoted import read_quoted_csv
 
 LANDED = T.StructType([*RECORD.fields, T.StructField("dt", T.DateType())])
 
@@ -36,13 +37,10 @@ def read_article_csv(spark: SparkSession, path: str) -> DataFrame:
     """All-string rows of the article CSV: quoted newlines, doubled quotes, missing-value words as null.
 
     The header of every file is compared with the expected columns when the file is read; another one is an
-    error. Quoted newlines cannot be found from the middle of a file, so one task reads a whole file: large
-    data sets should come as many files.
+    error. Large files are read by many tasks, see ``quoted``.
     """
-    options = dict(header=True, multiLine=True, quote='"', escape='"', nullValue="", encoding="UTF-8",
-                   enforceSchema=False, columnPruning=False)
     def read() -> DataFrame:
-        return spark.read.schema(strings(ARTICLE_CSV_COLUMNS)).options(**options).csv(path)
+        return read_quoted_csv(spark, path, ARTICLE_CSV_COLUMNS)
     return null_na_words(or_empty(spark, read, strings(ARTICLE_CSV_COLUMNS)))
 
 
