@@ -17,7 +17,7 @@ from credence.llm.common import kept
 
 TOKENIZER = "byte_bpe_50k.json"
 MEMO_PIECES = 200_000       # a generation; two are kept
-JOIN_CHARS = 200_000        # unknown pieces are encoded in texts of about so many characters
+JOIN_CHARS = 1_000          # unknown pieces are encoded in texts of about so many characters: the library takes longer for each of a long one
 LONG_PIECE = 256            # longer pieces are not remembered
 SEGMENT = 1_000_000         # longer texts are encoded in segments of about so many characters
 
@@ -67,19 +67,22 @@ class PieceEncoder:
         for part, e in zip(parts, self.tokenizer.encode_batch_fast(parts, add_special_tokens=False)):
             into[part] = np.array(e.ids, dtype="<u4").tobytes()
 
-    def _joined(self, parts: list[str], into: dict[str, bytes]) -> None:
-        """Parts that hold a space or newline at their start only: encoded as one text and cut at the ids that open one."""
-        ids = np.array(self.tokenizer.encode_batch_fast(["".join(parts)], add_special_tokens=False)[0].ids, dtype="<u4")
-        starts = np.flatnonzero(self.opens[ids])
-        if len(starts) != len(parts) or starts[0]:
-            return self._alone(parts, into)
+    def _joined(self, runs: list[list[str]], into: dict[str, bytes]) -> None:
+        """Runs of parts that hold a space or newline at their start only: each is encoded as one text and cut at the ids that open one."""
+        found = [e.ids for e in self.tokenizer.encode_batch_fast(["".join(r) for r in runs], add_special_tokens=False)]
+        ids = np.array([i for x in found for i in x], dtype="<u4")
+        opens = self.opens[ids]
+        first = np.cumsum([0, *map(len, found)])[:-1]
+        agree = (np.add.reduceat(opens, first, dtype=np.int64) == [len(r) for r in runs]) & opens[first]
+        if not agree.all():
+            self._alone([p for r, ok in zip(runs, agree) if not ok for p in r], into)
+            return self._joined(kept_runs, into) if (kept_runs := [r for r, ok in zip(runs, agree) if ok]) else None
         raw = ids.tobytes()
-        cuts = [*(starts * 4).tolist(), len(raw)]
-        for part, a, b in zip(parts, cuts, cuts[1:]):
-            into[part] = raw[a:b]
+        cuts = [*(np.flatnonzero(opens) * 4).tolist(), len(raw)]
+        into.update(zip((p for r in runs for p in r), (raw[a:b] for a, b in zip(cuts, cuts[1:]))))
 
     def _learn(self, unknown: list[str], into: dict[str, bytes]) -> None:
-        alone, run, size = [], [], 0
+        alone, runs, run, size = [], [], [], 0
         for part in unknown:
             if not 2 <= len(part) <= LONG_PIECE or part[0] not in " \n" or part.count(" ") + part.count("\n") != 1:
                 alone.append(part)
@@ -87,10 +90,12 @@ class PieceEncoder:
             run.append(part)
             size += len(part)
             if size >= JOIN_CHARS:
-                self._joined(run, into)
+                runs.append(run)
                 run, size = [], 0
         if run:
-            self._joined(run, into)
+            runs.append(run)
+        if runs:
+            self._joined(runs, into)
         if alone:
             self._alone(alone, into)
 
