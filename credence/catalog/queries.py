@@ -6,7 +6,7 @@ import time
 from collections.abc import Callable
 from datetime import datetime
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DateType, LongType, StructField, StructType
 
@@ -17,6 +17,7 @@ from credence.operators import features, logistic, models
 from credence.operators import normalize as N
 from credence.operators.annotate import spans
 from credence.operators.lookup import lookup
+from credence.operators.ranking import sorted_numbers
 from credence.operators.split import stratified_split, stratum_quotas
 from credence.plans import registry, report, run
 from credence.plans import train as T
@@ -26,6 +27,7 @@ from credence.sources import files, tables, topic
 from credence.streaming import jobs
 
 T_ARCHIVE = StructType([*PREDICTION.fields, StructField("dt", DateType()), StructField("batch", LongType())])
+FILES = 4               # of one micro-batch
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 
@@ -400,9 +402,8 @@ def verdict_terms(spark, sf_dir):
 def score_position(spark, sf_dir):
     """Scored rows put back in input order by their position."""
     rows = tables.benchmark(spark, sf_dir).orderBy("id")
-    scored = models.score(rows, fit_nb(spark, sf_dir), position="at")
-    place = F.row_number().over(Window.partitionBy("source").orderBy("at"))      # the benchmark table is the one source
-    return scored.select("id", "label", bigint(place).alias("place"))
+    scored = models.score(rows, fit_nb(spark, sf_dir), position="at").select("id", "label", "at")
+    return sorted_numbers(scored, [], ["at"], "place", "bigint").select("id", "label", (F.col("place") + 1).alias("place"))
 
 
 @query
@@ -649,9 +650,12 @@ def stream_land(spark, sf_dir):
 
 @query
 def raw_last_record(spark, sf_dir):
-    """An article CSV that repeats ids, loaded for training: the last record of an id by its position in the file."""
+    """Article CSV files that repeat ids, loaded for training: the last record of an id by file and position.
+
+    The rows are sorted over all files: a conversation may begin in one file and end in the next.
+    """
     root = stage_path(spark, "repeats")
-    rows = tables.table(spark, sf_dir, "conversations").orderBy("conv_id", "turn").coalesce(1).select(
+    rows = tables.table(spark, sf_dir, "conversations").orderBy("conv_id", "turn").select(
         F.col("conv_id").cast("string").alias("id"), F.concat(F.lit("turn "), "turn").alias("title"), F.col("role").alias("author"),
         F.lit("zzz, the same text").alias("text"), F.lit("1").alias("label"))
     rows.write.csv(f"{root}/kaggle/train.csv", header=True, quote='"', escape='"', quoteAll=True)
@@ -689,9 +693,9 @@ def stream_reload(spark, sf_dir):
 
     publish(0)
     for rows in (tables.benchmark(spark, sf_dir), tables.conversations(spark, sf_dir), tables.benchmark(spark, sf_dir)):
-        topic.write_records(rows.coalesce(1), topic.TOPIC_INCOMING, "parquet", root)
-        time.sleep(1.1)             # files are taken by age
-    stream = topic.read_topic(spark, topic.TOPIC_INCOMING, format="parquet", path=root, limit=1)
+        topic.write_records(rows.repartition(FILES), topic.TOPIC_INCOMING, "parquet", root)
+        time.sleep(0.1)             # files are taken by age
+    stream = topic.read_topic(spark, topic.TOPIC_INCOMING, format="parquet", path=root, limit=FILES)
     done = []
     jobs.score_stream(stream, [f"{root}/models"], f"{root}/archive", f"{root}/checkpoint", until_idle=True,
                       publish=lambda p: (done.append(1), publish(len(done)))).awaitTermination()

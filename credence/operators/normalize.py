@@ -36,29 +36,29 @@ def binary_label(raw: Column | str) -> Column:
     return F.when(s != "", F.when(s != "", s).cast("double").cast("int"))
 
 
-def to_article(df: DataFrame, **columns: Column) -> DataFrame:
-    """Select the article record; fields that are not given are blank, label and time null."""
+def to_article(df: DataFrame, keep: Sequence[str] = (), **columns: Column) -> DataFrame:
+    """Select the article record and the columns to ``keep``; fields that are not given are blank, label and time null."""
     def field(f: T.StructField) -> Column:
         default = F.lit("") if isinstance(f.dataType, T.StringType) else F.lit(None)
         return columns.get(f.name, default).cast(f.dataType).alias(f.name)
-    return df.select(*[field(f) for f in ARTICLE.fields])
+    return df.select(*[field(f) for f in ARTICLE.fields], *keep)
 
 
-def normalize_articles(df: DataFrame) -> DataFrame:
+def normalize_articles(df: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
     """Rows of the article CSV to records; rows without text or without a 0/1 label are dropped."""
     label = binary_label("label")
     return to_article(
-        df,
+        df, keep,
         id=F.concat(F.lit("kaggle-"), strip("id")), source=F.lit("kaggle"), title=strip("title"),
         text=strip("text"), author=strip("author"), label=label, label_raw=label.cast("string"),
         ingested_at=F.current_timestamp(),
     ).where((F.col("text") != "") & F.col("label").isin(0, 1))
 
 
-def normalize_claims(df: DataFrame) -> DataFrame:
+def normalize_claims(df: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
     """Rows of the claim TSV (with their ``split``) to records; the statement becomes the text."""
     return to_article(
-        df,
+        df, keep,
         id=F.concat(F.lit("liar-"), F.col("split"), F.lit("-"), strip("json_id")), source=F.lit("liar"),
         text=strip("statement"), speaker=strip("speaker"), party=strip("party"), subject=strip("subject"),
         context=strip("context"), state=strip("state"), label=grade_label("label"),
@@ -95,18 +95,16 @@ def split_valid(df: DataFrame) -> tuple[DataFrame, DataFrame]:
 def keep_last(df: DataFrame, order: Sequence[str], key: str = "id") -> DataFrame:
     """One row per key: the greatest by ``order``; of rows equal in it the greatest by a hash of the row. Null keys are one key.
 
-    Only the keys, the order and the hash are aggregated, map-side first, so that a key with a large share
-    of all rows stays cheap; whole rows are looked up by them afterwards and never sorted by an aggregation.
-    ``df`` is read twice and must give the same rows both times: pass a scan or a staged table.
+    Only keys, order, hash and a number of the row are aggregated, map-side first, so that a key with a large share of all rows
+    stays cheap. The numbers of the rows that stay are broadcast where they are few; the whole rows, of which each is
+    looked up once, are read again and moved at most once. ``df`` is read twice and must give the same rows both times:
+    pass a scan or a staged table.
     """
-    whole = F.xxhash64(*df.columns)
+    numbered = df.withColumn("_row", F.monotonically_increasing_id())
     # The hash is named twice, so that the optimizer computes it below the aggregation, which then sorts no texts.
-    narrow = df.select(key, *[c for c in order if c != key], whole.alias("_hash"))
-    last = narrow.groupBy(key).agg(F.max(F.struct(*order, "_hash")).alias("_last"), F.count("_hash").alias("_rows")).where("_rows > 0").select(
-        F.col(key).alias("_key"), "_last")
-    found = df.withColumn("_mine", F.struct(*order, whole.alias("_hash"))).join(
-        last, F.col(key).eqNullSafe(F.col("_key")) & F.col("_mine").eqNullSafe(F.col("_last")), "left_semi")
-    return found.drop("_mine").distinct()       # rows equal in everything
+    narrow = numbered.select(key, "_row", *[c for c in order if c != key], F.xxhash64(*df.columns).alias("_hash"))
+    last = narrow.groupBy(key).agg(F.max(F.struct(*order, "_hash", "_row")).alias("_last"), F.count("_hash").alias("_rows")).where("_rows > 0")
+    return numbered.join(last.select("_last._row"), "_row", "left_semi").drop("_row")
 
 
 def interleave(df: DataFrame, seq: str, sources: Sequence[str], limit: int = 0, key: str = "id", sort: bool = True) -> DataFrame:

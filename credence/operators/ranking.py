@@ -52,8 +52,8 @@ def row_numbers(df: DataFrame, group: Sequence[str], order: str, name: str, ties
     return running_totals(df, group, order, {name: F.lit(1)}, ties).withColumn(name, F.col(name) + 1)
 
 
-def sorted_numbers(df: DataFrame, group: Sequence[str], order: Sequence[str], name: str) -> DataFrame:
-    """Row number (from 0) within each group, INT, in an order of columns of any type that is unique in the group.
+def sorted_numbers(df: DataFrame, group: Sequence[str], order: Sequence[str], name: str, kind: str = "int") -> DataFrame:
+    """Row number (from 0) within each group, INT or another ``kind``, in an order of columns of any type that is unique in the group.
 
     The rows are range-partitioned by group and order, numbered inside each part, and shifted by the
     counts of the group's earlier parts (a small table), so no group is sorted in one task.
@@ -63,5 +63,5 @@ def sorted_numbers(df: DataFrame, group: Sequence[str], order: Sequence[str], na
     offsets = (parts.groupBy(*group, "_part").agg(F.count("*").alias("_n"))
                .select(*group, "_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off")))
     inside = Window.partitionBy(*group, "_part").orderBy(*order)
-    number = (F.col("_off") + F.row_number().over(inside) - 1).cast("int")
+    number = (F.col("_off") + F.row_number().over(inside) - 1).cast(kind)
     return parts.join(offsets, [*group, "_part"]).withColumn(name, number).drop("_part", "_off")

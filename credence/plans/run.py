@@ -10,6 +10,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from credence.operators.models import CredibilityModel, require_model
 from credence.operators.normalize import interleave, keep_last
+from credence.operators.ranking import sorted_numbers
 from credence.plans.registry import load_latest, metrics_document, publish
 from credence.plans.train import train
 from credence.session import short_lived, stage
@@ -27,7 +28,8 @@ def produce(spark: SparkSession, raw: str, sources: Sequence[str] = ("kaggle", "
     ``where``: ``format`` and its options, as for ``write_records``.
     """
     names = source_names(sources)
-    rows = stage(load_raw(spark, raw, names).withColumn("row", F.monotonically_increasing_id()), "raw")
+    rows = sorted_numbers(load_raw(spark, raw, names, place="place"), [], ["place"], "row", "bigint").drop("place")
+    rows = stage(rows, "raw")
     # A topic keeps no order between keys: each record carries its place instead, and nothing is sorted.
     sent = stage(interleave(rows, "row", names, limit, sort=False).withColumnRenamed("place", "seq").drop("row", "turn", "source_rank"), "sent")
     write_records(sent, topic, **where)
@@ -71,8 +73,7 @@ def train_from_raw(spark: SparkSession, raw: str, base: str | None, **options) -
 
 def latest_raw(spark: SparkSession, raw: str) -> DataFrame:
     """The raw data sets with one record per id, the last by file and position."""
-    rows = stage(load_raw(spark, raw).withColumn("row", F.monotonically_increasing_id()), "raw")
-    return keep_last(rows, ["row"]).drop("row")
+    return keep_last(stage(load_raw(spark, raw, place="place"), "raw"), ["place"]).drop("place")
 
 
 def score_incoming(spark: SparkSession, registry: Sequence[str], archive: str, checkpoint: str, until_idle: bool = False,

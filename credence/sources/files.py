@@ -22,6 +22,14 @@ def strings(names: Sequence[str]) -> T.StructType:
     return T.StructType([T.StructField(n, T.StringType()) for n in names])
 
 
+def with_place(schema: T.StructType, place: str | None) -> T.StructType:
+    """The schema with a column for the place of a row: file, start of its byte range, number there."""
+    if place is None:
+        return schema
+    at = T.StructType([T.StructField("file", T.StringType()), T.StructField("start", T.LongType()), T.StructField("n", T.LongType())])
+    return T.StructType([*schema.fields, T.StructField(place, at)])
+
+
 def or_empty(spark: SparkSession, read, schema: T.StructType) -> DataFrame:
     """The result of ``read()``, or no rows and a warning when its path does not exist."""
     try:
@@ -33,25 +41,30 @@ def or_empty(spark: SparkSession, read, schema: T.StructType) -> DataFrame:
         raise
 
 
-def read_article_csv(spark: SparkSession, path: str) -> DataFrame:
+def read_article_csv(spark: SparkSession, path: str, place: str | None = None) -> DataFrame:
     """All-string rows of the article CSV: quoted newlines, doubled quotes, missing-value words as null.
 
     The header of every file is compared with the expected columns when the file is read; another one is an
-    error. Large files are read by many tasks, see ``quoted``.
+    error. Large files are read by many tasks, see ``quoted``; ``place`` names a column for a row's place.
     """
     def read() -> DataFrame:
-        return read_quoted_csv(spark, path, ARTICLE_CSV_COLUMNS)
-    return null_na_words(or_empty(spark, read, strings(ARTICLE_CSV_COLUMNS)))
+        return read_quoted_csv(spark, path, ARTICLE_CSV_COLUMNS, place)
+    return null_na_words(or_empty(spark, read, with_place(strings(ARTICLE_CSV_COLUMNS), place)))
+
 
+def read_claim_tsv(spark: SparkSession, path: str, split: str, place: str | None = None) -> DataFrame:
+    """Rows of a 14-column TSV without header or quoting; longer lines are skipped, shorter ones padded.
 
-def read_claim_tsv(spark: SparkSession, path: str, split: str) -> DataFrame:
-    """Rows of a 14-column TSV without header or quoting; longer lines are skipped, shorter ones padded."""
-    schema = strings(CLAIM_TSV_COLUMNS)
+    ``place`` names a column for a row's place.
+    """
+    schema = with_place(strings(CLAIM_TSV_COLUMNS), place)
+    at = [F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"),
+                   F.monotonically_increasing_id().alias("n")).alias(place)] if place else []
     def read() -> DataFrame:
         cells = F.split(F.regexp_replace("value", "\r$", ""), "\t", -1)
         lines = spark.read.text(path, lineSep="\n").where(~F.col("value").rlike(f"^[{WS}]*$"))
-        return (lines.select(cells.alias("c")).where(F.size("c") <= len(CLAIM_TSV_COLUMNS))
-                .select(*[F.get("c", F.lit(i)).alias(n) for i, n in enumerate(CLAIM_TSV_COLUMNS)]))
+        return (lines.select(cells.alias("c"), *at).where(F.size("c") <= len(CLAIM_TSV_COLUMNS))
+                .select(*[F.get("c", F.lit(i)).alias(n) for i, n in enumerate(CLAIM_TSV_COLUMNS)], *([place] if place else [])))
     return null_na_words(or_empty(spark, read, schema)).withColumn("split", F.lit(split))
 
 
@@ -63,14 +76,20 @@ def source_names(names: Sequence[str]) -> list[str]:
     return found
 
 
-def load_raw(spark: SparkSession, root: str, sources: Sequence[str] = ("kaggle", "liar")) -> DataFrame:
-    """The named raw data sets below ``root`` as article records; missing files contribute nothing but a warning."""
+def load_raw(spark: SparkSession, root: str, sources: Sequence[str] = ("kaggle", "liar"), place: str | None = None) -> DataFrame:
+    """The named raw data sets below ``root`` as article records; missing files contribute nothing but a warning.
+
+    ``place`` names a column whose order is that of the data sets, their files, and the rows in these.
+    """
     sources = source_names(sources)
-    parts = [spark.createDataFrame([], ARTICLE)]
+    keep = [place] if place else []
+    parts = [spark.createDataFrame([], T.StructType(with_place(ARTICLE, place).fields))]
     if "kaggle" in sources:
-        parts.append(normalize_articles(read_article_csv(spark, f"{root}/kaggle/train.csv")))
+        parts.append(normalize_articles(read_article_csv(spark, f"{root}/kaggle/train.csv", place), keep))
     if "liar" in sources:
-        parts += [normalize_claims(read_claim_tsv(spark, f"{root}/liar/{s}.tsv", s)) for s in CLAIM_SPLITS]
+        parts += [normalize_claims(read_claim_tsv(spark, f"{root}/liar/{s}.tsv", s, place), keep) for s in CLAIM_SPLITS]
+    if place:       # the data sets in the order in which they were named here
+        parts = [p.withColumn(place, F.struct(F.lit(i).alias("part"), F.col(place).alias("at"))) for i, p in enumerate(parts)]
     return union_all(*parts)
 
 

@@ -23,7 +23,7 @@ from credence.session import stage
 
 OPTIONS = {"quote": '"', "escape": '"', "nullValue": "", "mode": "PERMISSIVE"}
 RANGE = "file long, start long, from_outside boolean, from_inside boolean, crlf boolean"
-PIECE = "file long, start long, kind int, first boolean, text binary"
+PIECE = "file long, start long, n long, kind int, first boolean, text binary"
 RECORD, HEAD, TAIL = range(3)       # a whole record; one whose end is elsewhere; the rest of an earlier one
 
 
@@ -75,24 +75,24 @@ def _assemble(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Records and pieces of records of each byte range, in order."""
     done: list[tuple] = []
     size = 0
-    now, open_lines, kind, inside, first = None, [], RECORD, False, False
+    now, open_lines, kind, inside, first, n = None, [], RECORD, False, False, 0
 
     def flush() -> Iterator[pa.RecordBatch]:
         if done:
             columns = list(zip(*done))
-            yield pa.RecordBatch.from_pydict({"file": pa.array(columns[0], pa.int64()), "start": pa.array(columns[1], pa.int64()),
-                                              "kind": pa.array(columns[2], pa.int32()), "first": pa.array(columns[3], pa.bool_()), "text": pa.array(columns[4], pa.binary())})
+            yield pa.RecordBatch.from_pydict({"file": pa.array(columns[0], pa.int64()), "start": pa.array(columns[1], pa.int64()), "n": pa.array(columns[2], pa.int64()),
+                                              "kind": pa.array(columns[3], pa.int32()), "first": pa.array(columns[4], pa.bool_()), "text": pa.array(columns[5], pa.binary())})
             done.clear()
 
     def close() -> None:
         """At the end of a range: a record that is still open is a piece."""
         if open_lines:
-            done.append((*now, TAIL if kind == TAIL else HEAD, first, b"\n".join(open_lines)))
+            done.append((*now, n, TAIL if kind == TAIL else HEAD, first, b"\n".join(open_lines)))
             open_lines.clear()
     for file, start, starts_inside, crlf, line in _rows(batches):
         if now != (file, start):
             close()
-            now, inside, first = (file, start), starts_inside, start == 0
+            now, inside, first, n = (file, start), starts_inside, start == 0, 0
             kind = TAIL if inside else RECORD
         if not open_lines and not inside and line in (b"", b"\r"):
             continue
@@ -102,7 +102,8 @@ def _assemble(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         open_lines.append(line)
         if not inside:
             text = b"\n".join(open_lines)
-            done.append((*now, kind, first, text))
+            done.append((*now, n, kind, first, text))
+            n += 1
             size += len(text)
             open_lines.clear()
             kind, first = RECORD, False
@@ -130,7 +131,7 @@ def _starts(ranges: DataFrame) -> DataFrame:
 
 
 def read_records(spark: SparkSession, path: str) -> DataFrame:
-    """(file, start, first, text): the records of CSV files; ``first`` marks a file's first one.
+    """(file, start, n, first, text): the records of CSV files; ``n`` counts them in a range, ``first`` marks a file's first one.
 
     The ranges are scanned once, at once; the table of those that start inside quotes has about 30 bytes per range.
     """
@@ -147,14 +148,17 @@ def read_records(spark: SparkSession, path: str) -> DataFrame:
         number = F.count_if(F.col("kind") == HEAD).over(Window.partitionBy("file").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
         parts = F.array_sort(F.collect_list(F.struct("start", (F.col("kind") == HEAD).cast("int").alias("is_head"), "text")))
         joined = cut.withColumn("number", number).groupBy("file", "number").agg(
-            F.min("start").alias("start"), F.max("first").alias("first"), parts.alias("parts"))
+            F.min(F.when(F.col("kind") == HEAD, F.struct("start", "n"))).alias("at"), F.max("first").alias("first"), parts.alias("parts"))
         text = F.array_join(F.transform("parts", lambda p: p["text"].cast("string")), "\n")
-        whole = whole.drop("kind").unionByName(joined.select("file", "start", "first", text.cast("binary").alias("text")))
-    return whole.select("file", "start", "first", F.col("text").cast("string").alias("text"))
+        whole = whole.drop("kind").unionByName(joined.select("file", "at.start", "at.n", "first", text.cast("binary").alias("text")))
+    return whole.select("file", "start", "n", "first", F.col("text").cast("string").alias("text"))
 
 
-def read_quoted_csv(spark: SparkSession, path: str, columns: Sequence[str]) -> DataFrame:
-    """All-string rows of CSV files with a header, which is compared with ``columns``; another one is an error."""
+def read_quoted_csv(spark: SparkSession, path: str, columns: Sequence[str], place: str | None = None) -> DataFrame:
+    """All-string rows of CSV files with a header, which is compared with ``columns``; another one is an error.
+
+    With ``place`` a column of that name says where a row stands: (file, start, n), in the order of the files' names.
+    """
     schema = T.StructType([T.StructField(c, T.StringType()) for c in columns])
     records = read_records(spark, path)
     fields = F.from_csv("text", schema.simpleString()[len("struct<"):-1].replace(":", " "), OPTIONS)
@@ -165,4 +169,8 @@ def read_quoted_csv(spark: SparkSession, path: str, columns: Sequence[str]) -> D
     expected = expected & header[f"_{len(columns)}"].isNull()
     problem = F.raise_error(F.concat(F.lit("the header of a CSV file is not " + ",".join(columns) + " but "), F.col("text"))).cast("boolean")
     body = records.where(F.when(F.col("first"), F.when(expected, F.lit(False)).otherwise(problem)).otherwise(F.lit(True)))
-    return body.select(fields.alias("r")).select("r.*")
+    if place is None:
+        return body.select(fields.alias("r")).select("r.*")
+    names = spark.read.format("binaryFile").load(path).select(       # lists the files, reads none
+        F.xxhash64("_metadata.file_path").alias("file"), F.col("_metadata.file_path").alias("name"))
+    return body.join(names, "file").select(fields.alias("r"), F.struct(F.col("name").alias("file"), "start", "n").alias(place)).select("r.*", place)
