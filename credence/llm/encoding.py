@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import os
 import re
+import string
 
 import numpy as np
 
@@ -61,6 +62,8 @@ class PieceEncoder:
         self.opens = np.zeros(size, dtype=bool)     # ids whose token begins with a space or a newline
         for token, i in self.tokenizer.get_vocab(with_added_tokens=True).items():
             self.opens[i] = token[:1] in ("Ġ", "Ċ")
+        special = "".join(t.content for t in self.tokenizer.get_added_tokens_decoder().values())
+        self.loose = "".join(c for c in string.punctuation if c not in special)     # punctuation that is in no special string
         self.memo, self.young, self.old = memo, {}, {}
 
     def _alone(self, parts: list[str], into: dict[str, bytes]) -> None:
@@ -122,19 +125,33 @@ class PieceEncoder:
         return out
 
     def _fill(self, parts: list[str], ids: list[bytes | None]) -> None:
-        """Puts the ids of the pieces that the young generation does not know in their places."""
+        """Puts the ids of the pieces that the young generation does not know in their places.
+
+        A piece that ends in punctuation after a letter or digit is its stem and its end: the pre-tokenizer always cuts there.
+        """
         places = [i for i, x in enumerate(ids) if x is None]
-        found: dict[str, bytes] = {}
-        unknown = []
+        young, old, found, unknown, split = self.young, self.old, {}, {}, []
         for p in {parts[i] for i in places}:
-            if (x := self.old.get(p)) is None:
-                unknown.append(p)
-            else:
+            if (x := old.get(p)) is not None:
                 found[p] = x
-        self._learn(unknown, found)
+                continue
+            stem = p.rstrip(self.loose)
+            if 1 < len(stem) < len(p) and stem[-1].isalnum():
+                split.append((p, stem, p[len(stem):]))
+                for q in split[-1][1:]:
+                    if q not in young:
+                        if (x := old.get(q)) is None:
+                            unknown[q] = None
+                        else:
+                            found[q] = x
+            else:
+                unknown[p] = None
+        self._learn(list(unknown), found)
+        for p, stem, end in split:
+            found[p] = (found.get(stem) or young[stem]) + (found.get(end) or young[end])
         for i in places:
             ids[i] = found[parts[i]]
-        self.young.update((p, x) for p, x in found.items() if len(p) <= LONG_PIECE)
+        young.update((p, x) for p, x in found.items() if len(p) <= LONG_PIECE)
 
 
 def encoder(path: str) -> PieceEncoder:
