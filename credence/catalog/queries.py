@@ -6,6 +6,7 @@ import time
 from collections.abc import Callable
 from datetime import datetime
 
+from pyspark.errors import PySparkException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DateType, LongType, StructField, StructType
@@ -24,7 +25,7 @@ from credence.plans import train as T
 from credence.schema import ARTICLE, ARTICLE_CSV_COLUMNS, CLAIM_TSV_COLUMNS, META_FIELDS, PREDICTION, RECORD
 from credence.session import SETTINGS, stage_path
 from credence.sources import files, tables, topic
-from credence.streaming import jobs
+from credence.streaming import jobs, state
 
 T_ARCHIVE = StructType([*PREDICTION.fields, StructField("dt", DateType()), StructField("batch", LongType())])
 FILES = 4               # of one micro-batch
@@ -415,6 +416,20 @@ def fallback_route(spark, sf_dir):
     return models.score(tables.all_sources(spark, sf_dir), model).select("id", "route", F.round("confidence", 4).alias("confidence"), "label")
 
 
+@query
+def registry_fallback(spark, sf_dir):
+    """Of three registries the first has no model and the second points to tables that are gone: the third one's scores."""
+    root = stage_path(spark, "registries")
+    model = fit_nb(spark, sf_dir)
+    for base in ("second", "third"):
+        registry.publish(model, f"{root}/{base}", {})
+    gone = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{root}/second/v{model.version}")
+    gone.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(gone, True)
+    found = registry.load_latest(spark, *[f"{root}/{base}" for base in ("first", "second", "third")])
+    scored = models.score(tables.benchmark(spark, sf_dir), found)
+    return scored.select("id", "label", F.round("confidence", 4).alias("confidence"), F.lit(found.origin.split("/")[-2]).alias("registry"))
+
+
 @query
 def pretty_terms(spark, sf_dir):
     return fit_nb(spark, sf_dir).terms.where("term RLIKE '(^| )(spk|subj)_'").select("term", X.pretty_term("term").alias("shown"))
@@ -584,12 +599,37 @@ def article_csv_scan(spark, sf_dir):
         "id", "source", "title", "author", "text", "label", "label_raw")
 
 
-def _write_articles(spark, sf_dir, root):
+@query
+def csv_header_check(spark, sf_dir):
+    """Labelled documents as article CSV with the expected header, with two columns swapped, and with one missing: rows read, or an error."""
+    root = stage_path(spark, "headers")
+    for name, columns in (("expected", ARTICLE_CSV_COLUMNS), ("swapped", [*ARTICLE_CSV_COLUMNS[1::-1], *ARTICLE_CSV_COLUMNS[2:]]), ("missing", ARTICLE_CSV_COLUMNS[:-1])):
+        _write_articles(spark, sf_dir, f"{root}/{name}", columns)
+    def read(name):
+        try:
+            return name, files.read_article_csv(spark, f"{root}/{name}").agg(F.count("*").alias("n")).first()["n"], False
+        except PySparkException as e:
+            return name, None, "header" in str(e)
+    return spark.createDataFrame([read(n) for n in ("expected", "swapped", "missing")], "header string, n long, refused boolean")
+
+
+@query
+def ingestion_time(spark, sf_dir):
+    """Records get the time at which they are normalised."""
+    start = F.current_timestamp() - F.expr("INTERVAL 1 HOUR")
+    root = stage_path(spark, "times")
+    _write_articles(spark, sf_dir, f"{root}/csv")
+    _write_claims(spark, sf_dir, f"{root}/tsv")
+    rows = N.union_all(N.normalize_articles(files.read_article_csv(spark, f"{root}/csv")), N.normalize_claims(files.read_claim_tsv(spark, f"{root}/tsv", "train")))
+    return rows.select("id", "source", F.col("ingested_at").between(start, F.current_timestamp()).alias("now"))
+
+
+def _write_articles(spark, sf_dir, root, columns=ARTICLE_CSV_COLUMNS):
     docs = tables.table(spark, sf_dir, "documents").join(tables.table(spark, sf_dir, "labels"), "doc_id").select(
         F.col("doc_id").cast("string").alias("id"), F.concat(F.lit('The "'), "source", F.lit('", daily')).alias("title"),
         F.when(F.col("lang") == "en", "None").otherwise(F.col("lang")).alias("author"), "text",
         F.concat((1 - F.col("quality")).cast("string"), F.lit(".0")).alias("label"))
-    docs.select(ARTICLE_CSV_COLUMNS).write.csv(root, header=True, quote='"', escape='"', quoteAll=True)
+    docs.select(*columns).write.csv(root, header=True, quote='"', escape='"', quoteAll=True)
 
 
 @query
@@ -716,6 +756,50 @@ def stream_repeats(spark, sf_dir):
     return spark.read.schema(feed.schema).parquet(f"{root}/out").select("id", "label", "confidence")
 
 
+ARRIVED = "id string, scored_at timestamp, label string, confidence double, arrival long"
+
+
+def _arriving(spark, sf_dir):
+    """The feed with arrival numbers that have nothing to do with its times."""
+    feed = tables.feed(spark, sf_dir)
+    return feed.withColumn("scored_at", F.col("scored_at").cast("timestamp")).withColumn(
+        "arrival", F.pmod(F.col("id").cast("long") * 7919, F.lit(2147483647))).select("id", "scored_at", "label", "confidence", "arrival")
+
+
+@query
+def stream_last_arrivals(spark, sf_dir):
+    """Verdicts that arrive out of time order, in three micro-batches: the 300 that arrived last."""
+    root = stage_path(spark, "arrivals")
+    feed = _arriving(spark, sf_dir)
+    for part in range(3):
+        feed.where(F.pmod("arrival", F.lit(3)) == part).repartition(FILES).write.mode("append").parquet(f"{root}/feed")
+        time.sleep(0.1)
+    stream = spark.readStream.schema(ARRIVED).option("maxFilesPerTrigger", FILES).parquet(f"{root}/feed")
+    state.write_last_arrivals(state.last_arrivals(stream, "arrival"), f"{root}/last", f"{root}/checkpoint", until_idle=True).awaitTermination()
+    return state.read_last_arrivals(spark, f"{root}/last", "arrival").select("id", "label", "confidence", "arrival")
+
+
+@query
+def stream_minute_counts(spark, sf_dir):
+    """The feed in three micro-batches, without what falls into every fifth hour: at the end of each hour that the
+    watermark has passed, the verdicts of the fifteen hours before it, empty ones included."""
+    root = stage_path(spark, "minutes")
+    feed = _arriving(spark, sf_dir).withColumn("hour", F.floor(F.col("scored_at").cast("double") / 3600)).where("pmod(hour, 5) <> 0")
+    span = feed.agg(F.min("hour").alias("first"), F.max("hour").alias("last")).first()
+    third = F.floor(3 * (F.col("hour") - span["first"]) / (span["last"] - span["first"] + 1))
+    for part in range(3):
+        feed.where(third == part).drop("hour").repartition(FILES).write.mode("append").parquet(f"{root}/feed")
+        time.sleep(0.1)
+    stream = spark.readStream.schema(ARRIVED).option("maxFilesPerTrigger", FILES).parquet(f"{root}/feed")
+    counts = state.minute_counts(stream, seconds=3600, delay="0 seconds")
+    with state.state_store(spark):
+        started = (counts.writeStream.outputMode("append").format("parquet").option("path", f"{root}/counts")
+                   .option("checkpointLocation", f"{root}/checkpoint").trigger(availableNow=True).start())
+    started.awaitTermination()
+    total = state.total_counts(spark.read.schema(state.COUNTS).parquet(f"{root}/counts"))
+    return total.select(timestamp_text("now").alias("now"), bigint(F.col("bucket")).alias("bucket"), "n")
+
+
 @query
 def stream_flag_rate(spark, sf_dir):
     """The feed as a stream with a watermark: verdicts and flag rate of the closed windows."""
