@@ -347,6 +347,8 @@ FROM mk JOIN (SELECT id, term, weight, greatest(max(abs(weight)) OVER (PARTITION
       FROM (SELECT *, greatest(max(abs(weight)) OVER (PARTITION BY id), 1e-9::DOUBLE) AS top FROM listed) WHERE k <= 6"""
     q["registry_fallback"] = "WITH " + SCORE_ALL + f"""
 SELECT id, {LABEL} AS label, round(CASE WHEN p >= 0.5 THEN p ELSE 1 - p END, 4) AS confidence, 'third' AS registry FROM verdicts WHERE source = 'benchmark'"""
+    q["stream_publish_once"] = "WITH " + SCORE_ALL + f"""
+SELECT id, {LABEL} AS label, round(CASE WHEN p >= 0.5 THEN p ELSE 1 - p END, 4) AS confidence, 1::BIGINT AS sent FROM verdicts WHERE source = 'benchmark'"""
     q["score_position"] = "WITH " + SCORE_ALL + f"\nSELECT id, {LABEL} AS label, row_number() OVER (ORDER BY id) AS place FROM verdicts WHERE source = 'benchmark'"
     only = ",\n".join([TRAIN.replace("JOIN labels l USING (doc_id) WHERE", "JOIN labels l USING (doc_id) WHERE d.lang <> 'en' AND"), nb(), ALL,
                        f"inp AS (SELECT id, 'claim' AS route, {input_for("'claim'")} AS input FROM (SELECT *, {BASE} AS base, {meta()} AS meta FROM docs))",
@@ -418,6 +420,11 @@ FROM ends, (SELECT unnest(range(0, 15)) AS k) LEFT JOIN per ON hour = e - 15 + k
     q["csv_header_check"] = """SELECT 'expected' AS header, (SELECT count(*) FROM documents JOIN labels USING (doc_id)) AS n, false AS refused
       UNION ALL SELECT 'swapped', NULL, true UNION ALL SELECT 'missing', NULL, true"""
     q["ingestion_time"] = f"""SELECT id, source, true AS now FROM ({q["article_csv_scan"]}) UNION ALL SELECT id, source, true FROM ({q["claim_tsv_scan"]})"""
+    q["landed_compaction"] = with_(ALL) + """SELECT step, source, k * n AS n, (k * chars)::BIGINT AS chars
+      FROM (SELECT source, count(*) AS n, sum(length(text)) AS chars FROM docs GROUP BY source),
+      (SELECT unnest([{'step': 'landed', 'k': 1}, {'step': 'compacted', 'k': 1}, {'step': 'opened first', 'k': 1}, {'step': 'landed again', 'k': 2},
+        {'step': 'compacted again', 'k': 2}], recursive := true))"""
+    q["landed_latest"] = with_(ALL) + """SELECT id, source, title, text, CASE source WHEN 'conversation' THEN 'corrected' WHEN 'benchmark' THEN 'checked' ELSE speaker END AS speaker FROM docs"""
     q["raw_last_record"] = """SELECT 'kaggle-' || conv_id AS id, 'kaggle' AS source, 'turn ' || turn AS title, role AS author, 'zzz, the same text' AS text, 1::INTEGER AS label
       FROM conversations QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) = 1"""
     q["stream_score"] = "WITH " + SCORE_ALL + f"""\nSELECT id, source, {LABEL} AS label, route, round(CASE WHEN p >= 0.5 THEN p ELSE 1 - p END, 4) AS confidence,

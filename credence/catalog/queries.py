@@ -6,7 +6,7 @@ import time
 from collections.abc import Callable
 from datetime import datetime
 
-from pyspark.errors import PySparkException
+from pyspark.errors import PySparkException, StreamingQueryException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DateType, LongType, StructField, StructType
@@ -24,7 +24,7 @@ from credence.plans import registry, report, run
 from credence.plans import train as T
 from credence.schema import ARTICLE, ARTICLE_CSV_COLUMNS, CLAIM_TSV_COLUMNS, META_FIELDS, PREDICTION, RECORD
 from credence.session import SETTINGS, stage_path
-from credence.sources import files, tables, topic
+from credence.sources import compact, files, latest, tables, topic
 from credence.streaming import jobs, state
 
 T_ARCHIVE = StructType([*PREDICTION.fields, StructField("dt", DateType()), StructField("batch", LongType())])
@@ -688,6 +688,52 @@ def stream_land(spark, sf_dir):
     return run.latest_articles(files.read_landed(spark, f"{root}/raw")).select("id", "source", "title", "text", "speaker")
 
 
+@query
+def landed_compaction(spark, sf_dir):
+    """A day of many landed files, compacted twice while the sink goes on: the records and files that a reader takes
+    before, between, after, and from what was opened before the first compaction."""
+    root = stage_path(spark, "compaction")
+    source = tables.all_sources(spark, sf_dir).withColumn("seq", F.lit(1))
+    topic.write_records(source.repartition(12), topic.TOPIC_ARTICLES, "parquet", root)
+    stream = topic.read_topic(spark, topic.TOPIC_ARTICLES, RECORD, format="parquet", path=root, limit=4)
+
+    def land():
+        jobs.land(stream, f"{root}/raw", f"{root}/checkpoint", until_idle=True).awaitTermination()
+
+    def seen(step, rows):
+        return rows.groupBy("source").agg(F.count("*").alias("n"), bigint(F.sum(F.length("text"))).alias("chars")).select(F.lit(step).alias("step"), "source", "n", "chars")
+    land()
+    opened = compact.read_live(spark, f"{root}/raw")
+    parts, days = [seen("landed", opened)], sorted({str(r["dt"]) for r in opened.select("dt").distinct().collect()})
+    for day in days:
+        compact.compact(spark, f"{root}/raw", day)
+    parts.append(seen("compacted", compact.read_live(spark, f"{root}/raw")))
+    topic.write_records(source.repartition(5), topic.TOPIC_ARTICLES, "parquet", root)
+    land()
+    parts.append(seen("landed again", compact.read_live(spark, f"{root}/raw")))
+    for day in sorted({str(r["dt"]) for r in files.read_landed(spark, f"{root}/raw").select("dt").distinct().collect()}):
+        compact.compact(spark, f"{root}/raw", day)
+    last = compact.read_live(spark, f"{root}/raw")
+    if len(last.inputFiles()) > len(days) + 1:
+        raise AssertionError("a compacted day is still many files")
+    return N.union_all(*parts, seen("compacted again", last), seen("opened first", opened))
+
+
+@query
+def landed_latest(spark, sf_dir):
+    """Three landings, each merged into the table of last records: it equals the last records of everything that landed."""
+    root = stage_path(spark, "latest")
+    every = tables.all_sources(spark, sf_dir).withColumn("seq", F.lit(1))
+    corrected = [tables.conversations(spark, sf_dir).withColumn("speaker", F.lit("corrected")).withColumn("seq", F.lit(2)),
+                 tables.benchmark(spark, sf_dir).withColumn("speaker", F.lit("checked")).withColumn("seq", F.lit(3))]
+    for rows in (every, *corrected):
+        topic.write_records(rows, topic.TOPIC_ARTICLES, "parquet", root)
+        stream = topic.read_topic(spark, topic.TOPIC_ARTICLES, RECORD, format="parquet", path=root)
+        jobs.land(stream, f"{root}/raw", f"{root}/checkpoint", until_idle=True).awaitTermination()
+        latest.merge_landed(spark, f"{root}/raw", f"{root}/table", buckets=16)
+    return latest.read_latest(spark, f"{root}/table").select("id", "source", "title", "text", "speaker")
+
+
 @query
 def raw_last_record(spark, sf_dir):
     """Article CSV files that repeat ids, loaded for training: the last record of an id by file and position.
@@ -719,6 +765,34 @@ def stream_score(spark, sf_dir):
                            bigint(F.col("batch")).alias("batch"))
 
 
+@query
+def stream_publish_once(spark, sf_dir):
+    """A scoring job that stops three times: before, half way through and after publishing. Every prediction is sent once."""
+    root = stage_path(spark, "once")
+    registry.publish(fit_nb(spark, sf_dir), f"{root}/models", {})
+    topic.write_records(tables.benchmark(spark, sf_dir).repartition(FILES), topic.TOPIC_INCOMING, "parquet", root)
+    stops = ["before", "half", "after", None]
+
+    def publish(predictions):
+        stop = stops.pop(0)
+        half = predictions.where(F.pmod(F.xxhash64("id"), F.lit(2)) == 0) if stop == "half" else predictions
+        if stop != "before":
+            topic.write_records(half, topic.TOPIC_PREDICTIONS, "parquet", root)
+        if stop:
+            raise RuntimeError(f"stopped {stop} publishing")
+
+    while stops:
+        stream = topic.read_topic(spark, topic.TOPIC_INCOMING, format="parquet", path=root)
+        try:
+            jobs.score_stream(stream, [f"{root}/models"], f"{root}/archive", f"{root}/checkpoint", publish, until_idle=True,
+                              delivered=lambda n, since: topic.delivered(spark, topic.TOPIC_PREDICTIONS, n, since, "parquet", root)).awaitTermination()
+        except StreamingQueryException as e:
+            if "stopped" not in str(e):
+                raise
+    sent = topic.from_records(spark.read.schema(topic.RECORD).parquet(f"{root}/{topic.TOPIC_PREDICTIONS}"), PREDICTION)
+    return sent.groupBy("id", "label", F.round("confidence", 4).alias("confidence")).agg(F.count("*").alias("sent"))
+
+
 @query
 def stream_reload(spark, sf_dir):
     """Three throttled micro-batches; after each one another version is published, which the next one uses."""

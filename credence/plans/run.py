@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -15,9 +15,9 @@ from credence.plans.registry import load_latest, metrics_document, publish
 from credence.plans.train import train
 from credence.session import short_lived, stage
 from credence.schema import RECORD
-from credence.sources.files import load_raw, read_landed, source_names
-from credence.sources.topic import (TOPIC_ARTICLES, TOPIC_INCOMING, TOPIC_PREDICTIONS, read_topic, sent_counts,
-                                    write_records)
+from credence.sources.compact import read_live
+from credence.sources.files import load_raw, source_names
+from credence.sources.topic import (TOPIC_ARTICLES, TOPIC_INCOMING, TOPIC_PREDICTIONS, delivered, read_topic, write_records)
 from credence.streaming.jobs import land, score_stream
 
 
@@ -25,15 +25,18 @@ def produce(spark: SparkSession, raw: str, sources: Sequence[str] = ("kaggle", "
             topic: str = TOPIC_ARTICLES, **where) -> DataFrame:
     """Normalise the raw data sets, interleave them, append them to the topic; returns the rows sent per source.
 
+    The rows are counted while they are written.
     ``where``: ``format`` and its options, as for ``write_records``.
     """
     names = source_names(sources)
     rows = sorted_numbers(load_raw(spark, raw, names, place="place"), [], ["place"], "row", "bigint").drop("place")
     rows = stage(rows, "raw")
     # A topic keeps no order between keys: each record carries its place instead, and nothing is sorted.
-    sent = stage(interleave(rows, "row", names, limit, sort=False).withColumnRenamed("place", "seq").drop("row", "turn", "source_rank"), "sent")
-    write_records(sent, topic, **where)
-    return sent_counts(sent)
+    sent = interleave(rows, "row", names, limit, sort=False).withColumnRenamed("place", "seq").drop("row", "turn", "source_rank")
+    seen = Observation("sent")
+    write_records(sent.observe(seen, *[F.count_if(F.col("source") == n).alias(n) for n in dict.fromkeys(names)]), topic, **where)
+    counts = [(n, c) for n, c in seen.get.items() if c]
+    return spark.createDataFrame(counts, "source string, sent long")
 
 
 def sink(spark: SparkSession, root: str, checkpoint: str, until_idle: bool = False, rate: int | None = None,
@@ -64,7 +67,7 @@ def train_and_publish(articles: DataFrame, base: str | None, data_source: str, *
 
 
 def train_from_landed(spark: SparkSession, root: str, base: str | None, **options) -> tuple[CredibilityModel, dict]:
-    return train_and_publish(latest_articles(read_landed(spark, root)), base, root, **options)
+    return train_and_publish(latest_articles(read_live(spark, root)), base, root, **options)
 
 
 def train_from_raw(spark: SparkSession, raw: str, base: str | None, **options) -> tuple[CredibilityModel, dict]:
@@ -80,5 +83,5 @@ def score_incoming(spark: SparkSession, registry: Sequence[str], archive: str, c
                    starting: str = "latest", wait_seconds: float = 0, **where) -> StreamingQuery:
     """Score the incoming topic; predictions go to their topic and to the archive. Waits for a model first."""
     stream = read_topic(spark, TOPIC_INCOMING, starting=starting, **where)
-    return score_stream(stream, list(registry), archive, checkpoint,
-                        lambda p: write_records(p, TOPIC_PREDICTIONS, **where), until_idle, wait_seconds=wait_seconds)
+    return score_stream(stream, list(registry), archive, checkpoint, lambda p: write_records(p, TOPIC_PREDICTIONS, **where), until_idle,
+                        wait_seconds=wait_seconds, delivered=lambda batch, since: delivered(spark, TOPIC_PREDICTIONS, batch, since, **where))

@@ -6,7 +6,7 @@ import warnings
 from collections.abc import Sequence
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, DataFrameReader, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -99,11 +99,14 @@ def read_landed(spark: SparkSession, root: str, schema: T.StructType = LANDED, g
     ``dt`` is the partition column: a filter on it prunes directories.
     """
     def read() -> DataFrame:
-        return (spark.read.schema(schema).option("lineSep", "\n").option("pathGlobFilter", glob)
-                .option("mode", "FAILFAST").json(root))
+        return json_lines(spark, schema, glob).json(root)
     return or_empty(spark, read, schema)
 
 
+def json_lines(spark: SparkSession, schema: T.StructType, glob: str = "*.json*") -> DataFrameReader:
+    return (spark.read.schema(schema).option("lineSep", "\n").option("pathGlobFilter", glob).option("mode", "FAILFAST"))
+
+
 def write_landed(df: DataFrame, root: str, mode: str = "append") -> None:
     """Append as JSON lines below ``dt=<UTC date of writing>``."""
     df.withColumn("dt", F.to_date(F.current_timestamp())).write.mode(mode).partitionBy("dt").json(root)

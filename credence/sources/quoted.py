@@ -137,7 +137,7 @@ def read_records(spark: SparkSession, path: str) -> DataFrame:
     """
     lines = spark.read.text(path, lineSep="\n").select(
         F.xxhash64("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"), F.col("value").cast("binary").alias("line"))
-    starts = stage(_starts(stage(lines.mapInArrow(_follow, RANGE), "csv-ranges")), "csv-starts")
+    starts = stage(_starts(lines.mapInArrow(_follow, RANGE)), "csv-starts")
     known = lines.join(F.broadcast(starts), ["file", "start"], "left").select(          # a broadcast join keeps the order of the lines
         "file", "start", F.coalesce("inside", F.lit(False)).alias("inside"), F.coalesce("crlf", F.lit(False)).alias("crlf"), "line")
     pieces = known.mapInArrow(_assemble, PIECE)

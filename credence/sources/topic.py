@@ -8,6 +8,7 @@ from pyspark.sql import types as T
 
 from credence.operators.normalize import with_defaults
 from credence.schema import ARTICLE, META_FIELDS
+from credence.sources.files import or_empty
 
 # Default topic names.
 TOPIC_ARTICLES = "news-articles"
@@ -56,6 +57,17 @@ def write_records(df: DataFrame, topic: str, format: str = "kafka", path: str |
         writer.save(f"{path}/{topic}")
 
 
+def delivered(spark: SparkSession, topic: str, batch: int, since: float, format: str = "kafka", path: str | None = None, **options) -> DataFrame:
+    """(delivery): of the records of a scoring batch those that the topic holds. ``since``: seconds, none is older."""
+    schema = T.StructType([T.StructField("delivery", T.StringType())])
+    reader = spark.read.format(format).options(**options)
+    if format == "kafka":
+        found = reader.option("subscribe", topic).option("startingTimestamp", str(int(since * 1000))).option("startingOffsetsByTimestampStrategy", "latest").load()
+    else:
+        found = or_empty(spark, lambda: reader.schema(RECORD).load(f"{path}/{topic}"), T.StructType.fromDDL(RECORD))
+    return from_records(found, schema).where(F.col("delivery").startswith(f"{batch}-")).distinct()
+
+
 def live_records(df: DataFrame) -> DataFrame:
     """Submitted articles as incoming records with a fresh id; blank metadata is left out.
 
