@@ -173,9 +173,17 @@ def predict(docs: DataFrame, profiles: Profiles, key: str = "doc_id", text: str
     return map_texts(docs, F.col(key), F.col(text), work, f"k {kind}, lang_pred string, score double").withColumnRenamed("k", key)
 
 
-def identified(docs: DataFrame, profiles: Profiles, text: str = "text") -> DataFrame:
-    """The rows that get a language, as they are; null texts and those without letters go."""
-    return filter_rows(docs, text, lambda: lambda texts: [judge(t, profiles)[0] != UNKNOWN for t in texts])
+def identified(docs: DataFrame, profiles: Profiles, text: str = "text", least: float | None = None) -> DataFrame:
+    """The rows, as they are, whose text is like one of the learned languages: a cosine of ``least`` or more.
+
+    By default that is 1 / sqrt(dimensions), the deviation of the cosine of unrelated text. Null texts, those without letters
+    and those in a script or language that no profile was learned from go.
+    """
+    bound = profiles.dimensions ** -0.5 if least is None else least
+
+    def keep(texts: list[str | None]) -> list[bool]:
+        return [name != UNKNOWN and score >= bound for name, score in (judge(t, profiles) for t in texts)]
+    return filter_rows(docs, text, lambda: keep)
 
 
 def held_out(key: Column | str) -> Column:
