@@ -5,7 +5,8 @@ DataFrame that is written as Parquet and read again as the next one's ``docs``.
 columns of ``docs``, whatever further columns there are, and only drop rows:
 
 * toxicity (6): rows that score 0.5 or more go; the machine is fitted on ``labels``. Null and empty texts score low.
-* language (1): rows without a language go, that is null texts and those without letters.
+* language (1): rows that are like none of the languages named in the table go, that is a cosine with every prototype
+  below what unrelated text has by chance; so do null texts and those without letters.
 * near copies (10): of each group of documents whose sets of 5-word shingles are linked by a similarity of 0.8
   or more, directly or through others, the one with the least doc_id stays; rows without words stay.
 * benchmark (3): rows that hold a benchmark window go.

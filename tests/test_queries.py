@@ -9,7 +9,8 @@ import __spark_entry__ as entry
 
 SF_DIR = "/root/testdata/sf0.001"
 QUICK = [
-    "raw_last_record", "lr_dense_weights", "fallback_route", "stream_repeats", "metrics_document_scores", "source_selection", "prepared_inputs_capped", "feed_stats", "feed_freshness",
+    "tfidf_head_tail", "lr_text_predict", "csv_header_check", "registry_fallback", "landed_compaction", "landed_latest", "stream_publish_once", "stream_last_arrivals",
+    "stream_minute_counts", "raw_last_record", "lr_dense_weights", "fallback_route", "stream_repeats", "metrics_document_scores", "source_selection", "prepared_inputs_capped", "feed_stats", "feed_freshness",
     "normalize_documents", "normalize_conversations", "union_all_sources", "grade_binarize", "label_cast", "record_validation",
     "dedup_keep_last", "interleave_limit", "clean_documents", "clean_pages", "meta_tokens_conversations", "prepared_inputs",
     "route_counts", "token_stats", "vocabulary_topk", "tfidf_documents", "stratified_split_rows", "class_weights", "nb_weights",
