@@ -17,7 +17,7 @@ import numpy as np
 from credence.llm.common import kept
 
 TOKENIZER = "byte_bpe_50k.json"
-MEMO_PIECES = 200_000       # a generation; two are kept
+MEMO_PIECES = 400_000       # a generation; two are kept
 JOIN_CHARS = 1_000          # unknown pieces are encoded in texts of about so many characters: the library takes longer for each of a long one
 LONG_PIECE = 256            # longer pieces are not remembered
 SEGMENT = 1_000_000         # longer texts are encoded in segments of about so many characters
