@@ -23,7 +23,7 @@ LONG_PIECE = 256            # longer pieces are not remembered
 SEGMENT = 1_000_000         # longer texts are encoded in segments of about so many characters
 
 _BESIDE = ("  ", " \n", "\n ", "\n\n", "\0")
-_other_space = re.compile("[\t\x0b\x0c\r\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
+_OTHER_SPACE = ["\t", "\x0b", "\x0c", "\r", *map(chr, range(0x1C, 0x20)), "\x85", "\xa0", "\u1680", *map(chr, range(0x2000, 0x200B)), "\u2028", "\u2029", "\u202f", "\u205f", "\u3000"]
 _boundary = re.compile(r"(?<=\S)(?=[ \n]\S)")
 
 
@@ -34,7 +34,7 @@ def tokenizer_path(name: str = TOKENIZER) -> str:
 
 def pieces(text: str) -> list[str]:
     """The text cut at its safe boundaries."""
-    if any(x in text for x in _BESIDE) or _other_space.search(text):
+    if any(x in text for x in _BESIDE) or any(x in text for x in _OTHER_SPACE):     # scans for one character are fast
         return _boundary.split(text)
     return text.replace(" ", "\0 ").replace("\n", "\0\n").split("\0")
 
@@ -70,35 +70,45 @@ class PieceEncoder:
         for part, e in zip(parts, self.tokenizer.encode_batch_fast(parts, add_special_tokens=False)):
             into[part] = np.array(e.ids, dtype="<u4").tobytes()
 
-    def _joined(self, runs: list[list[str]], into: dict[str, bytes]) -> None:
-        """Runs of parts that hold a space or newline at their start only: each is encoded as one text and cut at the ids that open one."""
-        found = [e.ids for e in self.tokenizer.encode_batch_fast(["".join(r) for r in runs], add_special_tokens=False)]
+    def _joined(self, runs: list[list[str]], into: dict[str, bytes]) -> list[str]:
+        """Runs of parts that begin with a space or newline: each is encoded as one text and cut at the ids that open a part.
+
+        Returns the parts of runs in which something else holds a space or newline.
+        """
+        texts = ["".join(r) for r in runs]
+        single = [t.count(" ") + t.count("\n") == len(r) for t, r in zip(texts, runs)]
+        rest = [p for r, ok in zip(runs, single) if not ok for p in r]
+        runs = [r for r, ok in zip(runs, single) if ok]
+        if not runs:
+            return rest
+        found = [e.ids for e in self.tokenizer.encode_batch_fast([t for t, ok in zip(texts, single) if ok], add_special_tokens=False)]
         ids = np.array([i for x in found for i in x], dtype="<u4")
         opens = self.opens[ids]
         first = np.cumsum([0, *map(len, found)])[:-1]
         agree = (np.add.reduceat(opens, first, dtype=np.int64) == [len(r) for r in runs]) & opens[first]
         if not agree.all():
-            self._alone([p for r, ok in zip(runs, agree) if not ok for p in r], into)
-            return self._joined(kept_runs, into) if (kept_runs := [r for r, ok in zip(runs, agree) if ok]) else None
+            rest += [p for r, ok in zip(runs, agree) if not ok for p in r]
+            return rest + self._joined([r for r, ok in zip(runs, agree) if ok], into)
         raw = ids.tobytes()
         cuts = [*(np.flatnonzero(opens) * 4).tolist(), len(raw)]
         into.update(zip((p for r in runs for p in r), (raw[a:b] for a, b in zip(cuts, cuts[1:]))))
+        return rest
 
     def _learn(self, unknown: list[str], into: dict[str, bytes]) -> None:
         alone, runs, run, size = [], [], [], 0
         for part in unknown:
-            if not 2 <= len(part) <= LONG_PIECE or part[0] not in " \n" or part.count(" ") + part.count("\n") != 1:
+            n = len(part)
+            if n < 2 or n > LONG_PIECE or part[0] not in " \n":
                 alone.append(part)
                 continue
             run.append(part)
-            size += len(part)
+            size += n
             if size >= JOIN_CHARS:
                 runs.append(run)
                 run, size = [], 0
         if run:
             runs.append(run)
-        if runs:
-            self._joined(runs, into)
+        alone += self._joined(runs, into)
         if alone:
             self._alone(alone, into)
 
