@@ -14,7 +14,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from credence.functions.text import blank_null, label_name, prepare, route_for
+from credence.functions.text import blank_null, label_name, let, prepare, route_for
 from credence.operators import logistic as logistic_regression
 from credence.operators.features import weighted_terms
 from credence.operators.lookup import TermLookup, lookup
@@ -233,9 +233,13 @@ def require_model(model: CredibilityModel | None) -> CredibilityModel:
 
 def explode_explanations(predictions: DataFrame, key: str = "id") -> DataFrame:
     """One row per document and listed term, with its rank and relative strength."""
-    strongest = F.greatest(F.array_max(F.transform("top_terms", lambda t: F.abs(t["weight"]))), F.lit(1e-9))
-    rows = predictions.select(key, "label", "route", strongest.alias("m"), F.posexplode("top_terms").alias("rank", "t"))
-    return rows.select(key, "label", "route", "rank", "t.*", (F.abs("t.weight") / F.col("m")).alias("strength"))
+    def with_strength(terms: Column) -> Column:
+        strongest = F.greatest(F.array_max(F.transform(terms, lambda t: F.abs(t["weight"]))), F.lit(1e-9))
+        return let(strongest, lambda m: F.transform(terms, lambda t: F.struct(
+            t["term"].alias("term"), t["weight"].alias("weight"), t["direction"].alias("direction"), (F.abs(t["weight"]) / m).alias("strength"))))
+    # Bound once, and the outer form: for the inner one the optimizer adds a filter that ranks the terms again.
+    rows = predictions.select(key, "label", "route", F.posexplode_outer(let(F.col("top_terms"), with_strength)).alias("rank", "t"))
+    return rows.where("rank IS NOT NULL").select(key, "label", "route", "rank", "t.*")
 
 
 def global_top_terms(terms: DataFrame, routes: Sequence[str], k: int = VOCABULARY_K) -> DataFrame:

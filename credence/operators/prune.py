@@ -15,8 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from credence.operators.lookup import FILTER_BITS, filter_bit, filter_word, filter_words, passes
-from credence.session import stage
+from credence.operators.lookup import FILTER_BITS, filter_word, filter_words, passes
 
 TASK_TERMS = 4_000_000       # hashes that a task counts at a time
 GROUP_TERMS = 16_000_000     # of all documents per group of hashes that is added up at once
