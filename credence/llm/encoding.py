@@ -164,6 +164,6 @@ class PieceEncoder:
         young.update((p, x) for p, x in found.items() if len(p) <= LONG_PIECE)
 
 
-def encoder(path: str) -> PieceEncoder:
+def encoder(path: str, memo: int = MEMO_PIECES) -> PieceEncoder:
     """One per Python worker."""
-    return kept(("encoder", path), lambda: PieceEncoder(path))
+    return kept(("encoder", path, memo), lambda: PieceEncoder(path, memo))

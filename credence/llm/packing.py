@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from credence.llm.common import batches_by_bytes, map_texts, schema
-from credence.llm.encoding import encoder, tokenizer_path
+from credence.llm.encoding import MEMO_PIECES, encoder, tokenizer_path
 from credence.session import stage
 
 SEQUENCE = 2048
@@ -58,7 +58,7 @@ def first_fit_decreasing(lengths: Sequence[int], capacity: int) -> list[int]:
 
 
 def document_pieces(docs: DataFrame, key: str = "doc_id", text: str = "text", sequence: int = SEQUENCE, end_id: int = END_ID,
-                    tokenizer: str | None = None) -> DataFrame:
+                    tokenizer: str | None = None, memo: int = MEMO_PIECES) -> DataFrame:
     """Pieces of at most ``sequence`` ids: row, key, start, length, ids_crc32, doc_tokens.
 
     ``row`` numbers the documents of the scan. A document's ids are those of its text (null: none) and
@@ -70,7 +70,7 @@ def document_pieces(docs: DataFrame, key: str = "doc_id", text: str = "text", se
     def work(pairs: Iterator[tuple[Any, str | None]]) -> Iterable[tuple]:
         row = TaskContext.get().partitionId() << 33
         for run in batches_by_bytes(pairs, BATCH_CHARS):
-            for (k, _), ids in zip(run, encoder(path).encode([t for _, t in run])):
+            for (k, _), ids in zip(run, encoder(path, memo).encode([t for _, t in run])):
                 ids += end
                 n = len(ids) // 4
                 for start in range(0, n, sequence):
@@ -84,19 +84,19 @@ def document_pieces(docs: DataFrame, key: str = "doc_id", text: str = "text", se
 
 
 def pack(docs: DataFrame, key: str = "doc_id", text: str = "text", sequence: int = SEQUENCE, end_id: int = END_ID,
-         group: int = GROUP, seed: int = 17, tokenizer: str | None = None) -> DataFrame:
+         group: int = GROUP, seed: int = 17, tokenizer: str | None = None, memo: int = MEMO_PIECES) -> DataFrame:
     """Every id of every document in exactly one piece, every piece in one sequence of at most ``sequence`` ids.
 
     Returns key, start, length, ids_crc32, doc_tokens, sequence_id, offset. The texts are encoded once;
     what moves afterwards is a short row per document. A piece of ``sequence`` ids is a sequence alone.
     The rest, one piece per document at most, is dealt by a seeded hash of its row number into groups
     of about ``group``, so that equal keys or texts never gather in one group, and each group is packed
-    first-fit decreasing in its own task.
+    first-fit decreasing in its own task. ``memo``: pieces whose ids a worker remembers, in each of two generations.
 
     A null or empty text is a document of the end id alone. Null and repeated keys are documents of their
     own. An empty table gives no rows. Columns other than the key and the text are not read.
     """
-    pieces = stage(document_pieces(docs, key, text, sequence, end_id, tokenizer), "pieces")
+    pieces = stage(document_pieces(docs, key, text, sequence, end_id, tokenizer, memo), "pieces")
     n = pieces.where(F.col("length") < sequence).count()
     groups = max(1, -(-n // group))
     out = ["k", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
