@@ -27,6 +27,7 @@ from credence.session import stage
 
 SHINGLE_WORDS = 5
 SIMILARITY = (80, 100)
+MEMO_PIECES = 200_000       # fewer than packing alone remembers: the workers have held other models before
 
 
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -59,7 +60,7 @@ def benchmark_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return packing.pack(docs)
+    return packing.pack(docs, memo=MEMO_PIECES)
 
 
 STAGES = [
