@@ -92,6 +92,15 @@ def compact(spark: SparkSession, root: str, day: str, file_bytes: int = FILE_BYT
     return version + 1
 
 
+def scattered_days(spark: SparkSession, paths: list[str], file_bytes: int | None = None) -> list[str]:
+    """Days (dt=...) that hold more files than their bytes need: one per ``file_bytes`` begun."""
+    files, file_bytes = Files(spark, paths[0]) if paths else None, file_bytes or FILE_BYTES
+    days: dict[str, list[int]] = {}
+    for p in paths:
+        days.setdefault(p.rsplit("/", 2)[1], []).append(files.size(p))
+    return sorted(day for day, sizes in days.items() if len(sizes) > max(1, -(-sum(sizes) // file_bytes)))
+
+
 def _read(spark: SparkSession, root: str, landed: list[str], live: list[str], schema: StructType) -> DataFrame:
     out = spark.createDataFrame([], schema)
     if landed:

@@ -7,6 +7,7 @@ from datetime import date, datetime
 import pytest
 from pyspark.sql import functions as F
 
+from credence.catalog.queries import QUERIES
 from credence.operators.normalize import keep_last
 from credence.sources import compact, latest
 from credence.sources.files import LANDED, read_landed
@@ -53,6 +54,29 @@ def test_files_are_cut_at_their_size(spark, tmp_path):
     assert 3 <= len(compact.read_live(spark, root).inputFiles()) <= 5
 
 
+def test_a_day_may_hold_as_many_files_as_its_bytes_need(spark, tmp_path):
+    root = f"{tmp_path}/raw"
+    land(spark, root, [(f"i{i}", "x" * 500, i, DAYS[0]) for i in range(200)], 10)
+    assert compact.scattered_days(spark, compact.read_live(spark, root).inputFiles(), 40_000) == ["dt=2024-01-01"]
+    compact.compact(spark, root, "2024-01-01", file_bytes=40_000)
+    assert compact.scattered_days(spark, compact.read_live(spark, root).inputFiles(), 40_000) == []
+
+
+def test_the_query_compacts_days_of_several_files(spark, tmp_path, monkeypatch):
+    """With files of 2 kB a day stays several files after compaction."""
+    docs = spark.createDataFrame([(i, "some words " * 20, "en", "web") for i in range(60)], "doc_id long, text string, lang string, source string")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    docs.selectExpr("doc_id", "CAST(doc_id % 2 AS int) AS quality").write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame([(1, "<title>a</title> page")], "page_id long, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    spark.createDataFrame([(1, 1, "user", "hello")], "conv_id long, turn int, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    spark.createDataFrame([(1, "an item")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    rewrite = compact.compact
+    monkeypatch.setattr(compact, "compact", lambda *a: rewrite(*a, file_bytes=2_000))
+    monkeypatch.setattr(compact, "FILE_BYTES", 2_000)
+    found = QUERIES["landed_compaction"](spark, str(tmp_path)).where("source = 'article'")
+    assert {r["step"]: r["n"] for r in found.collect()} == {"landed": 60, "compacted": 60, "opened first": 60, "landed again": 120, "compacted again": 120}
+
+
 def test_a_run_without_manifest_is_not_seen_and_one_of_two_fails(spark, tmp_path, monkeypatch):
     root = f"{tmp_path}/raw"
     land(spark, root, sample(0, 30))
