@@ -17,8 +17,8 @@ from pyspark.sql import functions as F
 
 from credence.operators.lookup import FILTER_BITS, filter_word, filter_words, passes
 
-TASK_TERMS = 4_000_000       # hashes that a task counts at a time
-GROUP_TERMS = 16_000_000     # of all documents per group of hashes that is added up at once
+TASK_TERMS = 2_000_000       # hashes that a task counts at a time
+GROUP_TERMS = 4_000_000      # of all documents per group of hashes that is added up at once
 
 
 def frequent_words(docs: DataFrame, least: dict[str, int], bits: int = FILTER_BITS) -> DataFrame:

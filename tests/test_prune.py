@@ -41,6 +41,11 @@ def test_frequent_terms_keep_their_counts(docs, monkeypatch, least, task, group,
         assert all(df >= least.get(k[0], 1) for k, (df, _) in got.items())
 
 
+def test_a_group_takes_little_memory():
+    """Hashes of one group, four bytes and a count each, are held and sorted in Python: four of them at a time in an executor."""
+    assert 4 * prune.GROUP_TERMS * 48 < 1_000_000_000 and 4 * prune.TASK_TERMS * 48 < 1_000_000_000
+
+
 def test_at_least_half_of_the_rows_stay_where_they_are(docs):
     least = {"article": 2, "claim": 2}
     terms = features.explode_terms(docs, ["route"]).where("term IS NOT NULL")
