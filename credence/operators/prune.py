@@ -29,9 +29,10 @@ def frequent_words(docs: DataFrame, least: dict[str, int], bits: int = FILTER_BI
     if bits > 32:
         raise ValueError("hashes are kept in 32 bits")
     wide = max(least.values()) > 255
-    hashed = docs.where(F.col("route").isin(list(least))).select(
-        "route", F.transform("terms", lambda t: F.xxhash64("route", t["term"])).alias("ids"))
-    total = hashed.agg(F.sum(F.size("ids").cast("long")).alias("n")).first()["n"] or 0
+    chosen = docs.where(F.col("route").isin(list(least)))
+    hashed = chosen.select("route", F.transform("terms", lambda t: F.xxhash64("route", t["term"])).alias("ids"))
+    # Of the terms, not of their hashes: those would be computed only to be counted.
+    total = chosen.agg(F.sum(F.size("terms").cast("long")).alias("n")).first()["n"] or 0
     groups, most = max(1, -(-total // GROUP_TERMS)), TASK_TERMS
     kind = np.uint32 if wide else np.uint8
 
