@@ -111,3 +111,22 @@ def test_nothing_of_vocabulary_size_comes_to_the_driver(spark, monkeypatch):
     width = 3000
     solved(spark, {"article": (sample(4, 90, width), width)}, {}, tol=1e-4)
     assert sizes and max(sizes) <= max(len(L.STEPS), 1 + 4 * (2 * L.HISTORY + 2))
+
+
+def test_only_columns_that_blocks_share_are_moved(spark, monkeypatch):
+    """40 rows in blocks of 5, of which each has 50 columns of its own and one of two that all have: a step moves no
+    ranges of coefficients but, per block, the two and the intercept."""
+    monkeypatch.setattr(L, "ROWS", 5)
+    width = 2 + 40 * 50 + 1_000_000
+    rows = [("article", i % 2, [i // 2 % 2, *range(2 + 50 * i, 52 + 50 * i)], [0.5] * 51) for i in range(40)]
+    vectors = spark.createDataFrame(rows, KIND).coalesce(1)
+    kept = L.blocks(vectors, {"article": width}, {"article": (1.0, 1.0)})
+    matrix = L._Matrix(kept, L.widths(vectors, {"article": width}))
+    a = L._gradients(L._start(kept), {"article": (None, 0.0)})
+    sent = matrix.sent(a)
+    assert sum(len(r["x"]) for r in sent.collect()) == 8 * 3 * 8        # blocks, numbers, bytes
+    assert sum(len(r["x"]) for r in matrix.added(sent).collect()) == 8 * 3 * 8
+    whole = {r["columns"]: np.frombuffer(r["x"]) for r in matrix.columns_of(a).collect()}
+    assert len(whole) < 64 and sum(np.count_nonzero(x) for x in whole.values()) <= 2 + 40 * 50 + 1
+    matrix.release()
+    kept.unpersist()
