@@ -13,6 +13,9 @@ from credence.functions.text import blank_null, strip
 from credence.operators.ranking import row_numbers
 from credence.schema import (ARTICLE, MAX_LENGTH, NA_WORDS, RELIABLE_GRADES, TEXT_FIELDS,
                              UNRELIABLE_GRADES)
+from credence.session import stage
+
+KEPT_WORDS = 1 << 22        # of 64 rows each that are broadcast
 
 
 def null_na_words(df: DataFrame) -> DataFrame:
@@ -101,10 +104,30 @@ def keep_last(df: DataFrame, order: Sequence[str], key: str = "id") -> DataFrame
     pass a scan or a staged table.
     """
     numbered = df.withColumn("_row", F.monotonically_increasing_id())
+    return numbered.join(last_numbers(numbered, order, key), "_row", "left_semi").drop("_row")
+
+
+def last_numbers(numbered: DataFrame, order: Sequence[str], key: str = "id") -> DataFrame:
+    """(_row): of ``keep_last``, the numbers ``_row`` of the rows that stay."""
     # The hash is named twice, so that the optimizer computes it below the aggregation, which then sorts no texts.
-    narrow = numbered.select(key, "_row", *[c for c in order if c != key], F.xxhash64(*df.columns).alias("_hash"))
+    hashed = F.xxhash64(*[c for c in numbered.columns if c != "_row"])
+    narrow = numbered.select(key, "_row", *[c for c in order if c != key], hashed.alias("_hash"))
     last = narrow.groupBy(key).agg(F.max(F.struct(*order, "_hash", "_row")).alias("_last"), F.count("_hash").alias("_rows")).where("_rows > 0")
-    return numbered.join(last.select("_last._row"), "_row", "left_semi").drop("_row")
+    return last.select("_last._row")
+
+
+def numbered_rows(numbered: DataFrame, numbers: DataFrame) -> DataFrame:
+    """The rows whose ``_row`` is among ``numbers``, as bits: up to ``KEPT_WORDS`` words of 64 are broadcast, and no row is moved.
+
+    The numbers of ``numbered`` are stored with its rows: it is read in another job than ``numbers`` were found in.
+    """
+    bit = F.col("_row").bitwiseAND(F.lit(63)).cast("int")
+    word = F.shiftright("_row", 6).alias("_word")
+    one = F.call_function("shiftleft", F.lit(1).cast("long"), bit)
+    words = stage(numbers.select(word, one.alias("b")).groupBy("_word").agg(F.bit_or("b").alias("_bits")), "kept-rows")
+    if words.count() <= KEPT_WORDS:
+        words = F.broadcast(words)
+    return numbered.withColumn("_word", word).join(words, "_word").where(F.call_function("bit_get", F.col("_bits"), bit) == 1).drop("_row", "_word", "_bits")
 
 
 def interleave(df: DataFrame, seq: str, sources: Sequence[str], limit: int = 0, key: str = "id", sort: bool = True) -> DataFrame:

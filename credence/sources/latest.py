@@ -2,7 +2,8 @@
 
 The table lies in buckets by a hash of the id. A merge takes the landed files that it has not taken yet, keeps the
 last record of their ids and of the buckets that these ids fall into, and writes those buckets anew; all others
-stay. A manifest, written last, names the live folder of every bucket and the files that are in the table.
+stay. Rows of these buckets whose id has surely not landed again are copied by the task that reads them, so that only
+what landed, and what it may replace, is compared and moved. A manifest, written last, names the live folder of every bucket and the files that are in the table.
 """
 
 from __future__ import annotations
@@ -13,7 +14,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from credence.operators.normalize import keep_last
+from credence.operators.lookup import FILTER_BITS, filter_word, filter_words, passes
+from credence.operators.normalize import last_numbers, numbered_rows
 from credence.session import short_lived, stage
 from credence.sources.compact import Files, landed_files
 from credence.sources.files import LANDED, json_lines
@@ -44,13 +46,19 @@ def merge_landed(spark: SparkSession, root: str, base: str, order: Sequence[str]
     folder = f"{base}/data/{version + 1:012d}-{spark.sparkContext.applicationId}"
     with short_lived(spark):
         rows = json_lines(spark, LANDED).option("basePath", root).json(fresh).withColumn("bucket", bucket)
-        new = stage(keep_last(stage(rows, "landed-rows"), order), "landed-last")
-        touched = sorted(r["bucket"] for r in new.select("bucket").distinct().collect())        # at most one per bucket
+        landed = stage(rows.withColumn("_row", F.monotonically_increasing_id()), "landed-rows")
+        touched = sorted(r["bucket"] for r in landed.select("bucket").distinct().collect())        # at most one per bucket
         old = [state["live"][str(b)] for b in touched if str(b) in state["live"]]
         if old:
-            before = spark.read.schema(new.drop("bucket").schema).parquet(*old).withColumn("bucket", bucket)
-            new = keep_last(stage(new.unionByName(before), "merged-rows"), order)
-        new.repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(folder)
+            words = filter_words(landed.select(F.xxhash64("id").alias("_id")), FILTER_BITS, "landed-ids")
+            before = spark.read.schema(LANDED).parquet(*old).withColumn("bucket", bucket).withColumn("_id", F.xxhash64("id"))
+            before = before.withColumn("_word", filter_word(FILTER_BITS)).join(words, "_word", "left").withColumn("_again", F.coalesce(passes(), F.lit(False)))
+            again = before.where("_again").select(*rows.columns, (-1 - F.monotonically_increasing_id()).alias("_row"))
+            landed = landed.unionByName(stage(again, "landed-again"))
+        new = numbered_rows(landed, last_numbers(landed, order)).hint("rebalance", "bucket")
+        if old:
+            new = new.unionByName(before.where("NOT _again").select(*rows.columns))
+        new.write.mode("overwrite").partitionBy("bucket").parquet(folder, compression="zstd")
     live = {**state["live"], **{str(b): f"{folder}/bucket={b}" for b in touched}}
     text = json.dumps({"buckets": n, "live": live, "files": sorted([*state["files"], *fresh])}, indent=1)
     Files(spark, base).create(f"{base}/manifest/{version + 1:012d}.json", text)

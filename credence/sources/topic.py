@@ -54,6 +54,7 @@ def write_records(df: DataFrame, topic: str, format: str = "kafka", path: str |
     if format == "kafka":
         writer.options(**{**PRODUCER, **options}).option("topic", topic).save()
     else:
+        writer = writer.options(**{"compression": "zstd", **options}) if format == "parquet" else writer
         writer.save(f"{path}/{topic}")
 
 

@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from credence.catalog.queries import QUERIES
+from credence.operators import normalize
 from credence.operators.normalize import keep_last
 from credence.sources import compact, latest
 from credence.sources.files import LANDED, read_landed
@@ -112,3 +113,30 @@ def test_last_records_equal_those_of_everything(spark, tmp_path):
     latest.merge_landed(spark, root, base)
     want = keep_last(read_landed(spark, root), ["dt", "ingested_at", "seq"])
     assert rows_of(latest.read_latest(spark, base)) == rows_of(want)
+
+
+def test_a_merge_compares_only_what_may_have_landed_again(spark, tmp_path, monkeypatch):
+    """Of 400 records one is corrected, and one without an id lands again: the others are not staged."""
+    root, base = f"{tmp_path}/raw", f"{tmp_path}/latest"
+    land(spark, root, [*sample(0, 60), *[(f"k{i}", "x", i, DAYS[0]) for i in range(400)], (None, "first", 1, DAYS[0])])
+    latest.merge_landed(spark, root, base, buckets=1)
+    land(spark, root, [("k3", "corrected", 1000, DAYS[0]), ("k4", "older", -5, DAYS[0]), (None, "second", 2, DAYS[0])])
+    staged, write = {}, latest.stage
+
+    def seen(df, name):
+        out = write(df, name)
+        staged[name] = out.count()
+        return out
+    monkeypatch.setattr(latest, "stage", seen)
+    assert latest.merge_landed(spark, root, base) == [0] and staged["landed-rows"] == 3 and sum(staged.values()) == 6
+    found = latest.read_latest(spark, base)
+    texts = {r["id"]: r["text"] for r in found.collect()}
+    assert found.count() == 17 + 400 + 1 and texts["k3"] == "corrected" and texts["k4"] == "x" and texts[None] == "second"
+
+
+def test_numbered_rows_with_and_without_broadcast(spark, monkeypatch):
+    rows = spark.range(300).withColumn("_row", F.expr("IF(id < 150, id, -id)"))
+    chosen = rows.where("id % 7 = 0").select("_row")
+    for words in (1 << 22, 0):
+        monkeypatch.setattr(normalize, "KEPT_WORDS", words)
+        assert sorted(r["id"] for r in normalize.numbered_rows(rows, chosen).collect()) == [*range(0, 300, 7)]
