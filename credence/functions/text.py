@@ -110,10 +110,15 @@ def with_meta(base: Column, meta: Column, route: Column) -> Column:
     return let(base, lambda t: F.when((route == "claim") & (meta != ""), F.trim(F.concat(t, F.lit(" "), meta))).otherwise(t))
 
 
+def usable(stop_words: Iterable[str]) -> list[str]:
+    """Stop words that may be tokens."""
+    return [w for w in stop_words if w.replace("_", "a").isalnum()]
+
+
 def tokens(c: Column | str, stop_words: Iterable[str]) -> Column:
     """Runs of two or more word characters, without stop words."""
     words = F.regexp_extract_all(_col(c), F.lit(r"\w{2,}"), F.lit(0))
-    stop = [w for w in stop_words if w.replace("_", "a").isalnum()]
+    stop = usable(stop_words)
     return F.filter(words, lambda w: ~w.isin(stop)) if stop else words
 
 

@@ -70,15 +70,24 @@ def fit_vocabulary(docs: DataFrame, max_features: int | None = None, min_df: dic
     kept = document_frequency(docs, stop_words, pruned).withColumn("n_docs", n_docs).where(
         (F.col("df") >= floor) & (F.col("df") <= F.lit(max_df) * F.col("n_docs")))
     chosen = kept if max_features is None else most_frequent(stage(kept, "terms"), max_features)
-    table = stage(
-        sorted_numbers(chosen, ["route"], ["term"], "idx")
+    table = numbered(chosen)
+    require_terms(table, sizes)
+    return table
+
+
+def numbered(terms: DataFrame) -> DataFrame:
+    """Staged (route, term, idx, df, cf, n_docs, idf) of (route, term, df, cf, n_docs)."""
+    return stage(
+        sorted_numbers(terms, ["route"], ["term"], "idx")
         .select("route", "term", "idx", "df", "cf", "n_docs", smooth_idf(F.col("df"), F.col("n_docs")).alias("idf")),
         "vocabulary")
+
+
+def require_terms(table: DataFrame, routes: Iterable[str]) -> None:
     found = {r["route"] for r in table.select("route").distinct().collect()}
-    for route in sizes:
+    for route in routes:
         if route not in found:
             raise ValueError(f"no terms remain for route {route!r}: lower min_df or raise max_df")
-    return table
 
 
 def most_frequent(kept: DataFrame, max_features: int) -> DataFrame:

@@ -84,29 +84,27 @@ def class_weights(counts: DataFrame) -> DataFrame:
 
 
 def nb_sums(vectors: DataFrame, vocabulary: DataFrame) -> DataFrame:
-    """Staged (route, idx, term, s0, s1): sums of the tf-idf values of every class over the whole vocabulary."""
+    """Staged (route, term, idf, s0, s1): sums of the tf-idf values of every class over the whole vocabulary."""
     entries = vectors.select("route", "label", F.explode(F.arrays_zip("indices", "values")).alias("e"))
     value = F.col("e.values")
     sums = entries.groupBy("route", F.col("e.indices").alias("idx")).agg(
         F.sum(F.when(F.col("label") == 0, value).otherwise(0.0)).alias("s0"),
         F.sum(F.when(F.col("label") == 1, value).otherwise(0.0)).alias("s1"))
     return stage(
-        vocabulary.select("route", "idx", "term").join(sums, ["route", "idx"], "left")
-        .select("route", "idx", "term", F.coalesce("s0", F.lit(0.0)).alias("s0"), F.coalesce("s1", F.lit(0.0)).alias("s1")),
+        vocabulary.select("route", "idx", "term", "idf").join(sums, ["route", "idx"], "left")
+        .select("route", "term", "idf", F.coalesce("s0", F.lit(0.0)).alias("s0"), F.coalesce("s1", F.lit(0.0)).alias("s1")),
         "nb-sums")
 
 
-def nb_weights(full: DataFrame, alpha: float = NB_ALPHA) -> DataFrame:
-    """Multinomial naive Bayes on the values of ``nb_sums``: (route, term, idx, weight), weight = ll(1) - ll(0).
+def nb_weight(full: DataFrame, alpha: float = NB_ALPHA) -> Column:
+    """Multinomial naive Bayes as a column over the values of ``nb_sums``: ll(1) - ll(0).
 
     ll(class) = ln((N_ct + alpha) / (N_c + alpha * V)) over the whole vocabulary of the route.
     """
-    totals = full.groupBy("route").agg(
-        F.sum("s0").alias("t0"), F.sum("s1").alias("t1"), F.count("*").alias("v"))
-    a = F.lit(alpha)
-    ll0 = F.log((F.col("s0") + a) / (F.col("t0") + a * F.col("v")))
-    ll1 = F.log((F.col("s1") + a) / (F.col("t1") + a * F.col("v")))
-    return full.join(totals, "route").select("route", "term", "idx", (ll1 - ll0).alias("weight"))
+    totals = full.groupBy("route").agg(F.sum("s0").alias("t0"), F.sum("s1").alias("t1"), F.count("*").alias("v")).collect()     # a row per route
+    def ll(s: str, t: str) -> Column:
+        return F.log((F.col(s) + F.lit(alpha)) / by_route({r["route"]: r[t] + alpha * r["v"] for r in totals}))
+    return ll("s1", "t1") - ll("s0", "t0")
 
 
 def nb_bias(counts: Iterable) -> dict[str, float]:

@@ -12,15 +12,16 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from credence.functions.stopwords import ENGLISH
-from credence.functions.text import cut, meta_tokens, model_input, route_for, term_counts, with_meta
+from credence.functions.text import cut, meta_tokens, model_input, route_for, with_meta
+from credence.operators.blocks import TermGroups, block_vectors, group_sums, term_blocks, term_groups
 from credence.operators.evaluate import best_model, evaluate, routing_accuracy
-from credence.operators.features import document_vectors, fit_vocabulary
+from credence.operators.features import content, most_frequent, numbered, require_terms, smooth_idf
 from credence.operators.lookup import TermLookup, lookup
-from credence.operators.models import (CredibilityModel, class_counts, known_route, lr_weights, nb_bias, nb_sums, nb_weights,
+from credence.operators.models import (CredibilityModel, by_route, class_counts, known_route, lr_weights, nb_bias, nb_sums, nb_weight,
                                        probabilities)
 from credence.operators.normalize import with_defaults
 from credence.operators.split import stratified_split
-from credence.schema import MAX_DF, NB_ALPHA, ROUTE_OF_SOURCE, SEED, TEST_SIZE
+from credence.schema import MAX_DF, MIN_DF, NB_ALPHA, ROUTE_OF_SOURCE, SEED, TEST_SIZE
 from credence.session import stage
 
 LR, NB = "logistic_regression", "naive_bayes"
@@ -54,13 +55,15 @@ def prepare_training(articles: DataFrame, route_of_source: dict[str, str] | None
 class Fitted:
     """Everything the later steps share, computed once."""
 
-    rows: DataFrame            # all rows with is_test, the route they are used under, and their counted terms
-    vocabulary: DataFrame
-    vectors: DataFrame         # training rows
+    rows: DataFrame            # all rows with is_test, the route they are used under, and their input
+    vocabulary: DataFrame      # its terms are numbered once there are vectors
+    vectors: DataFrame | None  # training rows, made when they are first needed
     counts: list               # class counts per route, fallback route first
     stop_words: tuple[str, ...] | None
     max_chars: int | None = None
     sums: DataFrame | None = None       # per term and class, from the first naive Bayes fit on
+    blocks: DataFrame | None = None     # training rows, their terms counted
+    groups: TermGroups | None = None    # of these terms, where the vocabulary has all that are frequent enough
 
 
 @dataclass
@@ -95,37 +98,59 @@ def fit_features(articles: DataFrame, route_of_source: dict[str, str] | None = N
     for r in counts:
         if not (r["n0"] and r["n1"]):
             raise ValueError(f"route {r['route']!r} has training rows of one class only")
-    # Terms are counted once per row: under the source's route to learn from, under the rule's to be tested.
+    # A row is learned from under its source's route and tested under the rule's.
     used = F.when(F.col("is_test"), known_route(F.col("route"), [r["route"] for r in counts])).otherwise(F.col("fit_route"))
-    rows = stage(
-        split.withColumn("used", used).select(
-            "id", "source", "label", "is_test", F.col("route").alias("rule_route"), F.col("used").alias("route"),
-            term_counts(input_for(F.col("used")), ENGLISH if stop is None else stop).alias("terms")),
-        "counted")
-    train = rows.where(~F.col("is_test") & F.col("route").isNotNull()).select("id", "label", "route", "terms")
-    vocabulary = fit_vocabulary(train, max_features, min_df, max_df, stop)
-    vectors = document_vectors(train, vocabulary, ["label"], stop_words=stop)
-    return Fitted(rows, vocabulary, vectors, counts, stop, max_chars)
-
-
-def fit_naive_bayes(fitted: Fitted, alpha: float = NB_ALPHA) -> tuple[DataFrame, dict[str, float]]:
-    if fitted.sums is None:
-        fitted.sums = nb_sums(fitted.vectors, fitted.vocabulary)
-    return nb_weights(fitted.sums, alpha).select("route", "idx", "weight"), nb_bias(fitted.counts)
+    rows = split.withColumn("used", used).select(
+        "id", "source", "label", "is_test", F.col("route").alias("rule_route"), F.col("used").alias("route"), input_for(F.col("used")).alias("input"))
+    train = rows.where(~F.col("is_test") & F.col("route").isNotNull()).select("id", "label", "route", "input")
+    blocks = term_blocks(train, stop_words=ENGLISH if stop is None else stop)
+    sizes = {r["route"]: r["n"] for r in counts}
+    groups = term_groups(blocks, sizes, {r: (MIN_DF if min_df is None else min_df).get(r, 1) for r in sizes}, max_df)
+    require_terms(groups.table.where(F.length("df") > 0), sizes)
+    terms = groups.terms().withColumn("n_docs", by_route(sizes).cast("bigint"))
+    if max_features is not None:
+        return Fitted(rows, numbered(most_frequent(stage(terms, "terms"), max_features)), None, counts, stop, max_chars, blocks=blocks)
+    return Fitted(rows, terms.withColumn("idf", smooth_idf(F.col("df"), F.col("n_docs"))), None, counts, stop, max_chars, blocks=blocks, groups=groups)
+
+
+def with_vectors(fitted: Fitted) -> Fitted:
+    if fitted.vectors is None:
+        fitted.vocabulary = fitted.vocabulary if "idx" in fitted.vocabulary.columns else numbered(fitted.vocabulary)
+        fitted.vectors = block_vectors(fitted.blocks, fitted.vocabulary)
+    return fitted
+
+
+def fit_naive_bayes(fitted: Fitted, alpha: float = NB_ALPHA) -> tuple[Column, dict[str, float]]:
+    if fitted.sums is None and fitted.groups:
+        fitted.sums = group_sums(fitted.groups, {r["route"]: r["n"] for r in fitted.counts})
+    elif fitted.sums is None:
+        fitted.sums = nb_sums(with_vectors(fitted).vectors, fitted.vocabulary)
+    return nb_weight(fitted.sums, alpha), nb_bias(fitted.counts)
 
 
 def fit_logistic(fitted: Fitted, **options) -> tuple[DataFrame, dict[str, float]]:
+    with_vectors(fitted)
     return lr_weights(fitted.vectors, fitted.vocabulary, fitted.counts, **options)
 
 
 def fit_models(fitted: Fitted, fits: dict, version: str) -> tuple[TermLookup, dict[str, CredibilityModel], dict[str, float]]:
-    """(one term table with a weight column per model, models, seconds to fit)."""
-    table, bias, seconds = fitted.vocabulary.select("route", "idx", "term", "idf"), {}, {}
+    """(one term table with a weight column per model, models, seconds to fit).
+
+    A fit gives its weights as (route, idx, weight) or as a column over ``fitted.sums``.
+    """
+    tables, of_sums, bias, seconds = {}, {}, {}, {}
     for name, fit in fits.items():
         start = monotonic()
         weights, bias[name] = fit(fitted)
-        table = table.join(weights.withColumnRenamed("weight", f"w_{name}"), ["route", "idx"])
+        (of_sums if isinstance(weights, Column) else tables)[name] = weights
         seconds[name] = round(monotonic() - start, 2)
+    table = fitted.sums if of_sums else fitted.vocabulary
+    table = table.select("route", "term", "idf", *[w.alias(f"w_{name}") for name, w in of_sums.items()])
+    if tables:
+        weights = fitted.vocabulary.select("route", "idx", "term")
+        for name, w in tables.items():
+            weights = weights.join(w.withColumnRenamed("weight", f"w_{name}"), ["route", "idx"])
+        table = table.join(weights.drop("idx"), ["route", "term"])
     table = stage(table, "term-table")
     found = lookup(table)
     def columns(name: str) -> list[Column | str]:
@@ -140,7 +165,7 @@ def fit_models(fitted: Fitted, fits: dict, version: str) -> tuple[TermLookup, di
 
 def predict_test(fitted: Fitted, table: TermLookup, models: dict[str, CredibilityModel]) -> DataFrame:
     """Test rows scored as production would: routed by the rule, not by their source."""
-    docs = fitted.rows.where("is_test").select("id", "source", "label", "rule_route", "route", "terms")
+    docs = fitted.rows.where("is_test").select("id", "source", "label", "rule_route", "route", content(fitted.rows))
     return stage(
         probabilities(docs, table, {n: m.bias for n, m in models.items()}, ["source", "label", "rule_route"],
                       stop_words=fitted.stop_words),
