@@ -8,9 +8,12 @@ the ids of recent ones.
 
 from __future__ import annotations
 
+import json
 import os
 import re
 import string
+from itertools import chain
+from typing import Any
 
 import numpy as np
 
@@ -25,6 +28,7 @@ SEGMENT = 1_000_000         # longer texts are encoded in segments of about so m
 _BESIDE = ("  ", " \n", "\n ", "\n\n", "\0")
 _OTHER_SPACE = ["\t", "\x0b", "\x0c", "\r", *map(chr, range(0x1C, 0x20)), "\x85", "\xa0", "\u1680", *map(chr, range(0x2000, 0x200B)), "\u2028", "\u2029", "\u202f", "\u205f", "\u3000"]
 _boundary = re.compile(r"(?<=\S)(?=[ \n]\S)")
+_word = re.compile("[ ][A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]+").fullmatch     # letters in every version of Unicode: one word to the pre-tokenizer
 
 
 def tokenizer_path(name: str = TOKENIZER) -> str:
@@ -48,6 +52,13 @@ def segments(text: str, limit: int) -> list[str]:
     return [*out, text[start:]]
 
 
+def _runs(parts: list[str]) -> list[list[str]]:
+    """In order, cut after each ``JOIN_CHARS`` characters."""
+    ends = np.cumsum([0, *map(len, parts)]) // JOIN_CHARS
+    cuts = [*(np.flatnonzero(ends[1:] > ends[:-1]) + 1).tolist(), len(parts)]
+    return [run for a, b in zip([0, *cuts], cuts) if (run := parts[a:b])]
+
+
 class PieceEncoder:
     """Ids of each text as little-endian unsigned 32-bit numbers, as the library gives them for the whole text."""
 
@@ -65,6 +76,25 @@ class PieceEncoder:
         special = "".join(t.content for t in self.tokenizer.get_added_tokens_decoder().values())
         self.loose = "".join(c for c in string.punctuation if c not in special)     # punctuation that is in no special string
         self.memo, self.young, self.old = memo, {}, {}
+        self.words = self._of_words(path)
+
+    def _of_words(self, path: str) -> Any:
+        """The same model for texts of words that are already cut, in the byte alphabet; None if the tokenizer does more than byte-level pre-tokenizing."""
+        from tokenizers import Tokenizer, pre_tokenizers
+
+        made = json.loads(self.tokenizer.to_str())
+        before = made["pre_tokenizer"] or {}
+        if made["normalizer"] or made["model"]["type"] != "BPE" or before.get("type") != "ByteLevel" or not before.get("use_regex", True) or before["add_prefix_space"]:
+            return None
+        # The alphabet: printable bytes are themselves, the others follow 255.
+        shown = {*range(33, 127), *range(161, 173), *range(174, 256)}
+        others = [b for b in range(256) if b not in shown]
+        self.alphabet = {**{b: chr(256 + i) for i, b in enumerate(others)}, 32: " Ġ"}
+        words = Tokenizer.from_file(path)
+        words.no_truncation()
+        words.no_padding()
+        words.pre_tokenizer = pre_tokenizers.CharDelimiterSplit(" ")
+        return words
 
     def _alone(self, parts: list[str], into: dict[str, bytes]) -> None:
         for part, e in zip(parts, self.tokenizer.encode_batch_fast(parts, add_special_tokens=False)):
@@ -78,37 +108,38 @@ class PieceEncoder:
         texts = ["".join(r) for r in runs]
         single = [t.count(" ") + t.count("\n") == len(r) for t, r in zip(texts, runs)]
         rest = [p for r, ok in zip(runs, single) if not ok for p in r]
-        runs = [r for r, ok in zip(runs, single) if ok]
+        return rest + self._cut(self.tokenizer, [r for r, ok in zip(runs, single) if ok], [t for t, ok in zip(texts, single) if ok], into)
+
+    def _cut(self, tokenizer: Any, runs: list[list[str]], texts: list[str], into: dict[str, bytes]) -> list[str]:
         if not runs:
-            return rest
-        found = [e.ids for e in self.tokenizer.encode_batch_fast([t for t, ok in zip(texts, single) if ok], add_special_tokens=False)]
-        ids = np.array([i for x in found for i in x], dtype="<u4")
+            return []
+        found = [e.ids for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        ids = np.fromiter(chain.from_iterable(found), "<u4", sum(map(len, found)))
         opens = self.opens[ids]
         first = np.cumsum([0, *map(len, found)])[:-1]
         agree = (np.add.reduceat(opens, first, dtype=np.int64) == [len(r) for r in runs]) & opens[first]
         if not agree.all():
-            rest += [p for r, ok in zip(runs, agree) if not ok for p in r]
-            return rest + self._joined([r for r, ok in zip(runs, agree) if ok], into)
+            return [p for r, ok in zip(runs, agree) if not ok for p in r] + self._cut(
+                tokenizer, [r for r, ok in zip(runs, agree) if ok], [t for t, ok in zip(texts, agree) if ok], into)
         raw = ids.tobytes()
         cuts = [*(np.flatnonzero(opens) * 4).tolist(), len(raw)]
-        into.update(zip((p for r in runs for p in r), (raw[a:b] for a, b in zip(cuts, cuts[1:]))))
-        return rest
+        into.update(zip(chain.from_iterable(runs), (raw[a:b] for a, b in zip(cuts, cuts[1:]))))
+        return []
 
     def _learn(self, unknown: list[str], into: dict[str, bytes]) -> None:
-        alone, runs, run, size = [], [], [], 0
+        alone, words, joined = [], [], []
         for part in unknown:
-            n = len(part)
-            if n < 2 or n > LONG_PIECE or part[0] not in " \n":
+            if len(part) > LONG_PIECE:
                 alone.append(part)
-                continue
-            run.append(part)
-            size += n
-            if size >= JOIN_CHARS:
-                runs.append(run)
-                run, size = [], 0
-        if run:
-            runs.append(run)
-        alone += self._joined(runs, into)
+            elif self.words and _word(part):
+                words.append(part)
+            elif len(part) > 1 and part[0] in " \n":
+                joined.append(part)
+            else:
+                alone.append(part)
+        runs = _runs(words)
+        alone += self._cut(self.words, runs, ["".join(r).encode().decode("latin-1").translate(self.alphabet) for r in runs], into)
+        alone += self._joined(_runs(joined), into)
         if alone:
             self._alone(alone, into)
 
@@ -161,7 +192,9 @@ class PieceEncoder:
             found[p] = (found.get(stem) or young[stem]) + (found.get(end) or young[end])
         for i in places:
             ids[i] = found[parts[i]]
-        young.update((p, x) for p, x in found.items() if len(p) <= LONG_PIECE)
+        for p in [p for p in found if len(p) > LONG_PIECE]:
+            del found[p]
+        young.update(found)
 
 
 def encoder(path: str, memo: int = MEMO_PIECES) -> PieceEncoder:

@@ -147,3 +147,15 @@ def test_digests(spark, library):
     assert all(r["positions_ok"] and r["n_tokens"] == r["cu_seqlens"][-1] <= 2048 for r in out)
     assert sum(r["n_tokens"] for r in out) == sum(len(ids_of(library, r[1])) + 1 for r in awkward())
     assert binary_output.digests(empty(spark)).count() == 0
+
+
+def test_unknown_words_are_not_cut_again():
+    """Words of letters go to the model without the pre-tokenizer; their ids are those of the library."""
+    encoder, library = encoding.PieceEncoder(encoding.tokenizer_path()), Tokenizer.from_file(encoding.tokenizer_path())
+    words = [" zqxvan", " Straßenbähnle", " čřžýá", " ÀÖØöøɏ", " a", " Ġab", " ×x", " naïve", " éé", " word9", "\nnew", " it's"]
+    seen = []
+    encoder.tokenizer = type("Seen", (), {"encode_batch_fast": lambda _, texts, **o: seen.extend(texts) or library.encode_batch_fast(texts, **o)})()
+    found = {}
+    encoder._learn(words, found)
+    assert found == {w: np.array(library.encode(w, add_special_tokens=False).ids, "<u4").tobytes() for w in words}
+    assert "zqxvan" not in "".join(seen) and "čřžýá" not in "".join(seen)
