@@ -1,4 +1,4 @@
-"""L2 logistic regression whose coefficients and gradients stay tables, for vocabularies of any size.
+"""L2 logistic regression whose coefficients and gradients stay distributed, for vocabularies of any size.
 
 The rows X of a route are cut into blocks, each a sparse matrix over the columns that it has. Started at zero,
 every iterate and gradient of the optimiser is a combination of rows, X'a. Such a vector p is kept as the pair (a, Xp)
@@ -13,34 +13,43 @@ place: a task holds a range of coefficients at a time. What a block sends to a r
 for each of its columns that another block has too, in an order that both sides know; a column of a single block stays there.
 So an iteration moves no more than the entries of X, however many columns there are. At the end X'a is written once as a table.
 
+Blocks, their state and the lists of shared columns are kept as serialized Python objects, one per batch, and meet by position:
+a block's state never leaves its partition, and tasks get arrays as they are, without rows, sorting or Arrow between. The state is written
+to the checkpoint folder every ``CHECKPOINT`` iterations, so that a lost executor costs no more than those.
+
 The intercept is a column of ones and is penalised like any other coefficient. Classes weigh n / (2 n_class).
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+import pickle
+from collections.abc import Callable, Iterable, Iterator
+from functools import reduce
+from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark import RDD, TaskContext
+from pyspark.serializers import BatchedSerializer, CPickleSerializer
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.storagelevel import StorageLevel
 
-from credence.session import stage
+from credence.session import stage, staging_root
 
 ROWS = 16_384              # of a block at most
 ENTRIES = 1 << 20          # of a block, after which it is closed
 COLUMNS = 1 << 15          # of a range at least
 RANGES = 64                # of a route, wider ones where it has more columns
 CELLS_TOGETHER = 64        # row blocks per range, beyond which there are more ranges
+TASKS = 12                 # that add up column ranges at least, where there are as many partitions of rows
 HISTORY = 16               # pairs of differences that are kept
+CHECKPOINT = 10            # iterations after which the state is written
 STEPS = 2.0 ** (np.arange(-72, 25) / 3)     # step lengths at which the slope is taken, 2**-24 to 2**8
 
-BLOCK = "route string, rows long, n int, y binary, s binary, r binary, c binary, v binary, u binary"
-LIST = "route string, columns int, rows long, u binary"
-PART = "route string, columns int, rows long, x binary"
-STATE = "route string, rows long, n int, k int, y binary, s binary, w binary, g binary, past binary, dots array<double>"
+KEPT = StorageLevel.MEMORY_AND_DISK_DESER       # the arrays' bytes as they are, which needs no reading
+
+RANGE = "route string, columns int, x binary"
 FLAT = "route string, idx int, weight double"
 
 
@@ -48,27 +57,9 @@ def _floats(x: pa.Scalar) -> np.ndarray:
     return np.frombuffer(x.as_buffer(), np.float64)
 
 
-def _ints(x: pa.Scalar) -> np.ndarray:
-    return np.frombuffer(x.as_buffer(), np.int32)
-
-
-def _table(schema: pa.Schema, rows: list[tuple]) -> pa.Table:
-    return pa.table([pa.array([r[i] for r in rows], f.type) for i, f in enumerate(schema)], schema=schema)
-
-
-def _batch(schema: pa.Schema, **columns: list) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(columns[f.name], f.type) for f in schema], schema=schema)
-
-
-_BLOCK = pa.schema([("route", pa.string()), ("rows", pa.int64()), ("n", pa.int32()), ("y", pa.binary()), ("s", pa.binary()),
-                    ("r", pa.binary()), ("c", pa.binary()), ("v", pa.binary()), ("u", pa.binary())])
-_LIST = pa.schema([("route", pa.string()), ("columns", pa.int32()), ("rows", pa.int64()), ("u", pa.binary())])
-_SHARED = pa.schema([*_LIST, ("shared", pa.binary())])
-_PART = pa.schema([("route", pa.string()), ("columns", pa.int32()), ("rows", pa.int64()), ("x", pa.binary())])
-_SUM = pa.schema([*_LIST, ("x", pa.binary())])
-_RANGE = pa.schema([("route", pa.string()), ("columns", pa.int32()), ("x", pa.binary())])
-_STATE = pa.schema([("route", pa.string()), ("rows", pa.int64()), ("n", pa.int32()), ("k", pa.int32()), ("y", pa.binary()), ("s", pa.binary()),
-                    ("w", pa.binary()), ("g", pa.binary()), ("past", pa.binary()), ("dots", pa.list_(pa.float64()))])
+def _single(rdd: RDD) -> RDD:
+    """One element per batch: such ones meet by position, and a task holds one block at a time."""
+    return rdd._reserialize(BatchedSerializer(CPickleSerializer(), 1))
 
 
 # ----------------------------------------------------------------------------- blocks
@@ -84,20 +75,52 @@ def widths(vectors: DataFrame, sizes: dict[str, int]) -> dict[str, int]:
     return out
 
 
-def blocks(vectors: DataFrame, sizes: dict[str, int], weights: dict[str, tuple[float, float]]) -> DataFrame:
-    """Kept row blocks of (route, label, indices, values), partitioned by block: labels ``y`` (as -1 and 1), weights ``s``, the columns ``u`` that occur,
-    ascending, and entries: row, place in ``u``, value. ``sizes``: columns per route, the intercept follows them; ``weights``: per route and class."""
+class _Block:
+    """Rows of a route. ``rows``: its number, the partition in the upper bits; ``y``, ``s``: labels (as -1 and 1) and weights; ``u``: the columns that
+    occur, ascending, with the intercept at their end; entries by row: ``lengths`` of the rows, places ``c`` in ``u``, values ``v``; the intercept has no entries.
+
+    In ``_Matrix.by_rows`` also ``at``: places of the columns that other blocks have too, ``ends``: where a column range ends among them."""
+
+    def __init__(self, route: str, rows: int, y: np.ndarray, s: np.ndarray, lengths: np.ndarray, c: np.ndarray, v: np.ndarray, u: np.ndarray) -> None:
+        self.route, self.rows, self.y, self.s, self.lengths, self.c, self.v, self.u = route, rows, y, s, lengths, c, v, u
+
+    def ranges(self, width: int) -> tuple[np.ndarray, np.ndarray]:
+        """Column ranges, ascending, and where each starts in ``u``."""
+        return np.unique(self.u // width, return_index=True)
+
+    def share(self, masks: dict[int, bytes], width: int) -> _Block:
+        self.columns, starts = self.ranges(width)
+        sizes = np.diff(np.append(starts, len(self.u)))
+        self.at = np.flatnonzero(np.concatenate([np.unpackbits(np.frombuffer(masks[k], np.uint8), count=n) for k, n in zip(self.columns.tolist(), sizes)])).astype(np.int32)
+        self.ends = np.searchsorted(self.at, np.append(starts[1:], len(self.u)))
+        self.y = self.s = None          # the state has them
+        return self
+
+    def down(self, a: np.ndarray) -> np.ndarray:
+        x = np.bincount(self.c, self.v * np.repeat(a, self.lengths), len(self.u)).astype(np.float64, copy=False)     # of no entries it is whole numbers
+        x[-1] = a.sum()
+        return x
+
+    def up(self, p: np.ndarray) -> np.ndarray:
+        out, full = np.zeros(len(self.lengths)), self.lengths > 0
+        if full.any():
+            out[full] = np.add.reduceat(self.v * p[self.c], (np.cumsum(self.lengths, dtype=np.int64) - self.lengths)[full])
+        return out + p[-1]
+
+
+def blocks(vectors: DataFrame, sizes: dict[str, int], weights: dict[str, tuple[float, float]]) -> RDD:
+    """Kept row blocks of (route, label, indices, values). ``sizes``: columns per route, the intercept follows them; ``weights``: per route and class.
+
+    They stay in the partitions in which the vectors are read, unless there are fewer of these than cores."""
     most, entries = ROWS, ENTRIES
 
     def cut(route: str, number: int, labels: list[int], indices: list[np.ndarray], values: list[np.ndarray]) -> pa.RecordBatch:
-        n = len(labels)
         y = np.where(np.array(labels) == 1, 1.0, -1.0)
         s = np.where(y > 0, weights[route][1], weights[route][0])
-        row = np.concatenate([np.repeat(np.arange(n), [len(i) for i in indices]), np.arange(n)])
-        val = np.concatenate([*values, np.ones(n)])
-        u, place = np.unique(np.concatenate([*indices, np.full(n, sizes[route])]).astype(np.int32), return_inverse=True)
-        return _batch(_BLOCK, route=[route], rows=[number], n=[n], y=[y.tobytes()], s=[s.tobytes()], r=[row.astype(np.int32).tobytes()],
-                      c=[place.astype(np.int32).tobytes()], v=[val.tobytes()], u=[u.tobytes()])
+        u, place = np.unique(np.concatenate(indices).astype(np.int32), return_inverse=True)
+        block = _Block(route, number, y, s, np.array([len(i) for i in indices], np.int32), place.astype(np.int32), np.concatenate(values),
+                       np.append(u, np.int32(sizes[route])))
+        return pa.RecordBatch.from_pydict({"block": pa.array([pickle.dumps(block, 5)], pa.binary())})
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number = TaskContext.get().partitionId() << 32
@@ -117,118 +140,142 @@ def blocks(vectors: DataFrame, sizes: dict[str, int], weights: dict[str, tuple[f
         for route, block in open_blocks.items():
             yield cut(route, number, *block)
             number += 1
+
+    def renumbered(part: int, found: Iterator[_Block]) -> Iterator[_Block]:
+        for i, block in enumerate(sorted(found, key=lambda b: b.rows)):
+            block.rows = part << 32 | i
+            yield block
+
+    spark = vectors.sparkSession
     chosen = vectors.where(F.col("route").isin(list(sizes))).select(
         "route", "label", "indices", F.col("values").cast("array<double>").alias("values"))
-    parts = int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return chosen.mapInArrow(run, BLOCK).repartition(parts, "route", "rows").persist(StorageLevel.MEMORY_AND_DISK)
+    found = chosen.mapInArrow(run, "block binary").rdd.map(lambda r: pickle.loads(r["block"]))
+    if found.getNumPartitions() < spark.sparkContext.defaultParallelism:
+        parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+        found = found.keyBy(lambda b: (b.rows >> 32) + (b.rows & 0xFFFFFFFF)).partitionBy(parts, lambda k: k).values().mapPartitionsWithIndex(renumbered)
+    return _single(found).persist(KEPT)
 
 
 # ----------------------------------------------------------------------------- products
 
-class _Block:
-    """A row of ``_Matrix.by_rows``; ``at``: places of the columns that other blocks have too, ``ends``: where a column range ends among them."""
-
-    def __init__(self, rows: pa.Table, widths: dict[str, int]) -> None:
-        self.route, self.rows, self.n = (rows.column(f)[0].as_py() for f in ("route", "rows", "n"))
-        self.r, self.c, self.u = (_ints(rows.column(f)[0]) for f in "rcu")
-        self.v = _floats(rows.column("v")[0])
-        self.columns, self.starts = np.unique(self.u // widths[self.route], return_index=True)
-        sizes = np.diff(np.append(self.starts, len(self.u)))
-        bits = [np.unpackbits(np.frombuffer(m["shared"], np.uint8), count=k) for m, k in zip(rows.column("masks")[0].as_py(), sizes)]
-        self.at = np.flatnonzero(np.concatenate(bits))
-        self.ends = np.searchsorted(self.at, np.append(self.starts[1:], len(self.u)))
+def _partition(rows: int) -> int:
+    return rows >> 32
 
-    def down(self, a: np.ndarray) -> np.ndarray:
-        return np.bincount(self.c, self.v * a[self.r], len(self.u))
 
-    def up(self, p: np.ndarray) -> np.ndarray:
-        return np.bincount(self.r, self.v * p[self.c], self.n)
+def _common(rows: Iterable[tuple], widths: dict[str, int]) -> dict[tuple[str, int], list[tuple[int, np.ndarray, bytes]]]:
+    """Per column range and block of ((route, columns), (rows, u)): the columns that another block has too, and which of its own they are, as bits."""
+    lists: dict[tuple[str, int], list] = {}
+    for key, found in rows:
+        lists.setdefault(key, []).append(found)
+    out = {}
+    for key, parts in lists.items():
+        times = np.zeros(widths[key[0]], np.int32)
+        for _, u in parts:
+            times[u] += 1
+        out[key] = [(number, u[times[u] > 1], np.packbits(times[u] > 1).tobytes()) for number, u in parts]
+    return out
 
 
-def _split(batches: Iterable[pa.RecordBatch], widths: dict[str, int]) -> Iterator[pa.RecordBatch]:
-    """The columns of blocks by range, counted from its first one."""
-    for b in batches:
-        for i in range(b.num_rows):
-            route, rows, u = b.column("route")[i].as_py(), b.column("rows")[i].as_py(), _ints(b.column("u")[i])
-            columns, starts = np.unique(u // widths[route], return_index=True)
-            for k, part in zip(columns, np.split(u, starts[1:])):
-                yield _batch(_LIST, route=[route], columns=[int(k)], rows=[rows], u=[(part - k * widths[route]).astype(np.int32).tobytes()])
+def _gathered(found: Iterator[tuple[int, tuple[int, bytes]]]) -> Iterator[tuple[int, dict[int, bytes]]]:
+    """One element per block, in the order of the blocks."""
+    out: dict[int, dict[int, bytes]] = {}
+    for rows, (k, x) in found:
+        out.setdefault(rows, {})[k] = x
+    return iter(sorted(out.items(), key=lambda kv: kv[0]))
 
 
-def _common(rows: pa.Table, widths: dict[str, int]) -> pa.Table:
-    """Of a column range: which columns of every block are in another one too, as bits, and those columns alone."""
-    lists = [_ints(x) for x in rows.column("u")]
-    found = np.zeros(widths[rows.column("route")[0].as_py()], np.int32)
-    for u in lists:
-        found[u] += 1
-    shared = [found[u] > 1 for u in lists]
-    out = [(*key, u[m].tobytes(), np.packbits(m).tobytes()) for key, u, m in
-           zip(zip(*(rows.column(f).to_pylist() for f in ("route", "columns", "rows"))), lists, shared)]
-    return _table(_SHARED, out)
+class _Matrix:
+    """X of some routes: blocks of rows, and per column range the columns that blocks share.
 
+    Every block has the intercept's range, so that something is sent and comes back for each, be it empty."""
 
-class _Matrix:
-    """X of some routes: blocks of rows, partitioned by block, and the columns that blocks share, partitioned by range."""
-
-    def __init__(self, blocks: DataFrame, widths: dict[str, int]) -> None:
-        self.widths = widths
-        parts = int(blocks.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-        lists = blocks.select("route", "rows", "u").mapInArrow(lambda batches: _split(batches, widths), LIST)
-        shared = stage(lists.groupBy("route", "columns").applyInArrow(lambda rows: _common(rows, widths), f"{LIST}, shared binary"), "shared-columns")
-        masks = shared.groupBy("route", "rows").agg(F.sort_array(F.collect_list(F.struct("columns", "shared"))).alias("masks"))   # one per range
-        self.by_rows = blocks.drop("y", "s").join(masks.hint("shuffle_hash"), ["route", "rows"]).persist(StorageLevel.MEMORY_AND_DISK)
+    def __init__(self, blocks: RDD, widths: dict[str, int]) -> None:
+        self.widths, self.parts = widths, blocks.getNumPartitions()
+        self.ranges = max(min(self.parts, TASKS), self.parts // 3)         # partitions of column ranges, of which each has some
+
+        def split(block: _Block) -> Iterator[tuple]:
+            columns, starts = block.ranges(widths[block.route])
+            for k, u in zip(columns.tolist(), np.split(block.u, starts[1:])):
+                yield (block.route, k), (block.rows, u - np.int32(k * widths[block.route]))
+
+        def marked(pair: tuple) -> _Block:
+            block, (rows, masks) = pair
+            assert rows == block.rows
+            return block.share(masks, widths[block.route])
+
+        self.by_columns = _single(self._by_range(blocks.flatMap(split)).mapPartitions(lambda rows: [_common(rows, widths)])).persist(KEPT)
+        masks = self.by_columns.flatMap(lambda found: [(rows, (k, mask)) for (_, k), lists in found.items() for rows, _, mask in lists])
+        self.by_rows = _single(blocks.zip(self._by_block(masks)).map(marked)).persist(KEPT)
         self.by_rows.count()            # ``blocks`` are needed no longer
-        self.by_columns = (shared.drop("shared").where(F.octet_length("u") > 0).repartition(parts, "route", "columns")
-                           .persist(StorageLevel.MEMORY_AND_DISK))
 
-    def sent(self, a: DataFrame) -> DataFrame:
-        """Parts of X'a on shared columns: (route, columns, rows, x) of (route, rows, x)."""
-        widths = self.widths
+    def _by_range(self, keyed: RDD) -> RDD:
+        ranges = self.ranges
+        return keyed.partitionBy(ranges, lambda key: (crc32(key[0].encode()) + key[1]) % ranges)
 
-        def run(rows: pa.Table, known: pa.Table) -> pa.Table:
-            if not (rows.num_rows and known.num_rows):
-                return _PART.empty_table()
-            block = _Block(rows, widths)
-            x = np.split(block.down(_floats(known.column("x")[0]))[block.at], block.ends[:-1])
-            return _table(_PART, [(block.route, int(k), block.rows, part.tobytes()) for k, part in zip(block.columns, x) if len(part)])
-        return self.by_rows.groupBy("route", "rows").cogroup(a.groupBy("route", "rows")).applyInArrow(run, PART)
+    def _by_block(self, keyed: RDD) -> RDD:
+        return _single(keyed.partitionBy(self.parts, _partition).mapPartitions(_gathered))
 
-    def added(self, parts: DataFrame) -> DataFrame:
+    def sent(self, a: _Vector) -> RDD:
+        """Parts of X'a on shared columns: (route, columns, rows, x)."""
+        def run(pair: tuple) -> Iterator[dict]:
+            block, held = pair
+            x = np.split(block.down(a.of(held, block))[block.at], block.ends[:-1])
+            for k, part in zip(block.columns.tolist(), x):
+                if len(part) or k == block.columns[-1]:
+                    yield {"route": block.route, "columns": k, "rows": block.rows, "x": part.tobytes()}
+        return self.by_rows.zip(a.state).flatMap(run)
+
+    def added(self, parts: RDD) -> RDD:
         """X'a where blocks share columns: to every block, in the order of its own, (route, columns, rows, x) of the same."""
         widths = self.widths
 
-        def run(lists: pa.Table, parts: pa.Table) -> pa.Table:
-            if not (lists.num_rows and parts.num_rows):
-                return _PART.empty_table()
-            route, columns = parts.column("route")[0].as_py(), parts.column("columns")[0].as_py()
-            places = dict(zip(lists.column("rows").to_pylist(), (_ints(u) for u in lists.column("u"))))
-            found = dict(zip(parts.column("rows").to_pylist(), (_floats(x) for x in parts.column("x"))))
-            total = np.zeros(widths[route])
-            for rows in sorted(found):
-                total[places[rows]] += found[rows]
-            return _table(_PART, [(route, columns, rows, total[places[rows]].tobytes()) for rows in found])
-        return self.by_columns.groupBy("route", "columns").cogroup(parts.groupBy("route", "columns")).applyInArrow(run, PART)
-
-    def columns_of(self, a: DataFrame) -> DataFrame:
-        """X'a on all columns: (route, columns, x) of (route, rows, x)."""
+        def run(pair: tuple) -> Iterator[dict]:
+            known, parts = pair
+            found: dict[tuple[str, int], dict[int, np.ndarray]] = {}
+            for key, (rows, x) in parts:
+                found.setdefault(key, {})[rows] = np.frombuffer(x)
+            for key, by_rows in found.items():
+                places = {rows: u for rows, u, _ in known[key]}
+                total = np.zeros(widths[key[0]])
+                for rows in sorted(by_rows):
+                    total[places[rows]] += by_rows[rows]
+                for rows in by_rows:
+                    yield {"route": key[0], "columns": key[1], "rows": rows, "x": total[places[rows]].tobytes()}
+        keyed = self._by_range(parts.map(lambda r: ((r["route"], r["columns"]), (r["rows"], r["x"]))))
+        return self.by_columns.zip(_single(keyed.glom())).flatMap(run)
+
+    def received(self, a: _Vector) -> RDD:
+        """Per block what X'a is on the columns that it shares: (rows, x per column range)."""
+        return self._by_block(self.added(self.sent(a)).map(lambda r: (r["rows"], (r["columns"], r["x"]))))
+
+    def columns_of(self, a: _Vector) -> RDD:
+        """X'a on all columns: (route, columns, x); ranges without rows are left out."""
         widths = self.widths
 
-        def whole(rows: pa.Table, known: pa.Table) -> pa.Table:
-            if not (rows.num_rows and known.num_rows):
-                return _SUM.empty_table()
-            block = _Block(rows, widths)
-            x, width = block.down(_floats(known.column("x")[0])), widths[block.route]
-            return _table(_SUM, [(block.route, int(k), block.rows, (u - k * width).astype(np.int32).tobytes(), part.tobytes()) for k, u, part in
-                                 zip(block.columns, np.split(block.u, block.starts[1:]), np.split(x, block.starts[1:]))])
-
-        def add(rows: pa.Table) -> pa.Table:
-            route, columns = rows.column("route")[0].as_py(), rows.column("columns")[0].as_py()
-            total = np.zeros(widths[route])
-            for i in np.argsort(rows.column("rows").to_numpy()).tolist():
-                total[_ints(rows.column("u")[i])] += _floats(rows.column("x")[i])
-            return _table(_RANGE, [(route, columns, total.tobytes())])
-        parts = self.by_rows.groupBy("route", "rows").cogroup(a.groupBy("route", "rows")).applyInArrow(whole, f"{LIST}, x binary")
-        return parts.groupBy("route", "columns").applyInArrow(add, "route string, columns int, x binary")
+        def whole(pair: tuple) -> Iterator[tuple]:
+            block, held = pair
+            x, width = block.down(a.of(held, block)), widths[block.route]
+            columns, starts = block.ranges(width)
+            for k, u, part in zip(columns.tolist(), np.split(block.u, starts[1:]), np.split(x, starts[1:])):
+                yield (block.route, k), (block.rows, u - np.int32(k * width), part)
+
+        def add(found: Iterator[tuple]) -> Iterator[dict]:
+            lists: dict[tuple[str, int], list] = {}
+            for key, part in found:
+                lists.setdefault(key, []).append(part)
+            for (route, k), parts in lists.items():
+                total = np.zeros(widths[route])
+                for _, u, x in sorted(parts, key=lambda p: p[0]):
+                    total[u] += x
+                yield {"route": route, "columns": k, "x": total.tobytes()}
+        return self._by_range(self.by_rows.zip(a.state).flatMap(whole)).mapPartitions(add)
+
+    def only(self, routes: list[str]) -> _Matrix:
+        """The same for fewer routes; this one is still to be released."""
+        out = object.__new__(_Matrix)
+        out.widths, out.parts, out.ranges, out.by_columns = self.widths, self.parts, self.ranges, self.by_columns
+        out.by_rows = _single(self.by_rows.filter(lambda b: b.route in routes))
+        return out
 
     def release(self) -> None:
         self.by_rows.unpersist()
@@ -238,22 +285,11 @@ class _Matrix:
 # ----------------------------------------------------------------------------- state of the rows
 
 class _Rows:
-    """One row block: labels, weights, and pairs (a, Xp) of the iterate, the gradient and the past differences."""
+    """One row block: labels, weights, and pairs (a, Xp) of the iterate, the gradient and the past differences; ``dots``: loss and inner products."""
 
-    def __init__(self, route: str, rows: int, y: np.ndarray, s: np.ndarray, w: np.ndarray, g: np.ndarray, past: np.ndarray) -> None:
-        self.route, self.rows, self.y, self.s, self.w, self.g, self.past = route, rows, y, s, w, g, past
-
-    @classmethod
-    def read(cls, b: pa.RecordBatch | pa.Table, i: int) -> _Rows:
-        n, k = b.column("n")[i].as_py(), b.column("k")[i].as_py()
-        pair = {f: _floats(b.column(f)[i]).reshape(2, n) for f in "wg"}
-        return cls(b.column("route")[i].as_py(), b.column("rows")[i].as_py(), _floats(b.column("y")[i]), _floats(b.column("s")[i]),
-                   pair["w"], pair["g"], _floats(b.column("past")[i]).reshape(2 * k, 2, n))
-
-    def write(self, dots: np.ndarray) -> pa.RecordBatch:
-        return _batch(_STATE, route=[self.route], rows=[self.rows], n=[len(self.y)], k=[len(self.past) // 2], y=[self.y.tobytes()], s=[self.s.tobytes()],
-                      w=[np.ascontiguousarray(self.w).tobytes()], g=[np.ascontiguousarray(self.g).tobytes()],
-                      past=[np.ascontiguousarray(self.past).tobytes()], dots=[dots])
+    def __init__(self, route: str, rows: int, y: np.ndarray, s: np.ndarray) -> None:
+        self.route, self.rows, self.y, self.s, self.dots = route, rows, y, s, np.zeros(0)
+        self.w, self.g, self.past = np.zeros((2, len(y))), np.zeros((2, len(y))), np.zeros((0, 2, len(y)))
 
     def direction(self, parts: np.ndarray) -> np.ndarray:
         return np.tensordot(parts, np.concatenate([self.past, self.g[None]]), 1)
@@ -266,17 +302,17 @@ class _Rows:
         with np.errstate(over="ignore"):
             return self.w[0] - self.s * self.y / (1 + np.exp(self.y * self.w[1]))
 
-    def received(self, a: np.ndarray, product: np.ndarray, first: bool, history: int) -> np.ndarray:
-        """The new gradient's pair; returns loss and inner products of the newest vectors."""
+    def received(self, a: np.ndarray, product: np.ndarray, first: bool, history: int) -> None:
+        """Takes the new gradient's pair, and makes loss and inner products of the newest vectors."""
         g = np.stack([a, product])
         if not first:
             self.past = np.concatenate([self.past, self.d[None], (g - self.g)[None]])[-2 * history:]
-        self.g = g
+        self.g, self.d = g, None
         base = np.concatenate([self.past, self.g[None], self.w[None]])
         new = base[-4:] if not first else base[-2:]
         products = new[:, 0] @ base[:, 1].T         # p.q = a_p . Xq
         loss = float((self.s * np.logaddexp(0, -self.y * self.w[1])).sum())
-        return np.concatenate([[loss], products.ravel()])
+        self.dots = np.concatenate([[loss], products.ravel()])
 
     def slopes(self, parts: np.ndarray) -> np.ndarray:
         """Derivative of the loss along the direction at all step lengths."""
@@ -291,64 +327,61 @@ class _Rows:
 Plan = dict[str, tuple[np.ndarray | None, float]]       # per route: parts of the direction, step
 
 
-def _start(blocks: DataFrame) -> DataFrame:
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for i in range(b.num_rows):
-                y, s = _floats(b.column("y")[i]), _floats(b.column("s")[i])
-                none = np.zeros((2, len(y)))
-                yield _Rows(b.column("route")[i].as_py(), b.column("rows")[i].as_py(), y, s, none, none, np.zeros((0, 2, len(y)))).write(np.zeros(0))
-    return stage(blocks.select("route", "rows", "y", "s").mapInArrow(run, STATE), "rows-0")
+def _start(blocks: RDD) -> RDD:
+    return _single(blocks.map(lambda b: _Rows(b.route, b.rows, b.y, b.s))).persist(KEPT)
 
 
-def _gradients(state: DataFrame, plan: Plan) -> DataFrame:
-    """(route, rows, x): ``a`` of the gradient after the step."""
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for i in range(b.num_rows):
-                block = _Rows.read(b, i)
-                a = block.stepped(*plan[block.route])
-                yield pa.RecordBatch.from_pydict({"route": [block.route], "rows": pa.array([block.rows], pa.int64()), "x": [a.tobytes()]})
-    return state.drop("dots").mapInArrow(run, "route string, rows long, x binary")
+class _Vector:
+    """One number per row, taken from the state of a block where it is needed."""
+
+    def __init__(self, state: RDD, number: Callable[[_Rows], np.ndarray]) -> None:
+        self.state, self.number = state, number
+
+    def __getstate__(self) -> dict:
+        return {"number": self.number}          # what tasks need
+
+    def of(self, held: _Rows, block: _Block) -> np.ndarray:
+        assert held.rows == block.rows
+        return self.number(held)
 
 
-def _advance(state: DataFrame, matrix: _Matrix, plan: Plan, name: str) -> DataFrame:
+def _gradients(state: RDD, plan: Plan) -> _Vector:
+    """``a`` of the gradient after the step."""
+    return _Vector(state, lambda held: held.stepped(*plan[held.route]))
+
+
+def _advance(state: RDD, matrix: _Matrix, plan: Plan) -> RDD:
     """The state after the step, with the new gradient and its inner products."""
-    history, widths = HISTORY, matrix.widths
-
-    def merge(rows: pa.Table, known: pa.Table) -> pa.Table:
-        if not (rows.num_rows and known.num_rows):
-            return _STATE.empty_table()
-        place = {k: i for i, k in enumerate(known.column("columns").to_pylist())}       # of the state under None
-        block, held = _Block(rows, widths), _Rows.read(known, place[None])
-        parts, step = plan[held.route]
-        a = held.stepped(parts, step)
-        p = block.down(a)
-        if len(block.at):
-            p[block.at] = np.concatenate([_floats(known.column("x")[place[k]]) for k in block.columns.tolist() if k in place])
-        return pa.Table.from_batches([held.write(held.received(a, block.up(p), parts is None, history))])
+    history, a = HISTORY, _gradients(state, plan)
 
-    products = matrix.added(matrix.sent(_gradients(state, plan)))
-    known = state.drop("dots").unionByName(products, allowMissingColumns=True)
-    return stage(matrix.by_rows.groupBy("route", "rows").cogroup(known.groupBy("route", "rows")).applyInArrow(merge, STATE), name)
+    def merge(triple: tuple) -> _Rows:
+        (block, held), (rows, x) = triple
+        assert rows == block.rows
+        new = a.of(held, block)
+        p = block.down(new)
+        if len(block.at):
+            p[block.at] = np.concatenate([np.frombuffer(x[k]) for k in block.columns.tolist() if k in x])
+        held.received(new, block.up(p), plan[held.route][0] is None, history)
+        return held
+    return _single(matrix.by_rows.zip(state).zip(matrix.received(a)).map(merge)).persist(KEPT)
+
+
+def _summed(values: RDD) -> dict[str, np.ndarray]:
+    """Per route the sums of (route, array): one array per partition and route comes to the driver, of some hundred places at most."""
+    def add(found: Iterable[tuple[str, np.ndarray]]) -> dict[str, np.ndarray]:
+        out: dict[str, np.ndarray] = {}
+        for route, x in found:
+            out[route] = out[route] + x if route in out else x
+        return out
+    return add(values.mapPartitions(lambda found: add(found).items()).collect())
 
 
-def _summed(values: DataFrame) -> dict[str, np.ndarray]:
-    """Per route the sums of the places of an array column; the arrays have some hundred places at most."""
-    rows = values.select("route", F.posexplode("dots").alias("at", "x")).groupBy("route", "at").agg(F.sum("x").alias("x")).collect()
-    out: dict[str, dict[int, float]] = {}
-    for r in rows:
-        out.setdefault(r["route"], {})[r["at"]] = r["x"]
-    return {route: np.array([found[i] for i in range(len(found))]) for route, found in out.items()}
+def _dots(state: RDD) -> dict[str, np.ndarray]:
+    return _summed(state.map(lambda block: (block.route, block.dots)))
 
 
-def _slopes(state: DataFrame, parts: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for i in range(b.num_rows):
-                block = _Rows.read(b, i)
-                yield pa.RecordBatch.from_pydict({"route": [block.route], "dots": pa.array([block.slopes(parts[block.route])], pa.list_(pa.float64()))})
-    return _summed(state.drop("dots").mapInArrow(run, "route string, dots array<double>"))
+def _slopes(state: RDD, parts: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
+    return _summed(state.map(lambda block: (block.route, block.slopes(parts[block.route]))))
 
 
 # ----------------------------------------------------------------------------- the driver's part
@@ -425,50 +458,59 @@ def fit(vectors: DataFrame, sizes: dict[str, int], counts: dict[str, tuple[int,
             raise ValueError(f"route {route!r} has rows of one class only")
         n, c = n0 + n1, strength.get(route, 1.0)
         weights[route] = (c * n / (2 * n0), c * n / (2 * n1))
-    table = blocks(vectors, {r: sizes[r] for r in counts}, weights)
-    try:
-        state = _start(table)
-        matrix = _Matrix(table, widths(vectors, {r: sizes[r] for r in counts}))
-    finally:
-        table.unpersist()
+    _checkpoints(vectors.sparkSession)
+    columns = {r: sizes[r] for r in counts}
+    table = blocks(vectors, columns, weights)
+    state, matrix = _start(table), _Matrix(table, widths(vectors, columns))
+    kept = [matrix.by_rows, matrix.by_columns]
+    state.count()
+    table.unpersist()
     try:
         searches = {r: _Search() for r in counts}
-        state = _advance(state, matrix, {r: (None, 0.0) for r in counts}, "rows")
+        plan: Plan = {r: (None, 0.0) for r in counts}
         settled: list[DataFrame] = []
         open_routes = list(counts)
         for i in range(max_iter + 1):
-            sums = _summed(state)
+            before, state = state, _advance(state, matrix, plan)
+            kept.append(state)
+            if i % CHECKPOINT == CHECKPOINT - 1:
+                state.checkpoint()
+            sums = _dots(state)
+            before.unpersist()
             for r in open_routes:
                 searches[r].learn(sums[r], tol)
             going = [r for r in open_routes if not searches[r].done and i < max_iter]
             parts = {r: searches[r].direction() for r in going}
-            slopes = _slopes(state.where(F.col("route").isin(going)), parts) if going else {}
-            plan: Plan = {r: (parts[r], searches[r].step(parts[r], slopes[r])) for r in going}
+            slopes = _slopes(_of_routes(state, going), parts) if going else {}
+            plan = {r: (parts[r], searches[r].step(parts[r], slopes[r])) for r in going}
             going = [r for r in going if plan[r][1] > 0]
             if ended := [r for r in open_routes if r not in going]:
-                settled.append(state.where(F.col("route").isin(ended)))
-            open_routes = going
+                iterates = _Vector(_of_routes(state, ended), lambda held: held.w[0])
+                found = matrix.only(ended).columns_of(iterates).map(lambda r: (r["route"], r["columns"], r["x"]))
+                settled.append(stage(vectors.sparkSession.createDataFrame(found, RANGE, verifySchema=False), "ranges"))
+                if going:
+                    state, matrix = _of_routes(state, going), matrix.only(going)
+                    kept += [state.persist(KEPT), matrix.by_rows.persist(KEPT)]
+                    open_routes = going
             if not going:
                 break
-            state = _advance(state.where(F.col("route").isin(going)), matrix, plan, "rows")
-        last = settled[0]
-        for s in settled[1:]:
-            last = last.unionByName(s)
         ranges = _ranges(vectors, sizes, matrix.widths)
-        found = stage(_flat(ranges.join(matrix.columns_of(_iterates(last)), ["route", "columns"], "left"), sizes, matrix.widths), "coefficients")
+        last = reduce(DataFrame.unionByName, settled)
+        found = stage(_flat(ranges.join(last, ["route", "columns"], "left"), sizes, matrix.widths), "coefficients")
     finally:
-        matrix.release()
+        for rdd in kept:
+            rdd.unpersist()
     ends = {r["route"]: r["weight"] for r in found.where("idx < 0").collect()}       # one row per route
     return found.where("idx >= 0"), {r: ends[r] for r in counts}, {r: s.iterations for r, s in searches.items()}
 
 
-def _iterates(state: DataFrame) -> DataFrame:
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for i in range(b.num_rows):
-                block = _Rows.read(b, i)
-                yield pa.RecordBatch.from_pydict({"route": [block.route], "rows": pa.array([block.rows], pa.int64()), "x": [block.w[0].tobytes()]})
-    return state.drop("dots").mapInArrow(run, "route string, rows long, x binary")
+def _checkpoints(spark: SparkSession) -> None:
+    if spark.sparkContext.getCheckpointDir() is None:
+        spark.sparkContext.setCheckpointDir(staging_root(spark))
+
+
+def _of_routes(state: RDD, routes: list[str]) -> RDD:
+    return _single(state.filter(lambda block: block.route in routes))
 
 
 def _ranges(any_frame: DataFrame, sizes: dict[str, int], widths: dict[str, int]) -> DataFrame:

@@ -130,3 +130,27 @@ def test_only_columns_that_blocks_share_are_moved(spark, monkeypatch):
     assert len(whole) < 64 and sum(np.count_nonzero(x) for x in whole.values()) <= 2 + 40 * 50 + 1
     matrix.release()
     kept.unpersist()
+
+
+def test_an_iteration_is_two_jobs(spark):
+    """One for the step and one for the slopes: nothing is staged, listed or added up by another job."""
+    data, sc = {"article": (sample(6, 60, 15), 15)}, spark.sparkContext
+
+    def jobs(iterations):
+        sc.setJobGroup(f"fit-{iterations}", "")
+        found = solved(spark, data, {"article": 10.0}, max_iter=iterations)[2]
+        sc.setLocalProperty("spark.jobGroup.id", None)
+        assert found == {"article": iterations}
+        return len(sc.statusTracker().getJobIdsForGroup(f"fit-{iterations}"))
+    assert jobs(6) - jobs(2) == 2 * (6 - 2)
+
+
+def test_few_partitions_are_dealt_out_and_blocks_keep_their_rows(spark, monkeypatch):
+    """One partition of vectors becomes as many as shuffles have; every block, its state and what it gets have its number."""
+    monkeypatch.setattr(L, "ROWS", 5)
+    vectors = spark.createDataFrame([("article", i % 2, [i % 3], [1.0]) for i in range(40)], KIND).coalesce(1)
+    kept = L.blocks(vectors, {"article": 3}, {"article": (1.0, 1.0)})
+    numbers = kept.map(lambda b: b.rows).glom().collect()
+    assert len(numbers) == int(spark.conf.get("spark.sql.shuffle.partitions")) and sum(map(len, numbers)) == 8
+    assert all(rows == (part << 32 | i) for part, found in enumerate(numbers) for i, rows in enumerate(found))
+    kept.unpersist()
