@@ -693,7 +693,7 @@ def landed_compaction(spark, sf_dir):
     before, between, after, and from what was opened before the first compaction."""
     root = stage_path(spark, "compaction")
     source = tables.all_sources(spark, sf_dir).withColumn("seq", F.lit(1))
-    topic.write_records(source.repartition(12), topic.TOPIC_ARTICLES, "parquet", root)
+    topic.write_records(source.coalesce(12), topic.TOPIC_ARTICLES, "parquet", root)
     stream = topic.read_topic(spark, topic.TOPIC_ARTICLES, RECORD, format="parquet", path=root, limit=4)
 
     def land():
@@ -707,7 +707,7 @@ def landed_compaction(spark, sf_dir):
     for day in days:
         compact.compact(spark, f"{root}/raw", day)
     parts.append(seen("compacted", compact.read_live(spark, f"{root}/raw")))
-    topic.write_records(source.repartition(5), topic.TOPIC_ARTICLES, "parquet", root)
+    topic.write_records(source.coalesce(5), topic.TOPIC_ARTICLES, "parquet", root)
     land()
     parts.append(seen("landed again", compact.read_live(spark, f"{root}/raw")))
     for day in sorted({str(r["dt"]) for r in files.read_landed(spark, f"{root}/raw").select("dt").distinct().collect()}):

@@ -4,13 +4,14 @@ Compacted files lie in a folder that readers of the landing zone do not see, ``_
 version, says per day which compacted files are live and which landed files they replace. It is written last and
 under a name that must not exist yet, so that a compaction is visible as a whole or not at all, and of two at the same
 time one fails. A reader takes the newest manifest, all landed files that it does not replace, and its compacted files:
-before, during and after, every record once. Nothing is deleted.
+before, during and after, every record once. Nothing is deleted; compacted files are compressed, and their sizes are those of their lines.
 """
 
 from __future__ import annotations
 
 import json
 from datetime import date
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -36,7 +37,16 @@ class Files:
         return sorted(s.getPath().getName() for s in self.fs.listStatus(at)) if self.fs.exists(at) else []
 
     def size(self, p: str) -> int:
-        return self.fs.getFileStatus(self.path(p)).getLen()
+        """Bytes of a file's lines; a compressed file tells them at its end."""
+        size = self.fs.getFileStatus(self.path(p)).getLen()
+        if not p.endswith(".gz"):
+            return size
+        end = self.fs.open(self.path(p))
+        try:
+            end.seek(size - 4)
+            return sum(end.read() << 8 * i for i in range(4))
+        finally:
+            end.close()
 
     def create(self, p: str, text: str) -> None:
         """A new file; an error if it is there already."""
@@ -82,16 +92,26 @@ def compact(spark: SparkSession, root: str, day: str, file_bytes: int = FILE_BYT
     if not fresh or len(fresh) + len(entry["live"]) < 2:
         return None
     files = Files(spark, root)
-    total = sum(files.size(p) for p in [*fresh, *entry["live"]])
+    sizes = [sum(files.size(p) for p in paths) for paths in (fresh, entry["live"])]
+    count = max(1, -(-sum(sizes) // file_bytes))
     run = f"{root}/_compact/data/{version + 1:012d}-{spark.sparkContext.applicationId}"
-    rows = _read(spark, root, fresh, entry["live"], LANDED)
-    rows.repartition(max(1, -(-total // file_bytes))).write.mode("overwrite").partitionBy("dt").json(run)
+    if count > 1 and entry["live"]:         # by themselves, as their parts are larger
+        old = min(max(1, round(count * sizes[1] / sum(sizes))), count - 1)
+        rows = _packed(_read(spark, root, fresh, [], LANDED), count - old).unionByName(_packed(_read(spark, root, [], entry["live"], LANDED), old))
+    else:
+        rows = _packed(_read(spark, root, fresh, entry["live"], LANDED), count)
+    rows.write.mode("overwrite").partitionBy("dt").json(run, compression="gzip")
     live = [f"{run}/dt={day}/{n}" for n in files.names(f"{run}/dt={day}") if not n.startswith(("_", "."))]
     known = {**known, day: {"live": live, "replaced": [*entry["replaced"], *fresh]}}
     files.create(f"{root}/_compact/manifest/{_manifest_name(version + 1)}", json.dumps(known, indent=1))
     return version + 1
 
 
+def _packed(rows: DataFrame, files: int) -> DataFrame:
+    """Rows for so many files: whole parts of files go together, and rows are shuffled only where the parts are too few."""
+    return rows.coalesce(files) if rows.rdd.getNumPartitions() >= files else rows.repartition(files)
+
+
 def scattered_days(spark: SparkSession, paths: list[str], file_bytes: int | None = None) -> list[str]:
     """Days (dt=...) that hold more files than their bytes need: one per ``file_bytes`` begun."""
     files, file_bytes = Files(spark, paths[0]) if paths else None, file_bytes or FILE_BYTES
@@ -102,15 +122,15 @@ def scattered_days(spark: SparkSession, paths: list[str], file_bytes: int | None
 
 
 def _read(spark: SparkSession, root: str, landed: list[str], live: list[str], schema: StructType) -> DataFrame:
-    out = spark.createDataFrame([], schema)
+    parts = []
     if landed:
-        out = out.unionByName(json_lines(spark, schema).option("basePath", root).json(landed))
+        parts.append(json_lines(spark, schema).option("basePath", root).json(landed))
     runs: dict[str, list[str]] = {}
     for p in live:
         runs.setdefault(p.split("/dt=")[0], []).append(p)
     for base, paths in runs.items():
-        out = out.unionByName(json_lines(spark, schema).option("basePath", base).json(paths))
-    return out
+        parts.append(json_lines(spark, schema).option("basePath", base).json(paths))
+    return reduce(DataFrame.unionByName, parts) if parts else spark.createDataFrame([], schema)
 
 
 def read_live(spark: SparkSession, root: str, schema: StructType = LANDED) -> DataFrame:

@@ -63,6 +63,27 @@ def test_a_day_may_hold_as_many_files_as_its_bytes_need(spark, tmp_path):
     assert compact.scattered_days(spark, compact.read_live(spark, root).inputFiles(), 40_000) == []
 
 
+def test_compaction_shuffles_no_row_and_packs_its_files(spark, tmp_path, monkeypatch):
+    """Neither the first run nor one that takes compacted files and landed ones together; sizes are those of the lines."""
+    root = f"{tmp_path}/raw"
+    wide = [(f"i{i}", f"text {i} " * 200, i, DAYS[0]) for i in range(200)]
+    land(spark, root, wide[:120])
+    first = compact.landed_files(spark, root)
+    files = compact.Files(spark, root)
+    lines = sum(files.size(p) for p in first)
+    monkeypatch.setattr(type(spark.range(1)), "repartition", lambda *a: pytest.fail("rows are shuffled"))
+    compact.compact(spark, root, "2024-01-01", file_bytes=100_000)
+    live = compact.read_live(spark, root).inputFiles()
+    assert sum(files.size(p) for p in live) == lines > 3 * sum(files.fs.getFileStatus(files.path(p)).getLen() for p in live)
+    monkeypatch.undo()
+    land(spark, root, wide[120:])
+    monkeypatch.setattr(type(spark.range(1)), "repartition", lambda *a: pytest.fail("rows are shuffled"))
+    compact.compact(spark, root, "2024-01-01", file_bytes=100_000)
+    last = compact.read_live(spark, root)
+    assert rows_of(last) == sorted(wide) and len(last.inputFiles()) > 1
+    assert compact.scattered_days(spark, last.inputFiles(), 100_000) == []
+
+
 def test_the_query_compacts_days_of_several_files(spark, tmp_path, monkeypatch):
     """With files of 2 kB a day stays several files after compaction."""
     docs = spark.createDataFrame([(i, "some words " * 20, "en", "web") for i in range(60)], "doc_id long, text string, lang string, source string")
