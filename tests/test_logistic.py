@@ -132,8 +132,9 @@ def test_only_columns_that_blocks_share_are_moved(spark, monkeypatch):
     kept.unpersist()
 
 
-def test_an_iteration_is_two_jobs(spark):
+def test_an_iteration_is_two_jobs(spark, monkeypatch):
     """One for the step and one for the slopes: nothing is staged, listed or added up by another job."""
+    monkeypatch.setattr(L, "CHECKPOINT", 100)
     data, sc = {"article": (sample(6, 60, 15), 15)}, spark.sparkContext
 
     def jobs(iterations):
